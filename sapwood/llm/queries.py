@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality, toxicity
 
 
 def queries() -> dict:
-    return {"op10_mix_sources": mixing.query}
+    return {"op3_toxicity": toxicity.query, "op8_quality": quality.query, "op10_mix_sources": mixing.query}
 
 
 def oracle_sql() -> dict:

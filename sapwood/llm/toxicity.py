@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
@@ -20,61 +20,67 @@ from .quality import SAMPLE_ROWS, labelled_sample
 from .trees import Tree, boost, isotonic, sigmoid
 
 TREES, DEPTH = 40, 3
-#: Learned words at most; a word must be in so many toxic sample rows, and that much likelier there.
-LEARNED, SUPPORT, LIFT = 64, 8, 8.0
+#: Learned words and beginnings at most; the share of toxic sample rows (and the number) that must use one, and the least likelihood ratio.
+LEARNED, SHARE, SUPPORT, LIFT = 64, 0.02, 4, 5.0
+#: Letters of a word beginning; words on each side in which a second-person word is near.
+STEM, NEAR = 5, 5
 #: Insults and second-person words.
-INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "dumb", "fool", "jerk", "imbecile", "garbage", "vermin", "hate", "shut up", "ugly", "dummkopf", "trottel", "abschaum", "idiota", "imbécil", "estúpido", "basura", "connard", "crétin", "abruti", "ordure"]
+INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "dumb", "fool", "jerk", "imbecile", "garbage", "vermin", "hate", "ugly", "dummkopf", "trottel", "abschaum", "idiota", "imbécil", "estúpido", "basura", "connard", "crétin", "abruti", "ordure"]
 SECOND_PERSON = ["you", "your", "yours", "yourself", "you're", "u", "ur", "du", "dein", "deine", "dich", "dir", "ihr", "tu", "toi", "ton", "vous", "votre", "tú", "usted", "ustedes", "vosotros", "te", "ti"]
 #: Characters written in place of letters, and the letters.
 LOOK_ALIKE, LETTERS = "013457@$!|", "oieastasil"
+_INSULTS, _YOU = frozenset(INSULTS), frozenset(SECOND_PERSON)
 
 
-def _any_of(words: list[str]) -> str:
-    return r"(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(w) for w in sorted(words)) + r")(?![\p{L}\p{N}])"
+_WORD = re.compile(r"[^\W_]+")
+_DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!|*._-]++[^\W\d_]++)++")
+_CAPITALS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{2,}")
+_SHOUTS = re.compile(r"[!?]+")
+_MARKS = re.compile(r"[^\w\s]+")
+_UNDO = {ord(a): b for a, b in zip(LOOK_ALIKE, LETTERS, strict=True)} | {ord(c): None for c in "*._-"}
+FEATURES = ["insults", "learned", "learned_log", "weight_rate", "hit_rate", "near_you", "unmasked", "capitals", "shouts", "marks", "disguised", "log_words"]
 
 
-def learn_lexicon(sample: DataFrame) -> list[str]:
-    """Words far likelier in toxic sample rows than in others; at most LEARNED words reach the driver."""
-    words = F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("word")
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+    """Words and word beginnings (marked by a final *) far likelier in toxic sample rows, with the log of that ratio.
+
+    At most LEARNED of them reach the driver.
+    """
     n = sample.agg(F.sum("_y").alias("t"), F.sum(1 - F.col("_y")).alias("c")).first()
     if not n["t"] or not n["c"]:
-        return []
-    by = sample.select("_y", words).where(F.length("word") > 2).groupBy("word").agg(F.sum("_y").alias("t"), F.sum(1 - F.col("_y")).alias("c")).where(F.col("t") >= SUPPORT)
+        return {}
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2)
+    stems = F.transform(F.filter(words, lambda w: F.length(w) >= STEM), lambda w: F.concat(F.left(w, F.lit(STEM)), F.lit("*")))
+    each = sample.select("_y", F.explode(F.array_union(words, stems)).alias("word"))
+    by = each.groupBy("word").agg(F.sum("_y").alias("t"), F.sum(1 - F.col("_y")).alias("c")).where(F.col("t") >= max(SUPPORT, SHARE * n["t"]))
     lift = (F.col("t") / n["t"]) / ((F.col("c") + 0.5) / n["c"])
-    found = by.withColumn("lift", lift).where(F.col("lift") >= LIFT).orderBy(F.col("t").desc(), "word").limit(LEARNED)
-    return [r["word"] for r in found.select("word").collect()]
-
-
-def features(text: Column, learned: list[str]) -> dict[str, Column]:
-    """Dense features of the whole text; null counts as empty, where every rate is 0."""
-    t = F.coalesce(text, F.lit(""))
-    low = F.lower(t)
-    count = lambda c, pattern: F.regexp_count(c, F.lit(pattern)).cast("double")
-    words = count(t, r"\S+")
-    per = lambda c: F.when(words > 0, c / words).otherwise(0.0)
-    lexicon = sorted({*INSULTS, *learned})
-    bad, you = _any_of(lexicon), _any_of(SECOND_PERSON)
-    # a disguised word has letters on both sides of a look-alike; spaced-out letters are closed up
-    plain = F.translate(F.regexp_replace(low, r"(?<=\p{L})[.*_-](?=\p{L})", ""), LOOK_ALIKE, LETTERS)
-    fixed = count(low, _any_of(INSULTS))
-    out = {
-        "insult_rate": per(fixed),
-        "lexicon_count": count(low, bad),
-        "lexicon_rate": per(count(low, bad)),
-        "plain_count": count(plain, bad),
-        "near_you": per(count(low, you + r"(?:[^\p{L}\p{N}]+[\p{L}\p{N}']+){0,4}?[^\p{L}\p{N}]+" + bad)),
-        "capitals": per(count(t, r"(?<![\p{L}])\p{Lu}{2,}")),
-        "shouts": per(count(t, r"[!?]+")),
-        "marks": per(count(t, r"[^\p{L}\p{N}\s]+")),
-        "disguised": per(count(low, r"(?<=\p{L})[013457@$*]+(?=\p{L})")),
-        "log_words": F.log1p(words),
-    }
-    return out
+    found = by.withColumn("lift", lift).where(F.col("lift") >= LIFT).orderBy((F.col("t") * F.log("lift")).desc(), "word").limit(LEARNED)
+    return {r["word"]: float(np.log(r["lift"])) for r in found.collect()}
+
+
+def features(text: str | None, learned: dict[str, float]) -> list[float]:
+    """Dense features of the whole text; null counts as empty, where every feature is 0."""
+    text = text or ""
+    low = text.lower()
+    words = _WORD.findall(low)
+    n = len(words) or 1
+    hits = [(i, learned.get(w) or learned.get(w[:STEM] + "*", 0.0)) for i, w in enumerate(words) if w in learned or w in _INSULTS or w[:STEM] + "*" in learned]
+    fixed = sum(words[i] in _INSULTS for i, _ in hits)
+    near = sum(any(w in _YOU for w in words[max(0, i - NEAR) : i + NEAR + 1]) for i, _ in hits)
+    masked = _DISGUISED.findall(low)
+    plain = [m.translate(_UNDO) for m in masked]
+    unmasked = sum(p in _INSULTS or p in learned or p[:STEM] + "*" in learned for p in plain)
+    known = sum(v > 0 for _, v in hits)
+    return [fixed, known, np.log1p(known), sum(v for _, v in hits) / n, len(hits) / n, near / n, unmasked, len(_CAPITALS.findall(text)) / n, len(_SHOUTS.findall(text)) / n, len(_MARKS.findall(text)) / n, len(masked) / n, np.log1p(len(words))]
+
+
+def matrix(texts: pd.Series, learned: dict[str, float]) -> np.ndarray:
+    return np.array([features(t, learned) for t in texts], float).reshape(len(texts), len(FEATURES))
 
 
 @dataclass
 class Model:
-    lexicon: list[str] = field(default_factory=list)
+    lexicon: dict[str, float] = field(default_factory=dict)
     base: float = 0.0
     trees: list[Tree] = field(default_factory=list)
     knots: tuple[np.ndarray, np.ndarray] = (np.array([0.0]), np.array([0.5]))
@@ -92,11 +98,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Trees from four fifths of the sample, calibration on the rest. No rows or one label: the label's share."""
     sample = labelled_sample(docs, labels, "toxic")
     learned = learn_lexicon(sample)
-    feats = features(F.col("text"), learned)
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(5)).alias("_fold")
-    got = sample.select("_y", fold, *[c.alias(n) for n, c in feats.items()]).limit(2 * SAMPLE_ROWS).toPandas()
-    got = got.sort_values(list(got.columns), kind="stable")
-    x, y, calibrate = got[list(feats)].to_numpy(float), got["_y"].to_numpy(float), got["_fold"].to_numpy() == 0
+
+    @F.pandas_udf("array<double>")
+    def measured(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(matrix(texts, learned)))
+
+    got = sample.select("_y", fold, "doc_id", measured("text").alias("_x")).limit(2 * SAMPLE_ROWS).toPandas().sort_values("doc_id", kind="stable")
+    x, y, calibrate = np.array(got["_x"].tolist(), float).reshape(len(got), len(FEATURES)), got["_y"].to_numpy(float), got["_fold"].to_numpy() == 0
     base, trees = boost(x[~calibrate], y[~calibrate], TREES, DEPTH)
     model = Model(learned, base, trees)
     share = float(y.mean()) if len(y) else 0.5
@@ -110,13 +119,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
-    feats = features(F.col("text"), model.lexicon)
+    """docs with one more column, from the whole text."""
 
     @F.pandas_udf("double")
-    def predict(*cols: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack([c.to_numpy(float) for c in cols], 1)))
+    def predict(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(matrix(texts, model.lexicon)))
 
-    return docs.withColumn(into, predict(*feats.values()))
+    return docs.withColumn(into, predict(F.col("text")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
