@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, quality, secrets, toxicity
+from . import embedding_dedup, jaccard_join, mixing, quality, secrets, toxicity
 
 
 def queries() -> dict:
-    return {"op3_toxicity": toxicity.query, "op5_secrets": secrets.query, "op6_embedding_dedup": embedding_dedup.query, "op8_quality": quality.query, "op10_mix_sources": mixing.query}
+    return {"op2_jaccard_join": jaccard_join.query, "op3_toxicity": toxicity.query, "op5_secrets": secrets.query, "op6_embedding_dedup": embedding_dedup.query, "op8_quality": quality.query, "op10_mix_sources": mixing.query}
 
 
 def oracle_sql() -> dict:
