@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A table of at most this many rows may be broadcast once its rows have been counted.
 BROADCAST_ROWS = 20_000
 
@@ -30,10 +31,23 @@ def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: its lineage ends there,
     so a lost executor costs no recomputation of what came before."""
     path = f"{scratch_dir(spark).rstrip('/')}/sapwood/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the written table stands for its shuffles, so their files can go
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession, df: DataFrame) -> None:
+    """Deletes the files of a table made by stored() that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text is divisible by 5."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
