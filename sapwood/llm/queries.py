@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, jaccard_join, mixing, packing, quality, secrets, toxicity
+from . import embedding_dedup, jaccard_join, mixing, packing, quality, secrets, suffix_dedup, toxicity
 
 
 def queries() -> dict:
-    return {"op2_jaccard_join": jaccard_join.query, "op3_toxicity": toxicity.query, "op5_secrets": secrets.query, "op6_embedding_dedup": embedding_dedup.query, "op7_packing": packing.query, "op8_quality": quality.query, "op10_mix_sources": mixing.query}
+    return {"op2_jaccard_join": jaccard_join.query, "op3_toxicity": toxicity.query, "op4_suffix_dedup": suffix_dedup.query, "op5_secrets": secrets.query, "op6_embedding_dedup": embedding_dedup.query, "op7_packing": packing.query, "op8_quality": quality.query, "op10_mix_sources": mixing.query}
 
 
 def oracle_sql() -> dict:
