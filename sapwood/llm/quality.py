@@ -145,13 +145,19 @@ def score(docs: DataFrame, model: Rules, into: str = "score") -> DataFrame:
     """docs with one more column. The statistics are columns of their own for a while, so each is computed once."""
     stats = {n: c for n, c in statistics(F.col("text")).items()}
     used = {model.names[f] for c, _ in model.rules for f, _, _ in c}
-    wide = docs.withColumns({f"_q_{n}": c for n, c in stats.items() if n in used})
-    return wide.withColumn(into, model.column({n: F.col(f"_q_{n}") for n in stats})).drop(*[f"_q_{n}" for n in used])
+    # the row number, never below 0, keeps a filter on the score from being pushed beneath the
+    # statistics, where each rule would compute its own again
+    wide = docs.withColumns({f"_q_{n}": c for n, c in stats.items() if n in used} | {"_q_row": F.monotonically_increasing_id()})
+    scored = wide.withColumn(into, F.when(F.col("_q_row") < 0, 0.0).otherwise(model.column({n: F.col(f"_q_{n}") for n in stats})))
+    return scored.drop("_q_row", *[f"_q_{n}" for n in used])
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score at least the threshold, with docs' own columns."""
-    return score(docs, fit(docs, labels), "_q_score").where(F.col("_q_score") >= threshold).drop("_q_score")
+def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, texts: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that score at least the threshold, with docs' own columns.
+
+    The rules are fitted on the labelled rows of texts (docs, if None).
+    """
+    return score(docs, fit(docs if texts is None else texts, labels), "_q_score").where(F.col("_q_score") >= threshold).drop("_q_score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
