@@ -93,17 +93,26 @@ class Templates:
                     if share >= self.containment:
                         spans.setdefault(name, []).append((int(a + at[0]), int(a + at[-1]), share))
             for name, got in spans.items():
+                own = next(o for n, o in held if n == name)
                 got.sort()
-                first, last, best = got[0]
+                merged = [got[0]]
                 for x, y, share in got[1:]:
-                    if x > last:
-                        found.append((name, best, first, last))
-                        first, last, best = x, y, share
+                    if x > merged[-1][1]:
+                        merged.append((x, y, share))
                     else:
-                        last, best = max(last, y), max(best, share)
-                found.append((name, best, first, last))
+                        merged[-1] = (merged[-1][0], max(merged[-1][1], y), max(merged[-1][2], share))
+                for first, last, share in merged:
+                    found += [(name, *o) for o in self._apart(shingles, own, first, last) or [(share, first, last)]]
         return sorted(found, key=lambda f: (f[2], f[0]))
 
+    def _apart(self, shingles: np.ndarray, own: np.ndarray, first: int, last: int) -> list[tuple[float, int, int]]:
+        """Occurrences next to each other in one span: parted where more is between them than one may lack."""
+        at = first + np.flatnonzero(np.isin(shingles[first : last + 1], own))
+        gap = (1 - self.containment) * len(own) + WORDS
+        parts = np.split(at, np.flatnonzero(np.diff(at) > gap) + 1)
+        shares = [(len(np.unique(shingles[p])) / len(own), int(p[0]), int(p[-1])) for p in parts]
+        return [s for s in shares if s[0] >= self.containment]
+
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id", containment: float = CONTAINMENT) -> DataFrame:
     """One row per occurrence: key, template_id, containment, first_word, last_word (0-based, the last included).
