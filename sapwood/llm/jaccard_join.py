@@ -28,8 +28,8 @@ RUNS, BRANCHES, TOKENS = 4, 2, 64
 LEAF, DEPTH = 256, 10
 #: A child that keeps this share of its parent shows a group of near copies.
 HARDLY = 0.6
-#: Classes in either side of a compared block.
-BLOCK = 256
+#: Classes in either side of a block compared exactly, and of one compared by signatures.
+BLOCK, SIGNED_BLOCK = 512, 1024
 #: Share of equal signature positions from which two classes count as alike (5 deviations below 0.8).
 ALIKE = 0.55
 
@@ -63,7 +63,7 @@ def _children(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
 
 
 def _split(rows: DataFrame, id_type: str) -> DataFrame:
-    """(parent, node, rep, sig) one level below rows (node, rep, sig)."""
+    """(parent, node, rep) one level below rows (node, rep, sig)."""
 
     def split(batches):
         for p in batches:
@@ -71,21 +71,21 @@ def _split(rows: DataFrame, id_type: str) -> DataFrame:
                 sig = np.frombuffer(b"".join(p["sig"]), np.uint32).reshape(len(p), TOKENS)
                 below = _children(p["node"].to_numpy().astype(np.uint64), sig).astype(np.int64)
                 for k in range(BRANCHES):
-                    yield pd.DataFrame({"parent": p["node"], "node": below[:, k], "rep": p["rep"], "sig": p["sig"]})
+                    yield pd.DataFrame({"parent": p["node"], "node": below[:, k], "rep": p["rep"]})
 
-    return rows.mapInPandas(split, f"parent long, node long, rep {id_type}, sig binary")
+    return rows.mapInPandas(split, f"parent long, node long, rep {id_type}")
 
 
-def _blocked(rows: DataFrame, group: str, size: str, tag: str, block: int = BLOCK) -> DataFrame:
-    """rows with (g, i, j, side): groups that fit a block are gathered into common tasks by hash
-    (side 2), larger ones are dealt into pairs of blocks (side 0 against side 1)."""
+def _blocked(rows: DataFrame, group: str, size: str, tag: str, block: int, half: bool = False) -> DataFrame:
+    """rows with (i, j, side): groups that fit a block are gathered into common tasks by hash
+    (side 2), larger ones are dealt into pairs of blocks (side 0 against side 1), with half only i <= j."""
     n = F.ceil(F.col(size) / block).cast("int")
     pick = F.pmod(F.xxhash64("rep", F.lit(tag)), n).cast("int")
     few = rows.where(F.col(size) <= block).withColumns({"i": F.lit(-1), "j": F.pmod(F.xxhash64(group), F.lit(1 << 20)).cast("int"), "side": F.lit(2)})
     many = rows.where(F.col(size) > block).withColumn("_mine", pick)
-    other = F.explode(F.sequence(F.lit(0), n - 1))
-    homes = many.withColumn("i", F.col("_mine")).withColumn("j", other).withColumn("side", F.lit(0))
-    members = many.withColumn("j", F.col("_mine")).withColumn("i", other).withColumn("side", F.lit(1))
+    mine = F.col("_mine")
+    homes = many.withColumn("i", mine).withColumn("j", F.explode(F.sequence(mine if half else F.lit(0), n - 1))).withColumn("side", F.lit(0))
+    members = many.withColumn("j", mine).withColumn("i", F.explode(F.sequence(F.lit(0), mine if half else n - 1))).withColumn("side", F.lit(1))
     return few.unionByName(homes.drop("_mine")).unionByName(members.drop("_mine"))
 
 
@@ -151,6 +151,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
 
     # chosen paths, level by level; only nodes that are too large go on
     roots = F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in range(RUNS)]))
+    signs = classes.select(F.col("rep").alias("s_rep"), "sig")
     rows, leaves = classes.select(roots.alias("node"), "rep", "sig"), []
     parents = None
     for depth in range(1, DEPTH + 1):
@@ -162,16 +163,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
             counts = counts.withColumn("stop", F.lit(False))
         counts = counts.withColumn("leaf", (F.col("size") <= LEAF) | F.col("stop") | F.lit(depth == DEPTH))
         counts = stored(spark, counts.select(F.col("node").alias("p_node"), F.col("size").alias("p_size"), "leaf"), f"jaccard-nodes{depth}")
-        kept = below.join(counts, F.col("node") == F.col("p_node"))
-        leaves.append(kept.where("leaf").select("node", "rep", "sig", F.col("p_size").alias("size")))
+        kept = below.join(counts.hint("merge"), F.col("node") == F.col("p_node"))
+        leaves.append(stored(spark, kept.where("leaf").select("node", "rep", F.col("p_size").alias("size")), "jaccard-leaves"))
         parents = counts.where("not leaf")
         if not parents.take(1):
             break
-        rows = stored(spark, kept.where("not leaf").select("node", "rep", "sig"), f"jaccard-open{depth}")
+        rows = stored(spark, kept.where("not leaf").select("node", "rep").join(signs.hint("merge"), F.col("rep") == F.col("s_rep")).select("node", "rep", "sig"), f"jaccard-open{depth}")
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.unionByName(more)
-    leaf = stored(spark, leaf.withColumn("n", F.lit(1).cast("long")), "jaccard-leaves")
+    leaf = leaf.join(signs.hint("merge"), F.col("rep") == F.col("s_rep")).drop("s_rep").withColumn("n", F.lit(1).cast("long"))
+    leaf = stored(spark, leaf, "jaccard-leaves")
 
     def alike(p: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(p["sig"]), np.uint32).reshape(len(p), TOKENS)
@@ -185,7 +187,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
         return _compare(p, "node", linked)
 
     shape = f"rep {id_type}, links long, root {id_type}"
-    pairs = _gathered(_blocked(leaf, "node", "size", "leaf"), "node").applyInPandas(alike, shape)
+    pairs = _gathered(_blocked(leaf, "node", "size", "leaf", SIGNED_BLOCK, half=True), "node").applyInPandas(alike, shape)
     groups = components(spark, pairs.where("rep <> root").select("rep", "root"), "rep", "root")
     groups = stored(spark, groups, "jaccard-groups")
 
@@ -193,7 +195,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     sizes = stored(spark, groups.groupBy("component").agg(F.count("*").alias("size")), "jaccard-sizes")
     member = groups.join(sizes.withColumnRenamed("component", "c"), F.col("component") == F.col("c")).join(classes.select(F.col("rep").alias("r"), "n"), F.col("node") == F.col("r"))
     member = stored(spark, member.select(F.col("node").alias("rep"), F.col("component").alias("grp"), "size", "n"), "jaccard-members")
-    one = texts.join(member, F.col("_id") == F.col("rep")).select("rep", "grp", "size", "n", "text")
+    one = texts.join(member.hint("merge"), F.col("_id") == F.col("rep")).select("rep", "grp", "size", "n", "text")
 
     def as_sets(batches):
         for p in batches:
@@ -214,7 +216,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
 
         return _compare(p, "grp", linked)
 
-    found = stored(spark, _gathered(_blocked(sets, "grp", "size", "exact"), "grp").applyInPandas(exact, shape), "jaccard-links")
+    found = stored(spark, _gathered(_blocked(sets, "grp", "size", "exact", BLOCK), "grp").applyInPandas(exact, shape), "jaccard-links")
     counts = found.groupBy(F.col("rep").alias("r1")).agg(F.sum("links").alias("links"))
     final = components(spark, found.where("rep <> root").select("rep", "root"), "rep", "root")
     named = classes.select("h1", "h2", "rep", "n").join(counts, F.col("rep") == F.col("r1"), "left").join(final, F.col("rep") == F.col("node"), "left")
