@@ -37,9 +37,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it: none to three rows. A document without words is never taken."""
-    copies = mixing.mix_sources(spark, docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies").dropDuplicates(["_id"])
-    taken = docs.join(copies, F.col("doc_id") == F.col("_id"))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    copies = mixing.mix_sources(spark, docs).where("copies > 0").select(F.col("doc_id").alias("__sapwood_id"), F.col("copies").alias("__sapwood_copies")).dropDuplicates(["__sapwood_id"])
+    taken = docs.join(copies, F.col("doc_id") == F.col("__sapwood_id"))
+    return taken.withColumn("__sapwood_copy", F.explode(F.sequence(F.lit(1), F.col("__sapwood_copies").cast("int")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     fine = F.col("_label").isNotNull() & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0)
     rows = stored(spark, rows.withColumn("_ok", F.coalesce(fine, F.lit(False))), "vectors")
     classes = rows.where("_ok").groupBy("_label", "_v").agg(F.min("_id").alias("rep"), F.count("*").alias("n"))
-    classes = stored(spark, classes, "vector-classes")
+    classes = stored(spark, classes.where("rep is not null"), "vector-classes")
 
     dims = classes.groupBy(F.size("_v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = dims["dim"] if dims else 0
@@ -121,7 +121,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     named = classes.select("_label", "_v", "rep", "n").join(counts.withColumnRenamed("rep", "r1"), F.col("rep") == F.col("r1"), "left").join(roots, F.col("rep") == F.col("node"), "left")
     named = named.select(F.col("_label").alias("l"), F.col("_v").alias("v"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     named = stored(spark, named, "vector-names")
-    good = rows.where("_ok").join(named, (F.col("_label") == F.col("l")) & (F.col("_v") == F.col("v"))).select("_id", "n_links", "component_id")
+    good = rows.where("_ok").join(named, (F.col("_label") == F.col("l")) & (F.col("_v") == F.col("v")), "left").select("_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "_id").alias("component_id"))
     out = good.unionByName(rows.where("not _ok").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id")))
     return out.select(F.col("_id").alias(key), "n_links", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -140,14 +140,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
 
     class_id is the smallest key with the same shingle set; component_id the smallest key reachable
     by links; n_links the number of other rows at the threshold or above, copies included. A text
-    without words (or null) is alone: no links. Rows that repeat a key count each. Only the key and
+    without words (or null) is alone: no links. Rows that repeat a key count each; rows without a key
+    count, but name no class. Only the key and
     ``text`` are read. Empty table: empty result.
     """
     texts = docs.select(F.col(key).alias("_id"), "text")
     id_type = dict(texts.dtypes)["_id"]
     signed = stored(spark, _signed(texts), "jaccard-signed")
-    classes = signed.where("sig is not null").groupBy("h1", "h2").agg(F.min(F.struct("_id", "sig")).alias("low"), F.count("*").alias("n"))
-    classes = stored(spark, classes.select("h1", "h2", F.col("low._id").alias("rep"), F.col("low.sig").alias("sig"), "n"), "jaccard-classes")
+    classes = signed.where("sig is not null").groupBy("h1", "h2").agg(F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "sig"))).alias("low"), F.count("*").alias("n"))
+    classes = stored(spark, classes.where("low is not null").select("h1", "h2", F.col("low._id").alias("rep"), F.col("low.sig").alias("sig"), "n"), "jaccard-classes")
 
     # chosen paths, level by level; only nodes that are too large go on
     roots = F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in range(RUNS)]))
@@ -221,8 +222,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     final = components(spark, found.where("rep <> root").select("rep", "root"), "rep", "root")
     named = classes.select("h1", "h2", "rep", "n").join(counts, F.col("rep") == F.col("r1"), "left").join(final, F.col("rep") == F.col("node"), "left")
     named = stored(spark, named.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "rep", F.coalesce("component", "rep").alias("component_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-names")
-    good = signed.where("sig is not null").select("_id", "h1", "h2").join(named, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
-    good = good.select("_id", F.col("rep").alias("class_id"), "component_id", "n_links")
+    good = signed.where("sig is not null").select("_id", "h1", "h2").join(named, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
+    good = good.select("_id", F.col("rep").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     alone = signed.where("sig is null").select("_id", F.col("_id").alias("class_id"), F.col("_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return good.unionByName(alone).withColumnRenamed("_id", key)
 
@@ -236,9 +237,17 @@ def _gathered(blocks: DataFrame, group: str):
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
-    """docs with one row of each component: the one with the smallest key (rows that repeat that key all stay)."""
-    gone = near_duplicates(spark, docs, threshold, key).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone"))
-    return docs.join(stored(spark, gone, "jaccard-gone"), F.col(key) == F.col("_gone"), "left_anti")
+    """docs with one row of each component: that with the smallest key, and of rows that repeat this key one.
+
+    Texts without words form no component; their rows stay. Null keys stay.
+    """
+    gone = near_duplicates(spark, docs, threshold, key).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__sapwood_gone")).distinct()
+    left = docs.join(stored(spark, gone, "jaccard-gone"), F.col(key) == F.col("__sapwood_gone"), "left_anti")
+    again = stored(spark, docs.groupBy(F.col(key).alias("__sapwood_again")).count().where("count > 1 and __sapwood_again is not null").select("__sapwood_again"), "jaccard-again")
+    if not again.take(1):
+        return left
+    once = left.join(again, F.col(key) == F.col("__sapwood_again"), "left_semi").dropDuplicates([key])
+    return left.join(again, F.col(key) == F.col("__sapwood_again"), "left_anti").unionByName(once)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
