@@ -61,7 +61,9 @@ def by_metadata(docs: DataFrame, meta: Selector, rows: Selector, content: str =
     columns = F.try_variant_get("v", json_path(meta.steps), "array<struct<title:string,path:array<string>>>")
     path = lambda c: F.concat(F.lit("$"), F.array_join(F.transform(c["path"], lambda s: F.concat(F.lit("['"), s, F.lit("']"))), ""))
     inner = json_path(rows.steps[:-1])
-    found = parsed.select(key, F.transform(columns, lambda c: c["title"]).alias("labels"), F.transform(columns, path).alias("paths"), F.posexplode(F.try_variant_get("v", inner, "array<variant>")).alias("row_no", "row"))
+    # labels and paths are made before the rows are spread, or every row would carry its whole document
+    found = parsed.select(key, F.transform(columns, lambda c: c["title"]).alias("labels"), F.transform(columns, path).alias("paths"), F.try_variant_get("v", inner, "array<variant>").alias("rows"))
+    found = found.select(key, "labels", "paths", F.posexplode("rows").alias("row_no", "row"))
     return found.select(key, "row_no", "labels", F.expr("transform(paths, p -> try_variant_get(row, p, 'string'))").alias("cells"))
 
 

@@ -39,7 +39,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _order_nodes(spark, d):
-    return nodes(order_documents(spark, d), format="json")
+    # decoding is bound by CPU, not by bytes, by which adaptive execution would gather these few megabytes into one task
+    return nodes(order_documents(spark, d).repartition(spark.sparkContext.defaultParallelism), format="json")
 
 
 def table_metadata_exact(spark, d):
