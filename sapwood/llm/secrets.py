@@ -2,7 +2,7 @@
 
 The text itself is layer 0. From every layer, percent escapes, Unicode and character escapes,
 base64 runs and compressed bytes inside base64 are undone into further layers until none is new
-(texts already seen end a cycle). Every character of a layer knows the span of the original text
+(a text already seen at the same place ends a cycle; at another place it is scanned again). Every character of a layer knows the span of the original text
 that it comes from, so what a scan finds there is reported as a span of the original text.
 """
 
@@ -156,20 +156,31 @@ def layers(text: str, spans=None):
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span], int]:
-    """(base spans, all spans, layers seen). Spans are sorted by start, then kind as listed, then end; each once."""
+    """(base spans, all spans, distinct texts seen). Spans are sorted by start, then kind as listed, then end; each once.
+
+    A text is scanned once for each place of the original that it comes from. Where a part of that
+    place gives the same text already (an encoded run that goes on after an escape), the whole place counts.
+    """
     text = text or ""
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=order)
-    every, seen, work = set(base), {text}, [(text, None)]
+    found, done, work = {text: [(0, len(text), base)]}, set(), [(text, None)]
     while work:
         layer, spans = work.pop()
-        if spans is not None:
-            every.update((k, spans[a][0], spans[b - 1][1]) for k, a, b in base_spans(layer))
         for below, where in layers(layer, spans):
-            if below not in seen:
-                seen.add(below)
+            if below and (place := (below, tuple(where))) not in done:
+                done.add(place)
+                inside = [(k, where[a][0], where[b - 1][1]) for k, a, b in base_spans(below)]
+                found.setdefault(below, []).append((where[0][0], where[-1][1], inside))
                 work.append((below, where))
-    return base, sorted(every, key=order), len(seen)
+    every = set(base)
+    for of_text in found.values():
+        reach = low = -1
+        for start, end, spans in sorted(of_text, key=lambda f: (f[0], -f[1])):
+            if end > reach or (start, end) == (low, reach):
+                low, reach = start, end
+                every.update(spans)
+    return base, sorted(every, key=order), len(found)
 
 
 def said(spans: list[Span]) -> str:

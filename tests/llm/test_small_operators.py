@@ -90,6 +90,19 @@ def test_secrets_in_wrapped_layers_map_to_the_original(wrap):
     assert set(base) <= set(every)
 
 
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress])
+def test_secrets_repeated_in_one_text_are_each_found(spark, pack):
+    run = base64.b64encode(pack(SECRET.encode())).decode()
+    text = f"first {run}\nagain {run}\n"
+    starts = [m.start() for m in re.finditer(re.escape(run), text)]
+    spans = [s for s in secrets.find(text)[1] if s[0] == "assign"]
+    assert len(spans) == 2 and all(at <= a < b <= at + len(run) for at, (_, a, b) in zip(starts, spans, strict=True))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    clean = secrets.redact(docs)
+    assert clean.first()["text"].count("[secret]") == 2
+    assert secrets.scan(clean).first()["secrets"]["spans"] == ""
+
+
 def test_secrets_end_on_cycles_bombs_and_broken_layers():
     bomb = base64.b64encode(gzip.compress(b"a" * (secrets.LAYER_BYTES + 10))).decode()
     for text in ["%25" * 50, "%zz %4", "\\u00e9\\ud800", bomb, "A" * 5000, "&#99999999;", base64.b64encode(b"\x1f\x8bnot gzip at all, really").decode(), None, ""]:
