@@ -1,10 +1,13 @@
 """Mixing, secrets, licences, packing, embeddings and the classifiers on small fixtures."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import math
 import random
 import re
+import textwrap
 import urllib.parse
 import zlib
 
@@ -90,6 +93,34 @@ def test_secrets_in_wrapped_layers_map_to_the_original(wrap):
     assert set(base) <= set(every)
 
 
+NOISE = " ".join(f"{i * 7919 % 10007:05d}," for i in range(300))
+LARGE = "".join(f"{i * 2654435761 % 2**32}: one line of many\n" for i in range(600_000))
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        lambda s: base64.b64encode(gzip.compress(gzip.compress(s))).decode(),
+        lambda s: base64.b64encode(bz2.compress(zlib.compress(s))).decode(),
+        lambda s: base64.b64encode(gzip.compress(b"some text before ") + gzip.compress(s)).decode(),
+        lambda s: base64.b64encode(bz2.compress(b"some text before ") + bz2.compress(s)).decode(),
+        lambda s: base64.b64encode(lzma.compress(b"some text before ") + lzma.compress(s)).decode(),
+        lambda s: "\n".join(textwrap.wrap(base64.b64encode(gzip.compress(NOISE.encode() + s)).decode(), 76)),
+        lambda s: "-----BEGIN X-----\n" + "\n".join(textwrap.wrap(base64.b64encode(b"x" * 38 + b" " + s).decode(), 64)) + "\n-----END X-----",
+        lambda s: "example/" + base64.b64encode(s).decode(),
+        lambda s: "data_" + base64.b64encode(s).decode(),
+        lambda s: "a/b_c-" + base64.b64encode(zlib.compress(s)).decode(),
+        lambda s: base64.b64encode(gzip.compress(LARGE.encode() + s)).decode(),
+    ],
+)
+def test_secrets_are_unpacked_to_the_end(wrap):
+    assert len(LARGE) > secrets.LAYER_BYTES
+    inner = wrap(SECRET.encode())
+    found = [s for s in secrets.find("Été " + inner + " end")[1] if s[0] == "assign"]
+    assert found and all(4 <= a < b <= 4 + len(inner) for _, a, b in found)
+    assert max(b - a for _, a, b in found) >= 28
+
+
 @pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress])
 def test_secrets_repeated_in_one_text_are_each_found(spark, pack):
     run = base64.b64encode(pack(SECRET.encode())).decode()
