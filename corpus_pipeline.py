@@ -25,7 +25,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id. Repeated ids: one row stays."""
+    """One document of each group of near copies stays: that with the smallest id. Ids repeated in a group: one row stays."""
     return jaccard_join.keep_one(spark, docs)
 
 
@@ -37,9 +37,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it: none to three rows. A document without words is never taken."""
-    copies = mixing.mix_sources(spark, docs).where("copies > 0").select(F.col("doc_id").alias("__sapwood_id"), F.col("copies").alias("__sapwood_copies")).dropDuplicates(["__sapwood_id"])
-    taken = docs.join(copies, F.col("doc_id") == F.col("__sapwood_id"))
-    return taken.withColumn("__sapwood_copy", F.explode(F.sequence(F.lit(1), F.col("__sapwood_copies").cast("int")))).select(*docs.columns)
+    taken = mixing.mix_sources(spark, docs, carry="row").where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ ALIKE = 0.55
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(_id, h1, h2, sig): two hashes of the shingle set and its signature; null where a text has no word."""
+    """(_row, _id, h1, h2, sig): two hashes of the shingle set and its signature; null where a text has no word."""
 
     def sign(batches):
         for p in batches:
@@ -45,9 +45,9 @@ def _signed(docs: DataFrame) -> DataFrame:
             with np.errstate(over="ignore"):
                 h1 = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if ok else None for s, ok in zip(sets, has, strict=True)]
                 h2 = [int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).astype(np.int64)) if ok else None for s, ok in zip(sets, has, strict=True)]
-            yield pd.DataFrame({"_id": p["_id"], "h1": pd.array(h1, "Int64"), "h2": pd.array(h2, "Int64"), "sig": [next(sig).tobytes() if ok else None for ok in has]})
+            yield pd.DataFrame({"_row": p["_row"], "_id": p["_id"], "h1": pd.array(h1, "Int64"), "h2": pd.array(h2, "Int64"), "sig": [next(sig).tobytes() if ok else None for ok in has]})
 
-    return docs.mapInPandas(sign, f"_id {dict(docs.dtypes)['_id']}, h1 long, h2 long, sig binary")
+    return docs.mapInPandas(sign, f"_row long, _id {dict(docs.dtypes)['_id']}, h1 long, h2 long, sig binary")
 
 
 def _children(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
@@ -62,7 +62,7 @@ def _children(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def _split(rows: DataFrame, id_type: str) -> DataFrame:
+def _split(rows: DataFrame) -> DataFrame:
     """(parent, node, rep) one level below rows (node, rep, sig)."""
 
     def split(batches):
@@ -73,7 +73,7 @@ def _split(rows: DataFrame, id_type: str) -> DataFrame:
                 for k in range(BRANCHES):
                     yield pd.DataFrame({"parent": p["node"], "node": below[:, k], "rep": p["rep"]})
 
-    return rows.mapInPandas(split, f"parent long, node long, rep {id_type}")
+    return rows.mapInPandas(split, "parent long, node long, rep long")
 
 
 def _blocked(rows: DataFrame, group: str, size: str, tag: str, block: int, half: bool = False) -> DataFrame:
@@ -140,15 +140,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
 
     class_id is the smallest key with the same shingle set; component_id the smallest key reachable
     by links; n_links the number of other rows at the threshold or above, copies included. A text
-    without words (or null) is alone: no links. Rows that repeat a key count each; rows without a key
-    count, but name no class. Only the key and
-    ``text`` are read. Empty table: empty result.
+    without words (or null) is alone: no links. Rows that repeat a key count each, with a text of
+    their own each; rows without a key count, but name nothing: an id is null where no row has a key.
+    Only the key and ``text`` are read. Empty table: empty result.
     """
-    texts = docs.select(F.col(key).alias("_id"), "text")
-    id_type = dict(texts.dtypes)["_id"]
+    rows = docs.select(F.col(key).alias("_id"), "text").withColumn("_row", F.monotonically_increasing_id())
+    return _linked(spark, stored(spark, rows, "jaccard-rows"), threshold).select(F.col("_id").alias(key), "class_id", F.col("low._id").alias("component_id"), "n_links")
+
+
+def _linked(spark: SparkSession, texts: DataFrame, threshold: float) -> DataFrame:
+    """_row, _id, class_id, low, n_links for rows (_row, _id, text) with a stable unique _row. low is the
+    (_id, _row) of the component's smallest key. Within the join, a class is named by its smallest _row."""
     signed = stored(spark, _signed(texts), "jaccard-signed")
-    classes = signed.where("sig is not null").groupBy("h1", "h2").agg(F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "sig"))).alias("low"), F.count("*").alias("n"))
-    classes = stored(spark, classes.where("low is not null").select("h1", "h2", F.col("low._id").alias("rep"), F.col("low.sig").alias("sig"), "n"), "jaccard-classes")
+    keyed = F.when(F.col("_id").isNotNull(), F.struct("_id", "_row"))
+    classes = signed.where("sig is not null").groupBy("h1", "h2").agg(F.min(F.struct("_row", "sig")).alias("low"), F.min(keyed).alias("keyed"), F.count("*").alias("n"))
+    classes = stored(spark, classes.select("h1", "h2", F.col("low._row").alias("rep"), F.col("low.sig").alias("sig"), "keyed", "n"), "jaccard-classes")
 
     # chosen paths, level by level; only nodes that are too large go on
     roots = F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in range(RUNS)]))
@@ -156,7 +162,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     rows, leaves = classes.select(roots.alias("node"), "rep", "sig"), []
     parents = None
     for depth in range(1, DEPTH + 1):
-        below = stored(spark, _split(rows, id_type), f"jaccard-level{depth}")
+        below = stored(spark, _split(rows), f"jaccard-level{depth}")
         counts = below.groupBy("node", "parent").agg(F.count("*").alias("size")).where("size > 1")
         if parents is not None:
             counts = counts.join(parents.select(F.col("p_node"), F.col("p_size")), F.col("parent") == F.col("p_node")).withColumn("stop", F.col("size") > HARDLY * F.col("p_size"))
@@ -187,7 +193,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
 
         return _compare(p, "node", linked)
 
-    shape = f"rep {id_type}, links long, root {id_type}"
+    shape = "rep long, links long, root long"
     pairs = _gathered(_blocked(leaf, "node", "size", "leaf", SIGNED_BLOCK, half=True), "node").applyInPandas(alike, shape)
     groups = components(spark, pairs.where("rep <> root").select("rep", "root"), "rep", "root")
     groups = stored(spark, groups, "jaccard-groups")
@@ -196,7 +202,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     sizes = stored(spark, groups.groupBy("component").agg(F.count("*").alias("size")), "jaccard-sizes")
     member = groups.join(sizes.withColumnRenamed("component", "c"), F.col("component") == F.col("c")).join(classes.select(F.col("rep").alias("r"), "n"), F.col("node") == F.col("r"))
     member = stored(spark, member.select(F.col("node").alias("rep"), F.col("component").alias("grp"), "size", "n"), "jaccard-members")
-    one = texts.join(member.hint("merge"), F.col("_id") == F.col("rep")).select("rep", "grp", "size", "n", "text")
+    one = texts.join(member.hint("merge"), F.col("_row") == F.col("rep")).select("rep", "grp", "size", "n", "text")
 
     def as_sets(batches):
         for p in batches:
@@ -204,7 +210,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
             out["set"] = [s.tobytes() for s in shingle_sets(p["text"].tolist())]
             yield out
 
-    sets = one.mapInPandas(as_sets, f"rep {id_type}, grp {id_type}, size long, n long, set binary").dropDuplicates(["rep"])
+    sets = one.mapInPandas(as_sets, "rep long, grp long, size long, n long, set binary")
     sets = stored(spark, sets, "jaccard-sets")
 
     def exact(p: pd.DataFrame) -> pd.DataFrame:
@@ -220,12 +226,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     found = stored(spark, _gathered(_blocked(sets, "grp", "size", "exact", BLOCK), "grp").applyInPandas(exact, shape), "jaccard-links")
     counts = found.groupBy(F.col("rep").alias("r1")).agg(F.sum("links").alias("links"))
     final = components(spark, found.where("rep <> root").select("rep", "root"), "rep", "root")
-    named = classes.select("h1", "h2", "rep", "n").join(counts, F.col("rep") == F.col("r1"), "left").join(final, F.col("rep") == F.col("node"), "left")
-    named = stored(spark, named.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "rep", F.coalesce("component", "rep").alias("component_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-names")
-    good = signed.where("sig is not null").select("_id", "h1", "h2").join(named, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
-    good = good.select("_id", F.col("rep").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    alone = signed.where("sig is null").select("_id", F.col("_id").alias("class_id"), F.col("_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return good.unionByName(alone).withColumnRenamed("_id", key)
+    named = classes.select("h1", "h2", "rep", "keyed", "n").join(counts, F.col("rep") == F.col("r1"), "left").join(final, F.col("rep") == F.col("node"), "left")
+    named = stored(spark, named.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "keyed", "component", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-names")
+    lows = stored(spark, named.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("keyed").alias("low")), "jaccard-lows")
+    named = named.join(lows, F.col("component") == F.col("c"), "left").select("k1", "k2", F.col("keyed._id").alias("class_id"), F.coalesce("low", "keyed").alias("low"), "n_links")
+    named = stored(spark, named, "jaccard-names")
+    good = signed.where("sig is not null").select("_row", "_id", "h1", "h2").join(named, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
+    alone = signed.where("sig is null").select("_row", "_id", F.col("_id").alias("class_id"), F.struct("_id", "_row").alias("low"), F.lit(0).cast("long").alias("n_links"))
+    return good.select("_row", "_id", "class_id", "low", "n_links").unionByName(alone)
 
 
 def _gathered(blocks: DataFrame, group: str):
@@ -237,17 +245,15 @@ def _gathered(blocks: DataFrame, group: str):
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
-    """docs with one row of each component: that with the smallest key, and of rows that repeat this key one.
+    """docs with one row of each component: that with the smallest key, and of rows of it that repeat this key one.
 
-    Texts without words form no component; their rows stay. Null keys stay.
+    Texts without words form no component; their rows stay. Null keys stay. A key repeated in other
+    components is kept or dropped there by itself.
     """
-    gone = near_duplicates(spark, docs, threshold, key).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__sapwood_gone")).distinct()
-    left = docs.join(stored(spark, gone, "jaccard-gone"), F.col(key) == F.col("__sapwood_gone"), "left_anti")
-    again = stored(spark, docs.groupBy(F.col(key).alias("__sapwood_again")).count().where("count > 1 and __sapwood_again is not null").select("__sapwood_again"), "jaccard-again")
-    if not again.take(1):
-        return left
-    once = left.join(again, F.col(key) == F.col("__sapwood_again"), "left_semi").dropDuplicates([key])
-    return left.join(again, F.col(key) == F.col("__sapwood_again"), "left_anti").unionByName(once)
+    rows = stored(spark, docs.withColumn("__sapwood_row", F.monotonically_increasing_id()), "jaccard-rows")
+    linked = _linked(spark, rows.select(F.col("__sapwood_row").alias("_row"), F.col(key).alias("_id"), "text"), threshold)
+    gone = stored(spark, linked.where("_id is not null and _row <> low._row").select("_row"), "jaccard-gone")
+    return rows.join(gone, F.col("__sapwood_row") == F.col("_row"), "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,18 +56,18 @@ def default_weights(sizes: DataFrame) -> DataFrame:
     return sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", by_rank)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, weights=default_weights, key: str = "doc_id", most: float = MOST) -> DataFrame:
-    """One row per row of docs: key, source, size, source_size, target, copies.
+def mix_sources(spark: SparkSession, docs: DataFrame, weights=default_weights, key: str = "doc_id", most: float = MOST, carry: str | None = None) -> DataFrame:
+    """One row per row of docs: key, source, size, source_size, target, copies; with carry, a struct of that name with the row itself.
 
     docs needs the key, ``text`` and ``source``; other columns are ignored, whatever their names.
-    Null or blank text: size 0. Null source: a source of its own. Rows that repeat a key share its
+    Null or blank text: size 0. Null source: a source of its own. Rows that repeat a key, or have none, share its
     hash, so they are taken alike. Empty table: empty result. A taken row is taken whole; a
     source's words differ from its target by half of one boundary row (a hash cell) at most.
     """
-    sizes = docs.select(F.col(key).alias("_key"), F.col("source"), word_count(F.col("text")).alias("size"))
+    sizes = docs.select(F.col(key).alias("_key"), F.col("source"), word_count(F.col("text")).alias("size"), *([F.struct("*").alias("_carried")] if carry else []))
     sizes = sizes.withColumn("_hash", F.xxhash64(F.lit(77), F.col("_key").cast("string")))
     sizes = stored(spark, sizes, "mix-sizes")
-    plan = targets(weights(sizes), most)
+    plan = targets(weights(sizes.drop("_carried")), most)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("_passes", passes).withColumn("_rest", F.col("target") - F.col("_passes") * F.col("source_size"))
     plan = stored(spark, plan.coalesce(1), "mix-plan")
@@ -76,7 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights=default_weights, k
     bound = plan.select("source", F.lit(0).cast("long").alias("_prefix"), F.col("_rest"))
     for level in range(1, LEVELS + 1):
         shift = 64 - BITS * level
-        rows = sizes.where("size > 0").withColumn("_bucket", unsigned(shift))
+        rows = sizes.drop("_carried").where("size > 0").withColumn("_bucket", unsigned(shift))
         if level > 1:  # only the boundary bucket is refined
             rows = rows.withColumn("_above", unsigned(shift + BITS)).join(small(bound.withColumnsRenamed({"source": "_s"})), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_above") == F.col("_prefix")))
         sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words")).alias("h")
@@ -94,7 +94,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights=default_weights, k
     out = sizes.join(small(plan), F.col("source").eqNullSafe(F.col("_s")))
     extra = F.when((F.col("size") > 0) & (unsigned(shift) < F.col("_below")) & (F.col("_passes") < F.lit(most)), 1).otherwise(0)
     copies = F.when(F.col("source_size") > 0, F.col("_passes") + extra).otherwise(0).cast("long")
-    return out.select(F.col("_key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"))
+    return out.select(F.col("_key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), *([F.col("_carried").alias(carry)] if carry else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,3 +34,12 @@ def test_run_and_empty_documents(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_mix_keeps_rows_without_an_id(spark):
+    rows = [(None, f"some words of row {i}", "a") for i in range(5)] + [(1, "one text", "a"), (1, "another text of it", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = mixing.mix_sources(spark, docs).agg({"copies": "sum"}).first()[0]
+    mixed = corpus_pipeline.mix(spark, docs, SF)
+    assert mixed.columns == docs.columns
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, docs.collect())) and copies == 7
