@@ -11,6 +11,7 @@ import csv
 import io
 import json
 import re
+import sys
 import xml.etree.ElementTree as ET
 
 import pandas as pd
@@ -76,8 +77,20 @@ def _jsonc(text: str, lexemes: bool):
 
 
 def _csv(text: str, lexemes: bool):
+    """A row's cells by the header's names; missing cells give no member, a cell beyond the header
+    is named by its column's number from 1 (with underscores before it where the header has that name).
+    Long cells are left to the limits."""
+    csv.field_size_limit(sys.maxsize)
     rows = [r for r in csv.reader(io.StringIO(text, newline=""), strict=True) if r]
-    return [Pairs(zip(rows[0], r, strict=False)) for r in rows[1:]] if rows else []
+    names = list(rows[0]) if rows else []
+    taken = set(names)
+    for n in range(len(names) + 1, max(map(len, rows), default=0) + 1):
+        name = str(n)
+        while name in taken:
+            name = f"_{name}"
+        names.append(name)
+        taken.add(name)
+    return [Pairs(zip(names, r, strict=False)) for r in rows[1:]]
 
 
 def _toml(text: str, lexemes: bool):

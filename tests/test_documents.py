@@ -69,3 +69,10 @@ def test_formats_agree_on_shapes(spark):
     docs = spark.createDataFrame([(i, f, t) for i, (f, t, _) in enumerate(rows)], "doc_id long, format string, content string")
     got = {r["doc_id"]: r["text"] for r in values.json_text(nodes(docs)).collect()}
     assert got == {i: t for i, (_, _, t) in enumerate(rows)}
+
+
+def test_csv_cells_beyond_the_header_and_of_any_length(spark):
+    long = "x" * 200_000
+    docs = spark.createDataFrame([(1, f"a,b\n1,{long}\n2\n"), (2, "a,3\n1,2,3,4\n")], "doc_id long, content string")
+    got = {r["doc_id"]: r["text"] for r in values.json_text(nodes(docs, format="csv")).collect()}
+    assert got == {1: f'[{{"a":"1","b":"{long}"}},{{"a":"2"}}]', 2: '[{"a":"1","3":"2","_3":"3","4":"4"}]'}
