@@ -1,14 +1,11 @@
-"""Lossless WebP in Python and numpy: a decoder for the whole format, a decoder that takes many
-plain images at once, and an encoder of byte samples.
+"""Lossless WebP in Python and numpy: the parts of a file, and a decoder of one image.
 
-The format is that of RFC 9649. Pixels are 32-bit ARGB values.
+The format is that of RFC 9649. Pixels are 32-bit ARGB values. webp_batch.py decodes many images at
+once, webp_encode.py writes them.
 """
 
 from __future__ import annotations
 
-import heapq
-import struct
-
 import numpy as np
 
 # Fixed values of the format.
@@ -188,7 +185,20 @@ PREDICT = [
 ]
 
 
-def undo_predictor(pixels: list[int], width: int, height: int, cell: int, modes: list[int]) -> list[int]:
+def undo_predictor(pixels: np.ndarray, width: int, height: int, cell: int, modes: list[int]) -> np.ndarray:
+    """Pixels from what their predictions left. Images with one mode, left or top, are running sums."""
+    used = {m >> 8 & 15 for m in modes}
+    if used <= {1} or used <= {2}:
+        left = np.array(pixels, np.int64).astype("<u4").view(np.uint8).reshape(height, width, 4)
+        left[0, 0, 3:] -= 1  # the first pixel is predicted as opaque black
+        np.cumsum(left[0], axis=0, dtype=np.uint8, out=left[0])
+        if used <= {1}:
+            np.cumsum(left[:, 0], axis=0, dtype=np.uint8, out=left[:, 0])
+            np.cumsum(left[1:], axis=1, dtype=np.uint8, out=left[1:])
+        else:
+            np.cumsum(left, axis=0, dtype=np.uint8, out=left)
+        return left.reshape(-1).view("<u4").astype(np.int64)
+    pixels = [int(p) for p in pixels]
     out, across = list(pixels), _cells(width, cell)
     for i in range(width * height):
         y, x = divmod(i, width)
@@ -203,7 +213,7 @@ def undo_predictor(pixels: list[int], width: int, height: int, cell: int, modes:
             # the pixel right above the last column's is the first of this row
             guess = PREDICT[mode](out[i - 1], out[i - width], out[i - width + 1], out[i - width - 1]) if mode < 14 else 0xFF000000
         out[i] = _add(pixels[i], guess)
-    return out
+    return np.array(out, np.int64)
 
 
 def undo_cross_colour(pixels: np.ndarray, width: int, height: int, cell: int, factors: list[int]) -> np.ndarray:
@@ -231,7 +241,7 @@ def payload_of(data: bytes) -> bytes:
     raise Broken("no lossless image")
 
 
-def _header(bits: Bits) -> tuple[int, int]:
+def read_header(bits: Bits) -> tuple[int, int]:
     if bits.read(8) != 0x2F:
         raise Broken("wrong signature")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -241,10 +251,11 @@ def _header(bits: Bits) -> tuple[int, int]:
     return width, height
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The image's ARGB values (uint32, height x width)."""
-    bits = Bits(payload_of(data))
-    width, height = _header(bits)
+Transform = tuple[int, int, int, list[int]]
+
+
+def read_transforms(bits: Bits, width: int, height: int) -> tuple[list[Transform], int]:
+    """The transforms in the order of the file, each (kind, width, cell or packing bits, values), and the width of the stored pixels."""
     undo, seen, inner = [], set(), width
     while bits.read(1):
         kind = bits.read(2)
@@ -265,202 +276,32 @@ def decode(data: bytes) -> np.ndarray:
             packed = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
             undo.append((kind, inner, packed, palette))
             inner = _cells(inner, packed)
-    pixels = read_pixels(bits, inner, height, True)
+    return undo, inner
+
+
+def undo_transforms(pixels: np.ndarray, height: int, undo: list[Transform]) -> np.ndarray:
+    """The image's pixels (uint32, row by row) from the stored ones."""
     for kind, w, cell, extra in reversed(undo):
         if kind == 0:
-            pixels = undo_predictor([int(p) for p in pixels], w, height, cell, extra)
+            pixels = undo_predictor(pixels, w, height, cell, extra)
         elif kind == 1:
-            pixels = undo_cross_colour(np.array(pixels, np.int64), w, height, cell, extra)
+            pixels = undo_cross_colour(pixels, w, height, cell, extra)
         elif kind == 2:
-            p = np.array(pixels, np.int64)
+            p = pixels.astype(np.int64)
             g = p >> 8 & 255
             pixels = (p & 0xFF00FF00) | ((p >> 16 & 255) + g & 255) << 16 | ((p & 255) + g & 255)
         else:
-            p = (np.array(pixels, np.int64) >> 8 & 255).reshape(height, -1)
+            p = (pixels.astype(np.int64) >> 8 & 255).reshape(height, -1)
             x = np.arange(w)
             index = p[:, x >> cell] >> ((x & ((1 << cell) - 1)) * (8 >> cell)) & ((1 << (8 >> cell)) - 1)
             pixels = np.array(extra + [0] * (256 - len(extra)), np.int64)[index].ravel()
-    return np.array(pixels, np.int64).astype(np.uint32).reshape(height, width)
-
-
-# Encoder of byte samples: one byte a pixel, in the green channel.
-
-#: Longest code; the decoder of many images looks at so many bits at once.
-LONGEST = 11
-
-
-def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
-    """Lengths of a prefix code for the symbols that occur, none above ``longest``."""
-    lengths = np.zeros(len(counts), np.int64)
-    counts = counts.copy()
-    used = np.flatnonzero(counts)
-    if len(used) == 1:
-        lengths[used] = 1
-        return lengths
-    while True:
-        heap = [(int(counts[s]), int(s), None) for s in used]
-        heapq.heapify(heap)
-        tie = len(counts)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            heapq.heappush(heap, (a[0] + b[0], tie, (a, b)))
-            tie += 1
-        stack = [(heap[0], 0)]
-        while stack:
-            (_, s, below), depth = stack.pop()
-            if below is None:
-                lengths[s] = depth
-            else:
-                stack += [(below[0], depth + 1), (below[1], depth + 1)]
-        if lengths.max() <= longest:
-            return lengths
-        counts[used] = (counts[used] + 1) // 2 + int(counts[used].max()) // (1 << longest)  # flatter, and again
-
-
-_REVERSED = np.array([int(f"{i:0{LONGEST}b}"[::-1], 2) for i in range(1 << LONGEST)])
-
-
-def codes(lengths: np.ndarray) -> np.ndarray:
-    """Canonical codes, bits reversed as they are written."""
-    out, used = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths)
-    order = used[np.argsort(lengths[used], kind="stable")]
-    n = lengths[order]
-    begin = np.concatenate([[0], np.cumsum(1 << (LONGEST - n))[:-1]])  # as LONGEST bits
-    out[order] = _REVERSED[begin]
-    return out
-
-
-def _code_bits(lengths: np.ndarray) -> str:
-    """A code's description, bit by bit in writing order."""
-    put = lambda v, n: "".join(str(v >> i & 1) for i in range(n))
-    used = np.flatnonzero(lengths)
-    if len(used) == 1:
-        s = int(used[0])
-        return "1" + "0" + ("0" + put(s, 1) if s < 2 else "1" + put(s, 8))
-    # lengths 0..LONGEST are all written in four bits: sixteen code lengths of length 4
-    return "0" + put(15, 4) + "".join(put(4 if LENGTH_ORDER[i] < 16 else 0, 3) for i in range(19)) + "0" + "".join(_FOUR[n] for n in lengths)
-
-
-_FOUR = [f"{n:04b}" for n in range(16)]
-
-
-def dimensions(n: int) -> tuple[int, int]:
-    """Width and height for n samples: 64 wide while the height allows it."""
-    width = 64 if n <= 64 * SIDE else SIDE
-    height = -(-n // width)
-    if height > SIDE:
-        raise ValueError("more samples than an image holds")
-    return width, height
+    return pixels.astype(np.uint32)
 
 
-def encode(samples: bytes) -> bytes:
-    """A lossless WebP file whose green channel holds the samples, row by row, then zeros."""
-    width, height = dimensions(len(samples))
-    data = np.frombuffer(samples + b"\0" * (width * height - len(samples)), np.uint8)
-    lengths = code_lengths(np.bincount(data, minlength=280))
-    head = "".join(f"{v:0{n}b}"[::-1] for v, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)))
-    head += "0" + "0" + "0"  # no transform, no colour cache, one group of codes
-    head += _code_bits(lengths) + "1000" + "1000" + "101" + "11111111" + "1000"
-    carry = np.frombuffer(head.encode(), np.uint8) - 48
-    parts, code = [], codes(lengths).astype(np.uint16)
-    if (lengths > 0).sum() > 1:
-        size = lengths.astype(np.int64)
-        for a in range(0, len(data), 1 << 16):
-            block = data[a : a + (1 << 16)]
-            n = size[block]
-            ends = np.cumsum(n)
-            place = np.arange(ends[-1]) - np.repeat(ends - n, n)
-            carry = np.concatenate([carry, (np.repeat(code[block], n) >> place.astype(np.uint16) & 1).astype(np.uint8)])
-            full = len(carry) & ~7
-            parts.append(np.packbits(carry[:full], bitorder="little").tobytes())
-            carry = carry[full:]
-    body = b"".join([*parts, np.packbits(carry, bitorder="little").tobytes()])
-    chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
-    return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
-
-
-# Many plain images at once: no transform, no cache, one group, colour in green alone.
-
-#: Bits of a stretch that is decoded on its own.
-STRETCH = 1024
-
-
-def _plain_start(data: bytes):
-    """(chunk, width, height, green lengths, first bit of the pixels, ARGB of the other channels), or None."""
+def decode(data: bytes) -> np.ndarray:
+    """The image's ARGB values (uint32, height x width)."""
     bits = Bits(payload_of(data))
-    width, height = _header(bits)
-    if bits.read(3):
-        return None
-    lengths = np.array(read_lengths(bits, 280))
-    rest = [np.array(read_lengths(bits, n)) for n in (256, 256, 256, 40)]
-    if lengths.max() > LONGEST or any((r > 0).sum() != 1 for r in rest[:3]) or lengths[256:].any():
-        return None
-    r, b, a = (int(np.flatnonzero(r)[0]) for r in rest[:3])
-    return bits.data, width, height, lengths, bits.at, a << 24 | r << 16 | b
-
-
-def decode_samples(files: list[bytes]) -> list[np.ndarray]:
-    """The green channel of every image. Plain images are decoded together: each bit stream is parted
-    into stretches that are all decoded at the same time from a guessed start; a stretch begins
-    where the one before it ends, and is decoded again until that has settled. Others go one by one."""
-    out: list = [None] * len(files)
-    plain = []
-    for i, f in enumerate(files):
-        if (got := _plain_start(f)) is None:
-            out[i] = (decode(f) >> 8 & 255).astype(np.uint8).ravel()
-        elif (got[3] > 0).sum() == 1:
-            out[i] = np.full(got[1] * got[2], np.flatnonzero(got[3])[0], np.uint8)
-        else:
-            plain.append((i, got))
-    if not plain:
-        return out
-    pad, at, blobs, table, starts, ends, image, firsts = b"\0" * 8, 0, [], [], [], [], [], []
-    for k, (_, (chunk, _, _, lengths, begin, _)) in enumerate(plain):
-        used = np.flatnonzero(lengths)
-        order = used[np.argsort(lengths[used], kind="stable")]
-        if (1 << (LONGEST - lengths[order])).sum() != 1 << LONGEST:
-            raise Broken("a code that is not complete")
-        table.append(np.repeat(order | lengths[order] << 8, 1 << (LONGEST - lengths[order]))[_REVERSED].astype(np.uint16))
-        cut = np.arange(begin, 8 * len(chunk), STRETCH) + 8 * at
-        firsts.append(sum(map(len, starts)))
-        starts.append(cut)
-        ends.append(np.append(cut[1:], 8 * (at + len(chunk))))
-        image.append(np.full(len(cut), k))
-        blobs += [chunk, pad]
-        at += len(chunk) + len(pad)
-    raw = np.frombuffer(b"".join(blobs) + pad, np.uint8).astype(np.uint32)
-    window = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
-    table, start, end, image = np.concatenate(table), np.concatenate(starts), np.concatenate(ends), np.concatenate(image)
-    symbols, count, leave = np.zeros((len(start), STRETCH + 1), np.uint8), np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-    first = np.zeros(len(start), bool)
-    first[firsts] = True
-    enter, todo = start.copy(), np.arange(len(start))
-    while len(todo):
-        pos, base, live, step = enter[todo], image[todo] << LONGEST, todo, 0
-        stop = end[todo]
-        count[todo] = 0
-        done = pos >= stop
-        while True:
-            if done.any():
-                leave[live[done]] = pos[done]
-                count[live[done]] = step
-                going = ~done
-                pos, base, live, stop = pos[going], base[going], live[going], stop[going]
-            if not len(live):
-                break
-            entry = table[base + (window[pos >> 3] >> (pos & 7).astype(np.uint32) & np.uint32((1 << LONGEST) - 1))]
-            symbols[live, step] = entry & 255
-            pos = pos + (entry >> 8)
-            step += 1
-            done = pos >= stop
-        should = np.where(first, start, np.concatenate([[0], leave[:-1]]))
-        todo = np.flatnonzero(should != enter)
-        enter = should
-    for k, (i, (_, width, height, *_)) in enumerate(plain):
-        a, b = firsts[k], firsts[k + 1] if k + 1 < len(firsts) else len(start)
-        rows, n = symbols[a:b], count[a:b]
-        got = rows[np.arange(rows.shape[1]) < n[:, None]][: width * height]
-        if len(got) < width * height:
-            raise Broken("the bits end early")
-        out[i] = got
-    return out
+    width, height = read_header(bits)
+    undo, inner = read_transforms(bits, width, height)
+    pixels = np.array(read_pixels(bits, inner, height, True), np.int64)
+    return undo_transforms(pixels, height, undo).reshape(height, width)

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sapwood.llm import media, webp
+from sapwood.llm import media, webp, webp_batch, webp_encode
 
 
 class Writer:
@@ -137,6 +137,27 @@ class Writer:
         return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
 
+def read(file):
+    """The pixels of one file, which the decoder of many images must read alike."""
+    alone, (among,) = webp.decode(file), webp_batch.decode_many([file])
+    assert np.array_equal(alone, among)
+    return alone.ravel().tolist()
+
+
+def features(file):
+    """What a file is made of: transforms, cache, back-references."""
+    bits = webp.Bits(webp.payload_of(file))
+    width, height = webp.read_header(bits)
+    undo, inner = webp.read_transforms(bits, width, height)
+    found = {("predictor", "cross-colour", "green", "palette")[t[0]] for t in undo}
+    head = webp_batch._Head(file)
+    if head.cache:
+        found.add("cache")
+    if head.constant() is None and (webp_batch._tokens([head])[2] > 0).any():
+        found.add("back-reference")
+    return found
+
+
 def started(width, height):
     w = Writer()
     for v, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
@@ -164,7 +185,7 @@ def test_back_references_colour_cache_and_groups():
         w = started(width, height)
         w.put(0, 1)
         w.image(pixels, width, True, cache, groups, random.Random(seed))
-        assert webp.decode(w.file()).ravel().tolist() == pixels
+        assert read(w.file()) == pixels
 
 
 @pytest.mark.parametrize("mode", range(14))
@@ -184,7 +205,7 @@ def test_predictor(mode):
     w.image(modes, 3, False)
     w.put(0, 1)
     w.image(rest, width, True)
-    assert webp.decode(w.file()).ravel().tolist() == pixels
+    assert read(w.file()) == pixels
 
 
 def test_predictor_formulas_on_known_values():
@@ -216,7 +237,7 @@ def test_cross_colour_and_subtract_green():
     w.put(2, 2)
     w.put(0, 1)
     w.image(stored, width, True)
-    assert webp.decode(w.file()).ravel().tolist() == pixels
+    assert read(w.file()) == pixels
 
 
 @pytest.mark.parametrize("colours", [2, 3, 11, 60])
@@ -238,22 +259,71 @@ def test_palette(colours):
     w.image([minus(p, q) for p, q in zip(palette, [0, *palette], strict=False)], len(palette), False)
     w.put(0, 1)
     w.image(packed, inner, True)
-    assert webp.decode(w.file()).ravel().tolist() == pixels
+    assert read(w.file()) == pixels
 
 
-def test_samples_round_trip_alone_and_together():
+def payloads():
     rng = np.random.default_rng(4)
-    rows = [b"\0" * 64, b"ab" * 32, bytes(range(256)) * 3, rng.integers(0, 256, 64 * 300, dtype=np.uint8).tobytes(), ("Ünïcödé text " * 900).encode().ljust(64 * 300, b"\0"), bytes(int(x) for x in np.minimum(rng.geometric(0.3, 64 * 70), 255))]
-    files = [webp.encode(r) for r in rows]
-    assert [d.tobytes() for d in webp.decode_samples(files)] == rows
-    assert [(webp.decode(f) >> 8 & 255).astype(np.uint8).tobytes() for f in files] == rows
+    smooth = np.cumsum(rng.integers(-1, 2, (40, 64)), 0).astype(np.uint8)  # each row near the one above
+    green = rng.integers(0, 100, 1600).astype(np.int64)
+    tied = np.stack([np.full(1600, 9), green // 2, green, green // 4], 1)
+    return {
+        "zeros": b"\0" * 64, "few": b"ab" * 32, "steps": bytes(range(256)) * 3, "noise": rng.integers(0, 256, 64 * 300, dtype=np.uint8).tobytes(),
+        "lines": ("Ünïcödé text " * 900).encode().ljust(64 * 300, b"\0"), "skewed": bytes(int(x) for x in np.minimum(rng.geometric(0.3, 64 * 70), 255)),
+        "smooth": smooth.tobytes(), "tied": tied.astype(np.uint8).tobytes(), "long": bytes(rng.integers(97, 123, 400, dtype=np.uint8)) * 200, "one": b"x",
+    }
+
+
+def test_samples_round_trip_alone_and_together():
+    rows = [p.ljust(-(-len(p) // 64) * 64, b"\0") for p in payloads().values()]
+    files = webp_encode.encode_samples(rows)
+    assert [d.astype(">u4").tobytes() for d in webp_batch.decode_many(files)] == rows
+    assert [webp.decode(f).astype(">u4").tobytes() for f in files] == rows
+    assert webp_encode.encode_samples(rows[3:5]) == files[3:5]  # neighbours change nothing
+    assert webp_encode.encode_samples([]) == [] == webp_batch.decode_many([])
+
+
+def test_the_encoder_takes_what_pays():
+    names = list(payloads())
+    used = dict(zip(names, map(features, webp_encode.encode_samples(list(payloads().values()))), strict=True))
+    assert used["smooth"] >= {"predictor"} and used["tied"] & {"cross-colour", "green"} and used["few"] == {"palette"} and "back-reference" in used["long"]
+
+
+def test_features_of_the_tables_texts():
+    """Files of documents need back-references, the colour cache and palettes; all come from the encoder's own choice."""
+    import pandas as pd
+
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")["text"]
+    rows = [media.payload(t)[1] for t in texts]
+    files = webp_encode.encode_samples(rows)
+    count = {}
+    for f in files:
+        for name in features(f):
+            count[name] = count.get(name, 0) + 1
+    assert count["back-reference"] > len(rows) / 2 and count["cache"] > len(rows) / 2 and count["palette"] > 0
+    assert sum(map(len, files)) < 0.6 * sum(map(len, rows))
+    assert all(p.astype(">u4").tobytes() == r for p, r in zip(webp_batch.decode_many(files), rows, strict=True))
+
+
+def test_images_of_any_size_round_trip():
+    rng = random.Random(8)
+    images = [np.array(picture(w, h, n, w), np.uint32).reshape(h, w) for w, h, n in ((1, 1, 1), (7, 3, 2), (33, 21, 5), (50, 9, 40), (3, 200, 17), (600, 5, 300))]
+    images.append(np.array([rng.getrandbits(32) for _ in range(35)], np.uint32).reshape(5, 7))
+    for image, back in zip(images, webp_batch.decode_many(webp_encode.encode_images(images)), strict=True):
+        assert np.array_equal(image, back)
+
+
+def test_torn_files_say_so():
+    file = webp_encode.encode_samples([payloads()["noise"]])[0]
+    for n in (10, 30, 200, len(file) // 2, len(file) - 40):
+        assert isinstance(webp_batch.decode_many([file[:n]])[0], webp.Broken)
 
 
 def test_long_codes_are_cut():
     counts = np.zeros(280, np.int64)
     counts[:30] = [2**i for i in range(30)]
-    lengths = webp.code_lengths(counts)
-    assert lengths.max() <= webp.LONGEST and (1 / 2.0 ** lengths[lengths > 0]).sum() == 1
+    lengths = webp_encode.code_lengths(counts)
+    assert lengths.max() <= webp_encode.LONGEST and (1 / 2.0 ** lengths[lengths > 0]).sum() == 1
 
 
 def test_texts_and_broken_images(spark):
@@ -267,8 +337,8 @@ def test_texts_and_broken_images(spark):
         assert (m["n_bytes"], m["payload_bytes"], m["payload_sha256"], m["tail_crc32"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
         assert (m["media_bytes"], m["media_sha256"]) == (len(m["file"]), hashlib.sha256(bytes(m["file"])).hexdigest())
     assert got[4] == got[6]
-    bad = spark.createDataFrame([(1, b"nothing"), (2, None), (3, webp.encode(b"q" * 64)), (4, webp.encode(bytes(range(64)))[:60])], "id long, blob binary")
+    bad = spark.createDataFrame([(1, b"nothing"), (2, None), (3, webp_encode.encode_samples([b"q" * 64])[0]), (4, webp_encode.encode_samples([bytes(range(64))])[0][:60])], "id long, blob binary")
     seen = {r["id"]: r["image"] for r in media.decode_images(bad, "blob").collect()}
     assert seen[1]["error"] and seen[4]["error"] and not seen[2]["error"] and seen[2]["width"] is None
-    assert (seen[3]["width"], seen[3]["height"]) == (64, 1)
+    assert (seen[3]["width"], seen[3]["height"]) == (16, 1)
     assert media.decode_images(bad.limit(0), "blob").collect() == []
