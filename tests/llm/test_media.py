@@ -286,7 +286,7 @@ def test_samples_round_trip_alone_and_together():
 def test_the_encoder_takes_what_pays():
     names = list(payloads())
     used = dict(zip(names, map(features, webp_encode.encode_samples(list(payloads().values()))), strict=True))
-    assert used["smooth"] >= {"predictor"} and used["tied"] & {"cross-colour", "green"} and used["few"] == {"palette"} and "back-reference" in used["long"]
+    assert used["smooth"] >= {"predictor"} and used["tied"] & {"cross-colour", "green"} and used["few"] >= {"palette"} and "back-reference" in used["long"]
 
 
 def test_features_of_the_tables_texts():
