@@ -19,18 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a folder of this machine serves in
+    local mode; on a cluster that would lose tables without a word, so there it is an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     found = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: its lineage ends there,
-    so a lost executor costs no recomputation of what came before."""
-    path = f"{scratch_dir(spark).rstrip('/')}/sapwood/{what}-{uuid.uuid4().hex}"
+def written(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """df written once as Parquet and read again: its lineage ends there, so a lost executor costs no
+    recomputation of what came before."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")  # the written table stands for its shuffles, so their files can go
     try:
@@ -40,9 +42,15 @@ def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
+    """df written to a table of its own in the shared folder."""
+    return written(spark, df, f"{scratch_dir(spark).rstrip('/')}/sapwood/{what}-{uuid.uuid4().hex}")
+
+
 def drop_stored(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a table made by stored() that nothing reads any more."""
     jvm = spark.sparkContext._jvm
+    # a table without rows has no files to name it; its folder stays
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -55,7 +63,7 @@ def held_out(doc_id: Column) -> Column:
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it was counted to be small; otherwise as it is, and the join shuffles."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 _MUL, _INV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -1,21 +1,28 @@
 """Repeated byte strings by a logarithmic family of sparse suffix arrays.
 
 Only suffixes that begin at anchors (see anchors.py) are indexed; each 200-byte string holds one,
-at a place that its own bytes decide. A suffix array is a table of suffix classes in the order of
+at a place that its own bytes decide. A suffix array is a table of suffix classes, sorted by
 (fingerprint of the anchor's gram, fingerprint of its whole context): the WINDOW - 1 bytes before
-the anchor and the 200 from it on, which hold every 200-byte string that has this anchor. New
-batches of documents get such an array, which is merge-scanned against existing levels: classes
-that meet are added up. Equal-sized levels merge, so a class is rewritten once for each doubling.
+the anchor and the 200 from it on, which hold every 200-byte string that has this anchor. The order
+is that of fingerprints, not of bytes: it brings equal suffixes together, which is all that a match
+needs, and a row stays 24 bytes long.
+
+A batch of documents gets such an array, which is merge-scanned against every level of the index.
+The scan gives the batch's matches, in the batch itself and with all batches before it, and
+the levels that have the batch's size become one level of twice the size in the same pass. An index
+is a folder of tables and can be opened again for later batches.
 
 A class met twice is a long match: all its context goes. Classes that share only the gram may
 still share a 200-byte string near the edge of a passage; one context of each is then fetched and
 their 200-byte strings are compared by fingerprint, small groups within a task, large ones as
-rows that are pre-aggregated. Fingerprints have 64 bits, within a gram's group of 64 bits.
+rows that are pre-aggregated. Fingerprints have 64 bits, within a gram's group of 64 bits; a row is
+named by a 64-bit hash of its key and text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -23,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, LENGTH, WINDOW, anchors
-from .common import BYTE_VALUES, RangeHash, drop_stored, mix, stored, table
+from .common import BYTE_VALUES, RangeHash, drop_stored, mix, scratch_dir, stored, table, written
 
-#: Batches that a whole table is added in. Their number is fixed, so a batch grows with the table.
-BATCHES = 4
+#: Batches that one table is added in: the second merges with the first, the third is scanned against the level of both.
+BATCHES = 3
 #: Classes of one gram that a task compares itself.
 GROUP = 2048
 #: Rows of compared contexts that a task takes, about.
@@ -64,32 +71,69 @@ def _suffix_array(docs: DataFrame) -> DataFrame:
 
 
 class SuffixIndex:
-    """Levels of suffix arrays; level k holds 2**k batches, at most one array each."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.levels = spark, {}
+    """Levels of suffix arrays; level k holds 2**k batches, at most one array each.
 
-    def _merged(self, a: DataFrame, b: DataFrame) -> DataFrame:
-        both = a.unionByName(b).groupBy("gram", "context").agg(F.sum("n").alias("n")).sortWithinPartitions("gram", "context")
-        return stored(self.spark, both, "suffix-level")
+    folder: where the arrays and the list of levels are kept; an index found there goes on. None: a new
+    folder in the shared one. An array is (gram, context, n): how often a class occurs in its level.
+    """
 
-    def add(self, docs: DataFrame) -> None:
-        level, array = 0, stored(self.spark, _suffix_array(docs), "suffix-level")
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark = spark
+        self.folder = (folder or f"{scratch_dir(spark).rstrip('/')}/sapwood/suffix-index-{uuid.uuid4().hex}").rstrip("/")
+        self.version, self.levels = 0, {}
+        if folder and self._exists():
+            held = spark.read.schema("level int, path string, v int").parquet(f"{self.folder}/levels").collect()
+            self.version = max(r["v"] for r in held)
+            self.levels = {r["level"]: r["path"] for r in held if r["v"] == self.version and r["level"] >= 0}
+
+    def _exists(self) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/levels")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def _array(self, path: str) -> DataFrame:
+        return self.spark.read.schema("gram long, context long, n long").parquet(path)
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Takes a batch in; gives its matches: (gram, context, long, size), all classes, old and new, whose
+        gram the batch holds and that the index or the batch holds elsewhere too. long: the class itself
+        occurs twice or more; size: classes of this gram."""
+        new = stored(self.spark, _suffix_array(docs), "suffix-batch")
+        level = 0
         while level in self.levels:
-            old = self.levels.pop(level)
-            merged = self._merged(old, array)
-            drop_stored(self.spark, old)
-            drop_stored(self.spark, array)
-            array, level = merged, level + 1
-        self.levels[level] = array
-
-    def classes(self) -> DataFrame:
-        """All levels in one, for matches across them."""
-        level, array = None, None
-        for level in sorted(self.levels):
-            array = self.levels[level] if array is None else self._merged(array, self.levels[level])
-        self.levels = {level: array}
-        return array
+            level += 1
+        zero = F.lit(0).cast("long")
+        parts = [new.select("gram", "context", F.col("n").alias("new"), F.col("n").alias("own"), zero.alias("rest"))]
+        for at, path in self.levels.items():
+            n = F.col("n")
+            parts.append(self._array(path).select("gram", "context", zero.alias("new"), (n if at < level else zero).alias("own"), (zero if at < level else n).alias("rest")))
+        path = f"{self.folder}/array-{level}-{uuid.uuid4().hex}"
+        if len(parts) == 1:
+            scan = parts[0]
+            written(self.spark, new, path)
+        else:
+            both = parts[0]
+            for p in parts[1:]:
+                both = both.unionByName(p)
+            scan = both.groupBy("gram", "context").agg(*[F.sum(c).alias(c) for c in ("new", "own", "rest")]).sortWithinPartitions("gram", "context")
+            scan = stored(self.spark, scan, "suffix-scan")
+            written(self.spark, scan.where("own > 0").select("gram", "context", F.col("own").alias("n")), path)
+        n = F.col("own") + F.col("rest")
+        grams = scan.groupBy(F.col("gram").alias("g")).agg(F.sum("new").alias("mine"), F.sum(n).alias("total"), F.count("*").alias("size")).where("mine > 0 and total > 1").select("g", "size")
+        grams = stored(self.spark, grams, "suffix-grams")
+        met = scan.join(grams, F.col("gram") == F.col("g")).where((n > 1) | (F.col("size") > 1)).select("gram", "context", (n > 1).alias("long"), "size")
+        met = stored(self.spark, met, "suffix-met")
+        drop_stored(self.spark, grams)
+        drop_stored(self.spark, new)
+        if len(parts) > 1:
+            drop_stored(self.spark, scan)
+        merged = [p for at, p in self.levels.items() if at < level]
+        self.levels = {at: p for at, p in self.levels.items() if at > level} | {level: path}
+        self.version += 1
+        listed = self.spark.createDataFrame(list(self.levels.items()), "level int, path string").coalesce(1)
+        written(self.spark, listed, f"{self.folder}/levels/v={self.version}")  # from here on the batch is in
+        for p in merged:
+            drop_stored(self.spark, self._array(p))
+        return met
 
 
 def _window_matrix(p: pd.DataFrame) -> np.ndarray:
@@ -124,14 +168,19 @@ def _edges(p: pd.DataFrame) -> pd.DataFrame:
 def repeated_spans(spark: SparkSession, docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(r, spans array<struct<a,b>>) for rows r of docs (r, text): byte ranges that repeated strings cover, not yet merged or clipped."""
     index = SuffixIndex(spark)
-    for b in range(batches):
-        index.add(docs.where(F.pmod("r", F.lit(batches)) == b))
-    classes = index.classes()
-    grams = classes.groupBy(F.col("gram").alias("g")).agg(F.sum("n").alias("total"), F.count("*").alias("size")).where("total > 1")
-    grams = stored(spark, grams, "suffix-grams")
-    met = classes.join(grams, F.col("gram") == F.col("g")).where("n > 1 or size > 1").select(F.col("gram").alias("g"), F.col("context").alias("c"), (F.col("n") > 1).alias("long"), "size")
-    met = stored(spark, met, "suffix-met")
-    drop_stored(spark, classes)
+    matches = [index.add(docs.where(F.pmod("r", F.lit(batches)) == b)) for b in range(batches)]
+    for path in index.levels.values():
+        drop_stored(spark, index._array(path))
+    met = matches[0]
+    for m in matches[1:]:
+        met = met.unionByName(m)
+    # what a later batch says of a class holds: it has seen more
+    met = met.groupBy(F.col("gram").alias("g"), F.col("context").alias("c")).agg(F.max("long").alias("long"), F.max("size").alias("size"))
+    return spans_of(spark, docs, met, matches)
+
+
+def spans_of(spark: SparkSession, docs: DataFrame, met: DataFrame, scratch: list[DataFrame] = ()) -> DataFrame:
+    """repeated_spans for matches met (g, c, long, size) of an index that holds docs."""
 
     def entries(parts):
         for p in parts:
@@ -140,7 +189,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, batches: int = BATCHES)
 
     found = docs.mapInPandas(entries, "r long, at long, gram long, context long").join(met, (F.col("gram") == F.col("g")) & (F.col("context") == F.col("c"))).select("r", "at", "gram", "context", "long", "size")
     found = stored(spark, found, "suffix-found")
-    drop_stored(spark, met)
+    for m in scratch:
+        drop_stored(spark, m)
 
     # one context of each class whose gram has other classes
     one = found.where("size > 1").groupBy("gram", "context").agg(F.min(F.struct("r", "at")).alias("low"), F.first("long").alias("long"), F.first("size").alias("size"))
@@ -176,7 +226,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, batches: int = BATCHES)
     partial = edges.unionByName(far_edges).select("r", (F.col("at") - F.col("farthest")).alias("a"), (F.col("at") - F.col("nearest") + LENGTH).alias("b"))
     full = found.where("long").select("r", (F.col("at") - (WINDOW - 1)).alias("a"), (F.col("at") + LENGTH).alias("b")).distinct()
     spans = full.unionByName(partial).groupBy("r").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return stored(spark, spans, "suffix-spans")
+    spans = stored(spark, spans, "suffix-spans")
+    for t in (found, held, rows, twice):
+        drop_stored(spark, t)
+    return spans
 
 
 def cut(spark: SparkSession, docs: DataFrame, key: str = "doc_id", batches: int = BATCHES) -> DataFrame:

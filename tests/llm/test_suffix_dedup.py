@@ -53,7 +53,29 @@ def test_levels_merge_geometrically(spark):
     for b in range(5):
         index.add(docs.where(f"r = {b}"))
     assert sorted(index.levels) == [0, 2]
-    assert index.classes().agg({"n": "sum"}).first()[0] > 0
+    assert sum(index._array(p).agg({"n": "sum"}).first()[0] for p in index.levels.values()) > 0
+
+
+def test_matches_are_found_as_batches_come(spark, tmp_path):
+    """Each batch meets an index that is opened anew; its matches with all before it are whole at once."""
+    from pyspark.sql import functions as F
+
+    texts = corpus(5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "r long, text string")
+    met, edges = None, [0, 17, 30, 31, len(texts)]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        new = suffix_dedup.SuffixIndex(spark, str(tmp_path / "index")).add(docs.where(f"r >= {low} and r < {high}"))
+        met = new if met is None else met.unionByName(new)
+        seen = met.groupBy(F.col("gram").alias("g"), F.col("context").alias("c")).agg(F.max("long").alias("long"), F.max("size").alias("size"))
+        spans = {r["r"]: r["spans"] for r in suffix_dedup.spans_of(spark, docs.where(f"r < {high}"), seen).collect()}
+        for r, (n, removed, *_) in enumerate(brute(texts[:high])):
+            gone = {i for s in spans.get(r, ()) for i in range(max(s["a"], 0), min(s["b"], n))}
+            assert len(gone) == removed
+        # a batch without anything known gives no matches
+    index = suffix_dedup.SuffixIndex(spark, str(tmp_path / "index"))
+    assert sorted(index.levels) == [2] and index.version == 4
+    odd = spark.createDataFrame([(900, "".join(chr(33 + i % 90) + chr(34 + i // 90) for i in range(400)))], "r long, text string")
+    assert index.add(odd).count() == 0
 
 
 def test_empty_table_and_repeated_rows(spark):
