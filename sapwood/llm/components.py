@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 
 
 def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,10 +25,12 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
         lows = stored(spark, lows, "links-lows")
         large = both.where("v > u").join(lows, F.col("u") == F.col("k")).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         large = stored(spark, large, "links-large")
-        lows = stored(spark, large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")), "links-lows")
-        joined = large.join(lows, F.col("a") == F.col("k"))
+        least = stored(spark, large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")), "links-lows")
+        joined = large.join(least, F.col("a") == F.col("k"))
         small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p")).select("p.a", "p.b").where("a > b").distinct()
-        e = stored(spark, small, "links")
+        old, e = e, stored(spark, small, "links")
+        for t in (old, lows, large, least):
+            drop_stored(spark, t)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break

@@ -4,8 +4,9 @@ Texts with equal shingle sets form one class. A class is a set of 64 MinHash tok
 value), of which two sets share about their Jaccard similarity. A run builds a tree: every node
 samples two token positions, and a class follows its own values at these positions into two
 children. A pair at similarity s stays together in a child with chance s, so it survives to any
-depth with chance 1 - (1 - s p)**2 = p, that is 0.937 at 0.8, and is missed by all four runs with
-chance 1.6e-5. A node with few classes is compared by brute force on signatures; so is one that
+depth with chance 1 - (1 - s p)**2 = p, that is 0.937 at 0.8. Runs are repeated until the target
+recall is reached: a further run is made, and if of the classes with a partner in it too many had
+none in all runs before, it counts as one of them and a further one is made. A node with few classes is compared by brute force on signatures; so is one that
 hardly shrank from its parent, which is a group of near copies. Groups of classes that look alike
 are then compared exactly on their shingle sets, block by block, so every link that is returned
 is exact, and pairs missed by the trees but inside one group are found as well.
@@ -18,12 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, stored, table
+from .common import drop_stored, mix, stored, table
 from .components import components, local_roots
 from .shingles import shingle_sets, signatures
 
 THRESHOLD = 0.8
-RUNS, BRANCHES, TOKENS = 4, 2, 64
+BRANCHES, TOKENS = 2, 64
+#: Runs made at once at first; share of the classes with a partner that the runs before the last must have found.
+RUNS, RECALL = 3, 0.999
 #: A node with so many classes at most is compared; deeper than DEPTH no node is split.
 LEAF, DEPTH = 256, 10
 #: A child that keeps this share of its parent shows a group of near copies.
@@ -91,23 +94,27 @@ def _blocked(rows: DataFrame, group: str, size: str, tag: str, block: int, half:
 
 def _compare(p: pd.DataFrame, group: str, linked_of) -> pd.DataFrame:
     """(rep, links, root) for each class with links in each group of p. linked_of gives, for home
-    and member rows, the matrix of links; links counts the texts of linked members."""
+    and member rows, the matrix of links and that of the links that count; links is the number of
+    texts of the latter. A block against another one counts for both, a block against itself once."""
     reps, sums, roots = [], [], []
     order = np.argsort(p[group].to_numpy(), kind="stable")
     at = p[group].to_numpy()[order]
     for rows in np.split(order, np.flatnonzero(at[1:] != at[:-1]) + 1):
-        side, rep, n = (p[c].to_numpy()[rows] for c in ("side", "rep", "n"))
+        side, rep, n, i, j = (p[c].to_numpy()[rows] for c in ("side", "rep", "n", "i", "j"))
         h, m = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if len(rows) < 2 or not len(h) or not len(m):
             continue
-        linked = linked_of(rows[h], rows[m]) & (rep[h][:, None] != rep[m][None, :])
+        other = rep[h][:, None] != rep[m][None, :]
+        linked, counted = (matrix & other for matrix in linked_of(rows[h], rows[m]))
         a, b = np.nonzero(linked)
         if not len(a):
             continue
         ids, inverse = np.unique(rep, return_inverse=True)
         low = local_roots(len(ids), inverse[h[a]], inverse[m[b]])
         links = np.zeros(len(ids), np.int64)
-        links[inverse[h]] = linked @ n[m]
+        links[inverse[h]] = counted @ n[m]
+        if side[0] != 2 and i[0] != j[0]:
+            links[inverse[m]] += n[h] @ counted
         touched = np.unique(np.concatenate([inverse[h[a]], inverse[m[b]]]))
         reps.append(ids[touched])
         sums.append(links[touched])
@@ -148,60 +155,97 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     return _linked(spark, stored(spark, rows, "jaccard-rows"), threshold).select(F.col("_id").alias(key), "class_id", F.col("low._id").alias("component_id"), "n_links")
 
 
-def _linked(spark: SparkSession, texts: DataFrame, threshold: float) -> DataFrame:
-    """_row, _id, class_id, low, n_links for rows (_row, _id, text) with a stable unique _row. low is the
-    (_id, _row) of the component's smallest key. Within the join, a class is named by its smallest _row."""
-    signed = stored(spark, _signed(texts), "jaccard-signed")
-    keyed = F.when(F.col("_id").isNotNull(), F.struct("_id", "_row"))
-    classes = signed.where("sig is not null").groupBy("h1", "h2").agg(F.min(F.struct("_row", "sig")).alias("low"), F.min(keyed).alias("keyed"), F.count("*").alias("n"))
-    classes = stored(spark, classes.select("h1", "h2", F.col("low._row").alias("rep"), F.col("low.sig").alias("sig"), "keyed", "n"), "jaccard-classes")
+def _alike(p: pd.DataFrame) -> pd.DataFrame:
+    """Classes that look alike by their signatures; links counts the partners at THRESHOLD."""
+    sig = np.frombuffer(b"".join(p["sig"]), np.uint32).reshape(len(p), TOKENS)
+
+    def linked(h, m):
+        same = np.zeros((len(h), len(m)), np.int32)
+        for t in range(TOKENS):
+            same += sig[h, t][:, None] == sig[m, t][None, :]
+        return same >= ALIKE * TOKENS, same >= THRESHOLD * TOKENS
+
+    return _compare(p, "node", linked)
+
+
+_LINKS = "rep long, links long, root long"
+
+
+def _tree(spark: SparkSession, signs: DataFrame, runs: range) -> DataFrame:
+    """(rep, links, root) of classes that look alike, by chosen paths in these runs; signs: s_rep, sig.
 
-    # chosen paths, level by level; only nodes that are too large go on
-    roots = F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in range(RUNS)]))
-    signs = classes.select(F.col("rep").alias("s_rep"), "sig")
-    rows, leaves = classes.select(roots.alias("node"), "rep", "sig"), []
-    parents = None
+    Level by level; only nodes that are too large go on.
+    """
+    made = []
+
+    def put(df: DataFrame, what: str) -> DataFrame:
+        made.append(stored(spark, df, what))
+        return made[-1]
+
+    roots = F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in runs]))
+    rows, leaves, parents = signs.select(roots.alias("node"), F.col("s_rep").alias("rep"), "sig"), [], None
     for depth in range(1, DEPTH + 1):
-        below = stored(spark, _split(rows), f"jaccard-level{depth}")
+        below = put(_split(rows), f"jaccard-level{depth}")
         counts = below.groupBy("node", "parent").agg(F.count("*").alias("size")).where("size > 1")
         if parents is not None:
             counts = counts.join(parents.select(F.col("p_node"), F.col("p_size")), F.col("parent") == F.col("p_node")).withColumn("stop", F.col("size") > HARDLY * F.col("p_size"))
         else:
             counts = counts.withColumn("stop", F.lit(False))
         counts = counts.withColumn("leaf", (F.col("size") <= LEAF) | F.col("stop") | F.lit(depth == DEPTH))
-        counts = stored(spark, counts.select(F.col("node").alias("p_node"), F.col("size").alias("p_size"), "leaf"), f"jaccard-nodes{depth}")
+        counts = put(counts.select(F.col("node").alias("p_node"), F.col("size").alias("p_size"), "leaf"), f"jaccard-nodes{depth}")
         kept = below.join(counts.hint("merge"), F.col("node") == F.col("p_node"))
-        leaves.append(stored(spark, kept.where("leaf").select("node", "rep", F.col("p_size").alias("size")), "jaccard-leaves"))
+        leaves.append(put(kept.where("leaf").select("node", "rep", F.col("p_size").alias("size")), "jaccard-leaves"))
         parents = counts.where("not leaf")
         if not parents.take(1):
             break
-        rows = stored(spark, kept.where("not leaf").select("node", "rep").join(signs.hint("merge"), F.col("rep") == F.col("s_rep")).select("node", "rep", "sig"), f"jaccard-open{depth}")
+        rows = put(kept.where("not leaf").select("node", "rep").join(signs.hint("merge"), F.col("rep") == F.col("s_rep")).select("node", "rep", "sig"), f"jaccard-open{depth}")
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.unionByName(more)
     leaf = leaf.join(signs.hint("merge"), F.col("rep") == F.col("s_rep")).drop("s_rep").withColumn("n", F.lit(1).cast("long"))
-    leaf = stored(spark, leaf, "jaccard-leaves")
-
-    def alike(p: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(p["sig"]), np.uint32).reshape(len(p), TOKENS)
+    leaf = put(leaf, "jaccard-leaves")
+    pairs = _gathered(_blocked(leaf, "node", "size", "leaf", SIGNED_BLOCK, half=True), "node").applyInPandas(_alike, _LINKS)
+    pairs = stored(spark, pairs.groupBy("rep", "root").agg(F.max("links").alias("links")), "jaccard-pairs")
+    for t in made:
+        drop_stored(spark, t)
+    return pairs
+
+
+def _runs(spark: SparkSession, signs: DataFrame, recall: float) -> DataFrame:
+    """(rep, links, root) of as many runs as the target recall needs."""
+    pairs, n = _tree(spark, signs, range(RUNS)), RUNS
+    while True:
+        more = _tree(spark, signs, range(n, n + 1))
+        n += 1
+        known = pairs.where("links > 0").select(F.col("rep").alias("known")).distinct()
+        found = more.where("links > 0").select("rep").distinct().join(known, F.col("rep") == F.col("known"), "left")
+        seen = found.agg(F.count("*").alias("every"), F.count("known").alias("known")).first()
+        pairs = pairs.unionByName(more)
+        if seen["known"] >= recall * seen["every"]:
+            return pairs
+
+
+def _linked(spark: SparkSession, texts: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
+    """_row, _id, class_id, low, n_links for rows (_row, _id, text) with a stable unique _row. low is the
+    (_id, _row) of the component's smallest key. Within the join, a class is named by its smallest _row."""
+    made = []
 
-        def linked(h, m):
-            same = np.zeros((len(h), len(m)), np.int32)
-            for t in range(TOKENS):
-                same += sig[h, t][:, None] == sig[m, t][None, :]
-            return same >= ALIKE * TOKENS
+    def put(df: DataFrame, what: str) -> DataFrame:
+        made.append(stored(spark, df, what))
+        return made[-1]
 
-        return _compare(p, "node", linked)
+    signed = stored(spark, _signed(texts), "jaccard-signed")
+    keyed = F.when(F.col("_id").isNotNull(), F.struct("_id", "_row"))
+    classes = signed.where("sig is not null").groupBy("h1", "h2").agg(F.min(F.struct("_row", "sig")).alias("low"), F.min(keyed).alias("keyed"), F.count("*").alias("n"))
+    classes = put(classes.select("h1", "h2", F.col("low._row").alias("rep"), F.col("low.sig").alias("sig"), "keyed", "n"), "jaccard-classes")
 
-    shape = "rep long, links long, root long"
-    pairs = _gathered(_blocked(leaf, "node", "size", "leaf", SIGNED_BLOCK, half=True), "node").applyInPandas(alike, shape)
-    groups = components(spark, pairs.where("rep <> root").select("rep", "root"), "rep", "root")
-    groups = stored(spark, groups, "jaccard-groups")
+    pairs = _runs(spark, classes.select(F.col("rep").alias("s_rep"), "sig"), recall)
+    groups = put(components(spark, pairs.where("rep <> root").select("rep", "root"), "rep", "root"), "jaccard-groups")
 
     # exact comparison inside each group of classes that look alike
-    sizes = stored(spark, groups.groupBy("component").agg(F.count("*").alias("size")), "jaccard-sizes")
+    sizes = put(groups.groupBy("component").agg(F.count("*").alias("size")), "jaccard-sizes")
     member = groups.join(sizes.withColumnRenamed("component", "c"), F.col("component") == F.col("c")).join(classes.select(F.col("rep").alias("r"), "n"), F.col("node") == F.col("r"))
-    member = stored(spark, member.select(F.col("node").alias("rep"), F.col("component").alias("grp"), "size", "n"), "jaccard-members")
+    member = put(member.select(F.col("node").alias("rep"), F.col("component").alias("grp"), "size", "n"), "jaccard-members")
     one = texts.join(member.hint("merge"), F.col("_row") == F.col("rep")).select("rep", "grp", "size", "n", "text")
 
     def as_sets(batches):
@@ -210,8 +254,7 @@ def _linked(spark: SparkSession, texts: DataFrame, threshold: float) -> DataFram
             out["set"] = [s.tobytes() for s in shingle_sets(p["text"].tolist())]
             yield out
 
-    sets = one.mapInPandas(as_sets, "rep long, grp long, size long, n long, set binary")
-    sets = stored(spark, sets, "jaccard-sets")
+    sets = put(one.mapInPandas(as_sets, "rep long, grp long, size long, n long, set binary"), "jaccard-sets")
 
     def exact(p: pd.DataFrame) -> pd.DataFrame:
         held = [np.frombuffer(b, np.uint64) for b in p["set"]]
@@ -219,18 +262,21 @@ def _linked(spark: SparkSession, texts: DataFrame, threshold: float) -> DataFram
 
         def linked(h, m):
             shared = overlaps([held[i] for i in h], [held[i] for i in m])
-            return shared / np.maximum(size[h][:, None] + size[m][None, :] - shared, 1) >= threshold
+            is_link = shared / np.maximum(size[h][:, None] + size[m][None, :] - shared, 1) >= threshold
+            return is_link, is_link
 
         return _compare(p, "grp", linked)
 
-    found = stored(spark, _gathered(_blocked(sets, "grp", "size", "exact", BLOCK), "grp").applyInPandas(exact, shape), "jaccard-links")
+    found = put(_gathered(_blocked(sets, "grp", "size", "exact", BLOCK, half=True), "grp").applyInPandas(exact, _LINKS), "jaccard-links")
     counts = found.groupBy(F.col("rep").alias("r1")).agg(F.sum("links").alias("links"))
     final = components(spark, found.where("rep <> root").select("rep", "root"), "rep", "root")
     named = classes.select("h1", "h2", "rep", "keyed", "n").join(counts, F.col("rep") == F.col("r1"), "left").join(final, F.col("rep") == F.col("node"), "left")
-    named = stored(spark, named.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "keyed", "component", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-names")
-    lows = stored(spark, named.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("keyed").alias("low")), "jaccard-lows")
+    named = put(named.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "keyed", "component", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-names")
+    lows = put(named.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("keyed").alias("low")), "jaccard-lows")
     named = named.join(lows, F.col("component") == F.col("c"), "left").select("k1", "k2", F.col("keyed._id").alias("class_id"), F.coalesce("low", "keyed").alias("low"), "n_links")
     named = stored(spark, named, "jaccard-names")
+    for t in made:
+        drop_stored(spark, t)
     good = signed.where("sig is not null").select("_row", "_id", "h1", "h2").join(named, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
     alone = signed.where("sig is null").select("_row", "_id", F.col("_id").alias("class_id"), F.struct("_id", "_row").alias("low"), F.lit(0).cast("long").alias("n_links"))
     return good.select("_row", "_id", "class_id", "low", "n_links").unionByName(alone)
