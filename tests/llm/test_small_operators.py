@@ -213,35 +213,60 @@ def test_hilbert_neighbours_are_one_step_apart():
     assert sorted(key) == list(range(512)) and (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
 
 
-@pytest.mark.parametrize("block", [1024, 5])
-def test_embeddings_equal_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
-    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 20)
-    rng = np.random.default_rng(6)
-    rows, centre = [], rng.standard_normal((12, 16))
-    for i in range(160):
-        v = centre[rng.integers(12)] + rng.standard_normal(16) * rng.choice([0.0, 0.1, 0.15, 1.0])
-        rows.append((i, [float(np.float32(x)) for x in v], int(rng.integers(2))))
-    rows += [(200, None, 1), (201, [0.0] * 16, 1), (202, [float("nan")] * 16, 1), (203, rows[0][1], None), (204, [None, *rows[0][1][1:]], 1), (205, [float("inf"), *rows[0][1][1:]], 1), (206, [1.0, 2.0], 1), (207, [2.0, 4.0], 1), (208, [], 1)]
-    rows += [(300 + i, rows[0][1], rows[0][2]) for i in range(5)]
-    vectors = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<float>, label int, n int")
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark, vectors).collect()}
-    fine = [(i, np.array(v, float), lab) for i, v, lab in rows if v and lab is not None and None not in v and np.isfinite(v).all() and any(v)]
-    linked = {i: set() for i, *_ in rows}
+def links_of_vectors(rows):
+    """By place: links, and the places reachable, over all pairs of (id, vector, label)."""
+    fine = [(i, np.array(v, float), lab) for i, (_, v, lab) in enumerate(rows) if v and lab is not None and None not in v and np.isfinite(v).all() and any(v)]
+    linked = {i: set() for i in range(len(rows))}
     for i, v, lab in fine:
         for j, w, other in fine:
             if i != j and lab == other and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98:
                 linked[i].add(j)
+    out = []
     for i in linked:
         seen, work = {i}, [i]
         while work:
             for j in linked[work.pop()] - seen:
                 seen.add(j)
                 work.append(j)
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(linked[i]), min(seen), min(seen) == i)
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        out.append((rows[i][0], len(linked[i]), min(ids, default=None), rows[i][0] == min(ids, default=None)))
+    return out
+
+
+@pytest.mark.parametrize(("block", "fanout", "tasks"), [(1024, 64, 8192), (5, 2, 30)])
+def test_embeddings_equal_all_pairs(spark, monkeypatch, block, fanout, tasks):
+    for name, value in (("BLOCK", block), ("FANOUT", fanout), ("TASK_ROWS", tasks)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(6)
+    rows, centre = [], rng.standard_normal((12, 16))
+    for i in range(160):
+        v = centre[rng.integers(12)] + rng.standard_normal(16) * rng.choice([0.0, 0.1, 0.15, 1.0])
+        rows.append((i, [float(np.float32(x)) for x in v], int(rng.integers(2))))
+    rows += [(200, None, 1), (201, [0.0] * 16, 1), (202, [float("nan")] * 16, 1), (203, rows[0][1], None), (204, [None, *rows[0][1][1:]], 1), (205, [float("inf"), *rows[0][1][1:]], 1), (206, [1.0, 2.0], 1), (207, [2.0, 4.0], 1), (208, [], 1)]
+    rows += [(300 + i, rows[0][1], rows[0][2]) for i in range(5)]
+    # keys that repeat with other vectors, and rows without a key
+    rows += [(1, [1.0, 0.0, 0.0], 3), (1, [1.0, 0.01, 0.0], 3), (2, [0.0, 1.0, 0.0], 3), (2, [1.0, 0.02, 0.0], 3), (None, [0.0, 1.0, 0.01], 3), (None, [0.0, 0.0, 1.0], 3), (None, [0.0, 0.0, 1.0], 3), (None, None, 3)]
+    vectors = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<float>, label int, n int")
+    got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(spark, vectors, cell_rows=10).collect()]
+    order = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(got, key=order) == sorted(links_of_vectors(rows), key=order)
     assert embedding_dedup.near_duplicates(spark, vectors.limit(0)).collect() == []
 
 
+def test_embedding_cells_part_until_small(spark, monkeypatch):
+    """Vectors around centres fall into small cells over several levels; a dense group stays one cell."""
+    monkeypatch.setattr(embedding_dedup, "FANOUT", 4)
+    rng = np.random.default_rng(3)
+    spread = np.repeat(rng.standard_normal((60, 24)), 10, 0) + 0.01 * rng.standard_normal((600, 24))
+    dense = rng.standard_normal(24) + 0.001 * rng.standard_normal((90, 24))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(spread)] + [(1000 + i, v.tolist(), 2) for i, v in enumerate(dense)]
+    start = spark.createDataFrame([(lab, len(v), "", v, i, 1, True) for i, v, lab in rows], "_label int, dim int, cell string, _v array<double>, rep long, n long, home boolean")
+    cells = embedding_dedup._parted(spark, start, float(np.sqrt(2 - 2 * 0.98)), 10).groupBy("_label", "cell").count().collect()
+    assert [(r["cell"], r["count"]) for r in cells if r["_label"] == 2] == [("", 90)]
+    of_one = [r for r in cells if r["_label"] == 1]
+    assert max(r["cell"].count("/") for r in of_one) >= 2 and sum(r["count"] for r in of_one) < 1200 and len(of_one) > 16
+
+
 @pytest.mark.parametrize(("module", "label", "threshold", "least"), [(quality, "quality", 0.3, 0.93), (toxicity, "toxic", 0.5, 0.93)])
 def test_classifiers_hold_out(spark, module, label, threshold, least):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
