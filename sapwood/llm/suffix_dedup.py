@@ -176,7 +176,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, batches: int = BATCHES)
         met = met.unionByName(m)
     # what a later batch says of a class holds: it has seen more
     met = met.groupBy(F.col("gram").alias("g"), F.col("context").alias("c")).agg(F.max("long").alias("long"), F.max("size").alias("size"))
-    return spans_of(spark, docs, met, matches)
+    # stored, so that the join with all entries has plain exchanges and adaptive execution can split a hot class
+    met = stored(spark, met, "suffix-met")
+    return spans_of(spark, docs, met, [*matches, met])
 
 
 def spans_of(spark: SparkSession, docs: DataFrame, met: DataFrame, scratch: list[DataFrame] = ()) -> DataFrame:
