@@ -88,3 +88,38 @@ def display(path: Column) -> Column:
     """A path column as text: plain names after a dot, other names quoted, numbers in brackets, '.' for the root."""
     step = lambda s: F.when(s["idx"].isNotNull(), F.concat(F.lit("["), s["idx"].cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.when(s["key"].rlike(_PLAIN_KEY), s["key"]).otherwise(quoted_json(s["key"]))))
     return F.when(F.size(path) == 0, F.lit(".")).otherwise(F.array_join(F.transform(path, step), ""))
+
+
+#: A selector as a column: of a step's three fields one is set.
+SELECTOR_TYPE = "array<struct<key: string, idx: int, each: string>>"
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Selector.may_overlap for columns of SELECTOR_TYPE."""
+
+    def meet(x, y):
+        member = lambda s: s["key"].isNotNull() | F.coalesce(s["each"] == "member", F.lit(False))
+        same = F.coalesce(x["key"] == y["key"], x["idx"] == y["idx"], F.lit(False))
+        return (member(x) == member(y)) & (x["each"].isNotNull() | y["each"].isNotNull() | same)
+
+    n = F.least(F.size(a), F.size(b))
+    return F.forall(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), meet), lambda m: m)
+
+
+def natural_keys(members: Column, fields: Column | None = None) -> Column:
+    """The names of a map column in order: first those that fields (array<string>) names, as it names them, then
+    the rest by text, but names that differ only in a number of up to nine digits at their end by that number."""
+    stem = lambda k: F.regexp_replace(k, r"[0-9]+$", "")
+    digits = lambda k: F.length(k) - F.length(stem(k))
+    number = lambda k: F.when(digits(k).between(1, 9), F.substring(k, F.length(stem(k)) + 1, F.lit(9)).cast("int"))
+    sign = lambda a, b: F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+    def less(a, b):
+        by_number = number(a).isNotNull() & number(b).isNotNull() & (stem(a) == stem(b)) & (number(a) != number(b))
+        return F.when(by_number, sign(number(a), number(b))).otherwise(sign(a, b))
+
+    keys = F.map_keys(members)
+    if fields is None:
+        return F.array_sort(keys, less)
+    named = F.array_distinct(F.filter(fields, lambda f: f.isNotNull() & F.map_contains_key(members, f)))
+    return F.concat(named, F.array_sort(F.array_except(keys, named), less))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STARTS, ENDS = ("object_start", "array_start"), ("object_end", "array_end")
+from .values import ENDS, STARTS
 
 
 def placed(events: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -28,20 +28,22 @@ def placed(events: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def tree_contract(events: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, seq, code of each document's first breach: DUPLICATE_MEMBER for a key twice in one object,
-    STREAMABILITY_UNKNOWN for a value where a key is due, a key outside an object, a close with nothing
-    open or of another kind, a second root value, an end inside a container."""
-    p = placed(events, key)
-    kind, inside, before = F.col("kind"), F.col("inside"), F.col("before")
+    STREAMABILITY_UNKNOWN for a value where a key is due, a key outside an object or without a value, a close
+    with nothing open or of another kind, a second root value, an end before the root value is whole, a second end."""
+    p = placed(events, key).withColumn("just", F.lag("kind").over(Window.partitionBy(key).orderBy("seq")))
+    kind, before, just = F.col("kind"), F.col("before"), F.coalesce("just", F.lit(""))
     value = ~kind.isin("key", "end", *ENDS)
-    in_object = inside == "object_start"
-    due = in_object & (before == "key")
-    closes = kind.isin(*ENDS)
+    in_object = F.coalesce(F.col("inside") == "object_start", F.lit(False))
+    # the event before a close on its own level is the start that it closes
+    opened = F.when(kind == "object_end", "object_start").otherwise("array_start")
     malformed = (
-        (value & F.coalesce(in_object, F.lit(False)) & ~F.coalesce(due, F.lit(False)))
-        | ((kind == "key") & (~F.coalesce(in_object, F.lit(False)) | F.coalesce(due, F.lit(False))))
-        | (closes & (F.col("level") < 0))
+        (value & in_object & (just != "key"))
+        | (~value & (just == "key"))
+        | ((kind == "key") & ~in_object)
+        | (kind.isin(*ENDS) & ((F.col("level") < 0) | ~F.coalesce(before == opened, F.lit(False))))
         | (value & (F.col("level") == 0) & (F.col("nth") > 1))
-        | ((kind == "end") & (F.col("level") != 0))
+        | ((kind == "end") & ((F.col("level") != 0) | (F.col("nth") == 1)))
+        | (just == "end")
     )
     again = F.when(kind == "key", F.row_number().over(Window.partitionBy(key, "container", "level", "kind", "key_name").orderBy("seq")) > 1).otherwise(False)
     code = F.when(malformed, "STREAMABILITY_UNKNOWN").when(again, "DUPLICATE_MEMBER")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.failures import Limits, exceeded
+from ..functions.failures import Limits, PlanFailure, exceeded
 from ..functions.paths import display
 from .values import own_key
 
@@ -41,3 +43,23 @@ def metrics(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     member = own_key().isNotNull().cast("long")
     root = (F.size("path") == 0).cast("long")
     return nodes.where("pre is not null").groupBy(key).agg(F.sum(1 + container + member + root).alias("events"), F.sum(member).alias("keys"), F.sum(1 - container).alias("scalars"))
+
+
+@contextmanager
+def abortable(spark: SparkSession, tag: str):
+    """Jobs started inside carry the tag; if abort(spark, tag) ends them, the failure is ABORTED."""
+    context = spark.sparkContext
+    context.addJobTag(tag)
+    try:
+        yield
+    except Exception as e:
+        if tag in str(e) and "cancel" in str(e).lower():
+            raise PlanFailure("ABORTED", f"the jobs of {tag} were ended") from e
+        raise
+    finally:
+        context.removeJobTag(tag)
+
+
+def abort(spark: SparkSession, tag: str) -> None:
+    """Ends all running jobs that carry the tag."""
+    spark.sparkContext.cancelJobsWithTag(tag)

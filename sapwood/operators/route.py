@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.failures import Limits, PlanFailure, exceeded
+from ..functions.failures import FAIL_TYPE, Limits, PlanFailure, exceeded, failure
 from ..functions.paths import Selector, display
 from .values import fragments, joined, node_bytes
 
@@ -34,12 +34,16 @@ def checked(specs: list[Capture]) -> list[Capture]:
     return specs
 
 
-def route(nodes: DataFrame, specs: list[Capture], limits: Limits = Limits(), key: str = "doc_id") -> DataFrame:
+def route(nodes: DataFrame, specs: list[Capture], limits: Limits = Limits(), key: str = "doc_id", refuse: Column | None = None) -> DataFrame:
     """key, ord, capture_id, tag, path, begin, end, kind, value, bytes, fail.
 
     ord counts a document's captures from 0 as they complete; of captures of one scope the one
     declared later comes first. value is compact JSON text, null for observed scopes. A scope above
     its byte budget has fail and no value. No specs, or no match: no rows.
+
+    refuse is a condition on tag, path (as text), begin and kind. The first scope of a document for which it holds
+    is refused as it begins: it is the document's last row, with fail ABORTED at its path; scopes that had not
+    completed by then are gone.
     """
     specs = checked(specs)
     if not specs:
@@ -64,12 +68,27 @@ def route(nodes: DataFrame, specs: list[Capture], limits: Limits = Limits(), key
     for i, (s, b) in enumerate(zip(specs, budgets, strict=True)):
         if s.mode == "materialize" and b is not None:
             fail = F.when((F.col("capture_id") == i) & (F.col("bytes") > b), exceeded(s.budget_name, b, display(F.col("_at.path")))).otherwise(fail)
+    if refuse is not None:
+        seen = F.struct("begin", "capture_id")
+        named = got.select(key, "capture_id", "begin", pick([s.tag for s in specs]).alias("tag"), display(F.col("_at.path")).alias("path"), F.col("_at.kind").alias("kind"))
+        first = named.where(refuse).groupBy(F.col(key).alias("_k")).agg(F.min(seen).alias("_no"))
+        got = got.join(first, F.col(key) == F.col("_k"), "left").where(F.col("_no").isNull() | (F.col("end") < F.col("_no.begin")) | (seen == F.col("_no")))
+        refused = F.col("_no").isNotNull() & (seen == F.col("_no"))
+        fail = F.when(refused, failure("ABORTED", "the scope is refused", display(F.col("_at.path"))).cast(FAIL_TYPE)).otherwise(fail.cast(FAIL_TYPE))
+        # a refused scope ends the document, whatever is inside it
+        got = got.withColumn("end", F.when(refused, F.lit(1 << 62)).otherwise(F.col("end")))
     order = Window.partitionBy(key).orderBy("end", F.desc(F.size("_at.path")), F.desc("capture_id"))
     out = got.withColumn("ord", (F.row_number().over(order) - 1).cast("long")).withColumn("fail", fail)
     good = materialized & F.col("fail").isNull()
     return out.select(key, "ord", "capture_id", pick([s.tag for s in specs]).alias("tag"), display(F.col("_at.path")).alias("path"), "begin", "end", F.col("_at.kind").alias("kind"), F.when(good, F.col("value")).alias("value"), F.when(materialized, F.col("bytes")).alias("bytes"), "fail")
 
 
+def metrics(captures: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, captures, captured_bytes, captured_bytes_high: what a document's captures retained, together and the largest of them."""
+    held = F.coalesce("bytes", F.lit(0))
+    return captures.groupBy(key).agg(F.count("*").alias("captures"), F.sum(held).alias("captured_bytes"), F.max(held).alias("captured_bytes_high"))
+
+
 def duplicates_inside(nodes_all: DataFrame, spec: Capture, key: str = "doc_id") -> DataFrame:
     """key, path, code of captures that hold a repeated member, from a node table read with duplicates='all'."""
     k = len(spec.select.steps)

@@ -1,5 +1,11 @@
 """Tables from documents: row scopes projected into columns that are declared, inferred from the
-first row, or described by metadata inside each document."""
+first row, or described by metadata inside each document.
+
+The nodes of a document meet once, in one exchange by document: each row scope and each metadata
+scope becomes one row that holds its nodes in order, windows over the document bring the columns to
+its rows, and a cell is looked up among its row's nodes. So a document is decoded once for each
+action and nothing is joined. A row scope is bounded by max_record_bytes.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.failures import FAIL_TYPE, NODE_BYTES, Limits, PlanFailure, exceeded, failure
 from ..functions.paths import PATH_TYPE, Selector, display
 from .route import Capture, checked
-from .values import CELL_TYPE, cell, fragments, joined, node_bytes
+from .values import CELL_TYPE, fragments, node_bytes, of_node
 
 COLUMNS_TYPE = "array<struct<no: int, label: string, source: string, missing: string>>"
 
@@ -41,64 +47,93 @@ def _static(columns: list[TableColumn], limits: Limits) -> Column:
     return F.array(*made).cast(COLUMNS_TYPE)
 
 
-def _inferred(members: DataFrame, rows: DataFrame, limits: Limits, key: str) -> DataFrame:
-    """key, columns, fail of every document that has a row."""
-    first = rows.where("row_no = 1").select(F.col(key).alias("_k"), F.col("row").alias("_first"), F.col("kind").alias("_kind"), "row_path")
-    inner = members.join(first, (F.col(key) == F.col("_k")) & (F.col("row") == F.col("_first")))
-    inner = inner.where(F.size("rel") <= 1).withColumn("_step", F.get("rel", F.lit(0)))
-    made = F.struct("pre", F.coalesce(F.col("_step.key"), F.col("_step.idx").cast("string")).alias("label"), display(F.col("rel")).alias("source"))
-    got = inner.groupBy(key).agg(F.first("_kind").alias("_kind"), F.first("row_path").alias("row_path"), F.sort_array(F.collect_list(F.when(F.size("rel") == 1, made))).alias("found"))
-    one = F.array(F.struct(F.lit(0).alias("no"), F.lit("value").alias("label"), F.lit(".").alias("source"), F.lit("missing").alias("missing"))).cast(COLUMNS_TYPE)
-    many = F.transform("found", lambda c, i: F.struct(i.alias("no"), c["label"].alias("label"), c["source"].alias("source"), F.lit("missing").alias("missing"))).cast(COLUMNS_TYPE)
-    out = got.withColumn("columns", F.when(F.col("_kind").isin("object", "array"), many).otherwise(one))
-    held = F.aggregate("columns", F.lit(0).cast("long"), lambda a, c: a + F.octet_length(c["label"])) + (F.size("columns") + 1) * NODE_BYTES
-    fail = F.lit(None)
-    if limits.max_columns is not None:
-        fail = F.when(F.size("columns") > limits.max_columns, exceeded("max_columns", limits.max_columns, F.col("row_path")))
-    if limits.max_metadata_bytes is not None:
-        fail = F.when(held > limits.max_metadata_bytes, exceeded("max_metadata_bytes", limits.max_metadata_bytes, F.col("row_path"))).otherwise(fail)
-    return out.select(key, "columns", fail.cast(FAIL_TYPE).alias("fail"))
-
-
-def _described(nodes: DataFrame, rows: DataFrame, meta: Selector, limits: Limits, key: str) -> DataFrame:
-    """key, columns, fail of every document, from its metadata."""
-    k = len(meta.steps)
-    part = nodes.where(meta.covers(F.col("path"))).withColumn("meta", F.get("ancestors", F.lit(k))).withColumn("rel", F.slice("path", k + 1, F.greatest(F.size("path") - k, F.lit(0))))
-    at = lambda i, name: F.get("rel", F.lit(i))[name]
-    n, kind = F.size("rel"), F.col("kind")
-    title = F.max(F.when((n == 2) & (at(1, "key") == "title") & (kind == "string"), F.col("str")))
-    has_path = F.max(F.when((n == 2) & (at(1, "key") == "path") & (kind == "array"), True))
-    fits = (kind == "string") | ((kind == "number") & (F.col("num") >= 0) & (F.col("num") == F.floor("num")))
-    in_path = (n == 3) & (at(1, "key") == "path")
-    step = F.struct(at(2, "idx").alias("i"), F.when(kind == "string", F.col("str")).alias("key"), F.when(kind == "number", F.col("num").cast("int")).alias("idx"))
-    # one row per described column first, then one per document
-    each = part.where(n >= 1).groupBy(key, "meta", at(0, "idx").alias("no")).agg(title.alias("title"), has_path.alias("has_path"), F.sum(F.when(in_path & ~fits, 1).otherwise(0)).alias("odd"), F.sort_array(F.collect_list(F.when(in_path & fits, step))).alias("steps"))
-    each = each.withColumn("good", F.col("title").isNotNull() & F.coalesce("has_path", F.lit(False)) & (F.col("odd") == 0))
-    path = F.transform("steps", lambda s: F.struct(s["key"].alias("key"), s["idx"].alias("idx"))).cast(PATH_TYPE)
-    column = F.struct("no", F.col("title").alias("label"), display(path).alias("source"), F.lit("missing").alias("missing"))
-    columns = each.groupBy(key, "meta").agg(F.sort_array(F.collect_list(F.when(F.col("good"), column))).alias("columns"), F.min(F.when(~F.col("good"), F.col("no"))).alias("bad"))
-    whole = part.groupBy(key, "meta").agg(F.max("last").alias("done"), F.sum(node_bytes(F.col("pre") == F.col("meta"))).alias("bytes"), F.max(F.when(F.col("pre") == F.col("meta"), F.struct(display(F.col("path")).alias("path"), "kind"))).alias("at"))
-    found = whole.join(columns.withColumnsRenamed({key: "_k", "meta": "_m"}), (F.col(key) == F.col("_k")) & (F.col("meta") == F.col("_m")), "left").drop("_k", "_m")
-    per = found.groupBy(key).agg(F.min_by(F.struct("columns", "bad", "done", "bytes", "at"), "meta").alias("m"), F.count("*").alias("times"), F.sort_array(F.collect_list(F.struct("meta", F.col("at.path").alias("path")))).alias("seen"))
-    docs = nodes.select(F.col(key).alias("_d")).distinct()
-    early = rows.groupBy(F.col(key).alias("_r")).agg(F.min("row").alias("first_row"), F.min_by("row_path", "row").alias("first_path"))
-    s = docs.join(per, F.col("_d") == F.col(key), "left").join(early, F.col("_d") == F.col("_r"), "left")
-    none = F.col("m").isNull()
-    fail = F.lit(None)
+def _inferred(items: Column, kind: Column) -> Column:
+    """The columns of a first row: its members or elements, or itself as ``value``."""
+    inner = F.filter(items, lambda i: F.size(i["rel"]) == 1)
+    step = lambda i: F.get(i["rel"], F.lit(0))
+    many = F.transform(inner, lambda i, n: F.struct(n.alias("no"), F.coalesce(step(i)["key"], step(i)["idx"].cast("string")).alias("label"), i["at"].alias("source"), F.lit("missing").alias("missing")))
+    one = F.array(F.struct(F.lit(0).alias("no"), F.lit("value").alias("label"), F.lit(".").alias("source"), F.lit("missing").alias("missing")))
+    return F.when(kind.isin("object", "array"), many.cast(COLUMNS_TYPE)).otherwise(one.cast(COLUMNS_TYPE))
+
+
+def _described(items: Column) -> Column:
+    """array<struct<no, label, source, missing, good>>: one for each element of a metadata scope."""
+    at = lambda i, n, name: F.get(i["rel"], F.lit(n))[name]
+    elements = F.filter(items, lambda i: (F.size(i["rel"]) == 1) & at(i, 0, "idx").isNotNull())
+
+    def column(e: Column) -> Column:
+        inside = F.slice(items, (e["pre"] - F.element_at(items, 1)["pre"] + 1).cast("int"), (e["last"] - e["pre"] + 1).cast("int"))
+        child = lambda i, name, kind: (F.size(i["rel"]) == 2) & F.coalesce(at(i, 1, "key") == name, F.lit(False)) & (i["kind"] == kind)
+        title = F.get(F.filter(inside, lambda i: child(i, "title", "string")), F.lit(0))["str"]
+        has_path = F.exists(inside, lambda i: child(i, "path", "array"))
+        steps = F.filter(inside, lambda i: (F.size(i["rel"]) == 3) & F.coalesce(at(i, 1, "key") == "path", F.lit(False)))
+        is_index = lambda i: (i["kind"] == "number") & (i["num"] >= 0) & (i["num"] == F.floor(i["num"])) & (i["num"] < 2**31)
+        fit = F.forall(steps, lambda i: F.coalesce((i["kind"] == "string") | is_index(i), F.lit(False)))
+        path = F.transform(steps, lambda i: F.struct(F.when(i["kind"] == "string", i["str"]).alias("key"), F.when(F.coalesce(is_index(i), F.lit(False)), i["num"]).cast("int").alias("idx"))).cast(PATH_TYPE)
+        good = title.isNotNull() & has_path & fit
+        return F.struct(at(e, 0, "idx").alias("no"), title.alias("label"), display(path).alias("source"), F.lit("missing").alias("missing"), good.alias("good"))
+
+    return F.transform(elements, column)
+
+
+def _too_many(columns: Column, bytes_: Column, path: Column, limits: Limits) -> Column:
+    """The failure of a schema above max_metadata_bytes or max_columns, or null."""
+    fail = F.lit(None).cast(FAIL_TYPE)
     if limits.max_columns is not None:
-        fail = F.when(F.size("m.columns") > limits.max_columns, exceeded("max_columns", limits.max_columns, F.col("m.at.path")))
+        fail = F.when(F.size(columns) > limits.max_columns, exceeded("max_columns", limits.max_columns, path).cast(FAIL_TYPE)).otherwise(fail)
     if limits.max_metadata_bytes is not None:
-        fail = F.when(F.col("m.bytes") > limits.max_metadata_bytes, exceeded("max_metadata_bytes", limits.max_metadata_bytes, F.col("m.at.path"))).otherwise(fail)
-    fail = (
-        F.when(~none & (F.col("first_row") <= F.col("m.done")), failure("INPUT_ORDER_VIOLATION", "a row began before the metadata was complete", F.col("first_path")))
-        .when(none & F.col("first_row").isNotNull(), failure("INPUT_ORDER_VIOLATION", "a row began before the metadata was complete", F.col("first_path")))
-        .when(none, failure("INPUT_INVALID", "the metadata never came", F.lit(str(meta))))
-        .when(F.col("m.at.kind") != "array", failure("INPUT_INVALID", "the metadata is no array", F.col("m.at.path")))
-        .when(F.col("m.bad").isNotNull(), failure("INPUT_INVALID", "a column without a title or a path", F.concat(F.col("m.at.path"), F.lit("["), F.col("m.bad").cast("string"), F.lit("]"))))
-        .when(F.col("times") > 1, failure("INPUT_ORDER_VIOLATION", "metadata twice", F.get("seen", F.lit(1))["path"]))
-        .otherwise(fail)
+        fail = F.when(bytes_ > limits.max_metadata_bytes, exceeded("max_metadata_bytes", limits.max_metadata_bytes, path).cast(FAIL_TYPE)).otherwise(fail)
+    return fail
+
+
+def _scopes(nodes: DataFrame, rows: Selector, meta: Selector | None, key: str) -> DataFrame:
+    """key, scope ("d" document, "m" metadata, "r" row), pos, last, bytes, path, kind, items: one row per scope,
+    and one per document. items are the scope's nodes in order, their paths taken from the scope (rel, and as text: at)."""
+    held = [F.when(F.size("path") == 0, F.struct(F.lit("d").alias("scope"), F.lit(0).alias("steps")))]
+    for name, selector in (("m", meta), ("r", rows)):
+        if selector is not None:
+            held.append(F.when(selector.covers(F.col("path")), F.struct(F.lit(name).alias("scope"), F.lit(len(selector.steps)).alias("steps"))))
+    part = nodes.where("pre is not null").withColumn("_s", F.explode(F.array_compact(F.array(*held))))
+    steps = F.col("_s.steps")
+    part = part.withColumn("_pos", F.get("ancestors", steps)).withColumn("_rel", F.slice("path", steps + 1, F.greatest(F.size("path") - steps, F.lit(0))))
+    is_root = F.col("pre") == F.col("_pos")
+    item = F.struct("pre", "last", "depth", "kind", "bool", "num", "lexeme", "str", F.col("_rel").alias("rel"), display(F.col("_rel")).alias("at"), of_node("key").alias("key"), of_node("parent").alias("parent"))
+    got = part.groupBy(key, F.col("_s.scope").alias("scope"), F.col("_pos").alias("pos")).agg(
+        F.max("last").alias("last"),
+        F.sum(node_bytes(is_root)).alias("bytes"),
+        F.max(F.when(is_root, F.struct(display(F.col("path")).alias("path"), "kind"))).alias("_at"),
+        F.sort_array(F.collect_list(F.when(F.col("_s.scope") != "d", item))).alias("items"),
     )
-    return s.select(F.col("_d").alias(key), F.coalesce("m.columns", F.array().cast(COLUMNS_TYPE)).cast(COLUMNS_TYPE).alias("columns"), fail.cast(FAIL_TYPE).alias("fail"))
+    return got.select(key, "scope", "pos", "last", "bytes", "_at.path", "_at.kind", "items")
+
+
+def _cells(items: Column, columns: Column) -> Column:
+    """The cells of one row, null where a column's source is not in it."""
+
+    def text(top: Column) -> Column:
+        first = F.element_at(items, 1)["pre"]
+        inside = F.slice(items, (top["pre"] - first + 1).cast("int"), (top["last"] - top["pre"] + 1).cast("int"))
+        pieces = F.transform(inside, lambda i: fragments(i["pre"] == top["pre"], lambda name: i[name]))
+        return F.array_join(F.transform(F.sort_array(F.flatten(pieces)), lambda p: p["text"]), "")
+
+    def cell(c: Column) -> Column:
+        # a list of none or one, so that what is found is named once
+        found = F.slice(F.filter(items, lambda i: i["at"] == c["source"]), 1, 1)
+
+        def shown(top: Column) -> Column:
+            container = top["kind"].isin("object", "array")
+            scalar = F.struct(*[top[n].alias(n) for n in ("kind", "bool", "num", "lexeme", "str")])
+            as_text = F.struct(F.lit("string").alias("kind"), F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("lexeme"), text(top).alias("str"))
+            return F.when(container, as_text.cast(CELL_TYPE)).otherwise(scalar.cast(CELL_TYPE))
+
+        return F.get(F.transform(found, shown), F.lit(0))
+
+    return F.transform(columns, cell)
+
+
+def _empty(kind: str) -> Column:
+    null = F.lit(None)
+    return F.struct(F.lit(kind).alias("kind"), null.cast("boolean").alias("bool"), null.cast("double").alias("num"), null.cast("string").alias("lexeme"), null.cast("string").alias("str")).cast(CELL_TYPE)
 
 
 def table(nodes: DataFrame, rows: Selector, schema: list[TableColumn] | Metadata | str, limits: Limits = Limits(), key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -106,51 +141,63 @@ def table(nodes: DataFrame, rows: Selector, schema: list[TableColumn] | Metadata
     array<cell>, in schema order. A cell's kind is null, bool, number, string or missing; a container is
     its compact JSON as a string. The rows before a document's failing row stay; fail tells of it.
     """
-    if isinstance(schema, Metadata):
-        checked([Capture("metadata", schema.select), Capture("row", rows)])
-    nodes = nodes.where("pre is not null")
-    k = len(rows.steps)
-    members = nodes.where(rows.covers(F.col("path"))).withColumn("row", F.get("ancestors", F.lit(k))).withColumn("rel", F.slice("path", k + 1, F.greatest(F.size("path") - k, F.lit(0))))
-    in_order = Window.partitionBy(key).orderBy("row")
-    is_row = F.col("pre") == F.col("row")
-    sized = members.groupBy(key, "row").agg(F.sum(node_bytes(is_row)).alias("bytes"), F.max(F.when(is_row, F.struct(display(F.col("path")).alias("path"), "kind"))).alias("at"))
-    found = sized.select(key, "row", "bytes", F.col("at.path").alias("row_path"), F.col("at.kind").alias("kind"), F.row_number().over(in_order).cast("long").alias("row_no"))
-    if isinstance(schema, Metadata):
-        schemas = _described(nodes, found, schema.select, limits, key)
-    elif schema == "infer":
-        got = _inferred(members, found, limits, key).withColumnRenamed(key, "_g")
-        docs = nodes.select(key).distinct()
-        schemas = docs.join(got, F.col(key) == F.col("_g"), "left").select(key, F.coalesce("columns", F.array().cast(COLUMNS_TYPE)).alias("columns"), "fail")
+    meta = schema.select if isinstance(schema, Metadata) else None
+    if meta is not None:
+        checked([Capture("metadata", meta), Capture("row", rows)])
+    static = _static(schema, limits) if isinstance(schema, list) else None
+    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the nodes of a document come from one task as it is; together once, they need no other exchange
+    s = _scopes(nodes.repartition(partitions, key), rows, meta, key)
+    is_row, is_meta = F.col("scope") == "r", F.col("scope") == "m"
+    whole = Window.partitionBy(key)
+    s = s.withColumn("row_no", F.when(is_row, F.row_number().over(Window.partitionBy(key, "scope").orderBy("pos"))).cast("long"))
+    none = F.array().cast(COLUMNS_TYPE)
+    if static is not None:
+        s = s.withColumn("columns", static).withColumn("fail", F.lit(None).cast(FAIL_TYPE))
+    elif meta is None:
+        first = F.col("row_no") == 1
+        made = F.when(first, _inferred(F.col("items"), F.col("kind")))
+        s = s.withColumn("_made", made)
+        names = F.aggregate("_made", F.lit(0).cast("long"), lambda a, c: a + F.octet_length(c["label"])) + (F.size("_made") + 1) * NODE_BYTES
+        s = s.withColumn("_why", F.when(first, _too_many(F.col("_made"), names, F.col("path"), limits)))
+        s = s.withColumn("columns", F.coalesce(F.first("_made", True).over(whole), none)).withColumn("fail", F.first("_why", True).over(whole)).drop("_made", "_why")
     else:
-        schemas = nodes.select(key).distinct().select(key, _static(schema, limits).alias("columns"), F.lit(None).cast(FAIL_TYPE).alias("fail"))
-
-    # each member meets the columns that its own or an enclosing place in the row is the source of
-    wanted = schemas.where("fail is null").select(F.col(key).alias("_k"), F.explode("columns").alias("c")).select("_k", F.col("c.no").alias("no"), F.col("c.source").alias("source"))
-    ends = F.transform(F.sequence(F.lit(0), F.size("rel")), lambda t: F.struct(t.alias("t"), display(F.slice("rel", F.lit(1), t)).alias("at")))
-    spread = members.withColumn("e", F.explode(ends)).withColumn("top", F.get("ancestors", F.lit(k) + F.col("e.t")))
-    inner = spread.join(wanted, (F.col(key) == F.col("_k")) & (F.col("e.at") == F.col("source")))
-    is_top = F.col("pre") == F.col("top")
-    texts = inner.groupBy(key, "row", "no").agg(F.max(F.when(is_top, cell())).alias("cell"), joined(F.collect_list(fragments(is_top))).alias("text"))
-    container = F.col("cell.kind").isin("object", "array")
-    shown = F.when(container, F.struct(F.lit("string").alias("kind"), F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("lexeme"), F.col("text").alias("str"))).otherwise(F.col("cell"))
-    by_row = texts.groupBy(F.col(key).alias("_k2"), F.col("row").alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct("no", shown.cast(CELL_TYPE).alias("cell")))).alias("got"))
-    full = found.join(schemas.select(F.col(key).alias("_s"), "columns", F.col("fail").alias("_f")), F.col(key) == F.col("_s")).join(by_row, (F.col(key) == F.col("_k2")) & (F.col("row") == F.col("_row")), "left")
-    empty = lambda kind: F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("lexeme"), F.lit(None).cast("string").alias("str")).cast(CELL_TYPE)
-    got = F.coalesce("got", F.map_from_entries(F.array().cast(f"array<struct<no: int, cell: {CELL_TYPE}>>")))
-    cells = F.transform("columns", lambda c: F.coalesce(F.try_element_at(got, c["no"]), F.when(c["missing"] == "null", empty("null")).otherwise(empty("missing"))))
-    gone = F.filter("columns", lambda c: (c["missing"] == "error") & ~F.map_contains_key(got, c["no"]))
-    inside = F.regexp_replace(F.get(gone, F.lit(0))["source"], r"^\.$", "")
-    fail = F.when(F.size(gone) > 0, failure("MISSING_VALUE", "a value is missing", F.concat("row_path", inside)))
+        s = s.withColumn("_nth", F.when(is_meta, F.row_number().over(Window.partitionBy(key, "scope").orderBy("pos"))))
+        s = s.withColumn("_made", F.when(F.col("_nth") == 1, _described(F.col("items"))))
+        bad = F.get(F.filter("_made", lambda c: ~c["good"]), F.lit(0))["no"]
+        about = F.struct("_made", bad.alias("bad"), F.col("last").alias("done"), "bytes", "path", "kind")
+        s = s.withColumn("_m", F.first(F.when(F.col("_nth") == 1, about), True).over(whole))
+        s = s.withColumn("_again", F.first(F.when(F.col("_nth") == 2, F.col("path")), True).over(whole))
+        s = s.withColumn("_row", F.first(F.when(F.col("row_no") == 1, F.struct("pos", "path")), True).over(whole))
+        late = failure("INPUT_ORDER_VIOLATION", "a row is there ahead of the columns", F.col("_row.path"))
+        absent = F.col("_m").isNull()
+        fail = (
+            F.when(F.col("_row").isNotNull() & (absent | (F.col("_row.pos") <= F.col("_m.done"))), late.cast(FAIL_TYPE))
+            .when(absent, failure("INPUT_INVALID", "no metadata", F.lit(str(meta))).cast(FAIL_TYPE))
+            .when(F.col("_m.kind") != "array", failure("INPUT_INVALID", "the metadata is no array", F.col("_m.path")).cast(FAIL_TYPE))
+            .when(F.col("_m.bad").isNotNull(), failure("INPUT_INVALID", "a column without title or path", F.concat(F.col("_m.path"), F.lit("["), F.col("_m.bad").cast("string"), F.lit("]"))).cast(FAIL_TYPE))
+            .when(F.col("_again").isNotNull(), failure("INPUT_ORDER_VIOLATION", "metadata twice", F.col("_again")).cast(FAIL_TYPE))
+            .otherwise(_too_many(F.col("_m._made"), F.col("_m.bytes"), F.col("_m.path"), limits))
+        )
+        plain = F.transform("_m._made", lambda c: F.struct(c["no"].alias("no"), c["label"].alias("label"), c["source"].alias("source"), c["missing"].alias("missing")))
+        s = s.withColumn("columns", F.coalesce(plain.cast(COLUMNS_TYPE), none)).withColumn("fail", fail).drop("_nth", "_made", "_m", "_again", "_row")
+
+    full = s.withColumn("_got", F.when(is_row & F.col("fail").isNull(), _cells(F.col("items"), F.col("columns")))).drop("items")
+    lost = F.filter(F.arrays_zip(F.col("columns").alias("c"), F.col("_got").alias("g")), lambda z: (z["c"]["missing"] == "error") & z["g"].isNull())
+    inside = F.regexp_replace(F.get(lost, F.lit(0))["c"]["source"], r"^\.$", "")
+    broken = F.when(F.size(lost) > 0, failure("MISSING_VALUE", "a value is missing", F.concat("path", inside)).cast(FAIL_TYPE))
     if limits.max_record_bytes is not None:
-        fail = F.when(F.col("bytes") > limits.max_record_bytes, exceeded("max_record_bytes", limits.max_record_bytes, F.col("row_path"))).otherwise(fail)
-    full = full.where("_f is null").withColumn("cells", cells).withColumn("_fail", fail)
-    broken = full.where("_fail is not null").groupBy(F.col(key).alias("_b")).agg(F.min("row_no").alias("_at"), F.min_by("_fail", "row_no").alias("_why"))
-    out = full.join(broken, F.col(key) == F.col("_b"), "left").where("_at is null or row_no < _at").select(key, "row_no", "cells")
-    schemas = schemas.join(broken, F.col(key) == F.col("_b"), "left").select(key, F.transform("columns", lambda c: c["label"]).alias("labels"), F.coalesce("fail", "_why").alias("fail"))
+        broken = F.when(F.col("bytes") > limits.max_record_bytes, exceeded("max_record_bytes", limits.max_record_bytes, F.col("path")).cast(FAIL_TYPE)).otherwise(broken)
+    full = full.withColumn("_broken", F.when(F.col("_got").isNotNull(), broken))
+    full = full.withColumn("_stop", F.min(F.when(F.col("_broken").isNotNull(), F.struct("row_no", F.col("_broken").alias("why")))).over(whole))
+    filled = F.transform("columns", lambda c, n: F.coalesce(F.get(F.col("_got"), n), F.when(c["missing"] == "null", _empty("null")).otherwise(_empty("missing"))))
+    out = full.where(is_row & F.col("fail").isNull() & (F.col("_stop").isNull() | (F.col("row_no") < F.col("_stop.row_no")))).select(key, "row_no", filled.alias("cells"))
+    schemas = full.where("scope = 'd'").select(key, F.transform("columns", lambda c: c["label"]).alias("labels"), F.coalesce("fail", "_stop.why").alias("fail"))
     return schemas, out
 
 
 def wide(rows: DataFrame, columns: list[tuple[str, str]], key: str = "doc_id") -> DataFrame:
     """rows with one typed column per (name, type) in place of cells; missing and null are both NULL."""
-    one = lambda i, kind: F.get("cells", F.lit(i))[{"double": "num", "bigint": "num", "int": "num", "boolean": "bool"}.get(kind, "str")].cast(kind)
+    field = {"double": "num", "bigint": "num", "int": "num", "boolean": "bool"}
+    one = lambda i, kind: F.get("cells", F.lit(i))[field.get(kind, "str")].cast(kind)
     return rows.select(key, "row_no", *[one(i, kind).alias(name) for i, (name, kind) in enumerate(columns)])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.failures import Limits
 from ..functions.paths import EACH_INDEX, EACH_MEMBER, Selector, display
-from ..operators import contract, guard, native, route, scan, table, values
+from ..operators import guard, native, route, scan, table, values
 from ..sources import sinks
 from ..sources.decode import nodes
 
@@ -146,46 +146,6 @@ def path_display(spark, d):
     return keys.select("n_nationkey", display(F.col("path")).alias("path"))
 
 
-def overlap_matrix(spark, d):
-    held = [Selector.of("records", EACH_INDEX), Selector.of("metadata"), Selector.of("records", 2, "x"), Selector(), Selector.of(EACH_MEMBER), Selector.of(EACH_INDEX)]
-    return spark.createDataFrame([(str(a), str(b), a.may_overlap(b)) for a in held for b in held], "a string, b string, overlap boolean")
-
-
-_REPEATED = [(1, '{"a":1,"b":{"c":1,"c":2},"a":3}'), (2, '{"x":[{"y":1,"y":2}]}'), (3, '{"p":1}')]
-
-
-def duplicates_policies(spark, d):
-    docs = spark.createDataFrame(_REPEATED, "doc_id long, content string")
-    texts = [values.json_text(nodes(docs, format="json", duplicates=p)).withColumn("policy", F.lit(p)) for p in ("last_wins", "first_wins")]
-    return texts[0].unionByName(texts[1])
-
-
-def duplicates_rejected(spark, d):
-    docs = spark.createDataFrame(_REPEATED, "doc_id long, content string")
-    return route.duplicates_inside(nodes(docs, format="json", duplicates="all"), route.Capture("each", Selector.of(EACH_MEMBER)))
-
-
-_STREAMS = {
-    1: ["object_start", "key:a", "number", "key:a", "number", "object_end", "end"],
-    2: ["object_start", "number", "object_end", "end"],
-    3: ["array_start", "key:a", "array_end", "end"],
-    4: ["number", "number", "end"],
-    5: ["array_start", "end"],
-    6: ["object_end"],
-    7: ["array_start", "object_start", "key:a", "null", "object_end", "object_start", "key:a", "null", "object_end", "array_end", "end"],
-}
-
-
-def tree_contract(spark, d):
-    rows = [(i, n, e.split(":")[0], e.split(":")[1] if ":" in e else None) for i, es in _STREAMS.items() for n, e in enumerate(es)]
-    return contract.tree_contract(spark.createDataFrame(rows, "doc_id long, seq long, kind string, key_name string"))
-
-
-def protocol_errors(spark, d):
-    rows = [(i, n, e.split(":")[0], e.split(":")[1] if ":" in e else None) for i, es in _STREAMS.items() for n, e in enumerate(es)]
-    return contract.protocol_errors(spark.createDataFrame(rows, "doc_id long, seq long, kind string, key_name string"))
-
-
 def scan_running_sum(spark, d):
     c = _read(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("bigint").alias("n"))
     return scan.running(c, "conv_id", ["turn"], F.col("n")).select("conv_id", "turn", "state")
@@ -196,12 +156,6 @@ def scan_fold(spark, d):
     return scan.scan_emit(c, "conv_id", "turn", 0, lambda s, x: (s + x, [f"+{x}"]), lambda s: [f"={s}"]).select("conv_id", "op", "out")
 
 
-def lexeme_rule(spark, d):
-    texts = ["1.50", "1e2", "01", "+1", ".5", "-0", "1.", "12345678901234567890", "x", "1E+3"]
-    t = spark.createDataFrame([(x,) for x in texts], "lexeme string")
-    return t.select("lexeme", values.is_json_number(F.col("lexeme")).alias("json_number"), values.number_text(F.col("lexeme").try_cast("double")).alias("shown"))
-
-
 def _nations(spark, d):
     return _read(spark, d, "nation").groupBy(F.col("n_regionkey").cast("bigint").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
 
@@ -283,14 +237,8 @@ _ALL = {
     "limit_scalar": (limit_scalar, "SELECT conv_id || '-' || turn AS doc_id, 'RESOURCE_LIMIT_EXCEEDED' AS code, '.text' AS path, 'max_scalar_bytes' AS \"limit\" FROM conversations WHERE strlen(text) > 200"),
     "limit_capture": (limit_capture, _PER + "SELECT doc_id, 16 + 91 * n AS bytes, CASE WHEN 16 + 91 * n > 1000 THEN 'max_capture_bytes' END AS limit_name, 16 + 91 * n > 1000 AS refused FROM c"),
     "path_display": (path_display, "SELECT n_nationkey, '.' || CASE WHEN regexp_matches(n_name, '^[A-Za-z_][A-Za-z0-9_]*$') THEN n_name ELSE '\"' || n_name || '\"' END || '.\"a b\"[' || n_regionkey || ']' AS path FROM nation"),
-    "overlap_matrix": (overlap_matrix, "WITH s(n, a) AS (VALUES (0, '.records[*]'), (1, '.metadata'), (2, '.records[2].x'), (3, '.'), (4, '[]'), (5, '[*]')) SELECT x.a AS a, y.a AS b, (x.n = y.n OR x.n = 3 OR y.n = 3 OR (least(x.n, y.n), greatest(x.n, y.n)) IN ((0, 2), (0, 4), (1, 4), (2, 4))) AS overlap FROM s AS x, s AS y"),
-    "duplicates_policies": (duplicates_policies, "SELECT * FROM (VALUES (CAST(1 AS BIGINT), '{\"a\":3,\"b\":{\"c\":2}}', 'last_wins'), (2, '{\"x\":[{\"y\":2}]}', 'last_wins'), (3, '{\"p\":1}', 'last_wins'), (1, '{\"a\":1,\"b\":{\"c\":1}}', 'first_wins'), (2, '{\"x\":[{\"y\":1}]}', 'first_wins'), (3, '{\"p\":1}', 'first_wins')) AS t(doc_id, text, policy)"),
-    "duplicates_rejected": (duplicates_rejected, "SELECT * FROM (VALUES (CAST(1 AS BIGINT), '.b', 'DUPLICATE_MEMBER'), (2, '.x', 'DUPLICATE_MEMBER')) AS t(doc_id, path, code)"),
-    "tree_contract": (tree_contract, "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(3 AS BIGINT), 'DUPLICATE_MEMBER'), (2, 1, 'STREAMABILITY_UNKNOWN'), (3, 1, 'STREAMABILITY_UNKNOWN'), (4, 1, 'STREAMABILITY_UNKNOWN'), (5, 1, 'STREAMABILITY_UNKNOWN'), (6, 0, 'STREAMABILITY_UNKNOWN')) AS t(doc_id, seq, code)"),
-    "protocol_errors": (protocol_errors, "SELECT * FROM (VALUES (CAST(2 AS BIGINT), CAST(1 AS BIGINT), 'PROTOCOL_ORDER_ERROR'), (3, 1, 'PROTOCOL_ORDER_ERROR'), (4, 1, 'PROTOCOL_ORDER_ERROR'), (5, 1, 'PROTOCOL_ORDER_ERROR'), (6, 0, 'PROTOCOL_ORDER_ERROR')) AS t(doc_id, seq, code)"),
     "scan_running_sum": (scan_running_sum, "SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS state FROM conversations"),
     "scan_fold": (scan_fold, "WITH t AS (SELECT conv_id, turn, sum(length(text)) AS n FROM conversations GROUP BY 1, 2) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS op, '+' || n AS out FROM t UNION ALL SELECT conv_id, -1, '=' || sum(n) FROM t GROUP BY conv_id"),
-    "lexeme_rule": (lexeme_rule, "SELECT * FROM (VALUES ('1.50', true, '1.5'), ('1e2', true, '100'), ('01', false, '1'), ('+1', false, '1'), ('.5', false, '0.5'), ('-0', true, '-0'), ('1.', false, '1'), ('12345678901234567890', true, '12345678901234567000'), ('x', false, NULL), ('1E+3', true, '1000')) AS t(lexeme, json_number, shown)"),
     "jsonl_source": (jsonl_source, _NATION),
     "jsonc_source": (jsonc_source, _NATION),
     "csv_source": (csv_source, _NATION),
@@ -303,9 +251,15 @@ _ALL = {
 }
 
 
+def _all() -> dict:
+    from . import rules
+
+    return _ALL | rules.ALL
+
+
 def queries() -> dict:
-    return {name: query for name, (query, _) in _ALL.items()}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}

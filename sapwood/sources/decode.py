@@ -14,7 +14,6 @@ import re
 import sys
 import xml.etree.ElementTree as ET
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,84 +169,166 @@ DECODERS = {"json": _json, "jsonl": _jsonl, "jsonc": _jsonc, "csv": _csv, "toml"
 _NUMBER = re.compile(r"-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
 
 
-def walk(value, duplicates: str) -> list[tuple]:
-    """The nodes of one value in document order. duplicates: last_wins keeps a member's first place and
+class Columns:
+    """Rows of a node table as they come from documents, column by column; the paths and ancestors lie flat."""
+
+    SCALARS = ("pre", "last", "depth", "kind", "bool", "num", "lexeme", "str", "size")
+
+    def __init__(self):
+        for name in (*self.SCALARS, "of", "fail", "keys", "indexes", "above"):
+            setattr(self, name, [])
+        self.path_ends, self.above_ends = [0], [0]
+
+    def __len__(self) -> int:
+        return len(self.kind)
+
+    def broken(self, of: int, message: str, row: int | None, col: int | None) -> None:
+        for name in self.SCALARS:
+            getattr(self, name).append(None)
+        self.path_ends.append(None)
+        self.above_ends.append(None)
+        self.of.append(of)
+        self.fail.append({"code": "INPUT_INVALID", "message": message, "row": row, "col": col})
+
+    def batch(self, ids, names: list[str], fail_type):
+        """One Arrow batch of all rows so far."""
+        import pyarrow as pa
+
+        def lists(ends, values):
+            # an end without a value is a null list; the one before it stands for it
+            valid, offsets, at = [], [0], 0
+            for e in ends[1:]:
+                valid.append(e is not None)
+                at = at if e is None else e
+                offsets.append(at)
+            mask = None if all(valid) else pa.array([not v for v in valid], pa.bool_())
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=mask)
+
+        def text(values):
+            try:
+                return pa.array(values, pa.string())
+            except UnicodeEncodeError:  # half a surrogate pair is no character
+                return pa.array([None if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
+
+        path = pa.StructArray.from_arrays([text(self.keys), pa.array(self.indexes, pa.int32())], ["key", "idx"])
+        made = [
+            ids.take(pa.array(self.of, pa.int64())), pa.array(self.pre, pa.int64()), pa.array(self.last, pa.int64()), pa.array(self.depth, pa.int32()),
+            lists(self.path_ends, path), lists(self.above_ends, pa.array(self.above, pa.int64())), pa.array(self.kind, pa.string()), pa.array(self.bool, pa.bool_()),
+            pa.array(self.num, pa.float64()), pa.array(self.lexeme, pa.string()), text(self.str), pa.array(self.size, pa.int32()), pa.array(self.fail, fail_type),
+        ]
+        return pa.RecordBatch.from_arrays(made, names)
+
+
+def walk(value, duplicates: str, into: Columns, of: int) -> None:
+    """Appends the nodes of one value in document order. duplicates: last_wins keeps a member's first place and
     last value, first_wins its first, all every occurrence."""
-    rows: list[list] = []
+    first = len(into)
+    pre, last, depths, kinds, bools, nums, lexemes, strs, sizes = (getattr(into, n).append for n in Columns.SCALARS)
+    ofs, fails, path_end, above_end = into.of.append, into.fail.append, into.path_ends.append, into.above_ends.append
+    all_keys, all_indexes, all_above = into.keys, into.indexes, into.above
 
     def members(pairs):
         if duplicates == "all":
-            return list(pairs)
+            return pairs
         out = {}
         for k, v in pairs:
             if duplicates == "last_wins" or k not in out:
                 out[k] = v
-        return list(out.items())
+        return out.items()
 
     # a stack of iterators, so that depth is not bound by Python's
-    def enter(v, path, above, depth):
-        pre = len(rows)
-        row = [pre, pre, depth, path, [*above, pre], "string", None, None, None, None, 0]
-        rows.append(row)
-        if isinstance(v, (Pairs, dict)):
-            row[5] = "object"
-            inner = [((k, None), c) for k, c in members(v.items() if isinstance(v, dict) else v)]
+    def enter(v, keys, indexes, above, depth):
+        n = len(into.kind) - first
+        all_keys.extend(keys)
+        all_indexes.extend(indexes)
+        all_above.extend(above)
+        all_above.append(n)
+        path_end(len(all_keys))
+        above_end(len(all_above))
+        pre(n)
+        last(n)
+        ofs(of)
+        fails(None)
+        truth = number = text = string = inner = None
+        size = 0
+        if isinstance(v, str):
+            kind, string = "string", str(v)
+        elif v is None:
+            kind = "null"
+        elif isinstance(v, bool):
+            kind, truth = "bool", v
+        elif isinstance(v, (int, float)):
+            kind, number = "number", float(v)
+            text = getattr(v, "text", None)
+            text = text if text is not None and _NUMBER.match(text) else None
+        elif isinstance(v, (Pairs, dict)):
+            kind = "object"
+            found = members(v.items() if isinstance(v, dict) else v)
+            inner, size, depth = iter(found), len(found), depth + 1
         elif isinstance(v, (list, tuple)):
-            row[5] = "array"
-            inner = [((None, i), c) for i, c in enumerate(v)]
+            kind, inner, size, depth = "array", enumerate(v), len(v), depth + 1
         else:
-            if v is None:
-                row[5] = "null"
-            elif isinstance(v, bool):
-                row[5], row[6] = "bool", v
-            elif isinstance(v, (int, float)):
-                row[5], row[7] = "number", float(v)
-                text = getattr(v, "text", None)
-                row[8] = text if text is not None and _NUMBER.match(text) else None
-            else:
-                row[9] = str(v)
-            return None
-        row[2], row[10] = depth + 1, len(inner)
-        return row, iter(inner), path, depth + 1
-
-    stack = [f] if (f := enter(value, [], [], 0)) else []
+            kind, string = "string", str(v)
+        depths(depth)
+        kinds(kind)
+        bools(truth)
+        nums(number)
+        lexemes(text)
+        strs(string)
+        sizes(size)
+        return None if inner is None else (n, inner, kind == "object", keys, indexes, [*above, n], depth)
+
+    stack = [f] if (f := enter(value, [], [], [], 0)) else []
     while stack:
-        row, inner, path, depth = stack[-1]
+        n, inner, named, keys, indexes, above, depth = stack[-1]
         for step, child in inner:
-            if deeper := enter(child, [*path, step], row[4], depth):
+            if deeper := enter(child, [*keys, step if named else None], [*indexes, None if named else step], above, depth):
                 stack.append(deeper)
                 break
         else:
-            row[1] = len(rows) - 1
+            into.last[first + n] = len(into.kind) - first - 1
             stack.pop()
-    return rows
+
+
+#: Rows from which on the nodes of the documents so far are passed on.
+ROWS = 20_000
 
 
 def nodes(docs: DataFrame, key: str = "doc_id", content: str = "content", format: str | None = None, lexemes: bool = False, duplicates: str = "last_wins") -> DataFrame:
     """The node table of documents: key, the NODE_FIELDS and ``fail`` (null but for a document that cannot be read,
-    which has one row with null fields). The format is a literal or the column ``format`` of docs."""
+    which has one row with null fields). The format is a literal or the column ``format`` of docs.
+
+    A task holds the nodes of one document and about ROWS more. Half of a surrogate pair in a text becomes "?".
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    from ..functions.failures import FAIL_TYPE
+
     named = docs.select(F.col(key).alias("_id"), F.col(content).alias("_content"), (F.lit(format) if format else F.col("format")).alias("_format"))
+    shape = f"_id {dict(named.dtypes)['_id']}, {NODE_FIELDS}, fail {FAIL_TYPE}"
+    names = ["_id", *(f.name for f in _parse_datatype_string(NODE_FIELDS).fields), "fail"]
+    fail_type = to_arrow_type(_parse_datatype_string(FAIL_TYPE))
 
     def run(batches):
-        for p in batches:
-            out = []
-            for i, (content_, fmt) in enumerate(zip(p["_content"], p["_format"], strict=True)):
+        for b in batches:
+            out = Columns()
+            for i, (text, fmt) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 try:
                     if fmt not in DECODERS:
                         raise Malformed(f"no decoder for {fmt}")
-                    if content_ is None:
+                    if text is None:
                         raise Malformed("no content")
-                    text = content_.decode() if isinstance(content_, (bytes, bytearray)) else content_
-                    out += [(i, *r, None) for r in walk(DECODERS[fmt](text, lexemes), duplicates)]
+                    walk(DECODERS[fmt](text.decode() if isinstance(text, bytes) else text, lexemes), duplicates, out, i)
                 except (Malformed, UnicodeDecodeError, csv.Error, RecursionError) as e:
-                    out.append((i, *[None] * 11, ("INPUT_INVALID", str(e), None, None, None, getattr(e, "row", None), getattr(e, "col", None))))
-            frame = pd.DataFrame(out, columns=["at", "pre", "last", "depth", "path", "ancestors", "kind", "bool", "num", "lexeme", "str", "size", "fail"])
-            frame.insert(0, "_id", p["_id"].to_numpy()[frame.pop("at").to_numpy(int)] if len(frame) else [])
-            yield frame.astype({"pre": "Int64", "last": "Int64", "depth": "Int32", "size": "Int32", "bool": "boolean"})
-
-    from ..functions.failures import FAIL_TYPE
-
-    return named.mapInPandas(run, f"_id {dict(named.dtypes)['_id']}, {NODE_FIELDS}, fail {FAIL_TYPE}").withColumnRenamed("_id", key)
+                    out.broken(i, str(e), getattr(e, "row", None), getattr(e, "col", None))
+                if len(out) >= ROWS:
+                    yield out.batch(b.column(0), names, fail_type)
+                    out = Columns()
+            if len(out):
+                yield out.batch(b.column(0), names, fail_type)
+
+    return named.mapInArrow(run, shape).withColumnRenamed("_id", key)
 
 
 def formats(spark) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.failures import FAIL_TYPE, Limits, exceeded
 from ..operators.values import number_text
 
 
@@ -21,12 +22,25 @@ def csv_lines(rows: DataFrame, key: str = "doc_id", missing: str | None = "") ->
     return rows.select(key, "row_no", F.array_join(F.transform("cells", quote), ",").alias("line"))
 
 
+def within(lines: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text: str = "line", newline: int = 1) -> DataFrame:
+    """lines with ``written`` (bytes of a document's text up to and with this line) and ``fail``, up to the first line
+    that goes beyond max_output_bytes; that line has the failure and no text."""
+    done = F.sum(F.octet_length(text) + newline).over(Window.partitionBy(key).orderBy("row_no"))
+    out = lines.withColumn("written", done)
+    if limits.max_output_bytes is None:
+        return out.withColumn("fail", F.lit(None).cast(FAIL_TYPE))
+    over = F.col("written") > limits.max_output_bytes
+    out = out.where(~over | (F.col("written") - F.octet_length(text) - newline <= limits.max_output_bytes))
+    fail = F.when(over, exceeded("max_output_bytes", limits.max_output_bytes)).cast(FAIL_TYPE)
+    return out.withColumn("fail", fail).withColumn(text, F.when(~over, F.col(text)))
+
+
 def write_csv(rows: DataFrame, labels: list[str], path: str, missing: str | None = "") -> None:
     """Many-file CSV with a header, every field quoted, CRLF; a table without columns is refused."""
     if not labels:
         raise ValueError("OUTPUT_FAILED: a table without columns")
     named = rows.select(*[cell_text(F.get("cells", F.lit(i)), missing).alias(f"c{i}") for i in range(len(labels))])
-    named.toDF(*labels).write.option("quoteAll", True).option("emptyValue", '""').option("header", True).option("lineSep", "\r\n").csv(path)
+    named.toDF(*labels).write.option("quoteAll", True).option("escape", '"').option("emptyValue", '""').option("header", True).option("lineSep", "\r\n").csv(path)
 
 
 def records(rows: DataFrame, schemas: DataFrame, key: str = "doc_id") -> DataFrame:

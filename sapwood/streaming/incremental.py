@@ -20,8 +20,10 @@ def stream_nodes(docs: DataFrame, format: str, **options) -> DataFrame:
 
 
 def each_batch(docs: DataFrame, work, path: str, checkpoint: str):
-    """Runs work(batch DataFrame) -> DataFrame on every micro-batch and appends its rows to Parquet at path."""
-    return docs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: work(batch).write.mode("append").parquet(path)).trigger(availableNow=True).start()
+    """Runs work(batch DataFrame) -> DataFrame on every micro-batch and writes its rows to Parquet at path, in the
+    folder batch=<its number>. A batch that is tried again replaces its own folder, so no row is written twice."""
+    keep = lambda batch, n: work(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+    return docs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
 
 
 def stream_scan(df: DataFrame, key: str, item: str, initial: float, step) -> DataFrame:
