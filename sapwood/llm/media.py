@@ -16,7 +16,7 @@ from .webp_batch import decode_many
 from .webp_encode import encode_samples
 
 #: Bytes, and images, taken at one time, unless one image is larger.
-CHUNK, IMAGES = 1 << 22, 4_000
+CHUNK, IMAGES = 1 << 21, 4_000
 
 
 def chunked(values: list[bytes | None]):

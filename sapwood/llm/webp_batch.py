@@ -26,79 +26,8 @@ class _Slow(Exception):
     """An image that the one-by-one decoder must read."""
 
 
-def _lengths(bits: Bits, alphabet: int) -> np.ndarray:
-    """The code lengths of one code, read with few calls."""
-    out = np.zeros(alphabet, np.int64)
-    if bits.read(1):
-        two, wide = bits.read(1), bits.read(1)
-        for symbol in [bits.read(8 if wide else 1), *([bits.read(8)] if two else [])]:
-            if symbol >= alphabet:
-                raise Broken("a symbol outside the alphabet")
-            out[symbol] = 1
-        return out
-    first = [0] * 19
-    for i in range(4 + bits.read(4)):
-        first[LENGTH_ORDER[i]] = bits.read(3)
-    left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    size, table = _table(np.array(first))
-    entry, mask = table.tolist(), (1 << size) - 1
-    data, p, held, before = bits.data, bits.at, [], 8
-    data = data + b"\0\0\0" if (p >> 3) + 3 > len(data) else data
-    limit = len(data) - 3
-    n = 0
-    while n < alphabet and left:
-        left -= 1
-        a = p >> 3
-        if a > limit:
-            raise Broken("the bits end early")
-        window = (data[a] | data[a + 1] << 8 | data[a + 2] << 16) >> (p & 7)
-        e = entry[window & mask]
-        symbol, used = e & 0xFFF, e >> 12
-        if symbol < 16:
-            held.append(symbol)
-            before = symbol or before
-            n += 1
-            p += used
-            continue
-        window >>= used
-        if symbol == 16:
-            value, times, used = before, 3 + (window & 3), used + 2
-        elif symbol == 17:
-            value, times, used = 0, 3 + (window & 7), used + 3
-        else:
-            value, times, used = 0, 11 + (window & 127), used + 7
-        p += used
-        n += times
-        held.extend([value] * times)
-    if n > alphabet:
-        raise Broken("code lengths run over")
-    bits.at = p
-    if p > bits.end:
-        raise Broken("the bits end early")
-    out[: len(held)] = held
-    return out
-
-
-def _table(lengths: np.ndarray) -> tuple[int, np.ndarray]:
-    """(bits looked at, symbol | length << 12 for each value of these bits)."""
-    used = np.flatnonzero(lengths)
-    if not len(used):
-        raise Broken("a code without symbols")
-    if len(used) == 1:
-        return 0, used.astype(np.int32)
-    order = used[np.argsort(lengths[used], kind="stable")]
-    n = lengths[order]
-    most = int(n[-1])
-    if most > LONGEST:
-        raise _Slow
-    times = 1 << (most - n)
-    if times.sum() != 1 << most:
-        raise Broken("a code that is not complete")
-    return most, np.repeat((order | n << 12).astype(np.int32), times)[_REVERSED[most]]
-
-
 class _Head:
-    """One image's sizes, transforms and codes; bits stand at its first pixel code."""
+    """One image's sizes and transforms; its prefix codes are read with those of others."""
 
     def __init__(self, file: bytes):
         bits = Bits(payload_of(file) + b"\0" * 8)
@@ -110,43 +39,172 @@ class _Head:
             raise Broken("colour cache too large")
         if bits.read(1):  # several groups of codes: which one depends on the place
             raise _Slow
-        alphabet = 280 + (1 << self.cache if self.cache else 0)
-        self.codes = [_table(_lengths(bits, a)) for a in (alphabet, 256, 256, 256, 40)]
-        if not any(size for size, _ in self.codes[:4]) and self.codes[0][1][0] >= 256:
-            raise _Slow
-        self.data, self.begin, self.end = bits.data, bits.at, bits.end
-        self.count = self.inner * self.height
+        self.bits, self.count, self.error = bits, self.inner * self.height, None
+
+
+_TABLES: dict[tuple[int, ...], np.ndarray] = {}
+
+
+def _first_table(lengths: tuple[int, ...]) -> np.ndarray:
+    """symbol | length << 5 for each value of seven bits, of a code of code lengths."""
+    if (found := _TABLES.get(lengths)) is None:
+        used = [s for s, n in enumerate(lengths) if n]
+        if not used:
+            raise Broken("a code without symbols")
+        if len(used) == 1:
+            found = np.full(128, used[0], np.int64)
+        else:
+            order = np.array(sorted(used, key=lambda s: (lengths[s], s)))
+            n = np.array(lengths)[order]
+            if (1 << (7 - n)).sum() != 128:
+                raise Broken("a code that is not complete")
+            found = np.repeat(order | n << 5, 1 << (7 - n))[_REVERSED[7]]
+        if len(_TABLES) > 4096:
+            _TABLES.clear()
+        _TABLES[lengths] = found
+    return found
+
+
+def _window(heads: list[_Head]):
+    """The bits of all images as one string, and where each image's begin."""
+    sizes = [len(h.bits.data) for h in heads]
+    raw = np.frombuffer(b"".join(h.bits.data for h in heads) + b"\0" * 8, np.uint8).astype(np.uint32)
+    window = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+    top = len(window) - 1
+
+    def look(pos):
+        return window[np.minimum(pos >> 3, top)] >> (pos & 7).astype(np.uint32)
+
+    return look, 8 * (np.cumsum(sizes) - sizes)
 
-    def constant(self) -> np.ndarray | None:
-        """The stored pixels where every code has one symbol."""
-        if any(size for size, _ in self.codes[:4]):
-            return None
-        green, red, blue, alpha = (int(table[0]) for _, table in self.codes[:4])
-        return np.full(self.count, alpha << 24 | red << 16 | green << 8 | blue, np.int64)
+
+def _begin_code(bits: Bits, alphabet: int):
+    """A simple code's symbols, or (table of the code of code lengths, code lengths that follow at most)."""
+    if bits.read(1):
+        two, wide = bits.read(1), bits.read(1)
+        symbols = [bits.read(8 if wide else 1), *([bits.read(8)] if two else [])]
+        if max(symbols) >= alphabet:
+            raise Broken("a symbol outside the alphabet")
+        return symbols, None, 0
+    first = [0] * 19
+    for i in range(4 + bits.read(4)):
+        first[LENGTH_ORDER[i]] = bits.read(3)
+    left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
+    return None, _first_table(tuple(first)), left
+
+
+def _read_codes(heads: list[_Head], look, origin: np.ndarray) -> list[np.ndarray]:
+    """The code lengths of the five codes of all images: rows of a matrix for each kind of code. The codes of one kind
+    are read at the same time, one code length of each image at a step."""
+    out = []
+    for kind in range(5):
+        alphabets = np.array([(280 + (1 << h.cache if h.cache else 0), 256, 256, 256, 40)[kind] for h in heads])
+        lengths = np.zeros((len(heads), int(alphabets.max())), np.int8)
+        rows, tables, left = [], [], []
+        for k, h in enumerate(heads):
+            if h.error is None:
+                try:
+                    symbols, table, n = _begin_code(h.bits, int(alphabets[k]))
+                except (Broken, IndexError) as e:
+                    h.error = e if isinstance(e, Broken) else Broken(str(e))
+                    continue
+                if symbols is not None:
+                    lengths[k, symbols] = 1
+                else:
+                    rows.append(k)
+                    tables.append(table)
+                    left.append(n)
+        if not rows:
+            out.append(lengths)
+            continue
+        row, table, left = np.array(rows), np.concatenate(tables), np.array(left)
+        base = 128 * np.arange(len(row))
+        pos = origin[row] + np.array([heads[k].bits.at for k in rows])
+        end = origin[row] + np.array([heads[k].bits.end for k in rows])
+        at, before, size = np.zeros(len(row), np.int64), np.full(len(row), 8), alphabets[row]
+        live = np.arange(len(row))
+        while len(live):
+            window = look(pos[live])
+            e = table[base[live] + (window & np.uint32(127))]
+            symbol, used = e & 31, e >> 5
+            plain = symbol < 16
+            some = live[plain]
+            lengths[row[some], at[some]] = symbol[plain]
+            some = live[plain & (symbol > 0)]
+            before[some] = symbol[plain & (symbol > 0)]
+            window = (window >> used.astype(np.uint32)).astype(np.int64)
+            times = np.where(plain, 1, np.where(symbol == 16, 3 + (window & 3), np.where(symbol == 17, 3 + (window & 7), 11 + (window & 127))))
+            for i in np.flatnonzero(symbol == 16):
+                j = live[i]
+                lengths[row[j], at[j] : min(at[j] + times[i], size[j])] = before[j]
+            pos[live] += used + np.where(plain, 0, np.where(symbol == 16, 2, np.where(symbol == 17, 3, 7)))
+            at[live] += times
+            left[live] -= 1
+            live = live[(at[live] < size[live]) & (left[live] > 0) & (pos[live] <= end[live])]
+        for j, k in enumerate(rows):
+            heads[k].bits.at = int(pos[j] - origin[k])
+            if at[j] > size[j] or pos[j] > end[j]:
+                heads[k].error = Broken("code lengths run over" if at[j] > size[j] else "the bits end early")
+        out.append(lengths)
+    return out
+
+
+def _code_tables(heads: list[_Head], lengths: list[np.ndarray]):
+    """(table, base, mask): for kind c and image k the entries base[c, k] .. base[c, k] + mask[c, k] of table, each
+    symbol | length << 12 for a value of the next bits. Images with codes that are not complete, or too long, get an error."""
+    tables, base, mask, filled = [], np.zeros((5, len(heads)), np.int64), np.zeros((5, len(heads)), np.uint32), 0
+    for c, rows in enumerate(lengths):
+        owner, symbol = np.nonzero(rows)
+        n = rows[owner, symbol].astype(np.int64)
+        count = np.bincount(owner, minlength=len(heads))
+        most = np.zeros(len(heads), np.int64)
+        np.maximum.at(most, owner, n)
+        most[count == 1] = 0
+        units = np.bincount(owner, 2.0 ** -n, minlength=len(heads))
+        for k in np.flatnonzero((count == 0) | ((count > 1) & (units != 1)) | (most > LONGEST)):
+            if heads[k].error is None:
+                heads[k].error = Broken("a code without symbols" if not count[k] else "a code that is not complete") if most[k] <= LONGEST or units[k] != 1 else _Slow()
+        good = np.array([h.error is None for h in heads])
+        keep = good[owner]
+        owner, symbol, n = owner[keep], symbol[keep], n[keep]
+        n = np.where(count[owner] == 1, 0, n)
+        order = np.argsort(owner << 4 | n, kind="stable")
+        owner, symbol, n = owner[order], symbol[order], n[order]
+        size = np.where(good, 1 << most, 0)
+        begin = np.cumsum(size) - size
+        plain = np.repeat(symbol | n << 12, 1 << (most[owner] - n)).astype(np.int32)
+        table = np.empty_like(plain)
+        for bits in np.unique(most[good]):
+            which = np.flatnonzero(good & (most == bits))
+            at = begin[which][:, None]
+            table[at + np.arange(1 << bits)] = plain[at + _REVERSED[bits][None, :]]
+        base[c], mask[c] = filled + begin, (1 << most) - 1
+        filled += len(table)
+        tables.append(table)
+    return np.concatenate(tables), base, mask
 
 
 def decode_many(files: list[bytes]) -> list[np.ndarray | Broken]:
     """The ARGB values (uint32, height x width) of every file, or why it has none."""
     out: list = [None] * len(files)
+
+    def alone(i):
+        try:
+            return decode(files[i])
+        except (Broken, IndexError) as e:
+            return e if isinstance(e, Broken) else Broken(str(e))
+
     heads = []
     for i, f in enumerate(files):
         try:
-            head = _Head(f)
-            stored = head.constant()
-            if stored is None:
-                heads.append((i, head))
-            else:
-                out[i] = _finished(head, stored)
+            heads.append((i, _Head(f)))
         except _Slow:
-            try:
-                out[i] = decode(f)
-            except (Broken, IndexError) as e:
-                out[i] = e if isinstance(e, Broken) else Broken(str(e))
+            out[i] = alone(i)
         except (Broken, IndexError) as e:
             out[i] = e if isinstance(e, Broken) else Broken(str(e))
     if heads:
         for (i, head), stored in zip(heads, _pixels([h for _, h in heads]), strict=True):
-            out[i] = stored if isinstance(stored, Broken) else _finished(head, stored)
+            out[i] = alone(i) if isinstance(stored, _Slow) else stored if isinstance(stored, Broken) else _finished(head, stored)
     return out
 
 
@@ -154,35 +212,18 @@ def _finished(head: _Head, stored: np.ndarray) -> np.ndarray:
     return undo_transforms(stored, head.height, head.undo).reshape(head.height, head.width)
 
 
-def _tokens(heads: list[_Head]):
+def _tokens(heads: list[_Head], look, origin: np.ndarray, table: np.ndarray, base: np.ndarray, mask: np.ndarray):
     """(image, value, length, distance) of all pixel codes in order. Literals: length 0, distance 0, the
     value; cache codes: length 0, distance -1, the cache place; back-references: both above 0."""
-    tables, bases, masks, filled = [], [], [], 0
-    for h in heads:
-        for size, table in h.codes:
-            bases.append(filled)
-            masks.append((1 << size) - 1)
-            tables.append(table)
-            filled += len(table)
-    table = np.concatenate(tables)
-    base, mask = np.array(bases).reshape(-1, 5).T.copy(), np.array(masks, np.uint32).reshape(-1, 5).T.copy()
-    origin, at, starts, ends, image = [], 0, [], [], []
+    starts, ends, image = [], [], []
     for k, h in enumerate(heads):
-        cut = np.arange(h.begin, max(h.end, h.begin + 1), STRETCH) + 8 * at
+        cut = np.arange(h.bits.at, max(h.bits.end, h.bits.at + 1), STRETCH) + origin[k]
         starts.append(cut)
-        ends.append(np.append(cut[1:], 8 * at + h.end))
+        ends.append(np.append(cut[1:], origin[k] + h.bits.end))
         image.append(np.full(len(cut), k))
-        origin.append(at)
-        at += len(h.data)
-    raw = np.frombuffer(b"".join(h.data for h in heads) + b"\0" * 8, np.uint8).astype(np.uint32)
-    window = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
     first = np.concatenate([[0], np.cumsum([len(s) for s in starts])[:-1]])
     start, end, image = np.concatenate(starts), np.concatenate(ends), np.concatenate(image)
     widths = np.array([h.inner for h in heads])
-    top = len(window) - 1
-
-    def look(pos):
-        return window[np.minimum(pos >> 3, top)] >> (pos & 7).astype(np.uint32)
 
     leave, settled = start.copy(), np.zeros(len(start), np.int64)
     leads = np.zeros(len(start), bool)
@@ -246,9 +287,29 @@ def _number(symbol: np.ndarray, pos: np.ndarray, look) -> tuple[np.ndarray, np.n
     return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + got) + 1, pos + extra
 
 
-def _pixels(heads: list[_Head]) -> list[np.ndarray | Broken]:
+def _pixels(heads: list[_Head]) -> list[np.ndarray | Broken | _Slow]:
     """The stored pixels of every image."""
-    image, value, length, far = _tokens(heads)
+    look, origin = _window(heads)
+    table, base, mask = _code_tables(heads, _read_codes(heads, look, origin))
+    out: list = [h.error for h in heads]
+    some = []
+    for k, h in enumerate(heads):
+        if out[k] is None:
+            if mask[:4, k].any():
+                some.append(k)
+                continue
+            # codes of one symbol each take no bits: one colour, or what only the one-by-one decoder reads
+            green, red, blue, alpha = (int(table[base[c, k]]) & 0xFFF for c in range(4))
+            out[k] = _Slow() if green >= 256 else np.full(h.count, alpha << 24 | red << 16 | green << 8 | blue, np.int64)
+    if some:
+        which = np.array(some)
+        for k, got in zip(some, _resolved([heads[k] for k in some], *_tokens([heads[k] for k in some], look, origin[which], table, base[:, which], mask[:, which])), strict=True):
+            out[k] = got
+    return out
+
+
+def _resolved(heads: list[_Head], image: np.ndarray, value: np.ndarray, length: np.ndarray, far: np.ndarray) -> list[np.ndarray | Broken]:
+    """The stored pixels of images from their pixel codes."""
     count = np.array([h.count for h in heads])
     first = np.searchsorted(image, np.arange(len(heads) + 1))
     take = np.maximum(length, 1).astype(np.int64)

@@ -60,69 +60,76 @@ def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
 REVERSED = np.array([int(f"{i:0{LONGEST}b}"[::-1], 2) for i in range(1 << LONGEST)])
 
 
-def codes(lengths: np.ndarray) -> np.ndarray:
-    """Canonical codes, bits reversed as they are written; a lone symbol takes no bits."""
-    out, used = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths)
-    if len(used) > 1:
-        order = used[np.argsort(lengths[used], kind="stable")]
-        n = lengths[order]
-        out[order] = REVERSED[np.concatenate([[0], np.cumsum(1 << (LONGEST - n))[:-1]])]
-    return out
-
-
-def _put_lengths(put: list, lengths: np.ndarray) -> None:
-    """A code's description as (value, bits) pieces."""
+def codes(lengths: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, bits) of every symbol: canonical codes, bits reversed as they are written; owner tells which code a
+    length belongs to, in order. A code's lone symbol takes no bits."""
+    out, bits = np.zeros(len(lengths), np.int64), lengths.copy()
     used = np.flatnonzero(lengths)
-    if not len(used):
-        put.append((1, 4))
-        return
-    if len(used) == 1 and used[0] < 256:
-        s = int(used[0])
-        put += [(1, 3), (s, 1)] if s < 2 else [(5, 3), (s, 8)]
-        return
-    edge = np.flatnonzero(np.diff(lengths)) + 1
-    steps = []  # (symbol, extra value, extra bits)
-    for value, n in zip(lengths[np.concatenate([[0], edge])].tolist(), np.diff(np.concatenate([[0], edge, [len(lengths)]])).tolist(), strict=True):
-        if value:
-            steps.append((value, 0, 0))
-            n -= 1
-        while n:
-            if not value and n >= 11:
-                took = min(n, 138)
-                steps.append((18, took - 11, 7))
-            elif not value and n >= 3:
-                took = min(n, 10)
-                steps.append((17, took - 3, 3))
-            elif value and n >= 3:
-                took = min(n, 6)
-                steps.append((16, took - 3, 2))
-            else:
-                took = 1
-                steps.append((value, 0, 0))
-            n -= took
-    first = code_lengths(np.bincount([s for s, _, _ in steps], minlength=19), LONGEST_FIRST)
-    code, size = codes(first).tolist(), first.tolist()
-    if sum(map(bool, size)) == 1:
-        size = [0] * 19
-    said = [int(first[s]) for s in LENGTH_ORDER]
-    count = max(4, max(i for i, n in enumerate(said) if n) + 1)
-    put += [(0, 1), (count - 4, 4), *((n, 3) for n in said[:count]), (0, 1)]
-    for s, extra, n in steps:
-        put.append((code[s] | extra << size[s], size[s] + n))
+    used = used[np.argsort(owner[used] << 4 | lengths[used], kind="stable")]
+    n, of = lengths[used], owner[used]
+    units = 1 << (LONGEST - n)
+    begin = np.cumsum(units) - units
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
+    count = np.diff(np.append(first, len(of)))
+    out[used] = REVERSED[(begin - np.repeat(begin[first], count)) & ((1 << LONGEST) - 1)]
+    bits[used[first[count == 1]]] = 0
+    return out, bits
+
+
+#: How often the code lengths 0 to 11 and the two runs of zeros come about, in small images of text.
+_USUAL = {0: 12, 1: 1, 2: 2, 3: 4, 4: 8, 5: 14, 6: 16, 7: 16, 8: 12, 9: 8, 10: 4, 11: 2, 17: 14, 18: 6}
+_FIRST = code_lengths(np.array([_USUAL.get(s, 0) for s in range(19)]), LONGEST_FIRST)
+_FIRST_CODE, _FIRST_BITS = codes(_FIRST, np.zeros(19, np.int64))
+#: The beginning of a description: no simple code, all 19 lengths of the code of code lengths, the whole alphabet.
+_OPENING = 15 << 1 | sum(int(_FIRST[s]) << (5 + 3 * i) for i, s in enumerate(LENGTH_ORDER))
+
+
+def _descriptions(lengths: np.ndarray, owner: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, value, bits) pieces that describe n codes, in order; start: where each code's lengths begin."""
+    used = np.flatnonzero(lengths)
+    count = np.bincount(owner[used], minlength=n)
+    lone = np.zeros(n, np.int64)
+    lone[owner[used]] = used - start[owner[used]]
+    normal = (count > 1) | (lone > 255)
+    none, low = count == 0, (count == 1) & (lone < 2)
+    every = np.arange(n)
+    # one piece for each code, and the symbol of a simple one
+    head = np.where(normal, _OPENING, np.where(none, 1, np.where(low, 1 | lone << 3, 5 | lone << 3)))
+    head_bits = np.where(normal, 63, np.where(none | low, 4, 11))
+    kept = np.flatnonzero(normal[owner])
+    value, of = lengths[kept], owner[kept]
+    edge = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (of[1:] != of[:-1])])) if len(kept) else np.empty(0, np.int64)
+    run = np.diff(np.append(edge, len(kept)))
+    zero = value[edge] == 0 if len(kept) else np.empty(0, bool)
+    at, z = edge[zero], run[zero]
+    full, rest = z // 138, z % 138
+    some = np.flatnonzero(value)
+    last, few, single = rest >= 11, (rest >= 3) & (rest < 11), np.where(rest < 3, rest, 0)
+    place = np.concatenate([some, np.repeat(at, full), at[last], at[few], np.repeat(at, single)])
+    symbol = np.concatenate([value[some], np.full(int(full.sum()) + int(last.sum()), 18), np.full(int(few.sum()), 17), np.zeros(int(single.sum()), np.int64)])
+    extra = np.concatenate([np.zeros(len(some), np.int64), np.full(int(full.sum()), 127), rest[last] - 11, rest[few] - 3, np.zeros(int(single.sum()), np.int64)])
+    size = np.zeros(19, np.int64)
+    size[[17, 18]] = 3, 7
+    order = np.argsort(place, kind="stable")
+    place, symbol, extra = place[order], symbol[order], extra[order]
+    code = np.concatenate([every, of[place]])
+    v = np.concatenate([head, _FIRST_CODE[symbol] | extra << _FIRST_BITS[symbol]])
+    b = np.concatenate([head_bits, _FIRST_BITS[symbol] + size[symbol]])
+    order = np.argsort(code, kind="stable")
+    return code[order], v[order], b[order]
 
 
 def _put_small(put: list, pixels: np.ndarray) -> None:
     """A transform's own image: literals only."""
     channels = [pixels >> s & 255 for s in (8, 16, 0, 24)]
-    sizes, coded = [], []
-    put.append((0, 1))
-    for at, c in enumerate([*channels, np.empty(0, np.int64)]):
-        lengths = code_lengths(np.bincount(c, minlength=(280, 256, 256, 256, 40)[at]))
-        _put_lengths(put, lengths)
-        coded.append(codes(lengths))
-        sizes.append(lengths if (lengths > 0).sum() > 1 else np.zeros_like(lengths))
+    sizes = np.array([280, 256, 256, 256, 40])
+    start, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(5), sizes)
+    lengths = np.concatenate([code_lengths(np.bincount(c, minlength=n)) for c, n in zip([*channels, np.empty(0, np.int64)], sizes, strict=True)])
+    _, value, bits = _descriptions(lengths, owner, start, 5)
+    put += [(0, 1), *zip(value.tolist(), bits.tolist(), strict=True)]
+    code, width = codes(lengths, owner)
     for values in zip(*channels, strict=True):
-        put += [(int(coded[k][v]), int(sizes[k][v])) for k, v in enumerate(values)]
+        put += [(int(code[start[k] + v]), int(width[start[k] + v])) for k, v in enumerate(values)]
 
 
 def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,58 +315,51 @@ def encode_images(images: list[np.ndarray]) -> list[bytes]:
     d_sym, d_extra, d_bits = _prefix(away[at] + 120)
     green = np.where(kind == 2, 256 + n_sym, np.where(kind == 1, 280 + key[at].astype(np.int64), value >> 8 & 255))
 
-    alphabet = 280 + np.where(bits > 0, 1 << bits, 0)
-    offset = np.cumsum(alphabet) - alphabet
-    lit, cop = kind == 0, kind == 2
-    counts = np.bincount(offset[owner] + green, minlength=int(alphabet.sum()))
-    others = [np.bincount(owner[lit] << 8 | value[lit] >> s & 255, minlength=len(size) << 8).reshape(-1, 256) for s in (16, 0, 24)]
-    others.append(np.bincount(owner[cop] * 40 + d_sym[cop], minlength=len(size) * 40).reshape(-1, 40))
-    code = [np.zeros(len(counts), np.uint64), *(np.zeros(o.shape, np.uint64) for o in others)]
-    width = [np.zeros(len(counts), np.uint64), *(np.zeros(o.shape, np.uint64) for o in others)]
+    # the codes of all images one after another: of each image green, red, blue, alpha, distance
+    sizes = np.tile(np.array([280, 256, 256, 256, 40]), (len(size), 1))
+    sizes[:, 0] += np.where(bits > 0, 1 << bits, 0)
+    start = (np.cumsum(sizes) - sizes.ravel()).reshape(-1, 5)
+    of = np.repeat(np.arange(sizes.size), sizes.ravel())
+    lit, cop = np.flatnonzero(kind == 0), np.flatnonzero(kind == 2)
+    begin = start[owner]
+    spots = [begin[:, 0] + green, *(begin[lit, c] + (value[lit] >> s & 255) for c, s in ((1, 16), (2, 0), (3, 24))), begin[cop, 4] + d_sym[cop]]
+    counts = np.bincount(np.concatenate(spots), minlength=int(sizes.sum()))
+    lengths = np.zeros(len(counts), np.int64)
+    for a, n in zip(start.ravel().tolist(), sizes.ravel().tolist(), strict=True):
+        lengths[a : a + n] = code_lengths(counts[a : a + n])
     for k, head in enumerate(held.heads):
         head += [(0, 1), (1, 1), (int(bits[k]), 4)] if bits[k] else [(0, 1), (0, 1)]
         head.append((0, 1))  # one group of codes
-        for c in range(5):
-            some = slice(offset[k], offset[k] + alphabet[k]) if not c else k
-            lengths = code_lengths(counts[some] if not c else others[c - 1][k])
-            _put_lengths(head, lengths)
-            if np.count_nonzero(lengths) > 1:
-                code[c][some], width[c][some] = codes(lengths), lengths
+    told, told_value, told_bits = _descriptions(lengths, of, start.ravel(), sizes.size)
+    code, width = (x.astype(np.uint64) for x in codes(lengths, of))
 
-    g = offset[owner] + green
-    word, wide = code[0][g], width[0][g]
+    word, wide = code[spots[0]], width[spots[0]]
 
     def more(rows, v, n):
         word[rows] |= v << wide[rows]
         wide[rows] += n
 
-    lit, cop = np.flatnonzero(lit), np.flatnonzero(cop)
-    for c, s in ((1, 16), (2, 0), (3, 24)):
-        v = value[lit] >> s & 255
-        more(lit, code[c][owner[lit], v], width[c][owner[lit], v])
+    for spot in spots[1:4]:
+        more(lit, code[spot], width[spot])
     more(cop, n_extra[cop].astype(np.uint64), n_bits[cop].astype(np.uint64))
-    more(cop, code[4][owner[cop], d_sym[cop]], width[4][owner[cop], d_sym[cop]])
+    more(cop, code[spots[4]], width[spots[4]])
     more(cop, d_extra[cop].astype(np.uint64), d_bits[cop].astype(np.uint64))
-    return _files(held.heads, np.searchsorted(owner, np.arange(len(size) + 1)), word, wide)
-
-
-def _files(heads: list, first: np.ndarray, word: np.ndarray, wide: np.ndarray) -> list[bytes]:
-    """Heads and pixel codes packed bit by bit, each image from a 64-bit word of its own on."""
-    head_n = np.array([len(h) for h in heads])
-    flat = np.array([p for h in heads for p in h], np.uint64).reshape(-1, 2)
-    body_n = np.diff(first)
-    total = head_n + body_n
-    base = np.cumsum(total) - total
-    v, n = np.empty(int(total.sum()), np.uint64), np.empty(int(total.sum()), np.int64)
-    slot = np.repeat(base, head_n) + np.arange(len(flat)) - np.repeat(np.cumsum(head_n) - head_n, head_n)
-    v[slot], n[slot] = flat[:, 0], flat[:, 1]
-    slot = np.repeat(base + head_n, body_n) + np.arange(len(word)) - np.repeat(first[:-1], body_n)
-    v[slot], n[slot] = word, wide
+    flat = np.array([p for h in held.heads for p in h], np.uint64).reshape(-1, 2)
+    of_head = np.repeat(np.arange(len(size)), [len(h) for h in held.heads])
+    pieces = [np.concatenate(x) for x in ((of_head, told // 5, owner), (flat[:, 0], told_value.astype(np.uint64), word), (flat[:, 1], told_bits.astype(np.uint64), wide))]
+    order = np.argsort(pieces[0], kind="stable")
+    return _files(len(size), *(x[order] for x in pieces))
+
+
+def _files(count: int, owner: np.ndarray, v: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Pieces (value, bits) of the images in order, packed bit by bit, each image from a 64-bit word of its own on."""
+    n = n.astype(np.int64)
     run = np.concatenate([[0], np.cumsum(n)])
-    used = run[base + total] - run[base]
+    first = np.searchsorted(owner, np.arange(count + 1))
+    used = run[first[1:]] - run[first[:-1]]
     words = (used + 63) // 64 + 1
     origin = np.cumsum(words) - words
-    at = run[:-1] + np.repeat(origin * 64 - run[base], total)
+    at = run[:-1] + (origin * 64 - run[first[:-1]])[owner]
     some = n > 0
     v, n, at = v[some], n[some], at[some]
     cell, shift = at >> 6, (at & 63).astype(np.uint64)

@@ -153,7 +153,9 @@ def features(file):
     head = webp_batch._Head(file)
     if head.cache:
         found.add("cache")
-    if head.constant() is None and (webp_batch._tokens([head])[2] > 0).any():
+    look, origin = webp_batch._window([head])
+    codes = webp_batch._code_tables([head], webp_batch._read_codes([head], look, origin))
+    if codes[2][:4].any() and (webp_batch._tokens([head], look, origin, *codes)[2] > 0).any():
         found.add("back-reference")
     return found
 
@@ -293,7 +295,7 @@ def test_features_of_the_tables_texts():
     """Files of documents need back-references, the colour cache and palettes; all come from the encoder's own choice."""
     import pandas as pd
 
-    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")["text"]
+    texts = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")["text"]
     rows = [media.payload(t)[1] for t in texts]
     files = webp_encode.encode_samples(rows)
     count = {}
