@@ -3,14 +3,18 @@ containment verifies them.
 
 A template of n words belongs to the class c, the power of two from n on (8 at least). A text is
 seen through windows of 2c words at every c/2 words, so any run of 3c/2 words lies whole in one.
-From a template at containment 0.8 in such a window follows a least Jaccard similarity j; bands of
-one value collide with chance j each, so MISS fixes the number of bands of a class. Windows without
-any shingle of any template cannot collide and are passed over.
+From a template at the scan's containment in such a window follows a least Jaccard similarity j;
+bands of one value collide with chance j each, so MISS fixes the number of bands of a class, for any
+containment. Windows without any shingle of a class's templates cannot collide and are passed over.
+
+The built-in templates are short notices and openings, and whole texts, named with a final "-text".
 """
 
 from __future__ import annotations
 
 import math
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -26,6 +30,9 @@ MISS = 1e-6
 #: Templates that are sent to the tasks at one time; more are taken in blocks, each against all rows.
 BLOCK = 10_000
 
+#: Folder of whole licence texts, read by the driver only.
+TEXTS = Path(__file__).parent / "licence_texts"
+
 #: Public notices and the opening of public licence texts.
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
@@ -52,6 +59,18 @@ def bands(length_class: int, containment: float = CONTAINMENT, miss: float = MIS
     return math.ceil(math.log(miss) / math.log(1 - j))
 
 
+@cache
+def multipliers(n: int) -> np.ndarray:
+    """n different odd factors of hash functions; the first are those of the signatures."""
+    more = np.random.default_rng(12).integers(1, 1 << 63, max(n - len(_MULTIPLIERS), 0), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.concatenate([_MULTIPLIERS, more])[:n]
+
+
+def built_in() -> list[tuple[str, str]]:
+    """The notices and openings, and the whole texts."""
+    return [*TEMPLATES.items(), *((f"{p.stem}-text", p.read_text()) for p in sorted(TEXTS.glob("*.txt")))]
+
+
 class Templates:
     def __init__(self, rows: list[tuple[str, str | None]], containment: float = CONTAINMENT):
         self.classes: dict[int, list[tuple[str, np.ndarray]]] = {}
@@ -61,31 +80,34 @@ class Templates:
                 length = max(8, 1 << (len(words) - 1).bit_length())
                 self.classes.setdefault(length, []).append((name, np.unique(shingle_sequence(words))))
         self.containment = containment
-        self.all = np.unique(np.concatenate([s for c in self.classes.values() for _, s in c])) if self.classes else np.empty(0, np.uint64)
-        with np.errstate(over="ignore"):
-            self.tokens = {c: np.stack([(s[:, None] * self.functions(c)).min(0) for _, s in held]) for c, held in self.classes.items()}
+        self.shingles = {c: np.unique(np.concatenate([s for _, s in held])) for c, held in self.classes.items()}
+        self.functions = {c: multipliers(bands(c, containment)) for c in self.classes}
+        self.tokens = {c: np.stack([self._least(s, c) for _, s in held]) for c, held in self.classes.items()}
 
-    @staticmethod
-    def functions(length_class: int) -> np.ndarray:
-        return _MULTIPLIERS[: min(bands(length_class), len(_MULTIPLIERS))]
+    def _least(self, shingles: np.ndarray, length_class: int) -> np.ndarray:
+        """MinHash tokens of a set, in parts of its shingles so that memory stays bounded."""
+        out = np.full(len(self.functions[length_class]), np.iinfo(np.uint64).max, np.uint64)
+        with np.errstate(over="ignore"):
+            for a in range(0, len(shingles), 4096):
+                np.minimum(out, (shingles[a : a + 4096, None] * self.functions[length_class]).min(0), out=out)
+        return out
 
     def find(self, shingles: np.ndarray) -> list[tuple[str, float, int, int]]:
         """(template, containment, first shingle, last shingle) of each occurrence in one text's shingle sequence."""
-        if not len(self.all) or not len(shingles):
-            return []
-        place = np.minimum(np.searchsorted(self.all, shingles), len(self.all) - 1)
-        hits = np.flatnonzero(self.all[place] == shingles)
-        if not len(hits):
+        if not len(shingles):
             return []
         found = []
         for length, held in self.classes.items():
+            known = self.shingles[length]
+            hits = np.flatnonzero(known[np.minimum(np.searchsorted(known, shingles), len(known) - 1)] == shingles)
+            if not len(hits):
+                continue
             step, width = length // 2, 2 * length - WORDS + 1
             starts = np.unique(np.concatenate([np.maximum(hits // step - k, 0) for k in range(-(-width // step) + 1)])) * step
             spans: dict[str, list[tuple[int, int, float]]] = {}
             for a in starts[starts < len(shingles)]:
                 window = shingles[a : a + width]
-                with np.errstate(over="ignore"):
-                    token = (window[:, None] * self.functions(length)).min(0)
+                token = self._least(window, length)
                 for t in np.flatnonzero((self.tokens[length] == token).any(1)):
                     name, own = held[t]
                     at = np.flatnonzero(np.isin(window, own))
@@ -122,7 +144,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id
     empty result. Only the key and ``text`` of docs are read.
     """
     if templates is None:
-        blocks = [list(TEMPLATES.items())]
+        blocks = [built_in()]
     else:
         named = templates.select(F.col("template_id").cast("string").alias("n"), "text").where("text is not null")
         n = max(1, -(-named.count() // BLOCK))
