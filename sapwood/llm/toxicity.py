@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 from .quality import SAMPLE_ROWS, labelled_sample
-from .trees import Tree, boost, isotonic, sigmoid
+from .trees import Tree, boost, isotonic
 
 TREES, DEPTH = 40, 3
 #: Learned words and beginnings at most; the share of toxic sample rows (and the number) that must use one, and the least likelihood ratio.
@@ -89,16 +89,15 @@ class Model:
         return self.base + sum((t.predict(x) for t in self.trees), np.zeros(len(x)))
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Calibrated probability, nine parts; one part is the uncalibrated one, which keeps the order within a step."""
-        z = self.raw(x)
-        return 0.9 * np.interp(z, *self.knots) + 0.1 * sigmoid(z)
+        """The isotonic fit of the trees' sum."""
+        return np.interp(self.raw(x), *self.knots)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Trees from four fifths of the sample, calibration on the rest. No rows or one label: the label's share."""
+    """Lexicon and trees from four fifths of the sample, calibration on the rest. No rows or one label: the label's share."""
     sample = labelled_sample(docs, labels, "toxic")
-    learned = learn_lexicon(sample)
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(5)).alias("_fold")
+    learned = learn_lexicon(sample.where(fold != 0))
 
     @F.pandas_udf("array<double>")
     def measured(texts: pd.Series) -> pd.Series:

@@ -93,16 +93,16 @@ def boost(x: np.ndarray, y: np.ndarray, n_trees: int, depth: int, rate: float =
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing step fit of y by score (pool adjacent violators)."""
+    """Knots of the non-decreasing fit of y by score: pool adjacent violators, then each pooled block's mean at the
+    mean of its scores. Between knots the fit is a straight line, so it keeps the order of scores."""
     order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []  # sum, count, lowest score, highest score
+    blocks: list[list[float]] = []  # sum, count, lowest score, highest score, sum of scores
     for s, v in zip(score[order], y[order], strict=True):
-        blocks.append([float(v), 1.0, float(s), float(s)])
+        blocks.append([float(v), 1.0, float(s), float(s), float(s)])
         while len(blocks) > 1 and (blocks[-2][3] == blocks[-1][2] or blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]):
-            v, c, _, hi = blocks.pop()
+            v, c, _, hi, total = blocks.pop()
             blocks[-1][0] += v
             blocks[-1][1] += c
             blocks[-1][3] = hi
-    xs = np.array([e for b in blocks for e in (b[2], b[3])])
-    ys = np.array([m for b in blocks for m in [b[0] / b[1]] * 2])
-    return xs, ys
+            blocks[-1][4] += total
+    return np.array([b[4] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
