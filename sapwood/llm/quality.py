@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import free_name, held_out, table
 from .trees import boost, sigmoid
 
 #: Labelled rows that the model is fitted on, at most; taken by hash of the id.
@@ -142,14 +142,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Rules:
 
 
 def score(docs: DataFrame, model: Rules, into: str = "score") -> DataFrame:
-    """docs with one more column. The statistics are columns of their own for a while, so each is computed once."""
+    """docs with one more column, named by into (a column of that name is replaced); all others stay, whatever their names. The statistics are columns of their own for a while, so each is computed once."""
     stats = {n: c for n, c in statistics(F.col("text")).items()}
     used = {model.names[f] for c, _ in model.rules for f, _, _ in c}
     # the row number, never below 0, keeps a filter on the score from being pushed beneath the
     # statistics, where each rule would compute its own again
-    wide = docs.withColumns({f"_q_{n}": c for n, c in stats.items() if n in used} | {"_q_row": F.monotonically_increasing_id()})
-    scored = wide.withColumn(into, F.when(F.col("_q_row") < 0, 0.0).otherwise(model.column({n: F.col(f"_q_{n}") for n in stats})))
-    return scored.drop("_q_row", *[f"_q_{n}" for n in used])
+    name = free_name(docs, "_q")
+    held = F.struct(F.monotonically_increasing_id().alias("row"), *[c.alias(n) for n, c in stats.items() if n in used])
+    wide = docs.withColumn(name, held)
+    return wide.withColumn(into, F.when(F.col(name)["row"] < 0, 0.0).otherwise(model.column({n: F.col(name)[n] for n in stats}))).drop(name)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, texts: DataFrame | None = None) -> DataFrame:
@@ -157,7 +158,8 @@ def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, t
 
     The rules are fitted on the labelled rows of texts (docs, if None).
     """
-    return score(docs, fit(docs if texts is None else texts, labels), "_q_score").where(F.col("_q_score") >= threshold).drop("_q_score")
+    name = free_name(docs, "_score")
+    return score(docs, fit(docs if texts is None else texts, labels), name).where(F.col(name) >= threshold).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
