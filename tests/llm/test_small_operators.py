@@ -14,7 +14,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sapwood.llm import embedding_dedup, licences, mixing, packing, quality, secrets, tokens, toxicity
+from sapwood.llm import embedding_dedup, licences, mixing, packing, quality, secrets, tokens, toxicity, trees
 from sapwood.llm.common import held_out
 
 SF = "/root/testdata/sf0.01"
@@ -151,21 +151,75 @@ def test_secret_columns_and_redaction(spark):
     assert secrets.scan(docs.limit(0)).collect() == []
 
 
-def test_licences_equal_containment_of_every_window(spark):
-    mit = licences.TEMPLATES["mit"]
-    words = mit.split()
-    torn = " ".join("zzz" if i % 29 == 28 else w for i, w in enumerate(words))
-    rows = [(1, "word " * 50 + licences.TEMPLATES["apache-2.0-notice"] + " tail" * 9), (2, "lorem " * 77 + mit + " ipsum" * 30 + mit.upper()), (3, torn), (4, " ".join(words[: len(words) // 2])), (5, None), (6, ""), (7, "nothing here " * 40), (1, licences.TEMPLATES["cc-by-nc-4.0-notice"])]
-    docs = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id long, text string, template_id string")
-    got = licences.scan(docs).collect()
-    seen = sorted((r["doc_id"], r["template_id"]) for r in got)
-    assert seen == [(1, "apache-2.0-notice"), (1, "cc-by-nc-4.0-notice"), (2, "mit"), (2, "mit")] + ([(3, "mit")] if any(r["doc_id"] == 3 for r in got) else [])
+def words_of(text):
+    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())
+
+
+def grams(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def contained(text, templates, least):
+    """(template) that some window of the text holds at the least containment, by plain sets over every window."""
+    words, out = words_of(text), set()
+    for name, template in templates:
+        own = words_of(template)
+        if not own or not words:
+            continue
+        c = max(8, 1 << (len(own) - 1).bit_length())
+        for a in range(0, len(words), c // 2):
+            if len(grams(own) & grams(words[a : a + 2 * c])) >= least * len(grams(own)):
+                out.add(name)
+                break
+    return out
+
+
+def marred(rng, text, share):
+    return " ".join(w if rng.random() > share else "changed" for w in text.split())
+
+
+@pytest.mark.parametrize("least", [0.8, 0.3])
+def test_licences_equal_containment_of_every_window(spark, least):
+    rng = random.Random(7)
+    templates = [t for t in licences.built_in() if len(t[1]) < 3000]
+    rows = [None, "", "nothing here " * 40, " ".join(licences.TEMPLATES["mit"].split()[:25])]
+    for name, text in templates:
+        for share in (0.0, 0.01, 0.03, 0.1):
+            rows.append("lorem ipsum " * rng.randint(0, 60) + marred(rng, text, share) + " dolor sit" * rng.randint(0, 60))
+    rows.append(" ".join(t for _, t in templates))
+    docs = spark.createDataFrame([(d, t, "c") for d, t in enumerate(rows)], "doc_id long, text string, template_id string")
+    own = spark.createDataFrame([*templates, ("none", None), ("blank", " ")], "template_id string, text string")
+    got = {(r["doc_id"], r["template_id"]) for r in licences.scan(docs, own, containment=least).collect()}
+    assert got == {(d, n) for d, t in enumerate(rows) for n in contained(t, templates, least)}
+    assert licences.scan(docs.limit(0)).collect() == []
+
+
+def test_licences_of_the_table_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    short = [t for t in licences.built_in() if len(t[1]) < 3000]
+    got = {(r["doc_id"], r["template_id"]) for r in licences.query(spark, "/root/testdata/sf0.001").collect()}
+    want = {(r["doc_id"], n) for r in docs.collect() for n in contained(r["text"], short, 0.8)}
+    assert {g for g in got if g[1] in dict(short)} == want and want
+
+
+def test_licence_places_and_whole_texts(spark):
+    mit, whole = licences.TEMPLATES["mit"], dict(licences.built_in())
+    rows = [(1, "word " * 50 + licences.TEMPLATES["apache-2.0-notice"] + " tail" * 9), (2, "lorem " * 77 + mit + " ipsum" * 30 + mit.upper()), (1, licences.TEMPLATES["cc-by-nc-4.0-notice"]), (3, "a b c " * 400 + marred(random.Random(1), whole["gpl-3-text"], 0.01) + " end")]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["template_id"]) for r in got if r["doc_id"] < 3) == [(1, "apache-2.0-notice"), (1, "cc-by-nc-4.0-notice"), (2, "mit"), (2, "mit")]
     apache = next(r for r in got if r["template_id"] == "apache-2.0-notice")
     assert (apache["first_word"], apache["last_word"], apache["containment"]) == (50, 57, 1.0)
-    own = spark.createDataFrame([("t", "one two three four five six"), ("none", None), ("blank", " ")], "template_id string, text string")
-    assert [r["template_id"] for r in licences.scan(spark.createDataFrame([(1, "x one two three four five six y")], "doc_id long, text string"), own).collect()] == ["t"]
-    assert licences.scan(docs.limit(0)).collect() == []
-    assert all((1 - 1 / (2 * c)) ** licences.bands(c) < 1 for c in (8, 16, 64))
+    assert "gpl-3-text" in {r["template_id"] for r in got if r["doc_id"] == 3}
+
+
+def test_bands_keep_the_promise_at_any_containment():
+    for least in (0.8, 0.5, 0.3, 0.1):
+        for c in (8, 16, 64, 1024, 8192):
+            shortest = max((c // 2 + 1 if c > 8 else 1) - 4, 1)
+            shared = math.ceil(least * shortest)
+            j = shared / (2 * c - 4 + shortest - shared)
+            n = licences.bands(c, least)
+            assert (1 - j) ** n <= licences.MISS and len(set(licences.multipliers(n).tolist())) == n
 
 
 def test_tokens_equal_the_tokenizers_own():
@@ -282,6 +336,63 @@ def test_classifiers_hold_out(spark, module, label, threshold, least):
     assert module.score(odd.limit(0), model).collect() == []
 
 
+def test_compiled_rules_equal_numpy(spark):
+    """The column expression against the same conjunctions over collected statistics, on other columns' clashing names too."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "x " * 4000), (-4, "!\n\n | A1")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(odd).selectExpr("*", "1 AS _q", "2 AS `_q_log_words`", "3 AS _score", "'s' AS score")
+    stats = quality.statistics(rows.text)
+    held = rows.select("doc_id", *[c.alias(n) for n, c in stats.items()]).toPandas().set_index("doc_id")
+    z = np.full(len(held), model.intercept)
+    for conditions, weight in model.rules:
+        z += weight * np.logical_and.reduce([(held[model.names[f]] > t) == above for f, above, t in conditions])
+    want = dict(zip(held.index, 1 / (1 + np.exp(-z)), strict=True))
+    scored = quality.score(rows, model)
+    assert scored.columns == ["doc_id", "text", "_q", "_q_log_words", "_score", "score"]
+    got = scored.collect()
+    assert len(got) == len(held) and all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9) for r in got)
+    assert {(r["_q"], r["_q_log_words"], r["_score"]) for r in got} == {(1, 2, 3)}
+
+
+def test_isotonic_is_the_least_squares_step_fit():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal(400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-2 * x))).astype(float)
+    knots, means = trees.isotonic(x, y)
+    assert (np.diff(knots) > 0).all() and (np.diff(means) > 0).all() and 0 <= means.min() and means.max() <= 1
+    # the fit of each point is the min-max mean over the intervals that hold it
+    order = np.argsort(x)
+    s = np.concatenate([[0], np.cumsum(y[order])])
+    fit = [max(min((s[b + 1] - s[a]) / (b + 1 - a) for b in range(i, 400)) for a in range(i + 1)) for i in range(400)]
+    assert np.allclose(sorted(set(np.round(fit, 9))), sorted(set(np.round(means, 9))))
+
+
+def test_toxicity_score_is_the_isotonic_fit_and_keeps_columns(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    texts = [r["text"] for r in docs.limit(50).collect()] + [None, "", "you IDIOT!!"]
+    x = toxicity.matrix(texts, model.lexicon)
+    got = {r["n"]: r["score"] for r in toxicity.score(spark.createDataFrame([(i, t, "q") for i, t in enumerate(texts)], "n int, text string, score string"), model).collect()}
+    raw = model.base + sum(t.predict(x) for t in model.trees)
+    assert np.allclose([got[i] for i in range(len(texts))], np.interp(raw, *model.knots))
+
+
+def test_mixing_without_keys_and_many_sources(spark):
+    """Rows without a key are taken each by itself, and a thousand sources get the targets of the plain sharing."""
+    rows = [(None, f"w{i} " * (1 + i % 9), "a" if i % 40 else "rare") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(spark, docs).collect()
+    for source in ("a", "rare"):
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["size"] * r["copies"] for r in mine) - mine[0]["target"]) <= 9
+    rng = random.Random(3)
+    many = spark.createDataFrame([(i, "w " * rng.randint(1, 30), f"s{rng.randrange(1000)}") for i in range(3000)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(spark, many).collect()
+    want = shares({r["source"]: r["source_size"] for r in got})
+    assert all(math.isclose(r["target"], want[r["source"]], rel_tol=1e-9) for r in got)
+
+
 def test_quality_rules_are_sparse_and_filter_keeps_columns(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels)
