@@ -134,6 +134,49 @@ def test_secrets_repeated_in_one_text_are_each_found(spark, pack):
     assert secrets.scan(clean).first()["secrets"]["spans"] == ""
 
 
+def wrapped(rng, text, depth):
+    """text under layers drawn at random; packed bytes are always written as base64."""
+    for _ in range(depth):
+        raw = text.encode()
+        kind = rng.randrange(6)
+        if kind == 0:
+            text = "".join(f"%{b:02X}" for b in raw)
+        elif kind == 1:
+            text = "".join(f"\\u{ord(c):04x}" for c in text)
+        elif kind == 2:
+            text = "".join(f"&#{ord(c)};" for c in text)
+        elif kind == 3:
+            text = base64.b64encode(raw).decode()
+        elif kind == 4:
+            text = base64.urlsafe_b64encode(gzip.compress(zlib.compress(raw) if rng.random() < 0.5 else raw)).decode()
+        else:
+            run = base64.b64encode(bz2.compress(raw) if rng.random() < 0.5 else lzma.compress(raw)).decode()
+            text = "\n".join(textwrap.wrap(run, 76)) if rng.random() < 0.5 else run
+    return text
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_secrets_under_random_layers_are_found_at_each_place(seed):
+    rng = random.Random(seed)
+    parts, places = ["begin "], []
+    for n in range(4):
+        run = wrapped(rng, f"password={'abcdefghij'[n] * 12}", rng.randint(1, 4))
+        for _ in range(rng.randint(1, 3)):
+            at = sum(map(len, parts))
+            places.append((at, at + len(run)))
+            parts += [run, rng.choice([" and then ", "\n\n", " ; "])]
+    text = "".join(parts) + "the end"
+    spans = [s for s in secrets.find(text)[1] if s[0] == "assign"]
+    for a, b in places:
+        assert any(a <= x < y <= b for _, x, y in spans), (seed, text[a:b][:80])
+    clean, last = [], 0
+    for _, a, b in secrets.find(text)[1]:
+        if a >= last:
+            clean += [text[last:a], "[secret]"]
+        last = max(last, b)
+    assert secrets.find("".join([*clean, text[last:]]))[1] == []
+
+
 def test_secrets_end_on_cycles_bombs_and_broken_layers():
     bomb = base64.b64encode(gzip.compress(b"a" * (secrets.LAYER_BYTES + 10))).decode()
     for text in ["%25" * 50, "%zz %4", "\\u00e9\\ud800", bomb, "A" * 5000, "&#99999999;", base64.b64encode(b"\x1f\x8bnot gzip at all, really").decode(), None, ""]:
