@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 BATCH = 10_000
 
 
+def stay(state) -> tuple:
+    """A step's result: the state, and no output."""
+    return state, []
+
+
+def emit(state, *outputs) -> tuple:
+    """A step's result: the next state and its outputs in order."""
+    return state, list(outputs)
+
+
 def scan_emit(df: DataFrame, key: str, order: str, initial, step, finish, item: str = "item", stop: str | None = None) -> DataFrame:
     """key, op, ord, out: the outputs (strings) of a fold over each key's items in order.
 

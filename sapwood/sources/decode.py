@@ -80,7 +80,11 @@ def _csv(text: str, lexemes: bool):
     is named by its column's number from 1 (with underscores before it where the header has that name).
     Long cells are left to the limits."""
     csv.field_size_limit(sys.maxsize)
-    rows = [r for r in csv.reader(io.StringIO(text, newline=""), strict=True) if r]
+    reader = csv.reader(io.StringIO(text, newline=""), strict=True)
+    try:
+        rows = [r for r in reader if r]
+    except csv.Error as e:
+        raise Malformed(str(e), reader.line_num) from None
     names = list(rows[0]) if rows else []
     taken = set(names)
     for n in range(len(names) + 1, max(map(len, rows), default=0) + 1):
@@ -98,7 +102,8 @@ def _toml(text: str, lexemes: bool):
     try:
         return tomllib.loads(text)
     except tomllib.TOMLDecodeError as e:
-        raise Malformed(str(e)) from None
+        at = re.search(r"at line (\d+), column (\d+)", str(e))  # the position is told in the message only
+        raise Malformed(str(e), *(map(int, at.groups()) if at else ())) from None
 
 
 def _ini(text: str, lexemes: bool):
@@ -108,7 +113,8 @@ def _ini(text: str, lexemes: bool):
     try:
         read.read_string("[\0]\n" + text)
     except configparser.Error as e:
-        raise Malformed(str(e)) from None
+        lines = [n for n, _ in getattr(e, "errors", [])] or [getattr(e, "lineno", None)]
+        raise Malformed(str(e), lines[0] and lines[0] - 1) from None  # one line stands before the text
     return dict(read["\0"].items()) | {s: dict(read[s].items()) for s in read.sections() if s != "\0"}
 
 
@@ -320,7 +326,7 @@ def nodes(docs: DataFrame, key: str = "doc_id", content: str = "content", format
                     if text is None:
                         raise Malformed("no content")
                     walk(DECODERS[fmt](text.decode() if isinstance(text, bytes) else text, lexemes), duplicates, out, i)
-                except (Malformed, UnicodeDecodeError, csv.Error, RecursionError) as e:
+                except (Malformed, UnicodeDecodeError, RecursionError) as e:
                     out.broken(i, str(e), getattr(e, "row", None), getattr(e, "col", None))
                 if len(out) >= ROWS:
                     yield out.batch(b.column(0), names, fail_type)

@@ -193,6 +193,13 @@ def test_half_characters_and_many_rows_in_one_batch(spark, monkeypatch):
     assert nodes(docs, format="json").where("fail is not null").count() == 1
 
 
+def test_failures_tell_where(spark):
+    rows = [("json", '{"a": 1,\n "b": }', 2, 7), ("toml", "a = 1\nb = = 2\n", 2, 5), ("ini", "[s]\na = 1\nnothing\n", 3, None), ("csv", 'a,b\n1,2\n3,"x\n', 3, None), ("yaml", "a: 1\nb: [1\n", 3, 1), ("xml", "<a>\n<b></a>", 2, 6), ("tsv", "a", None, None)]
+    docs = spark.createDataFrame([(i, f, t) for i, (f, t, *_) in enumerate(rows)], "doc_id long, format string, content string")
+    got = {r["doc_id"]: (r["fail"]["code"], r["fail"]["row"], r["fail"]["col"]) for r in nodes(docs).collect()}
+    assert got == {i: ("INPUT_INVALID", row, col) for i, (_, _, row, col) in enumerate(rows)}
+
+
 def test_csv_cells_beyond_the_header_and_of_any_length(spark):
     long = "x" * 200_000
     docs = spark.createDataFrame([(1, f"a,b\n1,{long}\n2\n"), (2, "a,3\n1,2,3,4\n")], "doc_id long, content string")

@@ -27,3 +27,10 @@ def test_a_fold_goes_on_over_batches_and_never_holds_a_whole_key(spark):
     want = {"hot": list(range(1000)), "b": [7, 5], None: [3, 4]}
     expected = [(k, op, n, o) for k, xs in want.items() for op, x in enumerate(xs) for n, o in enumerate((f"+{x}", "stop"))] + [(k, -1, 0, f"={sum(xs)}") for k, xs in want.items()]
     assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
+
+
+def test_steps_may_stay_or_emit(spark):
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([3, -1, 4])], "k string, o long, item long")
+    step = lambda s, x: scan.stay(s) if x < 0 else scan.emit(s + x, s, x)
+    got = scan.scan_emit(df, "k", "o", 0, step, lambda s: [s]).orderBy("op", "ord").collect()
+    assert [(r["op"], r["out"]) for r in got] == [(-1, "7"), (0, "0"), (0, "3"), (2, "3"), (2, "4")]
