@@ -50,7 +50,15 @@ def failure(code: str, message: str, path: Column | None = None, limit: str | No
     if code not in CODES:
         raise ValueError(code)
     null = F.lit(None)
-    return F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"), (null.cast("string") if path is None else path).alias("path"), F.lit(limit).cast("string").alias("limit"), F.lit(bound).cast("bigint").alias("bound"), null.cast("int").alias("row"), null.cast("int").alias("col"))
+    return F.struct(
+        F.lit(code).alias("code"),
+        F.lit(message).alias("message"),
+        (null.cast("string") if path is None else path).alias("path"),
+        F.lit(limit).cast("string").alias("limit"),
+        F.lit(bound).cast("bigint").alias("bound"),
+        null.cast("int").alias("row"),
+        null.cast("int").alias("col"),
+    )
 
 
 def exceeded(name: str, bound: int, path: Column | None = None) -> Column:

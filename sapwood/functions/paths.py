@@ -86,7 +86,9 @@ def quoted_json(text: Column) -> Column:
 
 def display(path: Column) -> Column:
     """A path column as text: plain names after a dot, other names quoted, numbers in brackets, '.' for the root."""
-    step = lambda s: F.when(s["idx"].isNotNull(), F.concat(F.lit("["), s["idx"].cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.when(s["key"].rlike(_PLAIN_KEY), s["key"]).otherwise(quoted_json(s["key"]))))
+    step = lambda s: F.when(s["idx"].isNotNull(), F.concat(F.lit("["), s["idx"].cast("string"), F.lit("]"))).otherwise(
+        F.concat(F.lit("."), F.when(s["key"].rlike(_PLAIN_KEY), s["key"]).otherwise(quoted_json(s["key"])))
+    )
     return F.when(F.size(path) == 0, F.lit(".")).otherwise(F.array_join(F.transform(path, step), ""))
 
 

@@ -18,12 +18,38 @@ def placed(events: DataFrame, key: str = "doc_id") -> DataFrame:
     step = F.when(F.col("kind").isin(*STARTS), 1).when(F.col("kind").isin(*ENDS), -1).otherwise(0)
     order = Window.partitionBy(key).orderBy("seq")
     e = events.withColumn("_after", F.sum(step).over(order)).withColumn("level", F.col("_after") - F.when(step > 0, 1).otherwise(0))
-    opener = e.where(F.col("kind").isin(*STARTS)).select(key, F.col("seq").alias("_seq"), (F.col("level") + 1).alias("level"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("key_name"), F.struct("seq", "kind").alias("_open"))
-    item = e.select(key, F.col("seq").alias("_seq"), "level", "kind", "key_name", F.lit(None).cast("struct<seq: bigint, kind: string>").alias("_open"))
+    opener = e.where(F.col("kind").isin(*STARTS)).select(
+        key,
+        F.col("seq").alias("_seq"),
+        (F.col("level") + 1).alias("level"),
+        F.lit(None).cast("string").alias("kind"),
+        F.lit(None).cast("string").alias("key_name"),
+        F.struct("seq", "kind").alias("_open"),
+    )
+    item = e.select(
+        key,
+        F.col("seq").alias("_seq"),
+        "level",
+        "kind",
+        "key_name",
+        F.lit(None).cast("struct<seq: bigint, kind: string>").alias("_open"),
+    )
     on_level = Window.partitionBy(key, "level").orderBy("_seq", F.col("_open").isNotNull().cast("int"))
-    both = item.unionByName(opener.withColumn("_open", F.col("_open").cast("struct<seq: bigint, kind: string>"))).withColumn("_in", F.last("_open", True).over(on_level))
+    both = item.unionByName(
+        opener.withColumn("_open", F.col("_open").cast("struct<seq: bigint, kind: string>"))
+    ).withColumn("_in", F.last("_open", True).over(on_level))
     inside = Window.partitionBy(key, "level", "_in").orderBy("_seq")
-    return both.where("kind is not null").withColumn("before", F.lag("kind").over(inside)).withColumn("nth", F.row_number().over(inside)).select(key, F.col("_seq").alias("seq"), "level", "kind", "key_name", F.col("_in.seq").alias("container"), F.col("_in.kind").alias("inside"), "before", "nth")
+    return both.where("kind is not null").withColumn("before", F.lag("kind").over(inside)).withColumn("nth", F.row_number().over(inside)).select(
+        key,
+        F.col("_seq").alias("seq"),
+        "level",
+        "kind",
+        "key_name",
+        F.col("_in.seq").alias("container"),
+        F.col("_in.kind").alias("inside"),
+        "before",
+        "nth",
+    )
 
 
 def tree_contract(events: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -45,7 +71,10 @@ def tree_contract(events: DataFrame, key: str = "doc_id") -> DataFrame:
         | ((kind == "end") & ((F.col("level") != 0) | (F.col("nth") == 1)))
         | (just == "end")
     )
-    again = F.when(kind == "key", F.row_number().over(Window.partitionBy(key, "container", "level", "kind", "key_name").orderBy("seq")) > 1).otherwise(False)
+    again = F.when(
+        kind == "key",
+        F.row_number().over(Window.partitionBy(key, "container", "level", "kind", "key_name").orderBy("seq")) > 1,
+    ).otherwise(False)
     code = F.when(malformed, "STREAMABILITY_UNKNOWN").when(again, "DUPLICATE_MEMBER")
     bad = p.withColumn("code", code).where("code is not null")
     return bad.groupBy(key).agg(F.min("seq").alias("seq"), F.min_by("code", "seq").alias("code"))

@@ -24,16 +24,26 @@ def violations(nodes: DataFrame, limits: Limits, key: str = "doc_id") -> DataFra
         .when(kind.isin("object", "array") & over(F.col("depth"), limits.max_depth), exceeded("max_depth", limits.max_depth, path))
         .when(over(size, limits.max_scalar_bytes), exceeded("max_scalar_bytes", limits.max_scalar_bytes, path))
     )
-    broken = nodes.select(key, F.coalesce("pre", F.lit(-1).cast("long")).alias("at"), F.coalesce("fail", fail).alias("fail")).where("fail is not null")
+    broken = nodes.select(
+        key,
+        F.coalesce("pre", F.lit(-1).cast("long")).alias("at"),
+        F.coalesce("fail", fail).alias("fail"),
+    ).where("fail is not null")
     return broken.groupBy(key).agg(F.min_by("fail", "at").alias("fail"), F.min("at").alias("at"))
 
 
 def guarded(nodes: DataFrame, limits: Limits, key: str = "doc_id", strict: bool = False) -> DataFrame:
     """nodes up to each document's first breach; strict: a breach fails the query with its code."""
     first = violations(nodes, limits, key).withColumnRenamed(key, "_k")
-    out = nodes.join(first.select("_k", F.col("at").alias("_at"), F.col("fail.code").alias("_code"), F.col("fail.message").alias("_message")), F.col(key) == F.col("_k"), "left")
+    out = nodes.join(
+        first.select("_k", F.col("at").alias("_at"), F.col("fail.code").alias("_code"), F.col("fail.message").alias("_message")),
+        F.col(key) == F.col("_k"),
+        "left",
+    )
     if strict:
-        return out.where(F.when(F.col("_at").isNotNull(), F.raise_error(F.concat_ws(": ", "_code", "_message")).cast("boolean")).otherwise(True)).drop("_k", "_at", "_code", "_message")
+        return out.where(
+            F.when(F.col("_at").isNotNull(), F.raise_error(F.concat_ws(": ", "_code", "_message")).cast("boolean")).otherwise(True)
+        ).drop("_k", "_at", "_code", "_message")
     return out.where("_at is null or pre < _at").drop("_k", "_at", "_code", "_message")
 
 
@@ -42,7 +52,11 @@ def metrics(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     container = F.col("kind").isin("object", "array").cast("long")
     member = own_key().isNotNull().cast("long")
     root = (F.size("path") == 0).cast("long")
-    return nodes.where("pre is not null").groupBy(key).agg(F.sum(1 + container + member + root).alias("events"), F.sum(member).alias("keys"), F.sum(1 - container).alias("scalars"))
+    return nodes.where("pre is not null").groupBy(key).agg(
+        F.sum(1 + container + member + root).alias("events"),
+        F.sum(member).alias("keys"),
+        F.sum(1 - container).alias("scalars"),
+    )
 
 
 @contextmanager

@@ -61,7 +61,12 @@ def each(docs: DataFrame, selector: Selector, content: str = "content", into: st
             df = df.select(*kept, F.posexplode(parts).alias("idx", into)).withColumn("name", F.lit(None).cast("string"))
         else:
             parts = F.map_entries(F.try_variant_get(F.col(into), "$", "map<string,variant>"))
-            df = df.select(*kept, F.explode(parts).alias("_e")).select(*kept, F.col("_e.value").alias(into), F.lit(None).cast("int").alias("idx"), F.col("_e.key").alias("name"))
+            df = df.select(*kept, F.explode(parts).alias("_e")).select(
+                *kept,
+                F.col("_e.value").alias(into),
+                F.lit(None).cast("int").alias("idx"),
+                F.col("_e.key").alias("name"),
+            )
     return df.withColumn(into, value_at(F.col(into), before, "variant")) if before else df
 
 
@@ -86,23 +91,44 @@ def described(docs: DataFrame, meta: Selector, limits: Limits = Limits(), conten
     kind = lambda v: F.schema_of_variant(v)
     whole = lambda v: F.try_variant_get(v, "$", "bigint")
     is_text = lambda v: F.coalesce(kind(v) == "STRING", F.lit(False))
-    is_index = lambda v: F.coalesce(~kind(v).isin("STRING", "BOOLEAN") & (whole(v) >= 0) & (whole(v) == F.try_variant_get(v, "$", "double")), F.lit(False))
-    step = lambda v: F.struct(F.when(is_text(v), F.try_variant_get(v, "$", "string")).alias("name"), F.when(is_index(v), whole(v)).cast("int").alias("idx"))
-    each_ = F.transform("_d", lambda c: F.struct(F.try_variant_get(c, "$.title", "variant").alias("title"), F.try_variant_get(c, "$.path", "array<variant>").alias("path")))
+    is_index = lambda v: F.coalesce(
+        ~kind(v).isin("STRING", "BOOLEAN") & (whole(v) >= 0) & (whole(v) == F.try_variant_get(v, "$", "double")),
+        F.lit(False),
+    )
+    step = lambda v: F.struct(
+        F.when(is_text(v), F.try_variant_get(v, "$", "string")).alias("name"),
+        F.when(is_index(v), whole(v)).cast("int").alias("idx"),
+    )
+    each_ = F.transform(
+        "_d",
+        lambda c: F.struct(F.try_variant_get(c, "$.title", "variant").alias("title"), F.try_variant_get(c, "$.path", "array<variant>").alias("path")),
+    )
     found = found.withColumn("_c", each_)
-    good = lambda c: is_text(c["title"]) & c["path"].isNotNull() & F.forall(F.coalesce(c["path"], F.array()), lambda s: s.isNotNull() & (is_text(s) | is_index(s)))
+    good = lambda c: is_text(c["title"]) & c["path"].isNotNull() & F.forall(
+        F.coalesce(c["path"], F.array()),
+        lambda s: s.isNotNull() & (is_text(s) | is_index(s)),
+    )
     bad = F.array_position(F.transform("_c", lambda c: F.coalesce(good(c), F.lit(False))), F.lit(False))
     found = found.withColumn("_bad", bad)
-    columns = F.transform("_c", lambda c: F.struct(F.try_variant_get(c["title"], "$", "string").alias("label"), F.transform(c["path"], step).alias("steps")))
+    columns = F.transform(
+        "_c",
+        lambda c: F.struct(F.try_variant_get(c["title"], "$", "string").alias("label"), F.transform(c["path"], step).alias("steps")),
+    )
     found = found.withColumn("_s", columns)
-    quoted = lambda n: F.when(~n.contains("'") & (n != ""), F.concat(F.lit("['"), n, F.lit("']"))).when(~n.contains('"') & (n != ""), F.concat(F.lit('["'), n, F.lit('"]')))
+    quoted = lambda n: F.when(
+        ~n.contains("'") & (n != ""),
+        F.concat(F.lit("['"), n, F.lit("']")),
+    ).when(~n.contains('"') & (n != ""), F.concat(F.lit('["'), n, F.lit('"]')))
     one = lambda s: F.when(s["idx"].isNotNull(), F.concat(F.lit("["), s["idx"].cast("string"), F.lit("]"))).otherwise(quoted(s["name"]))
     path = lambda c: F.concat(F.lit("$"), F.aggregate(F.transform(c["steps"], one), F.lit(""), lambda a, s: F.concat(a, s)))
     fail = (
         F.when(F.col("v").isNull(), failure("INPUT_INVALID", "the text is not JSON"))
         .when(F.col("_m").isNull(), failure("INPUT_INVALID", "no metadata", at))
         .when(F.col("_d").isNull(), failure("INPUT_INVALID", "the metadata is no array", at))
-        .when(F.col("_bad") > 0, failure("INPUT_INVALID", "a column without title or path", F.concat(at, F.lit("["), (F.col("_bad") - 1).cast("string"), F.lit("]"))))
+        .when(
+            F.col("_bad") > 0,
+            failure("INPUT_INVALID", "a column without title or path", F.concat(at, F.lit("["), (F.col("_bad") - 1).cast("string"), F.lit("]"))),
+        )
     )
     if limits.max_columns is not None:
         fail = fail.when(F.size("_d") > limits.max_columns, exceeded("max_columns", limits.max_columns, at))
@@ -111,13 +137,23 @@ def described(docs: DataFrame, meta: Selector, limits: Limits = Limits(), conten
     return found.select(key, "v", F.when(fail.isNull(), shown).alias("columns"), fail.alias("fail"))
 
 
-def by_metadata(docs: DataFrame, meta: Selector, rows: Selector, content: str = "content", key: str = "doc_id", limits: Limits = Limits()) -> DataFrame:
+def by_metadata(
+    docs: DataFrame,
+    meta: Selector,
+    rows: Selector,
+    content: str = "content",
+    key: str = "doc_id",
+    limits: Limits = Limits(),
+) -> DataFrame:
     """key, row_no, labels, cells array<string>: each document's rows through the columns it describes itself.
 
     Documents whose description fails (see described) give no rows. Absent values are NULL.
     """
     found = described(docs, meta, limits, content, key).where("fail is null")
-    labels, paths = F.transform("columns", lambda c: c["label"]), F.transform("columns", lambda c: F.struct(c["path"].alias("path"), c["steps"].alias("steps")))
+    labels, paths = F.transform("columns", lambda c: c["label"]), F.transform(
+        "columns",
+        lambda c: F.struct(c["path"].alias("path"), c["steps"].alias("steps")),
+    )
     # labels and paths are made before the rows are spread, or every row would carry its whole document
     found = found.select(key, labels.alias("labels"), paths.alias("paths"), value_at(F.col("v"), rows.steps[:-1], "array<variant>").alias("rows"))
     found = found.select(key, "labels", "paths", F.posexplode("rows").alias("row_no", "row"))

@@ -70,9 +70,18 @@ def route(nodes: DataFrame, specs: list[Capture], limits: Limits = Limits(), key
             fail = F.when((F.col("capture_id") == i) & (F.col("bytes") > b), exceeded(s.budget_name, b, display(F.col("_at.path")))).otherwise(fail)
     if refuse is not None:
         seen = F.struct("begin", "capture_id")
-        named = got.select(key, "capture_id", "begin", pick([s.tag for s in specs]).alias("tag"), display(F.col("_at.path")).alias("path"), F.col("_at.kind").alias("kind"))
+        named = got.select(
+            key,
+            "capture_id",
+            "begin",
+            pick([s.tag for s in specs]).alias("tag"),
+            display(F.col("_at.path")).alias("path"),
+            F.col("_at.kind").alias("kind"),
+        )
         first = named.where(refuse).groupBy(F.col(key).alias("_k")).agg(F.min(seen).alias("_no"))
-        got = got.join(first, F.col(key) == F.col("_k"), "left").where(F.col("_no").isNull() | (F.col("end") < F.col("_no.begin")) | (seen == F.col("_no")))
+        got = got.join(first, F.col(key) == F.col("_k"), "left").where(
+            F.col("_no").isNull() | (F.col("end") < F.col("_no.begin")) | (seen == F.col("_no"))
+        )
         refused = F.col("_no").isNotNull() & (seen == F.col("_no"))
         fail = F.when(refused, failure("ABORTED", "the scope is refused", display(F.col("_at.path"))).cast(FAIL_TYPE)).otherwise(fail.cast(FAIL_TYPE))
         # a refused scope ends the document, whatever is inside it
@@ -80,7 +89,19 @@ def route(nodes: DataFrame, specs: list[Capture], limits: Limits = Limits(), key
     order = Window.partitionBy(key).orderBy("end", F.desc(F.size("_at.path")), F.desc("capture_id"))
     out = got.withColumn("ord", (F.row_number().over(order) - 1).cast("long")).withColumn("fail", fail)
     good = materialized & F.col("fail").isNull()
-    return out.select(key, "ord", "capture_id", pick([s.tag for s in specs]).alias("tag"), display(F.col("_at.path")).alias("path"), "begin", "end", F.col("_at.kind").alias("kind"), F.when(good, F.col("value")).alias("value"), F.when(materialized, F.col("bytes")).alias("bytes"), "fail")
+    return out.select(
+        key,
+        "ord",
+        "capture_id",
+        pick([s.tag for s in specs]).alias("tag"),
+        display(F.col("_at.path")).alias("path"),
+        "begin",
+        "end",
+        F.col("_at.kind").alias("kind"),
+        F.when(good, F.col("value")).alias("value"),
+        F.when(materialized, F.col("bytes")).alias("bytes"),
+        "fail",
+    )
 
 
 def metrics(captures: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -94,5 +115,11 @@ def duplicates_inside(nodes_all: DataFrame, spec: Capture, key: str = "doc_id")
     k = len(spec.select.steps)
     part = nodes_all.where("pre is not null").where(spec.select.covers(F.col("path"))).withColumn("root", F.get("ancestors", F.lit(k)))
     inner = part.where(F.size("path") > k).where(F.try_element_at("path", F.lit(-1))["key"].isNotNull())
-    twice = inner.groupBy(key, "root", F.try_element_at("ancestors", F.lit(-2)).alias("parent"), F.try_element_at("path", F.lit(-1))["key"].alias("name"), F.slice("path", 1, k).alias("path") if k else F.array().cast("array<struct<key: string, idx: int>>").alias("path")).count().where("count > 1")
+    twice = inner.groupBy(
+        key,
+        "root",
+        F.try_element_at("ancestors", F.lit(-2)).alias("parent"),
+        F.try_element_at("path", F.lit(-1))["key"].alias("name"),
+        F.slice("path", 1, k).alias("path") if k else F.array().cast("array<struct<key: string, idx: int>>").alias("path"),
+    ).count().where("count > 1")
     return twice.select(key, display(F.col("path")).alias("path"), F.lit("DUPLICATE_MEMBER").alias("code")).distinct()

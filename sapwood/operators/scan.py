@@ -41,7 +41,10 @@ def scan_emit(df: DataFrame, key: str, order: str, initial, step, finish, item:
 
         def table(kind):
             names, ops, ords, outs = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(ops, pa.int64()), pa.array(ords, pa.int64()), pa.array(outs, pa.string())], [key, "op", "ord", "out"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names, kind), pa.array(ops, pa.int64()), pa.array(ords, pa.int64()), pa.array(outs, pa.string())],
+                [key, "op", "ord", "out"],
+            )
 
         kind = None
         for batch in batches:

@@ -51,7 +51,15 @@ def _inferred(items: Column, kind: Column) -> Column:
     """The columns of a first row: its members or elements, or itself as ``value``."""
     inner = F.filter(items, lambda i: F.size(i["rel"]) == 1)
     step = lambda i: F.get(i["rel"], F.lit(0))
-    many = F.transform(inner, lambda i, n: F.struct(n.alias("no"), F.coalesce(step(i)["key"], step(i)["idx"].cast("string")).alias("label"), i["at"].alias("source"), F.lit("missing").alias("missing")))
+    many = F.transform(
+        inner,
+        lambda i, n: F.struct(
+            n.alias("no"),
+            F.coalesce(step(i)["key"], step(i)["idx"].cast("string")).alias("label"),
+            i["at"].alias("source"),
+            F.lit("missing").alias("missing"),
+        ),
+    )
     one = F.array(F.struct(F.lit(0).alias("no"), F.lit("value").alias("label"), F.lit(".").alias("source"), F.lit("missing").alias("missing")))
     return F.when(kind.isin("object", "array"), many.cast(COLUMNS_TYPE)).otherwise(one.cast(COLUMNS_TYPE))
 
@@ -69,9 +77,21 @@ def _described(items: Column) -> Column:
         steps = F.filter(inside, lambda i: (F.size(i["rel"]) == 3) & F.coalesce(at(i, 1, "key") == "path", F.lit(False)))
         is_index = lambda i: (i["kind"] == "number") & (i["num"] >= 0) & (i["num"] == F.floor(i["num"])) & (i["num"] < 2**31)
         fit = F.forall(steps, lambda i: F.coalesce((i["kind"] == "string") | is_index(i), F.lit(False)))
-        path = F.transform(steps, lambda i: F.struct(F.when(i["kind"] == "string", i["str"]).alias("key"), F.when(F.coalesce(is_index(i), F.lit(False)), i["num"]).cast("int").alias("idx"))).cast(PATH_TYPE)
+        path = F.transform(
+            steps,
+            lambda i: F.struct(
+                F.when(i["kind"] == "string", i["str"]).alias("key"),
+                F.when(F.coalesce(is_index(i), F.lit(False)), i["num"]).cast("int").alias("idx"),
+            ),
+        ).cast(PATH_TYPE)
         good = title.isNotNull() & has_path & fit
-        return F.struct(at(e, 0, "idx").alias("no"), title.alias("label"), display(path).alias("source"), F.lit("missing").alias("missing"), good.alias("good"))
+        return F.struct(
+            at(e, 0, "idx").alias("no"),
+            title.alias("label"),
+            display(path).alias("source"),
+            F.lit("missing").alias("missing"),
+            good.alias("good"),
+        )
 
     return F.transform(elements, column)
 
@@ -82,7 +102,10 @@ def _too_many(columns: Column, bytes_: Column, path: Column, limits: Limits) ->
     if limits.max_columns is not None:
         fail = F.when(F.size(columns) > limits.max_columns, exceeded("max_columns", limits.max_columns, path).cast(FAIL_TYPE)).otherwise(fail)
     if limits.max_metadata_bytes is not None:
-        fail = F.when(bytes_ > limits.max_metadata_bytes, exceeded("max_metadata_bytes", limits.max_metadata_bytes, path).cast(FAIL_TYPE)).otherwise(fail)
+        fail = F.when(
+            bytes_ > limits.max_metadata_bytes,
+            exceeded("max_metadata_bytes", limits.max_metadata_bytes, path).cast(FAIL_TYPE),
+        ).otherwise(fail)
     return fail
 
 
@@ -95,9 +118,25 @@ def _scopes(nodes: DataFrame, rows: Selector, meta: Selector | None, key: str) -
             held.append(F.when(selector.covers(F.col("path")), F.struct(F.lit(name).alias("scope"), F.lit(len(selector.steps)).alias("steps"))))
     part = nodes.where("pre is not null").withColumn("_s", F.explode(F.array_compact(F.array(*held))))
     steps = F.col("_s.steps")
-    part = part.withColumn("_pos", F.get("ancestors", steps)).withColumn("_rel", F.slice("path", steps + 1, F.greatest(F.size("path") - steps, F.lit(0))))
+    part = part.withColumn("_pos", F.get("ancestors", steps)).withColumn(
+        "_rel",
+        F.slice("path", steps + 1, F.greatest(F.size("path") - steps, F.lit(0))),
+    )
     is_root = F.col("pre") == F.col("_pos")
-    item = F.struct("pre", "last", "depth", "kind", "bool", "num", "lexeme", "str", F.col("_rel").alias("rel"), display(F.col("_rel")).alias("at"), of_node("key").alias("key"), of_node("parent").alias("parent"))
+    item = F.struct(
+        "pre",
+        "last",
+        "depth",
+        "kind",
+        "bool",
+        "num",
+        "lexeme",
+        "str",
+        F.col("_rel").alias("rel"),
+        display(F.col("_rel")).alias("at"),
+        of_node("key").alias("key"),
+        of_node("parent").alias("parent"),
+    )
     got = part.groupBy(key, F.col("_s.scope").alias("scope"), F.col("_pos").alias("pos")).agg(
         F.max("last").alias("last"),
         F.sum(node_bytes(is_root)).alias("bytes"),
@@ -123,7 +162,13 @@ def _cells(items: Column, columns: Column) -> Column:
         def shown(top: Column) -> Column:
             container = top["kind"].isin("object", "array")
             scalar = F.struct(*[top[n].alias(n) for n in ("kind", "bool", "num", "lexeme", "str")])
-            as_text = F.struct(F.lit("string").alias("kind"), F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("lexeme"), text(top).alias("str"))
+            as_text = F.struct(
+                F.lit("string").alias("kind"),
+                F.lit(None).cast("boolean").alias("bool"),
+                F.lit(None).cast("double").alias("num"),
+                F.lit(None).cast("string").alias("lexeme"),
+                text(top).alias("str"),
+            )
             return F.when(container, as_text.cast(CELL_TYPE)).otherwise(scalar.cast(CELL_TYPE))
 
         return F.get(F.transform(found, shown), F.lit(0))
@@ -133,10 +178,22 @@ def _cells(items: Column, columns: Column) -> Column:
 
 def _empty(kind: str) -> Column:
     null = F.lit(None)
-    return F.struct(F.lit(kind).alias("kind"), null.cast("boolean").alias("bool"), null.cast("double").alias("num"), null.cast("string").alias("lexeme"), null.cast("string").alias("str")).cast(CELL_TYPE)
-
-
-def table(nodes: DataFrame, rows: Selector, schema: list[TableColumn] | Metadata | str, limits: Limits = Limits(), key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    return F.struct(
+        F.lit(kind).alias("kind"),
+        null.cast("boolean").alias("bool"),
+        null.cast("double").alias("num"),
+        null.cast("string").alias("lexeme"),
+        null.cast("string").alias("str"),
+    ).cast(CELL_TYPE)
+
+
+def table(
+    nodes: DataFrame,
+    rows: Selector,
+    schema: list[TableColumn] | Metadata | str,
+    limits: Limits = Limits(),
+    key: str = "doc_id",
+) -> tuple[DataFrame, DataFrame]:
     """(schemas, rows). schemas: key, labels, fail, one row per document. rows: key, row_no (from 1), cells
     array<cell>, in schema order. A cell's kind is null, bool, number, string or missing; a container is
     its compact JSON as a string. The rows before a document's failing row stay; fail tells of it.
@@ -160,7 +217,10 @@ def table(nodes: DataFrame, rows: Selector, schema: list[TableColumn] | Metadata
         s = s.withColumn("_made", made)
         names = F.aggregate("_made", F.lit(0).cast("long"), lambda a, c: a + F.octet_length(c["label"])) + (F.size("_made") + 1) * NODE_BYTES
         s = s.withColumn("_why", F.when(first, _too_many(F.col("_made"), names, F.col("path"), limits)))
-        s = s.withColumn("columns", F.coalesce(F.first("_made", True).over(whole), none)).withColumn("fail", F.first("_why", True).over(whole)).drop("_made", "_why")
+        s = s.withColumn(
+            "columns",
+            F.coalesce(F.first("_made", True).over(whole), none),
+        ).withColumn("fail", F.first("_why", True).over(whole)).drop("_made", "_why")
     else:
         s = s.withColumn("_nth", F.when(is_meta, F.row_number().over(Window.partitionBy(key, "scope").orderBy("pos"))))
         s = s.withColumn("_made", F.when(F.col("_nth") == 1, _described(F.col("items"))))
@@ -175,11 +235,21 @@ def table(nodes: DataFrame, rows: Selector, schema: list[TableColumn] | Metadata
             F.when(F.col("_row").isNotNull() & (absent | (F.col("_row.pos") <= F.col("_m.done"))), late.cast(FAIL_TYPE))
             .when(absent, failure("INPUT_INVALID", "no metadata", F.lit(str(meta))).cast(FAIL_TYPE))
             .when(F.col("_m.kind") != "array", failure("INPUT_INVALID", "the metadata is no array", F.col("_m.path")).cast(FAIL_TYPE))
-            .when(F.col("_m.bad").isNotNull(), failure("INPUT_INVALID", "a column without title or path", F.concat(F.col("_m.path"), F.lit("["), F.col("_m.bad").cast("string"), F.lit("]"))).cast(FAIL_TYPE))
+            .when(
+                F.col("_m.bad").isNotNull(),
+                failure(
+                    "INPUT_INVALID",
+                    "a column without title or path",
+                    F.concat(F.col("_m.path"), F.lit("["), F.col("_m.bad").cast("string"), F.lit("]")),
+                ).cast(FAIL_TYPE),
+            )
             .when(F.col("_again").isNotNull(), failure("INPUT_ORDER_VIOLATION", "metadata twice", F.col("_again")).cast(FAIL_TYPE))
             .otherwise(_too_many(F.col("_m._made"), F.col("_m.bytes"), F.col("_m.path"), limits))
         )
-        plain = F.transform("_m._made", lambda c: F.struct(c["no"].alias("no"), c["label"].alias("label"), c["source"].alias("source"), c["missing"].alias("missing")))
+        plain = F.transform(
+            "_m._made",
+            lambda c: F.struct(c["no"].alias("no"), c["label"].alias("label"), c["source"].alias("source"), c["missing"].alias("missing")),
+        )
         s = s.withColumn("columns", F.coalesce(plain.cast(COLUMNS_TYPE), none)).withColumn("fail", fail).drop("_nth", "_made", "_m", "_again", "_row")
 
     full = s.withColumn("_got", F.when(is_row & F.col("fail").isNull(), _cells(F.col("items"), F.col("columns")))).drop("items")
@@ -187,12 +257,24 @@ def table(nodes: DataFrame, rows: Selector, schema: list[TableColumn] | Metadata
     inside = F.regexp_replace(F.get(lost, F.lit(0))["c"]["source"], r"^\.$", "")
     broken = F.when(F.size(lost) > 0, failure("MISSING_VALUE", "a value is missing", F.concat("path", inside)).cast(FAIL_TYPE))
     if limits.max_record_bytes is not None:
-        broken = F.when(F.col("bytes") > limits.max_record_bytes, exceeded("max_record_bytes", limits.max_record_bytes, F.col("path")).cast(FAIL_TYPE)).otherwise(broken)
+        broken = F.when(
+            F.col("bytes") > limits.max_record_bytes,
+            exceeded("max_record_bytes", limits.max_record_bytes, F.col("path")).cast(FAIL_TYPE),
+        ).otherwise(broken)
     full = full.withColumn("_broken", F.when(F.col("_got").isNotNull(), broken))
     full = full.withColumn("_stop", F.min(F.when(F.col("_broken").isNotNull(), F.struct("row_no", F.col("_broken").alias("why")))).over(whole))
-    filled = F.transform("columns", lambda c, n: F.coalesce(F.get(F.col("_got"), n), F.when(c["missing"] == "null", _empty("null")).otherwise(_empty("missing"))))
-    out = full.where(is_row & F.col("fail").isNull() & (F.col("_stop").isNull() | (F.col("row_no") < F.col("_stop.row_no")))).select(key, "row_no", filled.alias("cells"))
-    schemas = full.where("scope = 'd'").select(key, F.transform("columns", lambda c: c["label"]).alias("labels"), F.coalesce("fail", "_stop.why").alias("fail"))
+    filled = F.transform(
+        "columns",
+        lambda c, n: F.coalesce(F.get(F.col("_got"), n), F.when(c["missing"] == "null", _empty("null")).otherwise(_empty("missing"))),
+    )
+    out = full.where(
+        is_row & F.col("fail").isNull() & (F.col("_stop").isNull() | (F.col("row_no") < F.col("_stop.row_no")))
+    ).select(key, "row_no", filled.alias("cells"))
+    schemas = full.where("scope = 'd'").select(
+        key,
+        F.transform("columns", lambda c: c["label"]).alias("labels"),
+        F.coalesce("fail", "_stop.why").alias("fail"),
+    )
     return schemas, out
 
 

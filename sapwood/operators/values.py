@@ -57,7 +57,10 @@ def number_text(num: Column, lexeme: Column | None = None) -> Column:
     def text(n):
         shown, size = n.cast("string"), F.abs(n)
         sign = F.when(F.startswith(shown, F.lit("-")), "-").otherwise("")
-        long_ = let(_digits(size.cast("string")), lambda h: let(_shorter(h, size), lambda i: let(_shorter(i, size), lambda j: let(_shorter(j, size), _long_text))))
+        long_ = let(
+            _digits(size.cast("string")),
+            lambda h: let(_shorter(h, size), lambda i: let(_shorter(i, size), lambda j: let(_shorter(j, size), _long_text))),
+        )
         return (
             F.when(F.isnan(n) | (size == float("inf")), F.lit("null"))
             .when(n == 0, F.concat(sign, F.lit("0")))
@@ -98,7 +101,12 @@ def fragments(root: Column, of=of_node) -> Column:
         .when(kind == "number", number_text(of("num"), of("lexeme")))
         .otherwise(quoted_json(of("str")))
     )
-    piece = lambda a, b, c, text: F.struct(a.cast("long").alias("a"), F.lit(b).alias("b"), c.cast("long").alias("c"), text.alias("text"))
+    piece = lambda a, b, c, text: F.struct(
+        a.cast("long").alias("a"),
+        F.lit(b).alias("b"),
+        c.cast("long").alias("c"),
+        text.alias("text"),
+    )
     head = piece(of("pre"), 0, F.lit(0), F.concat(lead, opened))
     tail = piece(of("last"), 1, -of("depth"), F.when(kind == "object", F.lit("}")).otherwise(F.lit("]")))
     return F.when(kind.isin("object", "array"), F.array(head, tail)).otherwise(F.array(head))
@@ -121,7 +129,13 @@ def events(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     A member gives its key and then its value; a container gives a start and an end; each document
     ends with one ``end``. Documents that could not be read give none.
     """
-    e = lambda a, b, c, kind, name=None: F.struct(a.cast("long").alias("a"), F.lit(b).alias("b"), c.cast("long").alias("c"), kind.alias("kind"), (F.lit(None).cast("string") if name is None else name).alias("key_name"))
+    e = lambda a, b, c, kind, name=None: F.struct(
+        a.cast("long").alias("a"),
+        F.lit(b).alias("b"),
+        c.cast("long").alias("c"),
+        kind.alias("kind"),
+        (F.lit(None).cast("string") if name is None else name).alias("key_name"),
+    )
     k = F.col("kind")
     container = k.isin("object", "array")
     made = F.array_compact(
@@ -135,7 +149,17 @@ def events(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     scalar = lambda n: F.when(F.col("e.kind").isin("bool", "number", "string", "null"), F.col(n)).alias(n)
     out = nodes.where("pre is not null").withColumn("e", F.explode(made))
     order = Window.partitionBy(key).orderBy("e.a", "e.b", "e.c")
-    return out.select(key, (F.row_number().over(order) - 1).cast("long").alias("seq"), F.col("e.kind").alias("kind"), F.col("e.key_name").alias("key_name"), scalar("bool"), scalar("num"), scalar("lexeme"), scalar("str"), "depth")
+    return out.select(
+        key,
+        (F.row_number().over(order) - 1).cast("long").alias("seq"),
+        F.col("e.kind").alias("kind"),
+        F.col("e.key_name").alias("key_name"),
+        scalar("bool"),
+        scalar("num"),
+        scalar("lexeme"),
+        scalar("str"),
+        "depth",
+    )
 
 
 def equal(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -147,7 +171,12 @@ def equal(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def side(nodes, sign):
         number = F.struct(F.col("num").cast("string"), "lexeme")  # as text, or grouping would make -0 and 0 one
-        return nodes.where("pre is not null").select(key, "pre", F.struct("path", "kind", "bool", number, "str").alias("what"), F.lit(sign).alias("side"))
+        return nodes.where("pre is not null").select(
+            key,
+            "pre",
+            F.struct("path", "kind", "bool", number, "str").alias("what"),
+            F.lit(sign).alias("side"),
+        )
 
     both = side(a, 1).unionByName(side(b, -1))
     met = both.groupBy(key, "pre", "what").agg(F.sum("side").alias("over"))

@@ -35,7 +35,12 @@ def order_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     got = native.by_metadata(order_documents(spark, d), META, ROWS)
-    return got.select("doc_id", F.col("row_no").cast("bigint").alias("row_no"), F.get("cells", F.lit(0)).cast("bigint").alias("identifier"), F.get("cells", F.lit(1)).cast("double").alias("total"))
+    return got.select(
+        "doc_id",
+        F.col("row_no").cast("bigint").alias("row_no"),
+        F.get("cells", F.lit(0)).cast("bigint").alias("identifier"),
+        F.get("cells", F.lit(1)).cast("double").alias("total"),
+    )
 
 
 def _order_nodes(spark, d):
@@ -65,11 +70,18 @@ def select_index(spark, d):
 
 def select_each_index(spark, d):
     v = _read(spark, d, "embeddings").select("vec_id", F.to_json("embedding").alias("content"))
-    return native.each(v, Selector.of(EACH_INDEX)).select("vec_id", F.col("idx").cast("bigint").alias("idx"), F.try_variant_get("value", "$", "float").cast("double").alias("value"))
+    return native.each(v, Selector.of(EACH_INDEX)).select(
+        "vec_id",
+        F.col("idx").cast("bigint").alias("idx"),
+        F.try_variant_get("value", "$", "float").cast("double").alias("value"),
+    )
 
 
 def select_each_member(spark, d):
-    o = _read(spark, d, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))).alias("content"))
+    o = _read(spark, d, "orders").select(
+        "o_orderkey",
+        F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))).alias("content"),
+    )
     return native.each(o, Selector.of(EACH_MEMBER)).select("o_orderkey", "name", F.try_variant_get("value", "$", "string").alias("value"))
 
 
@@ -101,12 +113,17 @@ def route_observe(spark, d):
 
 
 def route_whole_values(spark, d):
-    o = _read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.to_json(F.struct(F.struct("o_orderkey", F.array("o_orderstatus", "o_orderpriority").alias("tags")).alias("v"))).alias("content"))
+    o = _read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.to_json(F.struct(F.struct("o_orderkey", F.array("o_orderstatus", "o_orderpriority").alias("tags")).alias("v"))).alias("content"),
+    )
     return route.route(nodes(o, format="json"), [route.Capture("v", Selector.of("v"))]).select("doc_id", "path", "value", "bytes")
 
 
 def table_infer_object(spark, d):
-    o = _read(spark, d, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"))))).alias("content"))
+    o = _read(spark, d, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(
+        F.to_json(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"))))).alias("content")
+    )
     schemas, rows = table.table(nodes(o, format="json"), Selector.of(EACH_INDEX), "infer")
     return table.wide(rows, [("k", "bigint"), ("p", "double")]).join(schemas.select("doc_id", F.array_join("labels", ",").alias("labels")), "doc_id")
 
@@ -118,15 +135,25 @@ def table_infer_scalar(spark, d):
 
 
 def table_missing(spark, d):
-    e = _read(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.to_json(F.array(F.struct(F.col("event_id").alias("id"), F.when(F.col("value") > 50, F.col("event_type")).alias("t")))).alias("content"))
+    e = _read(spark, d, "events").select(
+        F.col("event_id").alias("doc_id"),
+        F.to_json(F.array(F.struct(F.col("event_id").alias("id"), F.when(F.col("value") > 50, F.col("event_type")).alias("t")))).alias("content"),
+    )
     columns = [table.TableColumn("id", ("id",)), table.TableColumn("t", ("t",)), table.TableColumn("u", ("t",), "null")]
     _, rows = table.table(nodes(e, format="json"), Selector.of(EACH_INDEX), columns)
     return rows.select("doc_id", *[F.get("cells", F.lit(i))["kind"].alias(f"kind{i}") for i in range(3)], F.get("cells", F.lit(1))["str"].alias("t"))
 
 
 def table_container_cell(spark, d):
-    c = _read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.to_json(F.array(F.struct(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("n")).alias("who")))).alias("content"))
-    _, rows = table.table(nodes(c, format="json"), Selector.of(EACH_INDEX), [table.TableColumn("who", ("who",)), table.TableColumn("n", ("who", "n"))])
+    c = _read(spark, d, "customer").select(
+        F.col("c_custkey").alias("doc_id"),
+        F.to_json(F.array(F.struct(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("n")).alias("who")))).alias("content"),
+    )
+    _, rows = table.table(
+        nodes(c, format="json"),
+        Selector.of(EACH_INDEX),
+        [table.TableColumn("who", ("who",)), table.TableColumn("n", ("who", "n"))],
+    )
     return table.wide(rows, [("who", "string"), ("n", "bigint")])
 
 
@@ -142,7 +169,14 @@ def limit_capture(spark, d):
 
 
 def path_display(spark, d):
-    keys = _read(spark, d, "nation").select("n_nationkey", F.array(F.struct(F.col("n_name").alias("key"), F.lit(None).cast("int").alias("idx")), F.struct(F.lit("a b").alias("key"), F.lit(None).cast("int").alias("idx")), F.struct(F.lit(None).cast("string").alias("key"), F.col("n_regionkey").alias("idx"))).alias("path"))
+    keys = _read(spark, d, "nation").select(
+        "n_nationkey",
+        F.array(
+            F.struct(F.col("n_name").alias("key"), F.lit(None).cast("int").alias("idx")),
+            F.struct(F.lit("a b").alias("key"), F.lit(None).cast("int").alias("idx")),
+            F.struct(F.lit(None).cast("string").alias("key"), F.col("n_regionkey").alias("idx")),
+        ).alias("path"),
+    )
     return keys.select("n_nationkey", display(F.col("path")).alias("path"))
 
 
@@ -157,7 +191,9 @@ def scan_fold(spark, d):
 
 
 def _nations(spark, d):
-    return _read(spark, d, "nation").groupBy(F.col("n_regionkey").cast("bigint").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
+    return _read(spark, d, "nation").groupBy(F.col("n_regionkey").cast("bigint").alias("doc_id")).agg(
+        F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows")
+    )
 
 
 def _decoded(docs, format, row: Selector, key=("n_nationkey",), name=("n_name",)):
@@ -179,19 +215,54 @@ def jsonc_source(spark, d):
 
 
 def csv_source(spark, d):
-    return _decoded(_text(spark, d, lambda r: F.concat(r["n_nationkey"].cast("string"), F.lit(',"'), r["n_name"], F.lit('"')), "n_nationkey,n_name\n", "\n"), "csv", Selector.of(EACH_INDEX))
+    return _decoded(
+        _text(spark, d, lambda r: F.concat(r["n_nationkey"].cast("string"), F.lit(',"'), r["n_name"], F.lit('"')), "n_nationkey,n_name\n", "\n"),
+        "csv",
+        Selector.of(EACH_INDEX),
+    )
 
 
 def yaml_source(spark, d):
-    return _decoded(_text(spark, d, lambda r: F.concat(F.lit("- n_nationkey: "), r["n_nationkey"].cast("string"), F.lit('\n  n_name: "'), r["n_name"], F.lit('"'))), "yaml", Selector.of(EACH_INDEX))
+    return _decoded(
+        _text(
+            spark,
+            d,
+            lambda r: F.concat(F.lit("- n_nationkey: "), r["n_nationkey"].cast("string"), F.lit('\n  n_name: "'), r["n_name"], F.lit('"')),
+        ),
+        "yaml",
+        Selector.of(EACH_INDEX),
+    )
 
 
 def toml_source(spark, d):
-    return _decoded(_text(spark, d, lambda r: F.concat(F.lit("[[row]]\nn_nationkey = "), r["n_nationkey"].cast("string"), F.lit('\nn_name = "'), r["n_name"], F.lit('"'))), "toml", Selector.of("row", EACH_INDEX))
+    return _decoded(
+        _text(
+            spark,
+            d,
+            lambda r: F.concat(F.lit("[[row]]\nn_nationkey = "), r["n_nationkey"].cast("string"), F.lit('\nn_name = "'), r["n_name"], F.lit('"')),
+        ),
+        "toml",
+        Selector.of("row", EACH_INDEX),
+    )
 
 
 def ini_source(spark, d):
-    return _decoded(_text(spark, d, lambda r: F.concat(F.lit("[s"), r["n_nationkey"].cast("string"), F.lit("]\nn_nationkey = "), r["n_nationkey"].cast("string"), F.lit("\nn_name = "), r["n_name"])), "ini", Selector.of(EACH_MEMBER))
+    return _decoded(
+        _text(
+            spark,
+            d,
+            lambda r: F.concat(
+                F.lit("[s"),
+                r["n_nationkey"].cast("string"),
+                F.lit("]\nn_nationkey = "),
+                r["n_nationkey"].cast("string"),
+                F.lit("\nn_name = "),
+                r["n_name"],
+            ),
+        ),
+        "ini",
+        Selector.of(EACH_MEMBER),
+    )
 
 
 def xml_source(spark, d):
@@ -205,8 +276,15 @@ def records_json(spark, d):
 
 
 def csv_text(spark, d):
-    c = _read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.to_json(F.array(F.struct("c_custkey", F.concat(F.lit('"'), "c_name").alias("c_name")))).alias("content"))
-    _, rows = table.table(nodes(c, format="json"), Selector.of(EACH_INDEX), [table.TableColumn("k", ("c_custkey",)), table.TableColumn("n", ("c_name",)), table.TableColumn("x", ("x",))])
+    c = _read(spark, d, "customer").select(
+        F.col("c_custkey").alias("doc_id"),
+        F.to_json(F.array(F.struct("c_custkey", F.concat(F.lit('"'), "c_name").alias("c_name")))).alias("content"),
+    )
+    _, rows = table.table(
+        nodes(c, format="json"),
+        Selector.of(EACH_INDEX),
+        [table.TableColumn("k", ("c_custkey",)), table.TableColumn("n", ("c_name",)), table.TableColumn("x", ("x",))],
+    )
     return sinks.csv_lines(rows).select("doc_id", "line")
 
 
@@ -221,24 +299,75 @@ _ALL = {
     "table_static": (table_static, _ROWS),
     "select_property": (select_property, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
     "select_index": (select_index, "SELECT vec_id, CAST(embedding[4] AS DOUBLE) AS value FROM embeddings"),
-    "select_each_index": (select_each_index, "SELECT vec_id, CAST(i - 1 AS BIGINT) AS idx, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)"),
-    "select_each_member": (select_each_member, "SELECT o_orderkey, 'status' AS name, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders"),
-    "select_nested": (select_nested, "SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx, o_totalprice AS total FROM orders"),
-    "value_walk_counts": (value_walk_counts, _PER + "SELECT doc_id, k.kind, CASE k.kind WHEN 'key' THEN 6 + 3 * n WHEN 'string' THEN 5 WHEN 'number' THEN 2 * n WHEN 'end' THEN 1 WHEN 'array_start' THEN 4 WHEN 'array_end' THEN 4 ELSE 3 + 2 * n END AS n FROM c, (VALUES ('key'), ('string'), ('number'), ('end'), ('array_start'), ('array_end'), ('object_start'), ('object_end')) AS k(kind)"),
+    "select_each_index": (
+        select_each_index,
+        "SELECT vec_id, CAST(i - 1 AS BIGINT) AS idx, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)",
+    ),
+    "select_each_member": (
+        select_each_member,
+        "SELECT o_orderkey, 'status' AS name, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders",
+    ),
+    "select_nested": (
+        select_nested,
+        "SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx, o_totalprice AS total FROM orders",
+    ),
+    "value_walk_counts": (
+        value_walk_counts,
+        _PER + "SELECT doc_id, k.kind, CASE k.kind WHEN 'key' THEN 6 + 3 * n WHEN 'string' THEN 5 WHEN 'number' THEN 2 * n WHEN 'end' THEN 1 WHEN 'array_start' THEN 4 WHEN 'array_end' THEN 4 ELSE 3 + 2 * n END AS n FROM c, (VALUES ('key'), ('string'), ('number'), ('end'), ('array_start'), ('array_end'), ('object_start'), ('object_end')) AS k(kind)",
+    ),
     "document_bytes": (document_bytes, _PER + "SELECT doc_id, 244 + 91 * n AS bytes FROM c"),
-    "read_metrics": (read_metrics, _PER + "SELECT doc_id, 2 * (3 + 2 * n) + 8 + (6 + 3 * n) + 5 + 2 * n + 1 AS events, 6 + 3 * n AS keys, 5 + 2 * n AS scalars FROM c"),
-    "route_captures": (route_captures, "SELECT o_custkey AS doc_id, t.i AS ord, 'title' AS tag, '.meta[' || t.i || '].title' AS path, t.v AS value FROM (SELECT DISTINCT o_custkey FROM orders), (VALUES (CAST(0 AS BIGINT), '\"Identifier\"'), (CAST(1 AS BIGINT), '\"Total\"')) AS t(i, v) UNION ALL SELECT o_custkey, 1 + row_number() OVER w, 'id', '.rows[' || (row_number() OVER w - 1) || '].id', CAST(o_orderkey AS VARCHAR) FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)"),
-    "route_observe": (route_observe, "SELECT o_custkey AS doc_id, row_number() OVER w - 1 AS ord, 'row' AS tag, '.rows[' || (row_number() OVER w - 1) || ']' AS path FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey) UNION ALL SELECT o_custkey, count(*), 'all', '.' FROM orders GROUP BY o_custkey"),
-    "route_whole_values": (route_whole_values, "SELECT o_orderkey AS doc_id, '.v' AS path, '{\"o_orderkey\":' || o_orderkey || ',\"tags\":[\"' || o_orderstatus || '\",\"' || o_orderpriority || '\"]}' AS value, CAST(16 + 16 + 10 + 8 + 16 + 4 + 32 + strlen(o_orderstatus) + strlen(o_orderpriority) AS BIGINT) AS bytes FROM orders"),
-    "table_infer_object": (table_infer_object, "SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no, o_orderkey AS k, o_totalprice AS p, 'k,p' AS labels FROM orders"),
-    "table_infer_scalar": (table_infer_scalar, "SELECT vec_id AS doc_id, CAST(i AS BIGINT) AS row_no, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)"),
-    "table_missing": (table_missing, "SELECT event_id AS doc_id, 'number' AS kind0, CASE WHEN value > 50 THEN 'string' ELSE 'missing' END AS kind1, CASE WHEN value > 50 THEN 'string' ELSE 'null' END AS kind2, CASE WHEN value > 50 THEN event_type END AS t FROM events"),
-    "table_container_cell": (table_container_cell, "SELECT c_custkey AS doc_id, CAST(1 AS BIGINT) AS row_no, '{\"name\":\"' || c_name || '\",\"n\":' || c_nationkey || '}' AS who, CAST(c_nationkey AS BIGINT) AS n FROM customer"),
-    "limit_scalar": (limit_scalar, "SELECT conv_id || '-' || turn AS doc_id, 'RESOURCE_LIMIT_EXCEEDED' AS code, '.text' AS path, 'max_scalar_bytes' AS \"limit\" FROM conversations WHERE strlen(text) > 200"),
-    "limit_capture": (limit_capture, _PER + "SELECT doc_id, 16 + 91 * n AS bytes, CASE WHEN 16 + 91 * n > 1000 THEN 'max_capture_bytes' END AS limit_name, 16 + 91 * n > 1000 AS refused FROM c"),
-    "path_display": (path_display, "SELECT n_nationkey, '.' || CASE WHEN regexp_matches(n_name, '^[A-Za-z_][A-Za-z0-9_]*$') THEN n_name ELSE '\"' || n_name || '\"' END || '.\"a b\"[' || n_regionkey || ']' AS path FROM nation"),
-    "scan_running_sum": (scan_running_sum, "SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS state FROM conversations"),
-    "scan_fold": (scan_fold, "WITH t AS (SELECT conv_id, turn, sum(length(text)) AS n FROM conversations GROUP BY 1, 2) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS op, '+' || n AS out FROM t UNION ALL SELECT conv_id, -1, '=' || sum(n) FROM t GROUP BY conv_id"),
+    "read_metrics": (
+        read_metrics,
+        _PER + "SELECT doc_id, 2 * (3 + 2 * n) + 8 + (6 + 3 * n) + 5 + 2 * n + 1 AS events, 6 + 3 * n AS keys, 5 + 2 * n AS scalars FROM c",
+    ),
+    "route_captures": (
+        route_captures,
+        "SELECT o_custkey AS doc_id, t.i AS ord, 'title' AS tag, '.meta[' || t.i || '].title' AS path, t.v AS value FROM (SELECT DISTINCT o_custkey FROM orders), (VALUES (CAST(0 AS BIGINT), '\"Identifier\"'), (CAST(1 AS BIGINT), '\"Total\"')) AS t(i, v) UNION ALL SELECT o_custkey, 1 + row_number() OVER w, 'id', '.rows[' || (row_number() OVER w - 1) || '].id', CAST(o_orderkey AS VARCHAR) FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
+    ),
+    "route_observe": (
+        route_observe,
+        "SELECT o_custkey AS doc_id, row_number() OVER w - 1 AS ord, 'row' AS tag, '.rows[' || (row_number() OVER w - 1) || ']' AS path FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey) UNION ALL SELECT o_custkey, count(*), 'all', '.' FROM orders GROUP BY o_custkey",
+    ),
+    "route_whole_values": (
+        route_whole_values,
+        "SELECT o_orderkey AS doc_id, '.v' AS path, '{\"o_orderkey\":' || o_orderkey || ',\"tags\":[\"' || o_orderstatus || '\",\"' || o_orderpriority || '\"]}' AS value, CAST(16 + 16 + 10 + 8 + 16 + 4 + 32 + strlen(o_orderstatus) + strlen(o_orderpriority) AS BIGINT) AS bytes FROM orders",
+    ),
+    "table_infer_object": (
+        table_infer_object,
+        "SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no, o_orderkey AS k, o_totalprice AS p, 'k,p' AS labels FROM orders",
+    ),
+    "table_infer_scalar": (
+        table_infer_scalar,
+        "SELECT vec_id AS doc_id, CAST(i AS BIGINT) AS row_no, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)",
+    ),
+    "table_missing": (
+        table_missing,
+        "SELECT event_id AS doc_id, 'number' AS kind0, CASE WHEN value > 50 THEN 'string' ELSE 'missing' END AS kind1, CASE WHEN value > 50 THEN 'string' ELSE 'null' END AS kind2, CASE WHEN value > 50 THEN event_type END AS t FROM events",
+    ),
+    "table_container_cell": (
+        table_container_cell,
+        "SELECT c_custkey AS doc_id, CAST(1 AS BIGINT) AS row_no, '{\"name\":\"' || c_name || '\",\"n\":' || c_nationkey || '}' AS who, CAST(c_nationkey AS BIGINT) AS n FROM customer",
+    ),
+    "limit_scalar": (
+        limit_scalar,
+        "SELECT conv_id || '-' || turn AS doc_id, 'RESOURCE_LIMIT_EXCEEDED' AS code, '.text' AS path, 'max_scalar_bytes' AS \"limit\" FROM conversations WHERE strlen(text) > 200",
+    ),
+    "limit_capture": (
+        limit_capture,
+        _PER + "SELECT doc_id, 16 + 91 * n AS bytes, CASE WHEN 16 + 91 * n > 1000 THEN 'max_capture_bytes' END AS limit_name, 16 + 91 * n > 1000 AS refused FROM c",
+    ),
+    "path_display": (
+        path_display,
+        "SELECT n_nationkey, '.' || CASE WHEN regexp_matches(n_name, '^[A-Za-z_][A-Za-z0-9_]*$') THEN n_name ELSE '\"' || n_name || '\"' END || '.\"a b\"[' || n_regionkey || ']' AS path FROM nation",
+    ),
+    "scan_running_sum": (
+        scan_running_sum,
+        "SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS state FROM conversations",
+    ),
+    "scan_fold": (
+        scan_fold,
+        "WITH t AS (SELECT conv_id, turn, sum(length(text)) AS n FROM conversations GROUP BY 1, 2) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS op, '+' || n AS out FROM t UNION ALL SELECT conv_id, -1, '=' || sum(n) FROM t GROUP BY conv_id",
+    ),
     "jsonl_source": (jsonl_source, _NATION),
     "jsonc_source": (jsonc_source, _NATION),
     "csv_source": (csv_source, _NATION),
@@ -246,7 +375,10 @@ _ALL = {
     "toml_source": (toml_source, _NATION),
     "ini_source": (ini_source, _NATION),
     "xml_source": (xml_source, _NATION),
-    "records_json": (records_json, "SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no, '{\"id\":' || o_orderkey || '}' AS record FROM orders"),
+    "records_json": (
+        records_json,
+        "SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no, '{\"id\":' || o_orderkey || '}' AS record FROM orders",
+    ),
     "csv_text": (csv_text, "SELECT c_custkey AS doc_id, '\"' || c_custkey || '\",\"\"\"' || c_name || '\",\"\"' AS line FROM customer"),
 }
 

@@ -44,7 +44,15 @@ def _repeated(spark, d):
     """Documents in which every third order has a member twice inside, and all have one twice at the top."""
     o = _read(spark, d, "orders")
     again = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(',"p":'), F.col("o_custkey").cast("string"))).otherwise("")
-    text = F.concat(F.lit('{"k":'), F.col("o_orderkey").cast("string"), F.lit(',"in":{"p":1'), again, F.lit('},"k":'), F.col("o_custkey").cast("string"), F.lit("}"))
+    text = F.concat(
+        F.lit('{"k":'),
+        F.col("o_orderkey").cast("string"),
+        F.lit(',"in":{"p":1'),
+        again,
+        F.lit('},"k":'),
+        F.col("o_custkey").cast("string"),
+        F.lit("}"),
+    )
     return o.select(F.col("o_orderkey").alias("doc_id"), text.alias("content"))
 
 
@@ -61,12 +69,17 @@ def overlap_matrix(spark, d):
     """Two selectors of two steps for each line of an order; can they meet?"""
 
     def step(n, key):
-        fields = F.when(n % 4 == 2, F.concat(F.lit("k"), key.cast("string"))), F.when(n % 4 == 3, key.cast("int")), F.when(n % 4 == 0, "member").when(n % 4 == 1, "index")
+        fields = F.when(
+            n % 4 == 2,
+            F.concat(F.lit("k"), key.cast("string")),
+        ), F.when(n % 4 == 3, key.cast("int")), F.when(n % 4 == 0, "member").when(n % 4 == 1, "index")
         return F.struct(*[f.alias(name) for f, name in zip(fields, ("key", "idx", "each"), strict=True)])
 
     c = F.col
     a = F.array(step(c("l_orderkey"), c("l_linenumber") % 2), step(c("l_partkey"), c("l_suppkey") % 2))
-    b = F.when(c("l_suppkey") % 5 == 0, F.array(step(c("l_suppkey"), c("l_orderkey") % 2))).otherwise(F.array(step(c("l_suppkey"), c("l_orderkey") % 2), step(c("l_linenumber"), c("l_partkey") % 2)))
+    b = F.when(c("l_suppkey") % 5 == 0, F.array(step(c("l_suppkey"), c("l_orderkey") % 2))).otherwise(
+        F.array(step(c("l_suppkey"), c("l_orderkey") % 2), step(c("l_linenumber"), c("l_partkey") % 2))
+    )
     return _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", overlap(a, b).alias("overlap"))
 
 
@@ -106,10 +119,19 @@ def lexeme_rule(spark, d):
     """Number texts, by the order's number with something before or after: which are JSON numbers, which keep their text."""
     w = _number_words(spark, d)
     m, case = F.col("m").cast("string"), F.col("o_orderkey") % 7
-    text = F.when(case == 0, m).when(case == 1, F.concat(m, F.lit(".50"))).when(case == 2, F.concat(F.lit("0"), m)).when(case == 3, F.concat(F.lit("+"), m)).when(case == 4, F.concat(m, F.lit("."))).when(case == 5, F.concat(F.lit("-"), m, F.lit("E+2"))).otherwise(F.concat(F.lit("x"), m))
+    text = F.when(case == 0, m).when(case == 1, F.concat(m, F.lit(".50"))).when(case == 2, F.concat(F.lit("0"), m)).when(case == 3, F.concat(F.lit("+"), m)).when(case == 4, F.concat(m, F.lit("."))).when(
+        case == 5,
+        F.concat(F.lit("-"), m, F.lit("E+2")),
+    ).otherwise(F.concat(F.lit("x"), m))
     t = w.select("o_orderkey", text.alias("lexeme"))
     num = F.col("lexeme").try_cast("double")
-    return t.select("o_orderkey", "lexeme", values.is_json_number(F.col("lexeme")).alias("json_number"), values.keeps_lexeme(F.col("lexeme"), num).alias("kept"), values.number_text(num).alias("shown"))
+    return t.select(
+        "o_orderkey",
+        "lexeme",
+        values.is_json_number(F.col("lexeme")).alias("json_number"),
+        values.keeps_lexeme(F.col("lexeme"), num).alias("kept"),
+        values.number_text(num).alias("shown"),
+    )
 
 
 _LEXEME_RULE = f"""
@@ -153,23 +175,45 @@ def native_failures(spark, d):
 def table_zero_rows(spark, d):
     schemas, rows = table.table(nodes(_described_documents(spark, d), format="json"), ROWS, table.Metadata(META))
     n = rows.groupBy(F.col("doc_id").alias("k")).agg(F.count("*").alias("n_rows"))
-    return schemas.where("fail is null").join(n, F.col("doc_id") == F.col("k"), "left").select("doc_id", F.array_join("labels", ",").alias("labels"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+    return schemas.where("fail is null").join(n, F.col("doc_id") == F.col("k"), "left").select(
+        "doc_id",
+        F.array_join("labels", ",").alias("labels"),
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+    )
 
 
 def native_steps(spark, d):
     """Columns by index, by names with quotes of either or both kinds, in documents that describe them."""
     o = _read(spark, d, "orders")
-    line = F.concat(F.lit('{"tags":["'), F.col("o_orderstatus"), F.lit('",'), F.col("o_orderkey").cast("string"), F.lit("],\"odd 'name\":"), F.col("o_custkey").cast("string"), F.lit(",\"both '\\\"\":{\"in\":\""), F.col("o_orderpriority"), F.lit('"}}'))
+    line = F.concat(
+        F.lit('{"tags":["'),
+        F.col("o_orderstatus"),
+        F.lit('",'),
+        F.col("o_orderkey").cast("string"),
+        F.lit("],\"odd 'name\":"),
+        F.col("o_custkey").cast("string"),
+        F.lit(",\"both '\\\"\":{\"in\":\""),
+        F.col("o_orderpriority"),
+        F.lit('"}}'),
+    )
     meta = '[{"title":"a","path":["tags",0]},{"title":"b","path":["tags",1]},{"title":"c","path":["odd \'name"]},{"title":"d","path":["both \'\\"","in"]},{"title":"e","path":["tags",2]}]'
-    docs = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line"))))["line"], ",").alias("lines"))
+    docs = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line"))))["line"], ",").alias("lines")
+    )
     docs = docs.select("doc_id", F.concat(F.lit('{"meta":' + meta + ',"rows":['), "lines", F.lit("]}")).alias("content"))
     got = native.by_metadata(docs, META, ROWS)
-    return got.select("doc_id", F.col("row_no").cast("bigint").alias("row_no"), *[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate("abcde")])
+    return got.select(
+        "doc_id",
+        F.col("row_no").cast("bigint").alias("row_no"),
+        *[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate("abcde")],
+    )
 
 
 def _arrays(spark, d, of):
     o = _read(spark, d, "orders")
-    return o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(F.struct("o_orderkey", of.alias("t"))))["t"], ","), F.lit("]")).alias("content"))
+    return o.groupBy(F.col("o_custkey").alias("doc_id")).agg(
+        F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(F.struct("o_orderkey", of.alias("t"))))["t"], ","), F.lit("]")).alias("content")
+    )
 
 
 def table_infer_array(spark, d):
@@ -182,10 +226,18 @@ def table_infer_array(spark, d):
 def table_infer_mixed(spark, d):
     """Rows of several kinds: the first one's kind decides, and rows of another kind have no cells of it."""
     key, status = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
-    row = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('{"k":'), key, F.lit("}"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("["), key, F.lit("]"))).otherwise(F.concat(F.lit('"'), status, F.lit('"')))
+    row = F.when(
+        F.col("o_orderkey") % 3 == 0,
+        F.concat(F.lit('{"k":'), key, F.lit("}")),
+    ).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("["), key, F.lit("]"))).otherwise(F.concat(F.lit('"'), status, F.lit('"')))
     schemas, rows = table.table(nodes(_arrays(spark, d, row), format="json"), Selector.of(EACH_INDEX), "infer")
     cell = F.get("cells", F.lit(0))
-    got = rows.select("doc_id", "row_no", cell["kind"].alias("kind"), F.coalesce(cell["num"].cast("bigint").cast("string"), cell["str"]).alias("shown"))
+    got = rows.select(
+        "doc_id",
+        "row_no",
+        cell["kind"].alias("kind"),
+        F.coalesce(cell["num"].cast("bigint").cast("string"), cell["str"]).alias("shown"),
+    )
     return got.join(schemas.select("doc_id", F.array_join("labels", ",").alias("labels")), "doc_id")
 
 
@@ -207,7 +259,10 @@ def limit_depth(spark, d):
 
 
 def limit_key(spark, d):
-    c = _read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.to_json(F.array(F.create_map(F.repeat(F.lit("é"), (F.col("c_custkey") % 9).cast("int")), F.lit(1)))).alias("content"))
+    c = _read(spark, d, "customer").select(
+        F.col("c_custkey").alias("doc_id"),
+        F.to_json(F.array(F.create_map(F.repeat(F.lit("é"), (F.col("c_custkey") % 9).cast("int")), F.lit(1)))).alias("content"),
+    )
     found = guard.violations(nodes(c, format="json"), Limits(max_key_bytes=9))
     return found.select("doc_id", "fail.code", "fail.limit", "fail.path")
 
@@ -215,10 +270,18 @@ def limit_key(spark, d):
 def limit_record(spark, d):
     """Rows are lists of the flags of an order's lines; the first beyond the limit ends its document."""
     lines = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.sort_array(F.collect_list("l_returnflag"))).alias("t"))
-    docs = lines.groupBy((F.col("l_orderkey") % 500).alias("doc_id")).agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(F.struct("l_orderkey", "t")))["t"], ","), F.lit("]")).alias("content"))
+    docs = lines.groupBy((F.col("l_orderkey") % 500).alias("doc_id")).agg(
+        F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(F.struct("l_orderkey", "t")))["t"], ","), F.lit("]")).alias("content")
+    )
     schemas, rows = table.table(nodes(docs, format="json"), Selector.of(EACH_INDEX), [table.TableColumn("first", (0,))], Limits(max_record_bytes=120))
     n = rows.groupBy(F.col("doc_id").alias("k")).agg(F.count("*").alias("n_rows"))
-    return schemas.join(n, F.col("doc_id") == F.col("k"), "left").select("doc_id", "fail.code", "fail.limit", "fail.path", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+    return schemas.join(n, F.col("doc_id") == F.col("k"), "left").select(
+        "doc_id",
+        "fail.code",
+        "fail.limit",
+        "fail.path",
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+    )
 
 
 _LIMIT_RECORD = """
@@ -274,9 +337,16 @@ UNION ALL SELECT doc_id, n, 'all', '.', NULL FROM c WHERE n < 4"""
 def equal_values(spark, d):
     """The order documents against themselves, with one price changed, one number given its text, or one absent."""
     docs, case = order_documents(spark, d), F.col("doc_id") % 4
-    other = docs.where(case != 3).select("doc_id", F.when(case == 1, F.regexp_replace("content", r'\{"id":', '{"id":1')).otherwise(F.col("content")).alias("content"), case.alias("case"))
+    other = docs.where(case != 3).select(
+        "doc_id",
+        F.when(case == 1, F.regexp_replace("content", r'\{"id":', '{"id":1')).otherwise(F.col("content")).alias("content"),
+        case.alias("case"),
+    )
     a = nodes(docs, format="json")
-    b = nodes(other, format="json").withColumn("lexeme", F.when((F.col("doc_id") % 4 == 2) & (F.col("kind") == "number"), "").otherwise(F.col("lexeme")))
+    b = nodes(other, format="json").withColumn(
+        "lexeme",
+        F.when((F.col("doc_id") % 4 == 2) & (F.col("kind") == "number"), "").otherwise(F.col("lexeme")),
+    )
     return values.equal(a, b)
 
 
@@ -297,7 +367,9 @@ UNION ALL SELECT conv_id, op, CAST(1 AS BIGINT), '' || CAST(s AS BIGINT) FROM s
 def natural_order(spark, d):
     """Names with numbers at their end, in a map without order, and with one name placed first."""
     e = _read(spark, d, "events")
-    held = e.groupBy("user_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat("event_type", F.lit("~"), (F.col("event_id") % 12).cast("string")), F.lit(1)))).alias("m"))
+    held = e.groupBy("user_id").agg(
+        F.map_from_entries(F.collect_set(F.struct(F.concat("event_type", F.lit("~"), (F.col("event_id") % 12).cast("string")), F.lit(1)))).alias("m")
+    )
     return held.select("user_id", F.array_join(natural_keys(F.col("m")), ",").alias("names"))
 
 
@@ -305,30 +377,63 @@ _NATURAL_ORDER = "SELECT user_id, string_agg(t || '~' || n, ',' ORDER BY t, n) A
 
 #: name: (query, SQL)
 ALL = {
-    "tree_contract": (tree_contract, f"SELECT doc_id, CAST({_FAULT_AT} AS BIGINT) AS seq, CASE WHEN doc_id % 8 = 1 THEN 'DUPLICATE_MEMBER' ELSE 'STREAMABILITY_UNKNOWN' END AS code FROM ({_DOCS}) WHERE doc_id % 8 > 0"),
-    "protocol_errors": (protocol_errors, f"SELECT doc_id, CAST({_FAULT_AT} AS BIGINT) AS seq, 'PROTOCOL_ORDER_ERROR' AS code FROM ({_DOCS}) WHERE doc_id % 8 > 1"),
+    "tree_contract": (
+        tree_contract,
+        f"SELECT doc_id, CAST({_FAULT_AT} AS BIGINT) AS seq, CASE WHEN doc_id % 8 = 1 THEN 'DUPLICATE_MEMBER' ELSE 'STREAMABILITY_UNKNOWN' END AS code FROM ({_DOCS}) WHERE doc_id % 8 > 0",
+    ),
+    "protocol_errors": (
+        protocol_errors,
+        f"SELECT doc_id, CAST({_FAULT_AT} AS BIGINT) AS seq, 'PROTOCOL_ORDER_ERROR' AS code FROM ({_DOCS}) WHERE doc_id % 8 > 1",
+    ),
     "duplicates_policies": (
         duplicates_policies,
         "SELECT o_orderkey AS doc_id, '{\"k\":' || o_custkey || ',\"in\":{\"p\":' || CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE 1 END || '}}' AS text, 'last_wins' AS policy FROM orders "
         "UNION ALL SELECT o_orderkey, '{\"k\":' || o_orderkey || ',\"in\":{\"p\":1}}', 'first_wins' FROM orders",
     ),
-    "duplicates_rejected": (duplicates_rejected, "SELECT o_orderkey AS doc_id, '.in' AS path, 'DUPLICATE_MEMBER' AS code FROM orders WHERE o_orderkey % 3 = 0"),
+    "duplicates_rejected": (
+        duplicates_rejected,
+        "SELECT o_orderkey AS doc_id, '.in' AS path, 'DUPLICATE_MEMBER' AS code FROM orders WHERE o_orderkey % 3 = 0",
+    ),
     "overlap_matrix": (overlap_matrix, f"SELECT l_orderkey, l_linenumber, {_FIRST} AND (l_suppkey % 5 = 0 OR {_SECOND}) AS overlap FROM lineitem"),
     "number_text": (number_text, _NUMBER_TEXT),
     "lexeme_rule": (lexeme_rule, _LEXEME_RULE),
     "order_violation": (order_violation, f"SELECT doc_id, {_CODES} FROM ({_DOCS}) WHERE doc_id % 7 < 5"),
     "native_failures": (native_failures, f"SELECT doc_id, {_CODES} FROM ({_DOCS}) WHERE doc_id % 7 BETWEEN 1 AND 4"),
-    "table_zero_rows": (table_zero_rows, f"SELECT doc_id, 'Identifier,Total' AS labels, CASE WHEN doc_id % 7 = 5 THEN 0 ELSE n END AS n_rows FROM ({_DOCS}) WHERE doc_id % 7 >= 5"),
-    "native_steps": (native_steps, f"SELECT r.doc_id, r.n - 1 AS row_no, o.o_orderstatus AS a, '' || r.o_orderkey AS b, '' || r.doc_id AS c, o.o_orderpriority AS d, CAST(NULL AS VARCHAR) AS e FROM ({_ROWS_OF}) AS r JOIN orders AS o USING (o_orderkey)"),
-    "table_infer_array": (table_infer_array, f"SELECT r.doc_id, r.n AS row_no, r.o_orderkey AS k, o.o_orderstatus AS status, '0,1' AS labels FROM ({_ROWS_OF}) AS r JOIN orders AS o USING (o_orderkey)"),
+    "table_zero_rows": (
+        table_zero_rows,
+        f"SELECT doc_id, 'Identifier,Total' AS labels, CASE WHEN doc_id % 7 = 5 THEN 0 ELSE n END AS n_rows FROM ({_DOCS}) WHERE doc_id % 7 >= 5",
+    ),
+    "native_steps": (
+        native_steps,
+        f"SELECT r.doc_id, r.n - 1 AS row_no, o.o_orderstatus AS a, '' || r.o_orderkey AS b, '' || r.doc_id AS c, o.o_orderpriority AS d, CAST(NULL AS VARCHAR) AS e FROM ({_ROWS_OF}) AS r JOIN orders AS o USING (o_orderkey)",
+    ),
+    "table_infer_array": (
+        table_infer_array,
+        f"SELECT r.doc_id, r.n AS row_no, r.o_orderkey AS k, o.o_orderstatus AS status, '0,1' AS labels FROM ({_ROWS_OF}) AS r JOIN orders AS o USING (o_orderkey)",
+    ),
     "table_infer_mixed": (table_infer_mixed, _INFER_MIXED),
-    "limit_depth": (limit_depth, f"SELECT doc_id, 'RESOURCE_LIMIT_EXCEEDED' AS code, 'max_depth' AS \"limit\", '.meta[0].path' AS path FROM ({_DOCS})"),
-    "limit_key": (limit_key, "SELECT c_custkey AS doc_id, 'RESOURCE_LIMIT_EXCEEDED' AS code, 'max_key_bytes' AS \"limit\", '[0].\"' || repeat('é', CAST(c_custkey % 9 AS INTEGER)) || '\"' AS path FROM customer WHERE c_custkey % 9 > 4"),
+    "limit_depth": (
+        limit_depth,
+        f"SELECT doc_id, 'RESOURCE_LIMIT_EXCEEDED' AS code, 'max_depth' AS \"limit\", '.meta[0].path' AS path FROM ({_DOCS})",
+    ),
+    "limit_key": (
+        limit_key,
+        "SELECT c_custkey AS doc_id, 'RESOURCE_LIMIT_EXCEEDED' AS code, 'max_key_bytes' AS \"limit\", '[0].\"' || repeat('é', CAST(c_custkey % 9 AS INTEGER)) || '\"' AS path FROM customer WHERE c_custkey % 9 > 4",
+    ),
     "limit_record": (limit_record, _LIMIT_RECORD),
-    "limit_metadata": (limit_metadata, f"SELECT doc_id, 'RESOURCE_LIMIT_EXCEEDED' AS code, 'max_metadata_bytes' AS \"limit\", '.meta' AS path FROM ({_DOCS})"),
-    "limit_columns": (limit_columns, "SELECT c_custkey AS doc_id, 'RESOURCE_LIMIT_EXCEEDED' AS code, 'max_columns' AS \"limit\", '[0]' AS path FROM customer WHERE c_custkey % 5 > 2"),
+    "limit_metadata": (
+        limit_metadata,
+        f"SELECT doc_id, 'RESOURCE_LIMIT_EXCEEDED' AS code, 'max_metadata_bytes' AS \"limit\", '.meta' AS path FROM ({_DOCS})",
+    ),
+    "limit_columns": (
+        limit_columns,
+        "SELECT c_custkey AS doc_id, 'RESOURCE_LIMIT_EXCEEDED' AS code, 'max_columns' AS \"limit\", '[0]' AS path FROM customer WHERE c_custkey % 5 > 2",
+    ),
     "limit_output": (limit_output, _LIMIT_OUTPUT),
-    "capture_metrics": (capture_metrics, f"SELECT doc_id, n AS captures, 91 * n AS captured_bytes, CAST(91 AS BIGINT) AS captured_bytes_high FROM ({_DOCS})"),
+    "capture_metrics": (
+        capture_metrics,
+        f"SELECT doc_id, n AS captures, 91 * n AS captured_bytes, CAST(91 AS BIGINT) AS captured_bytes_high FROM ({_DOCS})",
+    ),
     "capture_refused": (capture_refused, _CAPTURE_REFUSED),
     "equal_values": (equal_values, f"SELECT doc_id, doc_id % 4 = 0 AS equal FROM ({_DOCS})"),
     "scan_stop": (scan_stop, _SCAN_STOP),

@@ -219,7 +219,10 @@ class Columns:
         path = pa.StructArray.from_arrays([text(self.keys), pa.array(self.indexes, pa.int32())], ["key", "idx"])
         made = [
             ids.take(pa.array(self.of, pa.int64())), pa.array(self.pre, pa.int64()), pa.array(self.last, pa.int64()), pa.array(self.depth, pa.int32()),
-            lists(self.path_ends, path), lists(self.above_ends, pa.array(self.above, pa.int64())), pa.array(self.kind, pa.string()), pa.array(self.bool, pa.bool_()),
+            lists(self.path_ends, path), lists(
+                self.above_ends,
+                pa.array(self.above, pa.int64()),
+            ), pa.array(self.kind, pa.string()), pa.array(self.bool, pa.bool_()),
             pa.array(self.num, pa.float64()), pa.array(self.lexeme, pa.string()), text(self.str), pa.array(self.size, pa.int32()), pa.array(self.fail, fail_type),
         ]
         return pa.RecordBatch.from_arrays(made, names)
@@ -300,7 +303,14 @@ def walk(value, duplicates: str, into: Columns, of: int) -> None:
 ROWS = 20_000
 
 
-def nodes(docs: DataFrame, key: str = "doc_id", content: str = "content", format: str | None = None, lexemes: bool = False, duplicates: str = "last_wins") -> DataFrame:
+def nodes(
+    docs: DataFrame,
+    key: str = "doc_id",
+    content: str = "content",
+    format: str | None = None,
+    lexemes: bool = False,
+    duplicates: str = "last_wins",
+) -> DataFrame:
     """The node table of documents: key, the NODE_FIELDS and ``fail`` (null but for a document that cannot be read,
     which has one row with null fields). The format is a literal or the column ``format`` of docs.
 
@@ -339,4 +349,7 @@ def nodes(docs: DataFrame, key: str = "doc_id", content: str = "content", format
 
 def formats(spark) -> DataFrame:
     """What each format allows: record-wise splitting, and the decoder for whole documents."""
-    return spark.createDataFrame([(f, SPLITTABLE.get(f, False), f in ("json", "jsonl", "csv", "xml")) for f in sorted(DECODERS)], "format string, splittable boolean, native boolean")
+    return spark.createDataFrame(
+        [(f, SPLITTABLE.get(f, False), f in ("json", "jsonl", "csv", "xml")) for f in sorted(DECODERS)],
+        "format string, splittable boolean, native boolean",
+    )

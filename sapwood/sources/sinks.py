@@ -13,7 +13,10 @@ def cell_text(cell: Column, missing: str | None = "") -> Column:
     """A cell as text: null is empty; a missing cell is the given text, or with None fails the query."""
     absent = F.raise_error(F.lit("MISSING_VALUE: a cell is missing")).cast("string") if missing is None else F.lit(missing)
     kind = cell["kind"]
-    return F.when(kind == "missing", absent).when(kind == "null", "").when(kind == "bool", cell["bool"].cast("string")).when(kind == "number", number_text(cell["num"], cell["lexeme"])).otherwise(cell["str"])
+    return F.when(kind == "missing", absent).when(kind == "null", "").when(kind == "bool", cell["bool"].cast("string")).when(
+        kind == "number",
+        number_text(cell["num"], cell["lexeme"]),
+    ).otherwise(cell["str"])
 
 
 def csv_lines(rows: DataFrame, key: str = "doc_id", missing: str | None = "") -> DataFrame:
@@ -46,8 +49,18 @@ def write_csv(rows: DataFrame, labels: list[str], path: str, missing: str | None
 def records(rows: DataFrame, schemas: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, row_no, record: one JSON object per row, a missing cell's member left out, the last of equal labels kept."""
     named = rows.join(schemas.select(F.col(key).alias("_k"), "labels"), F.col(key) == F.col("_k"))
-    value = lambda c: F.when(c["kind"] == "null", "null").when(c["kind"] == "bool", c["bool"].cast("string")).when(c["kind"] == "number", number_text(c["num"], c["lexeme"])).otherwise(F.regexp_replace(F.to_json(F.array(c["str"])), r"^\[|\]$", ""))
+    value = lambda c: F.when(c["kind"] == "null", "null").when(c["kind"] == "bool", c["bool"].cast("string")).when(c["kind"] == "number", number_text(c["num"], c["lexeme"])).otherwise(
+        F.regexp_replace(F.to_json(F.array(c["str"])), r"^\[|\]$", "")
+    )
     label = lambda l: F.regexp_replace(F.to_json(F.array(l)), r"^\[|\]$", "")  # noqa: E731, E741
     pairs = F.filter(F.arrays_zip(F.col("labels").alias("l"), F.col("cells").alias("c")), lambda p: p["c"]["kind"] != "missing")
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["l"] == p["l"]))
-    return named.select(key, "row_no", F.concat(F.lit("{"), F.array_join(F.transform(last, lambda p: F.concat(label(p["l"]), F.lit(":"), value(p["c"]))), ","), F.lit("}")).alias("record"))
+    return named.select(
+        key,
+        "row_no",
+        F.concat(
+            F.lit("{"),
+            F.array_join(F.transform(last, lambda p: F.concat(label(p["l"]), F.lit(":"), value(p["c"]))), ","),
+            F.lit("}"),
+        ).alias("record"),
+    )

@@ -11,7 +11,10 @@ from ..sources.decode import nodes
 
 def read_documents(spark, path: str, files_per_trigger: int = 100) -> DataFrame:
     """A stream of whole text files: path, content. One file is one document."""
-    return spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).load(path).selectExpr("_metadata.file_path AS doc_id", "value AS content")
+    return spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).load(path).selectExpr(
+        "_metadata.file_path AS doc_id",
+        "value AS content",
+    )
 
 
 def stream_nodes(docs: DataFrame, format: str, **options) -> DataFrame:
@@ -39,4 +42,10 @@ def stream_scan(df: DataFrame, key: str, item: str, initial: float, step) -> Dat
         state.update((float(held),))
         yield pd.DataFrame(out, columns=[key, "out"])
 
-    return df.groupBy(key).applyInPandasWithState(run, f"{key} {dict(df.dtypes)[key]}, out string", "held double", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(key).applyInPandasWithState(
+        run,
+        f"{key} {dict(df.dtypes)[key]}, out string",
+        "held double",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )

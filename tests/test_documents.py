@@ -27,9 +27,19 @@ def test_selector_display_and_overlap():
 
 
 def test_overlap_of_columns_is_that_of_selectors(spark):
-    held = [Selector.of("goods", EACH_INDEX), Selector.of("head"), Selector.of("goods", 4, "price"), Selector(), Selector.of(EACH_MEMBER), Selector.of(EACH_INDEX, "goods")]
+    held = [
+        Selector.of("goods", EACH_INDEX),
+        Selector.of("head"),
+        Selector.of("goods", 4, "price"),
+        Selector(),
+        Selector.of(EACH_MEMBER),
+        Selector.of(EACH_INDEX, "goods"),
+    ]
     steps = lambda s: [(None, None, x[1]) if isinstance(x, tuple) else (None, x, None) if isinstance(x, int) else (x, None, None) for x in s.steps]
-    pairs = spark.createDataFrame([(i, j, steps(a), steps(b)) for i, a in enumerate(held) for j, b in enumerate(held)], f"i int, j int, a {SELECTOR_TYPE}, b {SELECTOR_TYPE}")
+    pairs = spark.createDataFrame(
+        [(i, j, steps(a), steps(b)) for i, a in enumerate(held) for j, b in enumerate(held)],
+        f"i int, j int, a {SELECTOR_TYPE}, b {SELECTOR_TYPE}",
+    )
     for r in pairs.select("i", "j", overlap(pairs.a, pairs.b).alias("overlap")).collect():
         assert r["overlap"] == held[r["i"]].may_overlap(held[r["j"]])
 
@@ -82,7 +92,24 @@ def test_native_names_with_quotes_and_indexes(spark):
 
 
 def test_contract_on_every_kind_of_bad_stream(spark):
-    streams = ["k", "{ 1", "{ k k", "{ k }", "[ }", "{ ]", "]", "1 1", "end", "[ end", "1 end end", "[ k", "{ k 1 } end", "[ { k 1 } [ ] ] end", "1 end", "{ } 1"]
+    streams = [
+        "k",
+        "{ 1",
+        "{ k k",
+        "{ k }",
+        "[ }",
+        "{ ]",
+        "]",
+        "1 1",
+        "end",
+        "[ end",
+        "1 end end",
+        "[ k",
+        "{ k 1 } end",
+        "[ { k 1 } [ ] ] end",
+        "1 end",
+        "{ } 1",
+    ]
     kinds = {"k": "key", "1": "number", "{": "object_start", "}": "object_end", "[": "array_start", "]": "array_end", "end": "end"}
     rows = [(i, n, kinds[e], "a" if e == "k" else None) for i, s in enumerate(streams) for n, e in enumerate(s.split())]
     got = {r["doc_id"]: r["seq"] for r in contract.protocol_errors(spark.createDataFrame(rows, "doc_id long, seq long, kind string, key_name string")).collect()}
@@ -90,7 +117,19 @@ def test_contract_on_every_kind_of_bad_stream(spark):
 
 
 def test_number_texts(spark):
-    want = {1e22: "1" + "0" * 22, 1e-20: "0." + "0" * 19 + "1", -2.5e-9: "-0.0000000025", 8.41e21: "8410000000000000000000", 2.0**-1074: "0." + "0" * 323 + "5", 1.7976931348623157e308: "17976931348623157" + "0" * 292, 1e15: "1" + "0" * 15, 123456.75: "123456.75", 9007199254740993.0: "9007199254740992", float("nan"): "null", float("-inf"): "null"}
+    want = {
+        1e22: "1" + "0" * 22,
+        1e-20: "0." + "0" * 19 + "1",
+        -2.5e-9: "-0.0000000025",
+        8.41e21: "8410000000000000000000",
+        2.0**-1074: "0." + "0" * 323 + "5",
+        1.7976931348623157e308: "17976931348623157" + "0" * 292,
+        1e15: "1" + "0" * 15,
+        123456.75: "123456.75",
+        9007199254740993.0: "9007199254740992",
+        float("nan"): "null",
+        float("-inf"): "null",
+    }
     rng = random.Random(5)
     for _ in range(300):
         x = struct.unpack("<d", rng.randbytes(8))[0]
@@ -103,7 +142,14 @@ def test_number_texts(spark):
 
 
 def test_equality_of_values(spark):
-    pairs = [('{"a":1}', '{"a":1.0}', True), ('{"a":1,"b":2}', '{"b":2,"a":1}', False), ("[0]", "[-0.0]", False), ('"x"', '"x"', True), ("[[]]", "[{}]", False), ("[1]", "[1,2]", False)]
+    pairs = [
+        ('{"a":1}', '{"a":1.0}', True),
+        ('{"a":1,"b":2}', '{"b":2,"a":1}', False),
+        ("[0]", "[-0.0]", False),
+        ('"x"', '"x"', True),
+        ("[[]]", "[{}]", False),
+        ("[1]", "[1,2]", False),
+    ]
     sides = [nodes(spark.createDataFrame([(i, p[k]) for i, p in enumerate(pairs)], "doc_id long, content string"), format="json") for k in (0, 1)]
     assert {r["doc_id"]: r["equal"] for r in values.equal(*sides).collect()} == {i: p[2] for i, p in enumerate(pairs)}
     kinds = spark.createDataFrame([(k,) for k in ("key", "end", "array_start", "object_end", "null")], "kind string")
@@ -143,13 +189,19 @@ def test_natural_keys(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([({k: 1 for k in ("row~11", "row~9", "row~1234567890", "b", "a~2", "a", "7", "12")},)], "m map<string,int>")
-    got = df.select(natural_keys(df.m).alias("n"), natural_keys(df.m, F.array(F.lit("b"), F.lit("zz"), F.lit("row~9"), F.lit("b"))).alias("f")).first()
+    got = df.select(
+        natural_keys(df.m).alias("n"),
+        natural_keys(df.m, F.array(F.lit("b"), F.lit("zz"), F.lit("row~9"), F.lit("b"))).alias("f"),
+    ).first()
     assert got["n"] == ["7", "12", "a", "a~2", "b", "row~1234567890", "row~9", "row~11"] or got["n"].index("row~9") < got["n"].index("row~11")
     assert got["f"][:2] == ["b", "row~9"] and len(got["f"]) == 8
 
 
 def test_inferred_tables_and_missing_values(spark):
-    docs = spark.createDataFrame([(1, '[{"b":1,"a":"x"},{"a":"y"},[2]]'), (2, '[1,{"a":2},[3]]'), (3, "[]"), (4, "[[],[1]]")], "doc_id long, content string")
+    docs = spark.createDataFrame(
+        [(1, '[{"b":1,"a":"x"},{"a":"y"},[2]]'), (2, '[1,{"a":2},[3]]'), (3, "[]"), (4, "[[],[1]]")],
+        "doc_id long, content string",
+    )
     schemas, rows = table.table(nodes(docs, format="json"), Selector.of(EACH_INDEX), "infer")
     assert {r["doc_id"]: r["labels"] for r in schemas.collect()} == {1: ["b", "a"], 2: ["value"], 3: [], 4: []}
     shown = {(r["doc_id"], r["row_no"]): [c["str"] or c["num"] or c["kind"] for c in r["cells"]] for r in rows.collect()}
@@ -161,7 +213,10 @@ def test_inferred_tables_and_missing_values(spark):
 
 
 def test_limits(spark):
-    docs = spark.createDataFrame([("deep", "[[[1]]]"), ("key", '{"日":1}'), ("text", '["日本"]'), ("fine", '[1.50,"é",null]'), ("broken", '{"a": 1,\n "b": }')], "doc_id string, content string")
+    docs = spark.createDataFrame(
+        [("deep", "[[[1]]]"), ("key", '{"日":1}'), ("text", '["日本"]'), ("fine", '[1.50,"é",null]'), ("broken", '{"a": 1,\n "b": }')],
+        "doc_id string, content string",
+    )
     found = {r["doc_id"]: (r["fail"]["code"], r["fail"]["limit"], r["fail"]["row"], r["fail"]["col"]) for r in guard.violations(nodes(docs, format="json"), Limits(max_depth=2, max_key_bytes=2, max_scalar_bytes=5)).collect()}
     assert found == {d: ("RESOURCE_LIMIT_EXCEEDED", n, None, None) for d, n in (("deep", "max_depth"), ("key", "max_key_bytes"), ("text", "max_scalar_bytes"))} | {"broken": ("INPUT_INVALID", None, 2, 7)}
     sizes = {r["doc_id"]: r["bytes"] for r in values.byte_sizes(nodes(spark.createDataFrame([("a", '{"a":"é"}'), ("b", "[1.50]")], "doc_id string, content string"), format="json")).collect()}
@@ -194,7 +249,15 @@ def test_half_characters_and_many_rows_in_one_batch(spark, monkeypatch):
 
 
 def test_failures_tell_where(spark):
-    rows = [("json", '{"a": 1,\n "b": }', 2, 7), ("toml", "a = 1\nb = = 2\n", 2, 5), ("ini", "[s]\na = 1\nnothing\n", 3, None), ("csv", 'a,b\n1,2\n3,"x\n', 3, None), ("yaml", "a: 1\nb: [1\n", 3, 1), ("xml", "<a>\n<b></a>", 2, 6), ("tsv", "a", None, None)]
+    rows = [
+        ("json", '{"a": 1,\n "b": }', 2, 7),
+        ("toml", "a = 1\nb = = 2\n", 2, 5),
+        ("ini", "[s]\na = 1\nnothing\n", 3, None),
+        ("csv", 'a,b\n1,2\n3,"x\n', 3, None),
+        ("yaml", "a: 1\nb: [1\n", 3, 1),
+        ("xml", "<a>\n<b></a>", 2, 6),
+        ("tsv", "a", None, None),
+    ]
     docs = spark.createDataFrame([(i, f, t) for i, (f, t, *_) in enumerate(rows)], "doc_id long, format string, content string")
     got = {r["doc_id"]: (r["fail"]["code"], r["fail"]["row"], r["fail"]["col"]) for r in nodes(docs).collect()}
     assert got == {i: ("INPUT_INVALID", row, col) for i, (_, _, row, col) in enumerate(rows)}

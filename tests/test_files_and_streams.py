@@ -67,6 +67,9 @@ def test_stream_scan_keeps_its_state(spark, tmp_path):
     spark.createDataFrame([("a", 1.0), ("b", 5.0), ("a", 2.0)], "k string, item double").coalesce(1).write.parquet(source)
     stream = spark.readStream.schema("k string, item double").parquet(source)
     out = incremental.stream_scan(stream, "k", "item", 0.0, lambda s, x: (s + x, [s + x]))
-    query = out.writeStream.format("memory").queryName("sums").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    query = out.writeStream.format("memory").queryName("sums").option(
+        "checkpointLocation",
+        str(tmp_path / "c"),
+    ).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(float(r["out"]) for r in spark.table("sums").where("k = 'a'").collect())[-1] == 3.0
