@@ -23,11 +23,16 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         lows = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         lows = stored(spark, lows, "links-lows")
-        large = both.where("v > u").join(lows, F.col("u") == F.col("k")).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        large = both.where("v > u").join(lows, F.col("u") == F.col("k")).select(
+            F.col("v").alias("a"),
+            F.col("m").alias("b"),
+        ).where("a > b").distinct()
         large = stored(spark, large, "links-large")
         least = stored(spark, large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")), "links-lows")
         joined = large.join(least, F.col("a") == F.col("k"))
-        small = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p")).select("p.a", "p.b").where("a > b").distinct()
+        small = joined.select(
+            F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p")
+        ).select("p.a", "p.b").where("a > b").distinct()
         old, e = e, stored(spark, small, "links")
         for t in (old, lows, large, least):
             drop_stored(spark, t)
@@ -35,7 +40,9 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
         if now == state or not now[0]:
             break
         state = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+        e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    )
 
 
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

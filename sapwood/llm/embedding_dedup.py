@@ -107,12 +107,22 @@ def _parted(spark: SparkSession, cells: DataFrame, chord: float, cell_rows: int)
         by = [*_CELL, "salt"]
         placed = stored(spark, dealt.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(place, shape), "vector-cells")
         after = placed.groupBy(*_CELL, "parent").agg(F.sum(F.col("home").cast("double")).alias("h"), F.count("*").alias("m"))
-        after = after.groupBy(F.col("_label").alias("a_label"), F.col("dim").alias("a_dim"), F.col("parent").alias("a_cell")).agg(F.sum(F.col("h") * F.col("m")).alias("products"))
+        after = after.groupBy(
+            F.col("_label").alias("a_label"),
+            F.col("dim").alias("a_dim"),
+            F.col("parent").alias("a_cell"),
+        ).agg(F.sum(F.col("h") * F.col("m")).alias("products"))
         same = (F.col("b__label") == F.col("a_label")) & (F.col("b_dim") == F.col("a_dim")) & (F.col("b_cell") == F.col("a_cell"))
-        pays = large.join(after, same).where(F.col("products") * 2 <= F.col("homes").cast("double") * F.col("rows")).select("b__label", "b_dim", "b_cell")
+        pays = large.join(after, same).where(
+            F.col("products") * 2 <= F.col("homes").cast("double") * F.col("rows")
+        ).select("b__label", "b_dim", "b_cell")
         pays = stored(spark, pays, "vector-parted-cells")
         done.append(inside.drop("homes", "rows", "b__label", "b_dim", "b_cell").join(pays, on, "left_anti"))
-        cells = placed.join(pays, (F.col("_label") == F.col("b__label")) & (F.col("dim") == F.col("b_dim")) & (F.col("parent") == F.col("b_cell")), "left_semi").drop("parent")
+        cells = placed.join(
+            pays,
+            (F.col("_label") == F.col("b__label")) & (F.col("dim") == F.col("b_dim")) & (F.col("parent") == F.col("b_cell")),
+            "left_semi",
+        ).drop("parent")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -122,7 +132,15 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", cell_rows: int = CELL_ROWS) -> DataFrame:
+def near_duplicates(
+    spark: SparkSession,
+    vectors: DataFrame,
+    threshold: float = 0.98,
+    key: str = "vec_id",
+    vector: str = "embedding",
+    label: str = "label",
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
     """One row per row of vectors: key, n_links, component_id, kept.
 
     A vector that is null, empty, zero or holds null or non-finite components, or whose label is
@@ -131,8 +149,16 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     rows without a key link like others but name nothing: component_id is null where no row has a
     key, and such rows are kept then. Empty table: empty result. Only the three columns are read.
     """
-    rows = vectors.select(F.col(key).alias("_id"), F.col(label).alias("_label"), F.col(vector).cast("array<double>").alias("_v"), F.monotonically_increasing_id().alias("_row"))
-    fine = F.col("_label").isNotNull() & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0)
+    rows = vectors.select(
+        F.col(key).alias("_id"),
+        F.col(label).alias("_label"),
+        F.col(vector).cast("array<double>").alias("_v"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    fine = F.col("_label").isNotNull() & F.forall(
+        "_v",
+        lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")),
+    ) & F.exists("_v", lambda x: x != 0)
     rows = stored(spark, rows.withColumn("_ok", F.coalesce(fine, F.lit(False))), "vectors")
     classes = rows.where("_ok").groupBy("_label", "_v").agg(F.min("_row").alias("rep"), F.min("_id").alias("low"), F.count("*").alias("n"))
     classes = stored(spark, classes, "vector-classes")
@@ -147,8 +173,14 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     on = [F.col(c) == F.col(f"k_{c}") for c in _CELL]
     spread = placed.join(sizes, on)
     pick = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
-    homes = spread.where("home").withColumn("i", pick("homes", 1)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("members").cast("int") - 1))).withColumn("side", F.lit(0))
-    members = spread.withColumn("j", pick("members", 2)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("homes").cast("int") - 1))).withColumn("side", F.lit(1))
+    homes = spread.where("home").withColumn("i", pick("homes", 1)).withColumn(
+        "j",
+        F.explode(F.sequence(F.lit(0), F.col("members").cast("int") - 1)),
+    ).withColumn("side", F.lit(0))
+    members = spread.withColumn("j", pick("members", 2)).withColumn(
+        "i",
+        F.explode(F.sequence(F.lit(0), F.col("homes").cast("int") - 1)),
+    ).withColumn("side", F.lit(1))
     blocks = homes.select(*_CELL, "i", "j", "side", "rep", "n", "_v").unionByName(members.select(*_CELL, "i", "j", "side", "rep", "n", "_v"))
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
@@ -171,10 +203,23 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     counts = found.groupBy(F.col("rep").alias("r1")).agg(F.sum("links").alias("links"))
     roots = components(spark, found.where("rep <> root"), "rep", "root")
     named = classes.join(counts, F.col("rep") == F.col("r1"), "left").join(roots, F.col("rep") == F.col("node"), "left")
-    named = stored(spark, named.select("_label", "_v", "low", "component", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "vector-names")
-    lows = stored(spark, named.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("low").alias("lowest"), F.lit(True).alias("shared")), "vector-lows")
+    named = stored(
+        spark,
+        named.select("_label", "_v", "low", "component", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")),
+        "vector-names",
+    )
+    lows = stored(
+        spark,
+        named.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("low").alias("lowest"), F.lit(True).alias("shared")),
+        "vector-lows",
+    )
     named = named.join(lows, F.col("component") == F.col("c"), "left")
-    named = named.select(F.col("_label").alias("l"), F.col("_v").alias("v"), F.when(F.col("shared"), F.col("lowest")).otherwise(F.col("low")).alias("component_id"), "n_links")
+    named = named.select(
+        F.col("_label").alias("l"),
+        F.col("_v").alias("v"),
+        F.when(F.col("shared"), F.col("lowest")).otherwise(F.col("low")).alias("component_id"),
+        "n_links",
+    )
     named = stored(spark, named, "vector-names")
     good = rows.where("_ok").join(named, (F.col("_label") == F.col("l")) & (F.col("_v") == F.col("v"))).select("_id", "n_links", "component_id")
     out = good.unionByName(rows.where("not _ok").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id")))

@@ -48,7 +48,15 @@ def _signed(docs: DataFrame) -> DataFrame:
             with np.errstate(over="ignore"):
                 h1 = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if ok else None for s, ok in zip(sets, has, strict=True)]
                 h2 = [int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).astype(np.int64)) if ok else None for s, ok in zip(sets, has, strict=True)]
-            yield pd.DataFrame({"_row": p["_row"], "_id": p["_id"], "h1": pd.array(h1, "Int64"), "h2": pd.array(h2, "Int64"), "sig": [next(sig).tobytes() if ok else None for ok in has]})
+            yield pd.DataFrame(
+                {
+                    "_row": p["_row"],
+                    "_id": p["_id"],
+                    "h1": pd.array(h1, "Int64"),
+                    "h2": pd.array(h2, "Int64"),
+                    "sig": [next(sig).tobytes() if ok else None for ok in has],
+                }
+            )
 
     return docs.mapInPandas(sign, f"_row long, _id {dict(docs.dtypes)['_id']}, h1 long, h2 long, sig binary")
 
@@ -152,7 +160,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     Only the key and ``text`` are read. Empty table: empty result.
     """
     rows = docs.select(F.col(key).alias("_id"), "text").withColumn("_row", F.monotonically_increasing_id())
-    return _linked(spark, stored(spark, rows, "jaccard-rows"), threshold).select(F.col("_id").alias(key), "class_id", F.col("low._id").alias("component_id"), "n_links")
+    return _linked(spark, stored(spark, rows, "jaccard-rows"), threshold).select(
+        F.col("_id").alias(key),
+        "class_id",
+        F.col("low._id").alias("component_id"),
+        "n_links",
+    )
 
 
 def _alike(p: pd.DataFrame) -> pd.DataFrame:
@@ -188,7 +201,10 @@ def _tree(spark: SparkSession, signs: DataFrame, runs: range) -> DataFrame:
         below = put(_split(rows), f"jaccard-level{depth}")
         counts = below.groupBy("node", "parent").agg(F.count("*").alias("size")).where("size > 1")
         if parents is not None:
-            counts = counts.join(parents.select(F.col("p_node"), F.col("p_size")), F.col("parent") == F.col("p_node")).withColumn("stop", F.col("size") > HARDLY * F.col("p_size"))
+            counts = counts.join(
+                parents.select(F.col("p_node"), F.col("p_size")),
+                F.col("parent") == F.col("p_node"),
+            ).withColumn("stop", F.col("size") > HARDLY * F.col("p_size"))
         else:
             counts = counts.withColumn("stop", F.lit(False))
         counts = counts.withColumn("leaf", (F.col("size") <= LEAF) | F.col("stop") | F.lit(depth == DEPTH))
@@ -198,7 +214,10 @@ def _tree(spark: SparkSession, signs: DataFrame, runs: range) -> DataFrame:
         parents = counts.where("not leaf")
         if not parents.take(1):
             break
-        rows = put(kept.where("not leaf").select("node", "rep").join(signs.hint("merge"), F.col("rep") == F.col("s_rep")).select("node", "rep", "sig"), f"jaccard-open{depth}")
+        rows = put(
+            kept.where("not leaf").select("node", "rep").join(signs.hint("merge"), F.col("rep") == F.col("s_rep")).select("node", "rep", "sig"),
+            f"jaccard-open{depth}",
+        )
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.unionByName(more)
@@ -236,7 +255,11 @@ def _linked(spark: SparkSession, texts: DataFrame, threshold: float, recall: flo
 
     signed = stored(spark, _signed(texts), "jaccard-signed")
     keyed = F.when(F.col("_id").isNotNull(), F.struct("_id", "_row"))
-    classes = signed.where("sig is not null").groupBy("h1", "h2").agg(F.min(F.struct("_row", "sig")).alias("low"), F.min(keyed).alias("keyed"), F.count("*").alias("n"))
+    classes = signed.where("sig is not null").groupBy("h1", "h2").agg(
+        F.min(F.struct("_row", "sig")).alias("low"),
+        F.min(keyed).alias("keyed"),
+        F.count("*").alias("n"),
+    )
     classes = put(classes.select("h1", "h2", F.col("low._row").alias("rep"), F.col("low.sig").alias("sig"), "keyed", "n"), "jaccard-classes")
 
     pairs = _runs(spark, classes.select(F.col("rep").alias("s_rep"), "sig"), recall)
@@ -244,7 +267,10 @@ def _linked(spark: SparkSession, texts: DataFrame, threshold: float, recall: flo
 
     # exact comparison inside each group of classes that look alike
     sizes = put(groups.groupBy("component").agg(F.count("*").alias("size")), "jaccard-sizes")
-    member = groups.join(sizes.withColumnRenamed("component", "c"), F.col("component") == F.col("c")).join(classes.select(F.col("rep").alias("r"), "n"), F.col("node") == F.col("r"))
+    member = groups.join(
+        sizes.withColumnRenamed("component", "c"),
+        F.col("component") == F.col("c"),
+    ).join(classes.select(F.col("rep").alias("r"), "n"), F.col("node") == F.col("r"))
     member = put(member.select(F.col("node").alias("rep"), F.col("component").alias("grp"), "size", "n"), "jaccard-members")
     one = texts.join(member.hint("merge"), F.col("_row") == F.col("rep")).select("rep", "grp", "size", "n", "text")
 
@@ -270,15 +296,40 @@ def _linked(spark: SparkSession, texts: DataFrame, threshold: float, recall: flo
     found = put(_gathered(_blocked(sets, "grp", "size", "exact", BLOCK, half=True), "grp").applyInPandas(exact, _LINKS), "jaccard-links")
     counts = found.groupBy(F.col("rep").alias("r1")).agg(F.sum("links").alias("links"))
     final = components(spark, found.where("rep <> root").select("rep", "root"), "rep", "root")
-    named = classes.select("h1", "h2", "rep", "keyed", "n").join(counts, F.col("rep") == F.col("r1"), "left").join(final, F.col("rep") == F.col("node"), "left")
-    named = put(named.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "keyed", "component", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-names")
+    named = classes.select("h1", "h2", "rep", "keyed", "n").join(counts, F.col("rep") == F.col("r1"), "left").join(
+        final,
+        F.col("rep") == F.col("node"),
+        "left",
+    )
+    named = put(
+        named.select(
+            F.col("h1").alias("k1"),
+            F.col("h2").alias("k2"),
+            "keyed",
+            "component",
+            (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        ),
+        "jaccard-names",
+    )
     lows = put(named.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("keyed").alias("low")), "jaccard-lows")
-    named = named.join(lows, F.col("component") == F.col("c"), "left").select("k1", "k2", F.col("keyed._id").alias("class_id"), F.coalesce("low", "keyed").alias("low"), "n_links")
+    named = named.join(lows, F.col("component") == F.col("c"), "left").select(
+        "k1",
+        "k2",
+        F.col("keyed._id").alias("class_id"),
+        F.coalesce("low", "keyed").alias("low"),
+        "n_links",
+    )
     named = stored(spark, named, "jaccard-names")
     for t in made:
         drop_stored(spark, t)
     good = signed.where("sig is not null").select("_row", "_id", "h1", "h2").join(named, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
-    alone = signed.where("sig is null").select("_row", "_id", F.col("_id").alias("class_id"), F.struct("_id", "_row").alias("low"), F.lit(0).cast("long").alias("n_links"))
+    alone = signed.where("sig is null").select(
+        "_row",
+        "_id",
+        F.col("_id").alias("class_id"),
+        F.struct("_id", "_row").alias("low"),
+        F.lit(0).cast("long").alias("n_links"),
+    )
     return good.select("_row", "_id", "class_id", "low", "n_links").unionByName(alone)
 
 

@@ -87,7 +87,9 @@ def text_media(df: DataFrame, column: str = "text", into: str = "media") -> Data
     Equal texts give equal values. A text of more than 2**30 bytes does not fit an image and fails.
     """
 
-    @F.pandas_udf("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, file binary")
+    @F.pandas_udf(
+        "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, file binary"
+    )
     def stored(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for part in chunked([payload(t)[1] for t in texts]):
@@ -96,7 +98,17 @@ def text_media(df: DataFrame, column: str = "text", into: str = "media") -> Data
                 if isinstance(pixels, webp.Broken):
                     raise pixels
                 raw = pixels.astype(">u4").tobytes()[: len(p)]
-                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature(np.frombuffer(raw, np.uint8)), file))
+                rows.append(
+                    (
+                        len(raw),
+                        hashlib.sha256(raw).hexdigest(),
+                        zlib.crc32(raw[-64:]),
+                        len(file),
+                        hashlib.sha256(file).hexdigest(),
+                        feature(np.frombuffer(raw, np.uint8)),
+                        file,
+                    )
+                )
         out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "file"])
         out.insert(0, "n_bytes", [payload(t)[0] for t in texts])
         return out

@@ -43,7 +43,11 @@ def targets(sources: DataFrame, most: float = MOST) -> DataFrame:
     total, weights = every["total"] or 0.0, every["weights"] or 0.0
     level, capped = (total / weights if weights else 0.0), 0
     while True:
-        full = sources.where(cap <= F.lit(level) * weight).agg(F.count("*").alias("n"), F.sum(cap).alias("spent"), F.sum(weight).alias("gone")).first()
+        full = sources.where(cap <= F.lit(level) * weight).agg(
+            F.count("*").alias("n"),
+            F.sum(cap).alias("spent"),
+            F.sum(weight).alias("gone"),
+        ).first()
         if full["n"] == capped or weights <= (full["gone"] or 0.0):
             break
         capped, level = full["n"], (total - full["spent"]) / (weights - full["gone"])
@@ -60,7 +64,11 @@ def default_weights(sizes: DataFrame) -> DataFrame:
     spark = sizes.sparkSession
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = stored(spark, sums.repartitionByRange(parts, F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id()), "mix-sources")
+    ranged = stored(
+        spark,
+        sums.repartitionByRange(parts, F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id()),
+        "mix-sources",
+    )
     before, offsets = 0, []
     for r in ranged.groupBy("_part").count().orderBy("_part").collect():  # a row for each range, not for each source
         offsets += [F.lit(r["_part"]), F.lit(before)]
@@ -71,7 +79,14 @@ def default_weights(sizes: DataFrame) -> DataFrame:
     return ranged.withColumn("weight", by_rank).drop("_part")
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, weights=default_weights, key: str = "doc_id", most: float = MOST, carry: str | None = None) -> DataFrame:
+def mix_sources(
+    spark: SparkSession,
+    docs: DataFrame,
+    weights=default_weights,
+    key: str = "doc_id",
+    most: float = MOST,
+    carry: str | None = None,
+) -> DataFrame:
     """One row per row of docs: key, source, size, source_size, target, copies; with carry, a struct of that name with the row itself.
 
     docs needs the key, ``text`` and ``source``; other columns are ignored, whatever their names.
@@ -79,7 +94,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights=default_weights, k
     that repeat a key, or have none, are taken each by itself; rows that repeat both are taken alike. Empty table: empty result. A taken row is taken whole; a
     source's words differ from its target by half of one boundary row (a hash cell) at most.
     """
-    sizes = docs.select(F.col(key).alias("_key"), F.col("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(77), F.col(key).cast("string"), F.col("text")).alias("_hash"), *([F.struct("*").alias("_carried")] if carry else []))
+    sizes = docs.select(
+        F.col(key).alias("_key"),
+        F.col("source"),
+        word_count(F.col("text")).alias("size"),
+        F.xxhash64(F.lit(77), F.col(key).cast("string"), F.col("text")).alias("_hash"),
+        *([F.struct("*").alias("_carried")] if carry else []),
+    )
     sizes = stored(spark, sizes, "mix-sizes")
     plan = targets(stored(spark, weights(sizes.drop("_carried")), "mix-weights"), most)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -92,23 +113,48 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights=default_weights, k
         shift = 64 - BITS * level
         rows = sizes.drop("_carried").where("size > 0").withColumn("_bucket", unsigned(shift))
         if level > 1:  # only the boundary bucket is refined
-            rows = rows.withColumn("_above", unsigned(shift + BITS)).join(small(bound.withColumnsRenamed({"source": "_s"})), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_above") == F.col("_prefix")))
+            rows = rows.withColumn("_above", unsigned(shift + BITS)).join(
+                small(bound.withColumnsRenamed({"source": "_s"})),
+                F.col("source").eqNullSafe(F.col("_s")) & (F.col("_above") == F.col("_prefix")),
+            )
         sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words")).alias("h")
         sums = sums.join(small(bound.select(F.col("source").alias("_s"), "_rest")), F.col("source").eqNullSafe(F.col("_s")))
         till = Window.partitionBy("source").orderBy("_bucket")
         sums = sums.withColumn("_till", F.sum("_words").over(till)).withColumn("_before", F.col("_till") - F.col("_words"))
         # a remainder beyond the last bucket can only be rounding: that bucket is then the boundary
         sums = sums.withColumn("_last", F.lead("_bucket").over(till).isNull())
-        bound = sums.where((F.col("_before") <= F.col("_rest")) & ((F.col("_till") > F.col("_rest")) | F.col("_last"))).select("source", F.col("_bucket").alias("_prefix"), (F.col("_rest") - F.col("_before")).alias("_rest"), "_words")
+        bound = sums.where((F.col("_before") <= F.col("_rest")) & ((F.col("_till") > F.col("_rest")) | F.col("_last"))).select(
+            "source",
+            F.col("_bucket").alias("_prefix"),
+            (F.col("_rest") - F.col("_before")).alias("_rest"),
+            "_words",
+        )
         bound = stored(spark, bound, f"mix-level{level}")
     # the last cell goes in if that brings the source nearer to its target
-    edge = bound.select(F.col("source").alias("_s2"), (F.col("_prefix") + F.when(F.col("_rest") * 2 >= F.col("_words"), 1).otherwise(0)).alias("_below"))
-    plan = plan.join(edge, F.col("source").eqNullSafe(F.col("_s2")), "left").select(F.col("source").alias("_s"), "source_size", "target", "_passes", F.coalesce("_below", F.lit(0)).alias("_below"))
+    edge = bound.select(
+        F.col("source").alias("_s2"),
+        (F.col("_prefix") + F.when(F.col("_rest") * 2 >= F.col("_words"), 1).otherwise(0)).alias("_below"),
+    )
+    plan = plan.join(edge, F.col("source").eqNullSafe(F.col("_s2")), "left").select(
+        F.col("source").alias("_s"),
+        "source_size",
+        "target",
+        "_passes",
+        F.coalesce("_below", F.lit(0)).alias("_below"),
+    )
     shift = 64 - BITS * LEVELS
     out = sizes.join(small(plan), F.col("source").eqNullSafe(F.col("_s")))
     extra = F.when((F.col("size") > 0) & (unsigned(shift) < F.col("_below")) & (F.col("_passes") < F.lit(most)), 1).otherwise(0)
     copies = F.when(F.col("source_size") > 0, F.col("_passes") + extra).otherwise(0).cast("long")
-    return out.select(F.col("_key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), *([F.col("_carried").alias(carry)] if carry else []))
+    return out.select(
+        F.col("_key").alias(key),
+        "source",
+        "size",
+        "source_size",
+        "target",
+        copies.alias("copies"),
+        *([F.col("_carried").alias(carry)] if carry else []),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

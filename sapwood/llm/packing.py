@@ -91,7 +91,10 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
                 curve, ends = curve_keys(ids, counts), np.cumsum(counts)
                 raw = ids.astype(kind)
                 blobs = [raw[a:b].tobytes() for a, b in zip(ends - counts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(first, len(texts)), pa.array(counts), pa.array(curve), pa.array(blobs, pa.binary())], ["_id", "n", "curve", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_id").slice(first, len(texts)), pa.array(counts), pa.array(curve), pa.array(blobs, pa.binary())],
+                    ["_id", "n", "curve", "ids"],
+                )
                 first += len(texts)
 
     return docs.mapInArrow(run, f"_id {dict(docs.dtypes)['_id']}, n long, curve long, ids binary")
@@ -138,7 +141,17 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, key: str
             begun = ends[doc] - sizes[doc]
             start = a - begun + np.array([h[1] for h in held], np.int64)[doc]
             offset = a - np.concatenate([[0], at])[seq]
-            out = pd.DataFrame({"_id": [held[i][0] for i in doc], "start": start, "length": b - a, "doc_tokens": [held[i][3] for i in doc], "sequence_id": base + number + seq, "offset": offset, "ids": [ids[x:y].tobytes() for x, y in zip(a, b, strict=True)]})
+            out = pd.DataFrame(
+                {
+                    "_id": [held[i][0] for i in doc],
+                    "start": start,
+                    "length": b - a,
+                    "doc_tokens": [held[i][3] for i in doc],
+                    "sequence_id": base + number + seq,
+                    "offset": offset,
+                    "ids": [ids[x:y].tobytes() for x, y in zip(a, b, strict=True)],
+                }
+            )
             number += len(at)
             left = int(np.searchsorted(ends, till, side="right"))
             rest = held[left:]
@@ -158,7 +171,10 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, key: str
             yield out
 
     id_type = dict(rows.dtypes)["_id"]
-    packed = ordered.select("_id", "n", "ids").mapInPandas(run, f"_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    packed = ordered.select("_id", "n", "ids").mapInPandas(
+        run,
+        f"_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary",
+    )
     return packed.withColumnRenamed("_id", key)
 
 

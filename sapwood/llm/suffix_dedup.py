@@ -65,7 +65,9 @@ def _suffix_array(docs: DataFrame) -> DataFrame:
                 order = np.lexsort((pair[:, 1], pair[:, 0]))
                 pair = pair[order]
                 first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]).any(1)]))
-                yield pd.DataFrame({"gram": pair[first, 0].astype(np.int64), "context": pair[first, 1].astype(np.int64), "n": np.diff(np.append(first, len(pair)))})
+                yield pd.DataFrame(
+                    {"gram": pair[first, 0].astype(np.int64), "context": pair[first, 1].astype(np.int64), "n": np.diff(np.append(first, len(pair)))}
+                )
 
     return docs.select("text").mapInPandas(run, "gram long, context long, n long").groupBy("gram", "context").agg(F.sum("n").alias("n")).sortWithinPartitions("gram", "context")
 
@@ -105,7 +107,15 @@ class SuffixIndex:
         parts = [new.select("gram", "context", F.col("n").alias("new"), F.col("n").alias("own"), zero.alias("rest"))]
         for at, path in self.levels.items():
             n = F.col("n")
-            parts.append(self._array(path).select("gram", "context", zero.alias("new"), (n if at < level else zero).alias("own"), (zero if at < level else n).alias("rest")))
+            parts.append(
+                self._array(path).select(
+                    "gram",
+                    "context",
+                    zero.alias("new"),
+                    (n if at < level else zero).alias("own"),
+                    (zero if at < level else n).alias("rest"),
+                )
+            )
         path = f"{self.folder}/array-{level}-{uuid.uuid4().hex}"
         if len(parts) == 1:
             scan = parts[0]
@@ -118,9 +128,18 @@ class SuffixIndex:
             scan = stored(self.spark, scan, "suffix-scan")
             written(self.spark, scan.where("own > 0").select("gram", "context", F.col("own").alias("n")), path)
         n = F.col("own") + F.col("rest")
-        grams = scan.groupBy(F.col("gram").alias("g")).agg(F.sum("new").alias("mine"), F.sum(n).alias("total"), F.count("*").alias("size")).where("mine > 0 and total > 1").select("g", "size")
+        grams = scan.groupBy(F.col("gram").alias("g")).agg(
+            F.sum("new").alias("mine"),
+            F.sum(n).alias("total"),
+            F.count("*").alias("size"),
+        ).where("mine > 0 and total > 1").select("g", "size")
         grams = stored(self.spark, grams, "suffix-grams")
-        met = scan.join(grams, F.col("gram") == F.col("g")).where((n > 1) | (F.col("size") > 1)).select("gram", "context", (n > 1).alias("long"), "size")
+        met = scan.join(grams, F.col("gram") == F.col("g")).where((n > 1) | (F.col("size") > 1)).select(
+            "gram",
+            "context",
+            (n > 1).alias("long"),
+            "size",
+        )
         met = stored(self.spark, met, "suffix-met")
         drop_stored(self.spark, grams)
         drop_stored(self.spark, new)
@@ -162,7 +181,14 @@ def _edges(p: pd.DataFrame) -> pd.DataFrame:
     hit = np.zeros(w.shape, bool)
     np.put_along_axis(hit, order, dup, 0)
     rows = np.flatnonzero(hit.any(1))
-    return pd.DataFrame({"r": p["r"].to_numpy()[rows], "at": p["at"].to_numpy()[rows], "nearest": hit[rows].argmax(1), "farthest": WINDOW - 1 - hit[rows][:, ::-1].argmax(1)})
+    return pd.DataFrame(
+        {
+            "r": p["r"].to_numpy()[rows],
+            "at": p["at"].to_numpy()[rows],
+            "nearest": hit[rows].argmax(1),
+            "farthest": WINDOW - 1 - hit[rows][:, ::-1].argmax(1),
+        }
+    )
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -187,16 +213,33 @@ def spans_of(spark: SparkSession, docs: DataFrame, met: DataFrame, scratch: list
     def entries(parts):
         for p in parts:
             found = [_suffixes(t) for t in p["text"]]
-            yield pd.DataFrame({"r": np.repeat(p["r"].to_numpy(), [len(f[0]) for f in found]), "at": np.concatenate([f[0] for f in found]), "gram": np.concatenate([f[1] for f in found]).astype(np.int64), "context": np.concatenate([f[2] for f in found]).astype(np.int64)}) if len(p) else p[["r"]].assign(at=0, gram=0, context=0)
-
-    found = docs.mapInPandas(entries, "r long, at long, gram long, context long").join(met, (F.col("gram") == F.col("g")) & (F.col("context") == F.col("c"))).select("r", "at", "gram", "context", "long", "size")
+            yield pd.DataFrame(
+                {
+                    "r": np.repeat(p["r"].to_numpy(), [len(f[0]) for f in found]),
+                    "at": np.concatenate([f[0] for f in found]),
+                    "gram": np.concatenate([f[1] for f in found]).astype(np.int64),
+                    "context": np.concatenate([f[2] for f in found]).astype(np.int64),
+                }
+            ) if len(p) else p[["r"]].assign(at=0, gram=0, context=0)
+
+    found = docs.mapInPandas(entries, "r long, at long, gram long, context long").join(
+        met,
+        (F.col("gram") == F.col("g")) & (F.col("context") == F.col("c")),
+    ).select("r", "at", "gram", "context", "long", "size")
     found = stored(spark, found, "suffix-found")
     for m in scratch:
         drop_stored(spark, m)
 
     # one context of each class whose gram has other classes
-    one = found.where("size > 1").groupBy("gram", "context").agg(F.min(F.struct("r", "at")).alias("low"), F.first("long").alias("long"), F.first("size").alias("size"))
-    wanted = one.select(F.col("low.r").alias("w"), F.struct(F.col("low.at").alias("at"), "gram", "long", "size").alias("e")).groupBy("w").agg(F.collect_list("e").alias("wanted"))
+    one = found.where("size > 1").groupBy("gram", "context").agg(
+        F.min(F.struct("r", "at")).alias("low"),
+        F.first("long").alias("long"),
+        F.first("size").alias("size"),
+    )
+    wanted = one.select(
+        F.col("low.r").alias("w"),
+        F.struct(F.col("low.at").alias("at"), "gram", "long", "size").alias("e"),
+    ).groupBy("w").agg(F.collect_list("e").alias("wanted"))
     fetched = docs.join(wanted, F.col("r") == F.col("w")).select("r", "text", "wanted")
 
     def contexts(parts):
@@ -213,7 +256,9 @@ def spans_of(spark: SparkSession, docs: DataFrame, met: DataFrame, scratch: list
     held = stored(spark, fetched.mapInPandas(contexts, shape).dropDuplicates(["r", "at"]), "suffix-contexts")
     small, large = held.where(F.col("size") <= GROUP), held.where(F.col("size") > GROUP)
     tasks = max(1, small.count() // TASK_ROWS)
-    edges = small.groupBy(F.pmod(F.xxhash64("gram"), F.lit(tasks)).alias("task")).applyInPandas(_edges, "r long, at long, nearest long, farthest long")
+    edges = small.groupBy(
+        F.pmod(F.xxhash64("gram"), F.lit(tasks)).alias("task")
+    ).applyInPandas(_edges, "r long, at long, nearest long, farthest long")
 
     def strings(parts):
         for p in parts:
@@ -223,9 +268,21 @@ def spans_of(spark: SparkSession, docs: DataFrame, met: DataFrame, scratch: list
                 yield pd.DataFrame({"s": w[row, far].astype(np.int64), "r": p["r"].to_numpy()[row], "at": p["at"].to_numpy()[row], "far": far})
 
     rows = stored(spark, large.mapInPandas(strings, "s long, r long, at long, far long"), "suffix-strings")
-    twice = stored(spark, rows.groupBy(F.col("s").alias("k"), F.col("far").alias("f")).agg(F.count("*").alias("n")).where("n > 1").select("k", "f"), "suffix-twice")
-    far_edges = rows.join(twice, (F.col("s") == F.col("k")) & (F.col("far") == F.col("f")), "left_semi").groupBy("r", "at").agg(F.min("far").alias("nearest"), F.max("far").alias("farthest"))
-    partial = edges.unionByName(far_edges).select("r", (F.col("at") - F.col("farthest")).alias("a"), (F.col("at") - F.col("nearest") + LENGTH).alias("b"))
+    twice = stored(
+        spark,
+        rows.groupBy(F.col("s").alias("k"), F.col("far").alias("f")).agg(F.count("*").alias("n")).where("n > 1").select("k", "f"),
+        "suffix-twice",
+    )
+    far_edges = rows.join(
+        twice,
+        (F.col("s") == F.col("k")) & (F.col("far") == F.col("f")),
+        "left_semi",
+    ).groupBy("r", "at").agg(F.min("far").alias("nearest"), F.max("far").alias("farthest"))
+    partial = edges.unionByName(far_edges).select(
+        "r",
+        (F.col("at") - F.col("farthest")).alias("a"),
+        (F.col("at") - F.col("nearest") + LENGTH).alias("b"),
+    )
     full = found.where("long").select("r", (F.col("at") - (WINDOW - 1)).alias("a"), (F.col("at") + LENGTH).alias("b")).distinct()
     spans = full.unionByName(partial).groupBy("r").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     spans = stored(spark, spans, "suffix-spans")
@@ -263,7 +320,10 @@ def cut(spark: SparkSession, docs: DataFrame, key: str = "doc_id", batches: int
             yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).assign(_id=p["_id"].to_numpy())
 
     joined = rows.join(spans, F.col("r") == F.col("s_r"), "left").select("_id", "text", "spans")
-    return joined.mapInPandas(keep, f"n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, _id {dict(rows.dtypes)['_id']}").select(F.col("_id").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    return joined.mapInPandas(
+        keep,
+        f"n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, _id {dict(rows.dtypes)['_id']}",
+    ).select(F.col("_id").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,63 @@ LEARNED, SHARE, SUPPORT, LIFT = 64, 0.02, 4, 5.0
 #: Letters of a word beginning; words on each side in which a second-person word is near.
 STEM, NEAR = 5, 5
 #: Insults and second-person words.
-INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "dumb", "fool", "jerk", "imbecile", "garbage", "vermin", "hate", "ugly", "dummkopf", "trottel", "abschaum", "idiota", "imbécil", "estúpido", "basura", "connard", "crétin", "abruti", "ordure"]
-SECOND_PERSON = ["you", "your", "yours", "yourself", "you're", "u", "ur", "du", "dein", "deine", "dich", "dir", "ihr", "tu", "toi", "ton", "vous", "votre", "tú", "usted", "ustedes", "vosotros", "te", "ti"]
+INSULTS = [
+    "idiot",
+    "moron",
+    "stupid",
+    "loser",
+    "scum",
+    "trash",
+    "clown",
+    "pathetic",
+    "worthless",
+    "disgusting",
+    "dumb",
+    "fool",
+    "jerk",
+    "imbecile",
+    "garbage",
+    "vermin",
+    "hate",
+    "ugly",
+    "dummkopf",
+    "trottel",
+    "abschaum",
+    "idiota",
+    "imbécil",
+    "estúpido",
+    "basura",
+    "connard",
+    "crétin",
+    "abruti",
+    "ordure",
+]
+SECOND_PERSON = [
+    "you",
+    "your",
+    "yours",
+    "yourself",
+    "you're",
+    "u",
+    "ur",
+    "du",
+    "dein",
+    "deine",
+    "dich",
+    "dir",
+    "ihr",
+    "tu",
+    "toi",
+    "ton",
+    "vous",
+    "votre",
+    "tú",
+    "usted",
+    "ustedes",
+    "vosotros",
+    "te",
+    "ti",
+]
 #: Characters written in place of letters, and the letters.
 LOOK_ALIKE, LETTERS = "013457@$!|", "oieastasil"
 _INSULTS, _YOU = frozenset(INSULTS), frozenset(SECOND_PERSON)
@@ -38,7 +93,20 @@ _CAPITALS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{2,}")
 _SHOUTS = re.compile(r"[!?]+")
 _MARKS = re.compile(r"[^\w\s]+")
 _UNDO = {ord(a): b for a, b in zip(LOOK_ALIKE, LETTERS, strict=True)} | {ord(c): None for c in "*._-"}
-FEATURES = ["insults", "learned", "learned_log", "weight_rate", "hit_rate", "near_you", "unmasked", "capitals", "shouts", "marks", "disguised", "log_words"]
+FEATURES = [
+    "insults",
+    "learned",
+    "learned_log",
+    "weight_rate",
+    "hit_rate",
+    "near_you",
+    "unmasked",
+    "capitals",
+    "shouts",
+    "marks",
+    "disguised",
+    "log_words",
+]
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
@@ -71,7 +139,20 @@ def features(text: str | None, learned: dict[str, float]) -> list[float]:
     plain = [m.translate(_UNDO) for m in masked]
     unmasked = sum(p in _INSULTS or p in learned or p[:STEM] + "*" in learned for p in plain)
     known = sum(v > 0 for _, v in hits)
-    return [fixed, known, np.log1p(known), sum(v for _, v in hits) / n, len(hits) / n, near / n, unmasked, len(_CAPITALS.findall(text)) / n, len(_SHOUTS.findall(text)) / n, len(_MARKS.findall(text)) / n, len(masked) / n, np.log1p(len(words))]
+    return [
+        fixed,
+        known,
+        np.log1p(known),
+        sum(v for _, v in hits) / n,
+        len(hits) / n,
+        near / n,
+        unmasked,
+        len(_CAPITALS.findall(text)) / n,
+        len(_SHOUTS.findall(text)) / n,
+        len(_MARKS.findall(text)) / n,
+        len(masked) / n,
+        np.log1p(len(words)),
+    ]
 
 
 def matrix(texts: pd.Series, learned: dict[str, float]) -> np.ndarray:

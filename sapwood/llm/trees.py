@@ -68,7 +68,16 @@ def _fit_tree(x, bins, edges, grad, hess, depth, l2, least) -> Tree:
     return Tree(feature, threshold, -g / (h + l2))
 
 
-def boost(x: np.ndarray, y: np.ndarray, n_trees: int, depth: int, rate: float = 0.2, l2: float = 1.0, least: int = 10, n_bins: int = 48) -> tuple[float, list[Tree]]:
+def boost(
+    x: np.ndarray,
+    y: np.ndarray,
+    n_trees: int,
+    depth: int,
+    rate: float = 0.2,
+    l2: float = 1.0,
+    least: int = 10,
+    n_bins: int = 48,
+) -> tuple[float, list[Tree]]:
     """(base score, trees) of logistic boosting; leaves hold the learning rate. No rows: no trees, base 0."""
     if not len(x):
         return 0.0, []

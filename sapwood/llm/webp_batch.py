@@ -163,7 +163,9 @@ def _code_tables(heads: list[_Head], lengths: list[np.ndarray]):
         units = np.bincount(owner, 2.0 ** -n, minlength=len(heads))
         for k in np.flatnonzero((count == 0) | ((count > 1) & (units != 1)) | (most > LONGEST)):
             if heads[k].error is None:
-                heads[k].error = Broken("a code without symbols" if not count[k] else "a code that is not complete") if most[k] <= LONGEST or units[k] != 1 else _Slow()
+                heads[k].error = Broken(
+                    "a code without symbols" if not count[k] else "a code that is not complete"
+                ) if most[k] <= LONGEST or units[k] != 1 else _Slow()
         good = np.array([h.error is None for h in heads])
         keep = good[owner]
         owner, symbol, n = owner[keep], symbol[keep], n[keep]
@@ -303,7 +305,11 @@ def _pixels(heads: list[_Head]) -> list[np.ndarray | Broken | _Slow]:
             out[k] = _Slow() if green >= 256 else np.full(h.count, alpha << 24 | red << 16 | green << 8 | blue, np.int64)
     if some:
         which = np.array(some)
-        for k, got in zip(some, _resolved([heads[k] for k in some], *_tokens([heads[k] for k in some], look, origin[which], table, base[:, which], mask[:, which])), strict=True):
+        for k, got in zip(
+            some,
+            _resolved([heads[k] for k in some], *_tokens([heads[k] for k in some], look, origin[which], table, base[:, which], mask[:, which])),
+            strict=True,
+        ):
             out[k] = got
     return out
 
@@ -344,7 +350,12 @@ def _resolved(heads: list[_Head], image: np.ndarray, value: np.ndarray, length:
         place[inside] = place[root[inside]]
         owner = np.repeat(np.arange(len(heads)), count)[where]
         order = where[np.argsort((owner << 11 | place[where]), kind="stable")]
-        same = np.concatenate([[False], (place[order[1:]] == place[order[:-1]]) & (np.searchsorted(begin, order[1:], "right") == np.searchsorted(begin, order[:-1], "right"))])
+        same = np.concatenate(
+            [
+                [False],
+                (place[order[1:]] == place[order[:-1]]) & (np.searchsorted(begin, order[1:], "right") == np.searchsorted(begin, order[:-1], "right")),
+            ]
+        )
         before = np.full(total + 1, total)  # an unused place of the cache holds 0
         before[order[same]] = order[np.flatnonzero(same) - 1]
         source[at[cached]] = before[at[cached]]

@@ -106,8 +106,12 @@ def _descriptions(lengths: np.ndarray, owner: np.ndarray, start: np.ndarray, n:
     some = np.flatnonzero(value)
     last, few, single = rest >= 11, (rest >= 3) & (rest < 11), np.where(rest < 3, rest, 0)
     place = np.concatenate([some, np.repeat(at, full), at[last], at[few], np.repeat(at, single)])
-    symbol = np.concatenate([value[some], np.full(int(full.sum()) + int(last.sum()), 18), np.full(int(few.sum()), 17), np.zeros(int(single.sum()), np.int64)])
-    extra = np.concatenate([np.zeros(len(some), np.int64), np.full(int(full.sum()), 127), rest[last] - 11, rest[few] - 3, np.zeros(int(single.sum()), np.int64)])
+    symbol = np.concatenate(
+        [value[some], np.full(int(full.sum()) + int(last.sum()), 18), np.full(int(few.sum()), 17), np.zeros(int(single.sum()), np.int64)]
+    )
+    extra = np.concatenate(
+        [np.zeros(len(some), np.int64), np.full(int(full.sum()), 127), rest[last] - 11, rest[few] - 3, np.zeros(int(single.sum()), np.int64)]
+    )
     size = np.zeros(19, np.int64)
     size[[17, 18]] = 3, 7
     order = np.argsort(place, kind="stable")
@@ -208,7 +212,11 @@ class _Images:
         top = np.where(local < width, edge, above)
         parts = px.view(np.int8).reshape(-1, 4).astype(float)  # blue, green, red, alpha, signed
         total = lambda w: np.bincount(image, w, n)
-        factor = lambda c: np.clip(np.rint(32 * total(parts[:, 1] * parts[:, c]) / np.maximum(total(parts[:, 1] ** 2), 1)), -127, 127).astype(np.int64)
+        factor = lambda c: np.clip(
+            np.rint(32 * total(parts[:, 1] * parts[:, c]) / np.maximum(total(parts[:, 1] ** 2), 1)),
+            -127,
+            127,
+        ).astype(np.int64)
         to_red, to_blue = factor(2), factor(0)
         green = parts[:, 1].astype(np.int64)
         red = (px >> 16 & 255).astype(np.int64) - (to_red[image] * green >> 5) & 255
@@ -238,7 +246,9 @@ def _earlier(image: np.ndarray, key: np.ndarray) -> np.ndarray:
     """For each place the nearest one before it with the same key in the same image; -1: none."""
     order = np.lexsort((key, image)) if len(key) >= 1 << 24 else None
     if order is None:  # place, key and image sorted as one number
-        packed = (image.astype(np.uint64) << np.uint64(52)) ^ (key.astype(np.uint64) & np.uint64((1 << 28) - 1)) << np.uint64(24) | np.arange(len(key), dtype=np.uint64)
+        packed = (image.astype(np.uint64) << np.uint64(52)) ^ (
+            key.astype(np.uint64) & np.uint64((1 << 28) - 1)
+        ) << np.uint64(24) | np.arange(len(key), dtype=np.uint64)
         packed.sort()
         order = (packed & np.uint64((1 << 24) - 1)).astype(np.int64)
         same = packed[1:] >> np.uint64(24) == packed[:-1] >> np.uint64(24)

@@ -102,11 +102,34 @@ def test_empty_table_and_rows_without_key(spark):
 
 def test_texts_that_share_an_id_are_each_compared(spark):
     one, two, three = (" ".join(f"{p}{i}" for i in range(60)) for p in "xyz")
-    rows = [(1, one), (1, two), (2, one + " more"), (3, two + " more"), (None, two + " other"), (None, three), (None, three + " more"), (9, ""), (9, "")]
+    rows = [
+        (1, one),
+        (1, two),
+        (2, one + " more"),
+        (3, two + " more"),
+        (None, two + " other"),
+        (None, three),
+        (None, three + " more"),
+        (9, ""),
+        (9, ""),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for d in (docs.orderBy(docs.text.desc()).coalesce(1),):
         got = sorted(map(tuple, jaccard_join.near_duplicates(spark, d).collect()), key=str)
-        assert got == sorted([(1, 1, 1, 1), (1, 1, 1, 2), (2, 2, 1, 1), (3, 3, 1, 2), (None, None, 1, 2), (None, None, None, 1), (None, None, None, 1), (9, 9, 9, 0), (9, 9, 9, 0)], key=str)
+        assert got == sorted(
+            [
+                (1, 1, 1, 1),
+                (1, 1, 1, 2),
+                (2, 2, 1, 1),
+                (3, 3, 1, 2),
+                (None, None, 1, 2),
+                (None, None, None, 1),
+                (None, None, None, 1),
+                (9, 9, 9, 0),
+                (9, 9, 9, 0),
+            ],
+            key=str,
+        )
         kept = sorted(map(tuple, jaccard_join.keep_one(spark, d).collect()), key=str)
         assert kept == sorted([(1, one), (1, two), *rows[4:]], key=str)
 

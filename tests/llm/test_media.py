@@ -198,7 +198,12 @@ def test_predictor(mode):
     rest = []
     for i, p in enumerate(pixels):
         y, x = divmod(i, width)
-        guess = 0xFF000000 if not i else pixels[i - 1] if not y else pixels[i - width] if not x else webp.PREDICT[mode](pixels[i - 1], pixels[i - width], pixels[i - width + 1], pixels[i - width - 1])
+        guess = 0xFF000000 if not i else pixels[i - 1] if not y else pixels[i - width] if not x else webp.PREDICT[mode](
+            pixels[i - 1],
+            pixels[i - width],
+            pixels[i - width + 1],
+            pixels[i - width - 1],
+        )
         rest.append(minus(p, guess))
     w = started(width, height)
     w.put(1, 1)
@@ -272,7 +277,9 @@ def payloads():
     return {
         "zeros": b"\0" * 64, "few": b"ab" * 32, "steps": bytes(range(256)) * 3, "noise": rng.integers(0, 256, 64 * 300, dtype=np.uint8).tobytes(),
         "lines": ("Ünïcödé text " * 900).encode().ljust(64 * 300, b"\0"), "skewed": bytes(int(x) for x in np.minimum(rng.geometric(0.3, 64 * 70), 255)),
-        "smooth": smooth.tobytes(), "tied": tied.astype(np.uint8).tobytes(), "long": bytes(rng.integers(97, 123, 400, dtype=np.uint8)) * 200, "one": b"x",
+        "smooth": smooth.tobytes(), "tied": tied.astype(np.uint8).tobytes(), "long": bytes(
+            rng.integers(97, 123, 400, dtype=np.uint8)
+        ) * 200, "one": b"x",
     }
 
 
@@ -336,10 +343,18 @@ def test_texts_and_broken_images(spark):
         raw = (t or "").encode()
         want = raw + b"\0" * (-len(raw) % 64 or (64 if not raw else 0))
         m = got[i]
-        assert (m["n_bytes"], m["payload_bytes"], m["payload_sha256"], m["tail_crc32"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+        assert (m["n_bytes"], m["payload_bytes"], m["payload_sha256"], m["tail_crc32"]) == (
+            len(raw),
+            len(want),
+            hashlib.sha256(want).hexdigest(),
+            zlib.crc32(want[-64:]),
+        )
         assert (m["media_bytes"], m["media_sha256"]) == (len(m["file"]), hashlib.sha256(bytes(m["file"])).hexdigest())
     assert got[4] == got[6]
-    bad = spark.createDataFrame([(1, b"nothing"), (2, None), (3, webp_encode.encode_samples([b"q" * 64])[0]), (4, webp_encode.encode_samples([bytes(range(64))])[0][:60])], "id long, blob binary")
+    bad = spark.createDataFrame(
+        [(1, b"nothing"), (2, None), (3, webp_encode.encode_samples([b"q" * 64])[0]), (4, webp_encode.encode_samples([bytes(range(64))])[0][:60])],
+        "id long, blob binary",
+    )
     seen = {r["id"]: r["image"] for r in media.decode_images(bad, "blob").collect()}
     assert seen[1]["error"] and seen[4]["error"] and not seen[2]["error"] and seen[2]["width"] is None
     assert (seen[3]["width"], seen[3]["height"]) == (16, 1)

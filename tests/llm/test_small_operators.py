@@ -179,13 +179,26 @@ def test_secrets_under_random_layers_are_found_at_each_place(seed):
 
 def test_secrets_end_on_cycles_bombs_and_broken_layers():
     bomb = base64.b64encode(gzip.compress(b"a" * (secrets.LAYER_BYTES + 10))).decode()
-    for text in ["%25" * 50, "%zz %4", "\\u00e9\\ud800", bomb, "A" * 5000, "&#99999999;", base64.b64encode(b"\x1f\x8bnot gzip at all, really").decode(), None, ""]:
+    for text in [
+        "%25" * 50,
+        "%zz %4",
+        "\\u00e9\\ud800",
+        bomb,
+        "A" * 5000,
+        "&#99999999;",
+        base64.b64encode(b"\x1f\x8bnot gzip at all, really").decode(),
+        None,
+        "",
+    ]:
         base, every, _ = secrets.find(text)
         assert base == every == []
 
 
 def test_secret_columns_and_redaction(spark):
-    docs = spark.createDataFrame([(1, SECRET + "; token=abcdefgh12"), (2, None), (3, ""), (3, "")], "doc_id long, text string").selectExpr("*", "'x' AS spans")
+    docs = spark.createDataFrame(
+        [(1, SECRET + "; token=abcdefgh12"), (2, None), (3, ""), (3, "")],
+        "doc_id long, text string",
+    ).selectExpr("*", "'x' AS spans")
     got = {r["doc_id"]: r["secrets"] for r in secrets.scan(docs).collect()}
     assert (got[1]["n_assign"], got[1]["spans"]) == (2, "assign:0:26,assign:29:45")
     assert got[2]["spans"] == "" and got[2]["base_sha256"] == got[3]["base_sha256"]
@@ -247,9 +260,19 @@ def test_licences_of_the_table_equal_brute_force(spark):
 
 def test_licence_places_and_whole_texts(spark):
     mit, whole = licences.TEMPLATES["mit"], dict(licences.built_in())
-    rows = [(1, "word " * 50 + licences.TEMPLATES["apache-2.0-notice"] + " tail" * 9), (2, "lorem " * 77 + mit + " ipsum" * 30 + mit.upper()), (1, licences.TEMPLATES["cc-by-nc-4.0-notice"]), (3, "a b c " * 400 + marred(random.Random(1), whole["gpl-3-text"], 0.01) + " end")]
+    rows = [
+        (1, "word " * 50 + licences.TEMPLATES["apache-2.0-notice"] + " tail" * 9),
+        (2, "lorem " * 77 + mit + " ipsum" * 30 + mit.upper()),
+        (1, licences.TEMPLATES["cc-by-nc-4.0-notice"]),
+        (3, "a b c " * 400 + marred(random.Random(1), whole["gpl-3-text"], 0.01) + " end"),
+    ]
     got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"], r["template_id"]) for r in got if r["doc_id"] < 3) == [(1, "apache-2.0-notice"), (1, "cc-by-nc-4.0-notice"), (2, "mit"), (2, "mit")]
+    assert sorted((r["doc_id"], r["template_id"]) for r in got if r["doc_id"] < 3) == [
+        (1, "apache-2.0-notice"),
+        (1, "cc-by-nc-4.0-notice"),
+        (2, "mit"),
+        (2, "mit"),
+    ]
     apache = next(r for r in got if r["template_id"] == "apache-2.0-notice")
     assert (apache["first_word"], apache["last_word"], apache["containment"]) == (50, 57, 1.0)
     assert "gpl-3-text" in {r["template_id"] for r in got if r["doc_id"] == 3}
@@ -339,10 +362,29 @@ def test_embeddings_equal_all_pairs(spark, monkeypatch, block, fanout, tasks):
     for i in range(160):
         v = centre[rng.integers(12)] + rng.standard_normal(16) * rng.choice([0.0, 0.1, 0.15, 1.0])
         rows.append((i, [float(np.float32(x)) for x in v], int(rng.integers(2))))
-    rows += [(200, None, 1), (201, [0.0] * 16, 1), (202, [float("nan")] * 16, 1), (203, rows[0][1], None), (204, [None, *rows[0][1][1:]], 1), (205, [float("inf"), *rows[0][1][1:]], 1), (206, [1.0, 2.0], 1), (207, [2.0, 4.0], 1), (208, [], 1)]
+    rows += [
+        (200, None, 1),
+        (201, [0.0] * 16, 1),
+        (202, [float("nan")] * 16, 1),
+        (203, rows[0][1], None),
+        (204, [None, *rows[0][1][1:]], 1),
+        (205, [float("inf"), *rows[0][1][1:]], 1),
+        (206, [1.0, 2.0], 1),
+        (207, [2.0, 4.0], 1),
+        (208, [], 1),
+    ]
     rows += [(300 + i, rows[0][1], rows[0][2]) for i in range(5)]
     # keys that repeat with other vectors, and rows without a key
-    rows += [(1, [1.0, 0.0, 0.0], 3), (1, [1.0, 0.01, 0.0], 3), (2, [0.0, 1.0, 0.0], 3), (2, [1.0, 0.02, 0.0], 3), (None, [0.0, 1.0, 0.01], 3), (None, [0.0, 0.0, 1.0], 3), (None, [0.0, 0.0, 1.0], 3), (None, None, 3)]
+    rows += [
+        (1, [1.0, 0.0, 0.0], 3),
+        (1, [1.0, 0.01, 0.0], 3),
+        (2, [0.0, 1.0, 0.0], 3),
+        (2, [1.0, 0.02, 0.0], 3),
+        (None, [0.0, 1.0, 0.01], 3),
+        (None, [0.0, 0.0, 1.0], 3),
+        (None, [0.0, 0.0, 1.0], 3),
+        (None, None, 3),
+    ]
     vectors = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<float>, label int, n int")
     got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(spark, vectors, cell_rows=10).collect()]
     order = lambda r: tuple((x is None, x or 0) for x in r)
@@ -357,7 +399,10 @@ def test_embedding_cells_part_until_small(spark, monkeypatch):
     spread = np.repeat(rng.standard_normal((60, 24)), 10, 0) + 0.01 * rng.standard_normal((600, 24))
     dense = rng.standard_normal(24) + 0.001 * rng.standard_normal((90, 24))
     rows = [(i, v.tolist(), 1) for i, v in enumerate(spread)] + [(1000 + i, v.tolist(), 2) for i, v in enumerate(dense)]
-    start = spark.createDataFrame([(lab, len(v), "", v, i, 1, True) for i, v, lab in rows], "_label int, dim int, cell string, _v array<double>, rep long, n long, home boolean")
+    start = spark.createDataFrame(
+        [(lab, len(v), "", v, i, 1, True) for i, v, lab in rows],
+        "_label int, dim int, cell string, _v array<double>, rep long, n long, home boolean",
+    )
     cells = embedding_dedup._parted(spark, start, float(np.sqrt(2 - 2 * 0.98)), 10).groupBy("_label", "cell").count().collect()
     assert [(r["cell"], r["count"]) for r in cells if r["_label"] == 2] == [("", 90)]
     of_one = [r for r in cells if r["_label"] == 1]
@@ -430,7 +475,10 @@ def test_mixing_without_keys_and_many_sources(spark):
         mine = [r for r in got if r["source"] == source]
         assert abs(sum(r["size"] * r["copies"] for r in mine) - mine[0]["target"]) <= 9
     rng = random.Random(3)
-    many = spark.createDataFrame([(i, "w " * rng.randint(1, 30), f"s{rng.randrange(1000)}") for i in range(3000)], "doc_id long, text string, source string")
+    many = spark.createDataFrame(
+        [(i, "w " * rng.randint(1, 30), f"s{rng.randrange(1000)}") for i in range(3000)],
+        "doc_id long, text string, source string",
+    )
     got = mixing.mix_sources(spark, many).collect()
     want = shares({r["source"]: r["source_size"] for r in got})
     assert all(math.isclose(r["target"], want[r["source"]], rel_tol=1e-9) for r in got)
