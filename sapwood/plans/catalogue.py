@@ -190,20 +190,20 @@ def scan_fold(spark, d):
     return scan.scan_emit(c, "conv_id", "turn", 0, lambda s, x: (s + x, [f"+{x}"]), lambda s: [f"={s}"]).select("conv_id", "op", "out")
 
 
-def _nations(spark, d):
-    return _read(spark, d, "nation").groupBy(F.col("n_regionkey").cast("bigint").alias("doc_id")).agg(
-        F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows")
+def _customers(spark, d):
+    return _read(spark, d, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("doc_id")).agg(
+        F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))).alias("rows")
     )
 
 
-def _decoded(docs, format, row: Selector, key=("n_nationkey",), name=("n_name",)):
-    _, rows = table.table(nodes(docs, format=format), row, [table.TableColumn("k", key), table.TableColumn("n_name", name)])
+def _decoded(docs, format, row: Selector, key=("c_custkey",), name=("c_name",)):
+    _, rows = table.table(nodes(docs, format=format), row, [table.TableColumn("k", key), table.TableColumn("c_name", name)])
     number = F.coalesce(F.get("cells", F.lit(0))["num"].cast("bigint"), F.get("cells", F.lit(0))["str"].cast("bigint"))
-    return rows.select("doc_id", number.alias("n_nationkey"), F.get("cells", F.lit(1))["str"].alias("n_name"))
+    return rows.select("doc_id", number.alias("c_custkey"), F.get("cells", F.lit(1))["str"].alias("c_name"))
 
 
 def _text(spark, d, line, head="", tail="", glue="\n"):
-    return _nations(spark, d).select("doc_id", F.concat(F.lit(head), F.array_join(F.transform("rows", line), glue), F.lit(tail)).alias("content"))
+    return _customers(spark, d).select("doc_id", F.concat(F.lit(head), F.array_join(F.transform("rows", line), glue), F.lit(tail)).alias("content"))
 
 
 def jsonl_source(spark, d):
@@ -216,7 +216,7 @@ def jsonc_source(spark, d):
 
 def csv_source(spark, d):
     return _decoded(
-        _text(spark, d, lambda r: F.concat(r["n_nationkey"].cast("string"), F.lit(',"'), r["n_name"], F.lit('"')), "n_nationkey,n_name\n", "\n"),
+        _text(spark, d, lambda r: F.concat(r["c_custkey"].cast("string"), F.lit(',"'), r["c_name"], F.lit('"')), "c_custkey,c_name\n", "\n"),
         "csv",
         Selector.of(EACH_INDEX),
     )
@@ -227,7 +227,7 @@ def yaml_source(spark, d):
         _text(
             spark,
             d,
-            lambda r: F.concat(F.lit("- n_nationkey: "), r["n_nationkey"].cast("string"), F.lit('\n  n_name: "'), r["n_name"], F.lit('"')),
+            lambda r: F.concat(F.lit("- c_custkey: "), r["c_custkey"].cast("string"), F.lit('\n  c_name: "'), r["c_name"], F.lit('"')),
         ),
         "yaml",
         Selector.of(EACH_INDEX),
@@ -239,7 +239,7 @@ def toml_source(spark, d):
         _text(
             spark,
             d,
-            lambda r: F.concat(F.lit("[[row]]\nn_nationkey = "), r["n_nationkey"].cast("string"), F.lit('\nn_name = "'), r["n_name"], F.lit('"')),
+            lambda r: F.concat(F.lit("[[row]]\nc_custkey = "), r["c_custkey"].cast("string"), F.lit('\nc_name = "'), r["c_name"], F.lit('"')),
         ),
         "toml",
         Selector.of("row", EACH_INDEX),
@@ -253,11 +253,11 @@ def ini_source(spark, d):
             d,
             lambda r: F.concat(
                 F.lit("[s"),
-                r["n_nationkey"].cast("string"),
-                F.lit("]\nn_nationkey = "),
-                r["n_nationkey"].cast("string"),
-                F.lit("\nn_name = "),
-                r["n_name"],
+                r["c_custkey"].cast("string"),
+                F.lit("]\nc_custkey = "),
+                r["c_custkey"].cast("string"),
+                F.lit("\nc_name = "),
+                r["c_name"],
             ),
         ),
         "ini",
@@ -266,7 +266,7 @@ def ini_source(spark, d):
 
 
 def xml_source(spark, d):
-    line = lambda r: F.concat(F.lit('<r k="'), r["n_nationkey"].cast("string"), F.lit('">'), r["n_name"], F.lit("</r>"))
+    line = lambda r: F.concat(F.lit('<r k="'), r["c_custkey"].cast("string"), F.lit('">'), r["c_name"], F.lit("</r>"))
     return _decoded(_text(spark, d, line, "<all>", "</all>", ""), "xml", Selector.of("children", EACH_INDEX), ("attributes", "k"), ("children", 0))
 
 
@@ -290,7 +290,7 @@ def csv_text(spark, d):
 
 _ROWS = "SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row_no, o_orderkey AS identifier, o_totalprice AS total FROM orders"
 _PER = "WITH c AS (SELECT o_custkey AS doc_id, count(*) AS n FROM orders GROUP BY 1) "
-_NATION = "SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation"
+_CUSTOMER = "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(c_custkey AS BIGINT) AS c_custkey, c_name FROM customer"
 
 #: name: (query, SQL)
 _ALL = {
@@ -368,13 +368,13 @@ _ALL = {
         scan_fold,
         "WITH t AS (SELECT conv_id, turn, sum(length(text)) AS n FROM conversations GROUP BY 1, 2) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS op, '+' || n AS out FROM t UNION ALL SELECT conv_id, -1, '=' || sum(n) FROM t GROUP BY conv_id",
     ),
-    "jsonl_source": (jsonl_source, _NATION),
-    "jsonc_source": (jsonc_source, _NATION),
-    "csv_source": (csv_source, _NATION),
-    "yaml_source": (yaml_source, _NATION),
-    "toml_source": (toml_source, _NATION),
-    "ini_source": (ini_source, _NATION),
-    "xml_source": (xml_source, _NATION),
+    "jsonl_source": (jsonl_source, _CUSTOMER),
+    "jsonc_source": (jsonc_source, _CUSTOMER),
+    "csv_source": (csv_source, _CUSTOMER),
+    "yaml_source": (yaml_source, _CUSTOMER),
+    "toml_source": (toml_source, _CUSTOMER),
+    "ini_source": (ini_source, _CUSTOMER),
+    "xml_source": (xml_source, _CUSTOMER),
     "records_json": (
         records_json,
         "SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no, '{\"id\":' || o_orderkey || '}' AS record FROM orders",
