@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import drop_stored, stored, table
 from .components import components, local_roots
 
 #: Vectors that one cell's centroids are fitted on (about), cells that it is parted into at most, home vectors of a cell aimed at.
@@ -60,16 +60,16 @@ def unit(vectors: pd.Series) -> np.ndarray:
 _CELL = ["_label", "dim", "cell"]
 
 
-def _parted(spark: SparkSession, cells: DataFrame, chord: float, cell_rows: int) -> DataFrame:
+def _parted(cells: DataFrame, chord: float, cell_rows: int, put) -> DataFrame:
     """cells (_label, dim, cell, _v, rep, n, home) parted until no cell has more than twice cell_rows home vectors
-    or clustering does not pay."""
+    or clustering does not pay. put(df, what) stores a table."""
     types = dict(cells.dtypes)
     shape = f"_label {types['_label']}, dim int, cell string, _v array<double>, rep long, n long, home boolean, parent string"
     done = []
     while True:
         sizes = cells.groupBy(*_CELL).agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("rows"))
         large = sizes.where(F.col("homes") > 2 * cell_rows).withColumnsRenamed({c: f"b_{c}" for c in _CELL})
-        large = stored(spark, large, "vector-large-cells")
+        large = put(large, "vector-large-cells")
         if not large.take(1):
             return _union([*done, cells])
         on = (F.col("_label") == F.col("b__label")) & (F.col("dim") == F.col("b_dim")) & (F.col("cell") == F.col("b_cell"))
@@ -85,7 +85,7 @@ def _parted(spark: SparkSession, cells: DataFrame, chord: float, cell_rows: int)
             return out
 
         fitted = sample.groupBy(*_CELL).applyInPandas(fit, f"_label {types['_label']}, dim int, cell string, centroids array<double>")
-        fitted = stored(spark, fitted, "vector-centroids")
+        fitted = put(fitted, "vector-centroids")
         salts = F.ceil(F.col("rows") / TASK_ROWS).cast("int")
         dealt = inside.select(*_CELL, "_v", "rep", "n", "home", F.pmod(F.xxhash64("rep", F.lit("deal")), salts).cast("int").alias("salt"))
         copies = fitted.join(large, on).select(*_CELL, "centroids", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
@@ -105,7 +105,7 @@ def _parted(spark: SparkSession, cells: DataFrame, chord: float, cell_rows: int)
             return out[[*_CELL, "_v", "rep", "n", "home", "parent"]]
 
         by = [*_CELL, "salt"]
-        placed = stored(spark, dealt.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(place, shape), "vector-cells")
+        placed = put(dealt.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(place, shape), "vector-cells")
         after = placed.groupBy(*_CELL, "parent").agg(F.sum(F.col("home").cast("double")).alias("h"), F.count("*").alias("m"))
         after = after.groupBy(
             F.col("_label").alias("a_label"),
@@ -116,7 +116,7 @@ def _parted(spark: SparkSession, cells: DataFrame, chord: float, cell_rows: int)
         pays = large.join(after, same).where(
             F.col("products") * 2 <= F.col("homes").cast("double") * F.col("rows")
         ).select("b__label", "b_dim", "b_cell")
-        pays = stored(spark, pays, "vector-parted-cells")
+        pays = put(pays, "vector-parted-cells")
         done.append(inside.drop("homes", "rows", "b__label", "b_dim", "b_cell").join(pays, on, "left_anti"))
         cells = placed.join(
             pays,
@@ -149,6 +149,12 @@ def near_duplicates(
     rows without a key link like others but name nothing: component_id is null where no row has a
     key, and such rows are kept then. Empty table: empty result. Only the three columns are read.
     """
+    made = []
+
+    def put(df: DataFrame, what: str) -> DataFrame:
+        made.append(stored(spark, df, what))
+        return made[-1]
+
     rows = vectors.select(
         F.col(key).alias("_id"),
         F.col(label).alias("_label"),
@@ -161,15 +167,15 @@ def near_duplicates(
     ) & F.exists("_v", lambda x: x != 0)
     rows = stored(spark, rows.withColumn("_ok", F.coalesce(fine, F.lit(False))), "vectors")
     classes = rows.where("_ok").groupBy("_label", "_v").agg(F.min("_row").alias("rep"), F.min("_id").alias("low"), F.count("*").alias("n"))
-    classes = stored(spark, classes, "vector-classes")
+    classes = put(classes, "vector-classes")
 
     chord = float(np.sqrt(2 - 2 * threshold))
     whole = classes.select("_label", F.size("_v").alias("dim"), F.lit("").alias("cell"), "_v", "rep", "n", F.lit(True).alias("home"))
-    placed = stored(spark, _parted(spark, whole, chord, cell_rows), "vector-cells")
+    placed = put(_parted(whole, chord, cell_rows, put), "vector-cells")
     # blocks of homes against blocks of all members: both sides of a group are bounded however large the cell is
     sizes = placed.groupBy(*_CELL).agg(F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).alias("homes"), F.ceil(F.count("*") / BLOCK).alias("members"))
     sizes = sizes.where("homes > 0").withColumnsRenamed({c: f"k_{c}" for c in _CELL})
-    sizes = stored(spark, sizes, "vector-cell-sizes")
+    sizes = put(sizes, "vector-cell-sizes")
     on = [F.col(c) == F.col(f"k_{c}") for c in _CELL]
     spread = placed.join(sizes, on)
     pick = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
@@ -199,17 +205,15 @@ def near_duplicates(
         return pd.DataFrame({"rep": ids[touched], "links": links[touched], "root": ids[roots[touched]]})
 
     found = blocks.groupBy(*_CELL, "i", "j").applyInPandas(compare, "rep long, links long, root long")
-    found = stored(spark, found, "vector-links")
+    found = put(found, "vector-links")
     counts = found.groupBy(F.col("rep").alias("r1")).agg(F.sum("links").alias("links"))
     roots = components(spark, found.where("rep <> root"), "rep", "root")
     named = classes.join(counts, F.col("rep") == F.col("r1"), "left").join(roots, F.col("rep") == F.col("node"), "left")
-    named = stored(
-        spark,
+    named = put(
         named.select("_label", "_v", "low", "component", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")),
         "vector-names",
     )
-    lows = stored(
-        spark,
+    lows = put(
         named.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("low").alias("lowest"), F.lit(True).alias("shared")),
         "vector-lows",
     )
@@ -221,6 +225,8 @@ def near_duplicates(
         "n_links",
     )
     named = stored(spark, named, "vector-names")
+    for t in made:
+        drop_stored(spark, t)
     good = rows.where("_ok").join(named, (F.col("_label") == F.col("l")) & (F.col("_v") == F.col("v"))).select("_id", "n_links", "component_id")
     out = good.unionByName(rows.where("not _ok").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id")))
     return out.select(F.col("_id").alias(key), "n_links", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))

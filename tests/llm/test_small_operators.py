@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 
 from sapwood.llm import embedding_dedup, licences, mixing, packing, quality, secrets, tokens, toxicity, trees
-from sapwood.llm.common import held_out
+from sapwood.llm.common import held_out, stored
 
 SF = "/root/testdata/sf0.01"
 
@@ -403,7 +403,7 @@ def test_embedding_cells_part_until_small(spark, monkeypatch):
         [(lab, len(v), "", v, i, 1, True) for i, v, lab in rows],
         "_label int, dim int, cell string, _v array<double>, rep long, n long, home boolean",
     )
-    cells = embedding_dedup._parted(spark, start, float(np.sqrt(2 - 2 * 0.98)), 10).groupBy("_label", "cell").count().collect()
+    cells = embedding_dedup._parted(start, float(np.sqrt(2 - 2 * 0.98)), 10, lambda df, what: stored(spark, df, what)).groupBy("_label", "cell").count().collect()
     assert [(r["cell"], r["count"]) for r in cells if r["_label"] == 2] == [("", 90)]
     of_one = [r for r in cells if r["_label"] == 1]
     assert max(r["cell"].count("/") for r in of_one) >= 2 and sum(r["count"] for r in of_one) < 1200 and len(of_one) > 16
