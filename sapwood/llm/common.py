@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A table of at most this many rows may be broadcast once its rows have been counted.
 BROADCAST_ROWS = 20_000
 
@@ -30,21 +31,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, path: str, batch_rows: int | None = None) -> DataFrame:
     """df written once as Parquet and read again: its lineage ends there, so a lost executor costs no
-    recomputation of what came before."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")  # the written table stands for its shuffles, so their files can go
+    recomputation of what came before. batch_rows: rows that a Python worker gets at one time, if not Spark's own number."""
+    settings = {_CLEANUP: "true"}  # the written table stands for its shuffles, so their files can go
+    if batch_rows:
+        settings[_BATCH_ROWS] = str(batch_rows)
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
+def stored(spark: SparkSession, df: DataFrame, what: str, batch_rows: int | None = None) -> DataFrame:
     """df written to a table of its own in the shared folder."""
-    return written(spark, df, f"{scratch_dir(spark).rstrip('/')}/sapwood/{what}-{uuid.uuid4().hex}")
+    return written(spark, df, f"{scratch_dir(spark).rstrip('/')}/sapwood/{what}-{uuid.uuid4().hex}", batch_rows)
 
 
 def drop_stored(spark: SparkSession, df: DataFrame) -> None:

@@ -38,6 +38,8 @@ BATCHES = 3
 GROUP = 2048
 #: Rows of compared contexts that a task takes, about.
 TASK_ROWS = 500
+#: Rows that a Python worker holds at one time.
+ROWS = 1_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -99,7 +101,7 @@ class SuffixIndex:
         """Takes a batch in; gives its matches: (gram, context, long, size), all classes, old and new, whose
         gram the batch holds and that the index or the batch holds elsewhere too. long: the class itself
         occurs twice or more; size: classes of this gram."""
-        new = stored(self.spark, _suffix_array(docs), "suffix-batch")
+        new = stored(self.spark, _suffix_array(docs), "suffix-batch", ROWS)
         level = 0
         while level in self.levels:
             level += 1
@@ -226,7 +228,7 @@ def spans_of(spark: SparkSession, docs: DataFrame, met: DataFrame, scratch: list
         met,
         (F.col("gram") == F.col("g")) & (F.col("context") == F.col("c")),
     ).select("r", "at", "gram", "context", "long", "size")
-    found = stored(spark, found, "suffix-found")
+    found = stored(spark, found, "suffix-found", ROWS)
     for m in scratch:
         drop_stored(spark, m)
 
@@ -253,7 +255,7 @@ def spans_of(spark: SparkSession, docs: DataFrame, met: DataFrame, scratch: list
             yield pd.DataFrame(rows, columns=["r", "at", "gram", "long", "size", "left", "bytes"])
 
     shape = "r long, at long, gram long, long boolean, size long, left long, bytes binary"
-    held = stored(spark, fetched.mapInPandas(contexts, shape).dropDuplicates(["r", "at"]), "suffix-contexts")
+    held = stored(spark, fetched.mapInPandas(contexts, shape).dropDuplicates(["r", "at"]), "suffix-contexts", ROWS)
     small, large = held.where(F.col("size") <= GROUP), held.where(F.col("size") > GROUP)
     tasks = max(1, small.count() // TASK_ROWS)
     edges = small.groupBy(
@@ -267,7 +269,7 @@ def spans_of(spark: SparkSession, docs: DataFrame, met: DataFrame, scratch: list
                 row, far = np.nonzero(w)
                 yield pd.DataFrame({"s": w[row, far].astype(np.int64), "r": p["r"].to_numpy()[row], "at": p["at"].to_numpy()[row], "far": far})
 
-    rows = stored(spark, large.mapInPandas(strings, "s long, r long, at long, far long"), "suffix-strings")
+    rows = stored(spark, large.mapInPandas(strings, "s long, r long, at long, far long"), "suffix-strings", ROWS)
     twice = stored(
         spark,
         rows.groupBy(F.col("s").alias("k"), F.col("far").alias("f")).agg(F.count("*").alias("n")).where("n > 1").select("k", "f"),
@@ -302,7 +304,7 @@ def cut(spark: SparkSession, docs: DataFrame, key: str = "doc_id", batches: int
     spans = repeated_spans(spark, rows.select("r", "text"), batches).withColumnRenamed("r", "s_r")
 
     def keep(parts):
-        for p in parts:
+        for p in (whole.iloc[a : a + ROWS] for whole in parts for a in range(0, len(whole), ROWS)):
             out = []
             for text, spans in zip(p["text"], p["spans"], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
