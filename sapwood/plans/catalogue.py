@@ -214,6 +214,23 @@ def jsonc_source(spark, d):
     return _decoded(_text(spark, d, lambda r: F.concat(F.to_json(r), F.lit(", // one")), "[/* all */\n", "\n]"), "jsonc", Selector.of(EACH_INDEX))
 
 
+def json5_source(spark, d):
+    line = lambda r: F.concat(F.lit("{c_custkey: +0x"), F.hex(r["c_custkey"]), F.lit(", // hexadecimal\n c_name: '"), r["c_name"], F.lit("',},"))
+    return _decoded(_text(spark, d, line, "[\n", "]"), "json5", Selector.of(EACH_INDEX))
+
+
+def jsonic_source(spark, d):
+    """Lines of pairs without quotes, commas or an outer bracket; the names' number sign stands in quotes."""
+    line = lambda r: F.concat(F.lit("{c_custkey:"), r["c_custkey"].cast("string"), F.lit(" c_name:'"), r["c_name"], F.lit("'}"))
+    docs = _text(spark, d, line, "# all of one nation\n", "\n,")
+    return _decoded(docs, "jsonic", Selector.of(EACH_INDEX))
+
+
+def zon_source(spark, d):
+    line = lambda r: F.concat(F.lit(".{ .c_custkey = "), r["c_custkey"].cast("string"), F.lit(', .c_name = "'), r["c_name"], F.lit('" }'))
+    return _decoded(_text(spark, d, line, ".{ ", " }", ", "), "zon", Selector.of(EACH_INDEX))
+
+
 def csv_source(spark, d):
     return _decoded(
         _text(spark, d, lambda r: F.concat(r["c_custkey"].cast("string"), F.lit(',"'), r["c_name"], F.lit('"')), "c_custkey,c_name\n", "\n"),
@@ -370,6 +387,9 @@ _ALL = {
     ),
     "jsonl_source": (jsonl_source, _CUSTOMER),
     "jsonc_source": (jsonc_source, _CUSTOMER),
+    "json5_source": (json5_source, _CUSTOMER),
+    "jsonic_source": (jsonic_source, _CUSTOMER),
+    "zon_source": (zon_source, _CUSTOMER),
     "csv_source": (csv_source, _CUSTOMER),
     "yaml_source": (yaml_source, _CUSTOMER),
     "toml_source": (toml_source, _CUSTOMER),

@@ -42,6 +42,14 @@ class Malformed(ValueError):
         self.row, self.col = row, col
 
 
+def real(n) -> float:
+    """A number as a double; one beyond all doubles is infinite."""
+    try:
+        return float(n)
+    except OverflowError:
+        return float("inf") if n > 0 else float("-inf")
+
+
 def _refuse(name: str):
     raise Malformed(f"{name} is no JSON number")
 
@@ -142,9 +150,18 @@ def _yaml(text: str, lexemes: bool):
             return None
         if kind == "bool":
             return raw.lower() in ("true", "yes", "on")
-        if kind == "int":
-            return float(int(raw.replace("_", ""), 0)) if not re.fullmatch(r"[-+]?0\d+", raw) else float(int(raw, 8))
-        return float(raw.replace("_", "")) if kind == "float" else raw
+        return number(raw.replace("_", "").lower(), kind) if kind in ("int", "float") else raw
+
+    def number(raw: str, kind: str) -> float:
+        sign, size = -1 if raw.startswith("-") else 1, raw.lstrip("+-")
+        if ":" in size:  # sixties
+            total = 0.0
+            for part in size.split(":"):
+                total = 60 * total + float(part)
+            return sign * total
+        if kind == "float":
+            return sign * float(size[1:] if size in (".inf", ".nan") else size)
+        return real(sign * int(size, 8 if re.fullmatch(r"0\d+", size) else 0))
 
     try:
         found = [build(n) for n in yaml.compose_all(text, yaml.SafeLoader) if n is not None]
@@ -171,7 +188,19 @@ def _xml(text: str, lexemes: bool):
         raise Malformed(str(e), e.position[0], e.position[1] + 1) from None
 
 
-DECODERS = {"json": _json, "jsonl": _jsonl, "jsonc": _jsonc, "csv": _csv, "toml": _toml, "ini": _ini, "yaml": _yaml, "xml": _xml}
+def _relaxed(name: str):
+    def read(text: str, lexemes: bool):
+        from . import relaxed
+
+        return getattr(relaxed, name)(text, lexemes)
+
+    return read
+
+
+DECODERS = {
+    "json": _json, "jsonl": _jsonl, "jsonc": _jsonc, "csv": _csv, "toml": _toml, "ini": _ini, "yaml": _yaml, "xml": _xml,
+    "json5": _relaxed("json5"), "jsonic": _relaxed("jsonic"), "zon": _relaxed("zon"),
+}
 _NUMBER = re.compile(r"-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
 
 
@@ -267,7 +296,7 @@ def walk(value, duplicates: str, into: Columns, of: int) -> None:
         elif isinstance(v, bool):
             kind, truth = "bool", v
         elif isinstance(v, (int, float)):
-            kind, number = "number", float(v)
+            kind, number = "number", real(v)
             text = getattr(v, "text", None)
             text = text if text is not None and _NUMBER.match(text) else None
         elif isinstance(v, (Pairs, dict)):
@@ -336,7 +365,7 @@ def nodes(
                     if text is None:
                         raise Malformed("no content")
                     walk(DECODERS[fmt](text.decode() if isinstance(text, bytes) else text, lexemes), duplicates, out, i)
-                except (Malformed, UnicodeDecodeError, RecursionError) as e:
+                except (ValueError, RecursionError) as e:  # Malformed and broken UTF-8 among them
                     out.broken(i, str(e), getattr(e, "row", None), getattr(e, "col", None))
                 if len(out) >= ROWS:
                     yield out.batch(b.column(0), names, fail_type)

@@ -229,11 +229,24 @@ def test_formats_agree_on_shapes(spark):
         ("yaml", "shop: {open: 9}\nshop: {close: 17}\n", '{"shop":{"open":9,"close":17}}'),
         ("yaml", "one: 1\n---\ntwo: ~\n", '[{"one":1},{"two":null}]'),
         ("yaml", "", "null"),
+        ("yaml", "[.inf, 1:30, 0b11, -017, 1_0.5, 0x1F, .5, 7e2]", '[null,90,3,-15,10.5,31,0.5,"7e2"]'),
+        ("toml", "n = -" + "9" * 400, '{"n":null}'),
+        ("jsonic", "0x_ 0x_f 1_0", '["0x_",15,10]'),
         ("ini", "top = yes\n[part]\nleft = right\n", '{"top":"yes","part":{"left":"right"}}'),
         ("toml", "n = 4\n[deep]\nlist = [false, 0.25]\n", '{"n":4,"deep":{"list":[false,0.25]}}'),
         ("csv", 'name,note\nAda,"to be, or"\n', '[{"name":"Ada","note":"to be, or"}]'),
         ("jsonl", '{"k":5}\n\n{"l":[6.0]}\n', '[{"k":5},{"l":[6]}]'),
         ("jsonc", '{"k":5 /* five */, // first\n "l":["/*"],}', '{"k":5,"l":["/*"]}'),
+        ("json5", "{hue:0xFf,'dim':[.25,+7,3.,-2E1,],\"deep\":{a:null}, deep:{b:'it\\'s\\u00e9\\ud83d\\ude00'},/* , */}", '{"hue":255,"dim":[0.25,7,3,-20],"deep":{"a":null,"b":"it\'sé😀"}}'),
+        ("json5", "'one \\\nline' // end", '"one line"'),
+        ("json5", "{l:[1,{a:2}],l:[9,{b:3},4]}", '{"l":[9,{"a":2,"b":3},4]}'),
+        ("jsonic", "left:up,sizes:[7 8,'9'],in:{on:false}", '{"left":"up","sizes":[7,8,"9"],"in":{"on":false}}'),
+        ("jsonic", "[1,k:{x:2},,three,]", '[1,null,"three"]'),
+        ("jsonic", "{k:1}\n{l:}\n# nothing", '[{"k":1},{"l":null}]'),
+        ("jsonic", "a:b:1,a:c:0b11", '{"a":{"b":1,"c":3}}'),
+        ("jsonic", "  ", "null"),
+        ("jsonic", "{}", "{}"),
+        ("zon", ".{ .one = 1_000, .@\"t wo\" = .{ .red, 'A', true, -0x10, 1e-1 }, .text =\n \\\\up\n \\\\down\n, .none = .{} }", '{"one":1000,"t wo":["red",65,true,-16,0.1],"text":"up\\ndown","none":{}}'),
     ]
     docs = spark.createDataFrame([(i, f, t) for i, (f, t, _) in enumerate(rows)], "doc_id long, format string, content string")
     got = {r["doc_id"]: r["text"] for r in values.json_text(nodes(docs)).collect()}
@@ -256,6 +269,13 @@ def test_failures_tell_where(spark):
         ("csv", 'a,b\n1,2\n3,"x\n', 3, None),
         ("yaml", "a: 1\nb: [1\n", 3, 1),
         ("xml", "<a>\n<b></a>", 2, 6),
+        ("json5", "{a:1,\n b 2}", 2, 4),
+        ("json5", "[1", 1, 3),
+        ("json5", "[010]", 1, 2),
+        ("jsonic", "a:[1\n }", 2, 2),
+        ("jsonic", "{a}", 1, 1),
+        ("zon", ".{ .x = 5,\n .x = 6 }", 2, 2),
+        ("zon", ".{ .x = 5, 6 }", 1, 12),
         ("tsv", "a", None, None),
     ]
     docs = spark.createDataFrame([(i, f, t) for i, (f, t, *_) in enumerate(rows)], "doc_id long, format string, content string")
