@@ -76,9 +76,10 @@ def _parted(cells: DataFrame, chord: float, cell_rows: int, put) -> DataFrame:
         done.append(cells.join(large, on, "left_anti"))
         inside = cells.join(large, on)
         chance = F.pmod(F.xxhash64("rep", F.lit("sample")), F.lit(1 << 30)) < F.lit(float(1 << 30)) * SAMPLE / F.col("homes")
-        sample = inside.where("home").where(chance).select(*_CELL, "_v", "homes")
+        sample = inside.where("home").where(chance).select(*_CELL, "_v", "rep", "homes")
 
         def fit(p: pd.DataFrame) -> pd.DataFrame:
+            p = p.sort_values("rep")  # rows come in any order; the same centroids each time
             k = min(FANOUT, len(p), -(-int(p["homes"].iloc[0]) // cell_rows))
             out = p[_CELL].iloc[:1].copy()
             out["centroids"] = [fit_centroids(unit(p["_v"]), k).ravel()]
