@@ -203,7 +203,9 @@ def _decoded(docs, format, row: Selector, key=("c_custkey",), name=("c_name",)):
 
 
 def _text(spark, d, line, head="", tail="", glue="\n"):
-    return _customers(spark, d).select("doc_id", F.concat(F.lit(head), F.array_join(F.transform("rows", line), glue), F.lit(tail)).alias("content"))
+    # few documents, which would else be read by one task
+    docs = _customers(spark, d).repartition(spark.sparkContext.defaultParallelism)
+    return docs.select("doc_id", F.concat(F.lit(head), F.array_join(F.transform("rows", line), glue), F.lit(tail)).alias("content"))
 
 
 def jsonl_source(spark, d):

@@ -172,22 +172,24 @@ def _yaml(text: str, lexemes: bool):
 
 
 def _xml(text: str, lexemes: bool):
-    """An element is its name, attributes and children in order; text between elements is a string child."""
-
-    def build(e):
-        children = [e.text] if e.text and e.text.strip() else []
-        for c in e:
-            children.append(build(c))
-            if c.tail and c.tail.strip():
-                children.append(c.tail)
-        return {"name": e.tag, "attributes": dict(e.attrib), "children": children}
-
+    """An element is its name, attributes and children in order; text between elements is a string child.
+    Elements stay as they are until they are walked, see _element."""
     try:
-        return build(ET.fromstring(text))
+        return ET.fromstring(text)
     except ET.ParseError as e:
         raise Malformed(str(e), e.position[0], e.position[1] + 1) from None
 
 
+def _element(e) -> Pairs:
+    """An XML element's members."""
+    children = [e.text] if e.text and e.text.strip() else []
+    for c in e:
+        children.append(c)
+        if c.tail and c.tail.strip():
+            children.append(c.tail)
+    return Pairs([("name", e.tag), ("attributes", e.attrib), ("children", children)])
+
+
 def _relaxed(name: str):
     def read(text: str, lexemes: bool):
         from . import relaxed
@@ -209,11 +211,19 @@ class Columns:
 
     SCALARS = ("pre", "last", "depth", "kind", "bool", "num", "lexeme", "str", "size")
 
+    LISTS = (*SCALARS, "of", "fail", "keys", "indexes", "above")
+
     def __init__(self):
-        for name in (*self.SCALARS, "of", "fail", "keys", "indexes", "above"):
+        for name in self.LISTS:
             setattr(self, name, [])
         self.path_ends, self.above_ends = [0], [0]
 
+    def clear(self) -> None:
+        """Takes all rows out; the lists stay the same objects."""
+        for name in self.LISTS:
+            getattr(self, name).clear()
+        self.path_ends[:] = self.above_ends[:] = [0]
+
     def __len__(self) -> int:
         return len(self.kind)
 
@@ -257,26 +267,49 @@ class Columns:
         return pa.RecordBatch.from_arrays(made, names)
 
 
-def walk(value, duplicates: str, into: Columns, of: int) -> None:
+#: Rows from which on the nodes so far are passed on, in the midst of a document too.
+ROWS = 20_000
+
+
+def _members(v, duplicates: str) -> list:
+    """The members that count of an object."""
+    pairs = v.items() if isinstance(v, dict) else _element(v) if isinstance(v, ET.Element) else v
+    if duplicates == "all":
+        return pairs
+    out = {}
+    for k, v in pairs:
+        if duplicates == "last_wins" or k not in out:
+            out[k] = v
+    return out.items()
+
+
+def _count(value, duplicates: str) -> int:
+    """How many nodes a value has."""
+    n, todo = 0, [value]
+    while todo:
+        v = todo.pop()
+        n += 1
+        if isinstance(v, (Pairs, dict, ET.Element)):
+            todo.extend(child for _, child in _members(v, duplicates))
+        elif isinstance(v, (list, tuple)):
+            todo.extend(v)
+    return n
+
+
+def walk(value, duplicates: str, into: Columns, of: int):
     """Appends the nodes of one value in document order. duplicates: last_wins keeps a member's first place and
-    last value, first_wins its first, all every occurrence."""
+    last value, first_wins its first, all every occurrence.
+
+    Each time ROWS rows are there it yields, for the caller to take the rows out.
+    """
     first = len(into)
     pre, last, depths, kinds, bools, nums, lexemes, strs, sizes = (getattr(into, n).append for n in Columns.SCALARS)
     ofs, fails, path_end, above_end = into.of.append, into.fail.append, into.path_ends.append, into.above_ends.append
-    all_keys, all_indexes, all_above = into.keys, into.indexes, into.above
-
-    def members(pairs):
-        if duplicates == "all":
-            return pairs
-        out = {}
-        for k, v in pairs:
-            if duplicates == "last_wins" or k not in out:
-                out[k] = v
-        return out.items()
+    all_kinds, all_keys, all_indexes, all_above = into.kind, into.keys, into.indexes, into.above
 
     # a stack of iterators, so that depth is not bound by Python's
     def enter(v, keys, indexes, above, depth):
-        n = len(into.kind) - first
+        n = len(all_kinds) - first
         all_keys.extend(keys)
         all_indexes.extend(indexes)
         all_above.extend(above)
@@ -299,9 +332,9 @@ def walk(value, duplicates: str, into: Columns, of: int) -> None:
             kind, number = "number", real(v)
             text = getattr(v, "text", None)
             text = text if text is not None and _NUMBER.match(text) else None
-        elif isinstance(v, (Pairs, dict)):
+        elif isinstance(v, (Pairs, dict, ET.Element)):
             kind = "object"
-            found = members(v.items() if isinstance(v, dict) else v)
+            found = _members(v, duplicates)
             inner, size, depth = iter(found), len(found), depth + 1
         elif isinstance(v, (list, tuple)):
             kind, inner, size, depth = "array", enumerate(v), len(v), depth + 1
@@ -314,22 +347,37 @@ def walk(value, duplicates: str, into: Columns, of: int) -> None:
         lexemes(text)
         strs(string)
         sizes(size)
-        return None if inner is None else (n, inner, kind == "object", keys, indexes, [*above, n], depth)
+        return None if inner is None else [n, inner, kind == "object", keys, indexes, [*above, n], depth]
+
+    def foresee(end: int) -> None:
+        """Sets ``last`` of the open containers among the rows; what is still to come in them is counted."""
+        for frame in reversed(stack):
+            if first + frame[0] < 0:
+                break  # passed on before, as all outside it
+            rest = list(frame[1])
+            frame[1] = iter(rest)
+            end += sum(_count(child, duplicates) for _, child in rest)
+            into.last[first + frame[0]] = end
 
     stack = [f] if (f := enter(value, [], [], [], 0)) else []
     while stack:
-        n, inner, named, keys, indexes, above, depth = stack[-1]
+        frame = stack[-1]
+        n, inner, named, keys, indexes, above, depth = frame
         for step, child in inner:
             if deeper := enter(child, [*keys, step if named else None], [*indexes, None if named else step], above, depth):
                 stack.append(deeper)
                 break
+            if len(all_kinds) >= ROWS:
+                break
         else:
-            into.last[first + n] = len(into.kind) - first - 1
+            if first + n >= 0:
+                into.last[first + n] = len(all_kinds) - first - 1
             stack.pop()
-
-
-#: Rows from which on the nodes of the documents so far are passed on.
-ROWS = 20_000
+        if len(all_kinds) >= ROWS:
+            done = len(all_kinds) - first
+            foresee(done - 1)
+            yield
+            first = len(all_kinds) - done
 
 
 def nodes(
@@ -343,7 +391,7 @@ def nodes(
     """The node table of documents: key, the NODE_FIELDS and ``fail`` (null but for a document that cannot be read,
     which has one row with null fields). The format is a literal or the column ``format`` of docs.
 
-    A task holds the nodes of one document and about ROWS more. Half of a surrogate pair in a text becomes "?".
+    A task holds one parsed document and the rows of about ROWS nodes. Half of a surrogate pair in a text becomes "?".
     """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
@@ -358,18 +406,21 @@ def nodes(
     def run(batches):
         for b in batches:
             out = Columns()
-            for i, (text, fmt) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            for i in range(b.num_rows):
+                text, fmt = b.column(1)[i].as_py(), b.column(2)[i].as_py()
                 try:
                     if fmt not in DECODERS:
                         raise Malformed(f"no decoder for {fmt}")
                     if text is None:
                         raise Malformed("no content")
-                    walk(DECODERS[fmt](text.decode() if isinstance(text, bytes) else text, lexemes), duplicates, out, i)
+                    for _ in walk(DECODERS[fmt](text.decode() if isinstance(text, bytes) else text, lexemes), duplicates, out, i):
+                        yield out.batch(b.column(0), names, fail_type)
+                        out.clear()
                 except (ValueError, RecursionError) as e:  # Malformed and broken UTF-8 among them
                     out.broken(i, str(e), getattr(e, "row", None), getattr(e, "col", None))
                 if len(out) >= ROWS:
                     yield out.batch(b.column(0), names, fail_type)
-                    out = Columns()
+                    out.clear()
             if len(out):
                 yield out.batch(b.column(0), names, fail_type)
 
