@@ -11,7 +11,7 @@ import pytest
 from sapwood.functions.failures import CODES, Limits, PlanFailure
 from sapwood.functions.paths import EACH_INDEX, EACH_MEMBER, SELECTOR_TYPE, Selector, natural_keys, overlap
 from sapwood.operators import contract, guard, native, route, table, values
-from sapwood.sources import decode
+from sapwood.sources import decode, relaxed
 from sapwood.sources.decode import nodes
 
 
@@ -287,6 +287,25 @@ def test_a_document_is_passed_on_in_pieces(monkeypatch, format, text):
     assert all(rows(n) == whole for n in (2, 3, 5))
 
 
+@pytest.mark.parametrize("read, line", [("json5", "{a:1},"), ("zon", ".{ .a = 1 },"), ("jsonic", "a b\n")])
+def test_tokens_are_not_held(read, line):
+    """A relaxed text is read with a token or two at hand; a fault of a later token is told before one of order."""
+    head, tail = {"json5": ("[", "]"), "zon": (".{", "}"), "jsonic": ("", "")}[read]
+    held, take = [], relaxed._Tokens.take
+
+    class Tokens(relaxed._Tokens):
+        def take(self):
+            held.append(len(self.held))
+            return take(self)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(relaxed, "_Tokens", Tokens)
+        assert len(getattr(relaxed, read)(head + line * 50 + tail)) in (50, 100)
+        assert held and max(held) <= 2
+        with pytest.raises(decode.Malformed, match="no token"):
+            getattr(relaxed, read)("}" + line + "'")
+
+
 def test_failures_tell_where(spark):
     rows = [
         ("json", '{"a": 1,\n "b": }', 2, 7),
