@@ -43,9 +43,18 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Rows of a table whose documents one task reads.
+TASK_ROWS = 25_000
+
+
+def _spread(docs: DataFrame, source: DataFrame) -> DataFrame:
+    """docs over as many tasks as the rows of their source ask for: what a task holds does not grow with the input.
+    Reading texts is bound by CPU, not by bytes, by which adaptive execution would gather them into few tasks."""
+    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, source.count() // TASK_ROWS))
+
+
 def _order_nodes(spark, d):
-    # decoding is bound by CPU, not by bytes, by which adaptive execution would gather these few megabytes into one task
-    return nodes(order_documents(spark, d).repartition(spark.sparkContext.defaultParallelism), format="json")
+    return nodes(_spread(order_documents(spark, d), _read(spark, d, "orders")), format="json")
 
 
 def table_metadata_exact(spark, d):

@@ -23,3 +23,10 @@ def plan(spark, name: str) -> str:
 def test_documents_are_read_once(spark, name):
     assert plan(spark, name).count("MapInArrow") == 1
 
+
+@needs_tables
+@pytest.mark.parametrize("name", ["limit_capture", "tree_contract"])
+def test_tasks_grow_in_number_with_the_rows(spark, monkeypatch, name):
+    monkeypatch.setattr(catalogue, "TASK_ROWS", 30, raising=False)
+    rows = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert f"Repartition {rows // 30}, true" in plan(spark, name)
