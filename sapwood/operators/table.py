@@ -109,9 +109,10 @@ def _too_many(columns: Column, bytes_: Column, path: Column, limits: Limits) ->
     return fail
 
 
-def _scopes(nodes: DataFrame, rows: Selector, meta: Selector | None, key: str) -> DataFrame:
+def _scopes(nodes: DataFrame, rows: Selector, meta: Selector | None, key: str, wanted: str) -> DataFrame:
     """key, scope ("d" document, "m" metadata, "r" row), pos, last, bytes, path, kind, items: one row per scope,
-    and one per document. items are the scope's nodes in order, their paths taken from the scope (rel, and as text: at)."""
+    and one per document. items are the nodes in order of the scopes whose letters are wanted, their paths taken from
+    the scope (rel, and as text: at)."""
     held = [F.when(F.size("path") == 0, F.struct(F.lit("d").alias("scope"), F.lit(0).alias("steps")))]
     for name, selector in (("m", meta), ("r", rows)):
         if selector is not None:
@@ -141,7 +142,7 @@ def _scopes(nodes: DataFrame, rows: Selector, meta: Selector | None, key: str) -
         F.max("last").alias("last"),
         F.sum(node_bytes(is_root)).alias("bytes"),
         F.max(F.when(is_root, F.struct(display(F.col("path")).alias("path"), "kind"))).alias("_at"),
-        F.sort_array(F.collect_list(F.when(F.col("_s.scope") != "d", item))).alias("items"),
+        F.sort_array(F.collect_list(F.when(F.col("_s.scope").isin(*wanted), item))).alias("items") if wanted else F.lit(None).alias("items"),
     )
     return got.select(key, "scope", "pos", "last", "bytes", "_at.path", "_at.kind", "items")
 
@@ -187,24 +188,19 @@ def _empty(kind: str) -> Column:
     ).cast(CELL_TYPE)
 
 
-def table(
-    nodes: DataFrame,
-    rows: Selector,
-    schema: list[TableColumn] | Metadata | str,
-    limits: Limits = Limits(),
-    key: str = "doc_id",
-) -> tuple[DataFrame, DataFrame]:
-    """(schemas, rows). schemas: key, labels, fail, one row per document. rows: key, row_no (from 1), cells
-    array<cell>, in schema order. A cell's kind is null, bool, number, string or missing; a container is
-    its compact JSON as a string. The rows before a document's failing row stay; fail tells of it.
-    """
+def _full(nodes: DataFrame, rows: Selector, schema, limits: Limits, key: str, cells: bool) -> DataFrame:
+    """The scopes of each document with row_no, columns, fail (of the document's columns), _stop (its first broken row)
+    and, where cells are wanted or a broken row shows in them, _got (a row's cells)."""
     meta = schema.select if isinstance(schema, Metadata) else None
     if meta is not None:
         checked([Capture("metadata", meta), Capture("row", rows)])
     static = _static(schema, limits) if isinstance(schema, list) else None
+    strict = isinstance(schema, list) and any(c.missing == "error" for c in schema)
+    cells = cells or strict
+    wanted = "mr" if cells or schema == "infer" else "m" if meta is not None else ""
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the nodes of a document come from one task as it is; together once, they need no other exchange
-    s = _scopes(nodes.repartition(partitions, key), rows, meta, key)
+    s = _scopes(nodes.repartition(partitions, key), rows, meta, key, wanted)
     is_row, is_meta = F.col("scope") == "r", F.col("scope") == "m"
     whole = Window.partitionBy(key)
     s = s.withColumn("row_no", F.when(is_row, F.row_number().over(Window.partitionBy(key, "scope").orderBy("pos"))).cast("long"))
@@ -252,34 +248,58 @@ def table(
         )
         s = s.withColumn("columns", F.coalesce(plain.cast(COLUMNS_TYPE), none)).withColumn("fail", fail).drop("_nth", "_made", "_m", "_again", "_row")
 
-    full = s.withColumn("_got", F.when(is_row & F.col("fail").isNull(), _cells(F.col("items"), F.col("columns")))).drop("items")
-    lost = F.filter(F.arrays_zip(F.col("columns").alias("c"), F.col("_got").alias("g")), lambda z: (z["c"]["missing"] == "error") & z["g"].isNull())
-    inside = F.regexp_replace(F.get(lost, F.lit(0))["c"]["source"], r"^\.$", "")
-    broken = F.when(F.size(lost) > 0, failure("MISSING_VALUE", "a value is missing", F.concat("path", inside)).cast(FAIL_TYPE))
+    good_row = is_row & F.col("fail").isNull()
+    broken = F.lit(None).cast(FAIL_TYPE)
+    if cells:
+        s = s.withColumn("_got", F.when(good_row, _cells(F.col("items"), F.col("columns"))))
+    if strict:
+        lost = F.filter(F.arrays_zip(F.col("columns").alias("c"), F.col("_got").alias("g")), lambda z: (z["c"]["missing"] == "error") & z["g"].isNull())
+        inside = F.regexp_replace(F.get(lost, F.lit(0))["c"]["source"], r"^\.$", "")
+        broken = F.when(F.size(lost) > 0, failure("MISSING_VALUE", "a value is missing", F.concat("path", inside)).cast(FAIL_TYPE))
     if limits.max_record_bytes is not None:
         broken = F.when(
             F.col("bytes") > limits.max_record_bytes,
             exceeded("max_record_bytes", limits.max_record_bytes, F.col("path")).cast(FAIL_TYPE),
         ).otherwise(broken)
-    full = full.withColumn("_broken", F.when(F.col("_got").isNotNull(), broken))
-    full = full.withColumn("_stop", F.min(F.when(F.col("_broken").isNotNull(), F.struct("row_no", F.col("_broken").alias("why")))).over(whole))
+    full = s.drop("items").withColumn("_broken", F.when(good_row, broken))
+    return full.withColumn("_stop", F.min(F.when(F.col("_broken").isNotNull(), F.struct("row_no", F.col("_broken").alias("why")))).over(whole))
+
+
+#: A row is there if its document's columns are known and no row before it, nor itself, is broken.
+_KEPT = "scope = 'r' and fail is null and (_stop is null or row_no < _stop.row_no)"
+
+
+def _labels() -> Column:
+    return F.transform("columns", lambda c: c["label"])
+
+
+def table(
+    nodes: DataFrame,
+    rows: Selector,
+    schema: list[TableColumn] | Metadata | str,
+    limits: Limits = Limits(),
+    key: str = "doc_id",
+) -> tuple[DataFrame, DataFrame]:
+    """(schemas, rows). schemas: key, labels, fail, n_rows, one row per document. rows: key, row_no (from 1), cells
+    array<cell>, in schema order, and labels, the same for all rows of a document. A cell's kind is null, bool, number,
+    string or missing; a container is its compact JSON as a string. The rows before a document's failing row stay;
+    fail tells of it, n_rows counts them. Each of the two reads the documents once; what is in one needs no join.
+    """
+    full = _full(nodes, rows, schema, limits, key, True)
     filled = F.transform(
         "columns",
         lambda c, n: F.coalesce(F.get(F.col("_got"), n), F.when(c["missing"] == "null", _empty("null")).otherwise(_empty("missing"))),
     )
-    out = full.where(
-        is_row & F.col("fail").isNull() & (F.col("_stop").isNull() | (F.col("row_no") < F.col("_stop.row_no")))
-    ).select(key, "row_no", filled.alias("cells"))
-    schemas = full.where("scope = 'd'").select(
-        key,
-        F.transform("columns", lambda c: c["label"]).alias("labels"),
-        F.coalesce("fail", "_stop.why").alias("fail"),
-    )
-    return schemas, out
+    out = full.where(_KEPT).select(key, "row_no", filled.alias("cells"), _labels().alias("labels"))
+    about = F.struct(_labels().alias("labels"), F.coalesce("fail", "_stop.why").alias("fail"))
+    lean = _full(nodes, rows, schema, limits, key, False)
+    schemas = lean.groupBy(key).agg(F.first(F.when(F.col("scope") == "d", about), True).alias("_d"), F.count_if(F.expr(_KEPT)).alias("n_rows"))
+    return schemas.select(key, "_d.labels", "_d.fail", "n_rows"), out
 
 
-def wide(rows: DataFrame, columns: list[tuple[str, str]], key: str = "doc_id") -> DataFrame:
-    """rows with one typed column per (name, type) in place of cells; missing and null are both NULL."""
+def wide(rows: DataFrame, columns: list[tuple[str, str]], key: str = "doc_id", also: list[str] = []) -> DataFrame:
+    """rows with one typed column per (name, type) in place of cells, and the columns of rows named in also; missing
+    and null are both NULL."""
     field = {"double": "num", "bigint": "num", "int": "num", "boolean": "bool"}
     one = lambda i, kind: F.get("cells", F.lit(i))[field.get(kind, "str")].cast(kind)
-    return rows.select(key, "row_no", *[one(i, kind).alias(name) for i, (name, kind) in enumerate(columns)])
+    return rows.select(key, "row_no", *[one(i, kind).alias(name) for i, (name, kind) in enumerate(columns)], *also)

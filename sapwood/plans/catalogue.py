@@ -133,8 +133,8 @@ def table_infer_object(spark, d):
     o = _read(spark, d, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(
         F.to_json(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"))))).alias("content")
     )
-    schemas, rows = table.table(nodes(o, format="json"), Selector.of(EACH_INDEX), "infer")
-    return table.wide(rows, [("k", "bigint"), ("p", "double")]).join(schemas.select("doc_id", F.array_join("labels", ",").alias("labels")), "doc_id")
+    _, rows = table.table(nodes(_spread(o, _read(spark, d, "orders")), format="json"), Selector.of(EACH_INDEX), "infer")
+    return table.wide(rows.withColumn("labels", F.array_join("labels", ",")), [("k", "bigint"), ("p", "double")], also=["labels"])
 
 
 def table_infer_scalar(spark, d):
@@ -299,8 +299,8 @@ def xml_source(spark, d):
 
 
 def records_json(spark, d):
-    schemas, rows = table.table(_order_nodes(spark, d), ROWS, [table.TableColumn("id", ("id",)), table.TableColumn("gone", ("gone",))])
-    return sinks.records(rows, schemas).select("doc_id", "row_no", "record")
+    _, rows = table.table(_order_nodes(spark, d), ROWS, [table.TableColumn("id", ("id",)), table.TableColumn("gone", ("gone",))])
+    return sinks.records(rows).select("doc_id", "row_no", "record")
 
 
 def csv_text(spark, d):

@@ -13,7 +13,7 @@ from ..functions.paths import EACH_INDEX, EACH_MEMBER, Selector, natural_keys, o
 from ..operators import contract, guard, native, route, scan, table, values
 from ..sources import sinks
 from ..sources.decode import nodes
-from .catalogue import META, ROWS, _order_nodes, _read, order_documents
+from .catalogue import META, ROWS, _order_nodes, _read, _spread, order_documents
 
 _ROWS_OF = "SELECT o_custkey AS doc_id, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders"
 _DOCS = "SELECT o_custkey AS doc_id, count(*) AS n FROM orders GROUP BY 1"
@@ -159,8 +159,12 @@ def _described_documents(spark, d):
     return docs.select("doc_id", text.alias("content"))
 
 
+def _described_nodes(spark, d):
+    return nodes(_spread(_described_documents(spark, d), _read(spark, d, "orders")), format="json")
+
+
 def order_violation(spark, d):
-    schemas, _ = table.table(nodes(_described_documents(spark, d), format="json"), ROWS, table.Metadata(META))
+    schemas, _ = table.table(_described_nodes(spark, d), ROWS, table.Metadata(META))
     return schemas.where("fail is not null").select("doc_id", "fail.code", "fail.path")
 
 
@@ -173,13 +177,8 @@ def native_failures(spark, d):
 
 
 def table_zero_rows(spark, d):
-    schemas, rows = table.table(nodes(_described_documents(spark, d), format="json"), ROWS, table.Metadata(META))
-    n = rows.groupBy(F.col("doc_id").alias("k")).agg(F.count("*").alias("n_rows"))
-    return schemas.where("fail is null").join(n, F.col("doc_id") == F.col("k"), "left").select(
-        "doc_id",
-        F.array_join("labels", ",").alias("labels"),
-        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-    )
+    schemas, _ = table.table(_described_nodes(spark, d), ROWS, table.Metadata(META))
+    return schemas.where("fail is null").select("doc_id", F.array_join("labels", ",").alias("labels"), "n_rows")
 
 
 def native_steps(spark, d):
@@ -218,9 +217,8 @@ def _arrays(spark, d, of):
 
 def table_infer_array(spark, d):
     docs = _arrays(spark, d, F.concat(F.lit("["), F.col("o_orderkey").cast("string"), F.lit(',"'), F.col("o_orderstatus"), F.lit('"]')))
-    schemas, rows = table.table(nodes(docs, format="json"), Selector.of(EACH_INDEX), "infer")
-    wide = table.wide(rows, [("k", "bigint"), ("status", "string")])
-    return wide.join(schemas.select("doc_id", F.array_join("labels", ",").alias("labels")), "doc_id")
+    _, rows = table.table(nodes(_spread(docs, _read(spark, d, "orders")), format="json"), Selector.of(EACH_INDEX), "infer")
+    return table.wide(rows.withColumn("labels", F.array_join("labels", ",")), [("k", "bigint"), ("status", "string")], also=["labels"])
 
 
 def table_infer_mixed(spark, d):
@@ -230,15 +228,16 @@ def table_infer_mixed(spark, d):
         F.col("o_orderkey") % 3 == 0,
         F.concat(F.lit('{"k":'), key, F.lit("}")),
     ).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("["), key, F.lit("]"))).otherwise(F.concat(F.lit('"'), status, F.lit('"')))
-    schemas, rows = table.table(nodes(_arrays(spark, d, row), format="json"), Selector.of(EACH_INDEX), "infer")
+    docs = _spread(_arrays(spark, d, row), _read(spark, d, "orders"))
+    _, rows = table.table(nodes(docs, format="json"), Selector.of(EACH_INDEX), "infer")
     cell = F.get("cells", F.lit(0))
-    got = rows.select(
+    return rows.select(
         "doc_id",
         "row_no",
         cell["kind"].alias("kind"),
         F.coalesce(cell["num"].cast("bigint").cast("string"), cell["str"]).alias("shown"),
+        F.array_join("labels", ",").alias("labels"),
     )
-    return got.join(schemas.select("doc_id", F.array_join("labels", ",").alias("labels")), "doc_id")
 
 
 _INFER_MIXED = f"""
@@ -273,15 +272,9 @@ def limit_record(spark, d):
     docs = lines.groupBy((F.col("l_orderkey") % 500).alias("doc_id")).agg(
         F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(F.struct("l_orderkey", "t")))["t"], ","), F.lit("]")).alias("content")
     )
-    schemas, rows = table.table(nodes(docs, format="json"), Selector.of(EACH_INDEX), [table.TableColumn("first", (0,))], Limits(max_record_bytes=120))
-    n = rows.groupBy(F.col("doc_id").alias("k")).agg(F.count("*").alias("n_rows"))
-    return schemas.join(n, F.col("doc_id") == F.col("k"), "left").select(
-        "doc_id",
-        "fail.code",
-        "fail.limit",
-        "fail.path",
-        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-    )
+    docs = _spread(docs, _read(spark, d, "lineitem"))
+    schemas, _ = table.table(nodes(docs, format="json"), Selector.of(EACH_INDEX), [table.TableColumn("first", (0,))], Limits(max_record_bytes=120))
+    return schemas.select("doc_id", "fail.code", "fail.limit", "fail.path", "n_rows")
 
 
 _LIMIT_RECORD = """

@@ -46,9 +46,10 @@ def write_csv(rows: DataFrame, labels: list[str], path: str, missing: str | None
     named.toDF(*labels).write.option("quoteAll", True).option("escape", '"').option("emptyValue", '""').option("header", True).option("lineSep", "\r\n").csv(path)
 
 
-def records(rows: DataFrame, schemas: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, row_no, record: one JSON object per row, a missing cell's member left out, the last of equal labels kept."""
-    named = rows.join(schemas.select(F.col(key).alias("_k"), "labels"), F.col(key) == F.col("_k"))
+def records(rows: DataFrame, schemas: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """key, row_no, record: one JSON object per row, a missing cell's member left out, the last of equal labels kept.
+    The labels are the rows' own, if they are not taken from schemas."""
+    named = rows if schemas is None else rows.drop("labels").join(schemas.select(F.col(key).alias("_k"), "labels"), F.col(key) == F.col("_k"))
     value = lambda c: F.when(c["kind"] == "null", "null").when(c["kind"] == "bool", c["bool"].cast("string")).when(c["kind"] == "number", number_text(c["num"], c["lexeme"])).otherwise(
         F.regexp_replace(F.to_json(F.array(c["str"])), r"^\[|\]$", "")
     )

@@ -18,14 +18,14 @@ def plan(spark, name: str) -> str:
 @needs_tables
 @pytest.mark.parametrize(
     "name",
-    ["tree_contract", "protocol_errors"],
+    ["tree_contract", "protocol_errors", "table_zero_rows", "limit_record", "records_json", "table_infer_object", "table_infer_array", "table_infer_mixed"],
 )
 def test_documents_are_read_once(spark, name):
     assert plan(spark, name).count("MapInArrow") == 1
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["limit_capture", "tree_contract"])
+@pytest.mark.parametrize("name", ["limit_capture", "tree_contract", "table_zero_rows"])
 def test_tasks_grow_in_number_with_the_rows(spark, monkeypatch, name):
     monkeypatch.setattr(catalogue, "TASK_ROWS", 30, raising=False)
     rows = spark.read.parquet(f"{SF}/orders.parquet").count()
