@@ -329,7 +329,7 @@ UNION ALL SELECT doc_id, n, 'all', '.', NULL FROM c WHERE n < 4"""
 
 def equal_values(spark, d):
     """The order documents against themselves, with one price changed, one number given its text, or one absent."""
-    docs, case = order_documents(spark, d), F.col("doc_id") % 4
+    docs, case = _spread(order_documents(spark, d), _read(spark, d, "orders")), F.col("doc_id") % 4
     other = docs.where(case != 3).select(
         "doc_id",
         F.when(case == 1, F.regexp_replace("content", r'\{"id":', '{"id":1')).otherwise(F.col("content")).alias("content"),

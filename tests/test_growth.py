@@ -25,7 +25,7 @@ def test_documents_are_read_once(spark, name):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["limit_capture", "tree_contract", "table_zero_rows"])
+@pytest.mark.parametrize("name", ["equal_values", "limit_capture", "tree_contract", "table_zero_rows"])
 def test_tasks_grow_in_number_with_the_rows(spark, monkeypatch, name):
     monkeypatch.setattr(catalogue, "TASK_ROWS", 30, raising=False)
     rows = spark.read.parquet(f"{SF}/orders.parquet").count()
