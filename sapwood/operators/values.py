@@ -69,7 +69,9 @@ def number_text(num: Column, lexeme: Column | None = None) -> Column:
             .when(n.isNotNull(), F.concat(sign, long_))
         )
 
-    out = let(num, text)
+    # a double of ten millions is shown with an exponent already; whole numbers need none of the above
+    whole = (F.abs(num) < 1e15) & (num != 0) & (F.rint(num) == num)
+    out = F.when(whole, num.try_cast("bigint").cast("string")).otherwise(let(num, text))
     return out if lexeme is None else F.coalesce(lexeme, out)
 
 

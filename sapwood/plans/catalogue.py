@@ -126,7 +126,7 @@ def route_whole_values(spark, d):
         F.col("o_orderkey").alias("doc_id"),
         F.to_json(F.struct(F.struct("o_orderkey", F.array("o_orderstatus", "o_orderpriority").alias("tags")).alias("v"))).alias("content"),
     )
-    return route.route(nodes(o, format="json"), [route.Capture("v", Selector.of("v"))]).select("doc_id", "path", "value", "bytes")
+    return route.route(nodes(_spread(o, o), format="json"), [route.Capture("v", Selector.of("v"))]).select("doc_id", "path", "value", "bytes")
 
 
 def table_infer_object(spark, d):
@@ -149,7 +149,7 @@ def table_missing(spark, d):
         F.to_json(F.array(F.struct(F.col("event_id").alias("id"), F.when(F.col("value") > 50, F.col("event_type")).alias("t")))).alias("content"),
     )
     columns = [table.TableColumn("id", ("id",)), table.TableColumn("t", ("t",)), table.TableColumn("u", ("t",), "null")]
-    _, rows = table.table(nodes(e, format="json"), Selector.of(EACH_INDEX), columns)
+    _, rows = table.table(nodes(_spread(e, e), format="json"), Selector.of(EACH_INDEX), columns)
     return rows.select("doc_id", *[F.get("cells", F.lit(i))["kind"].alias(f"kind{i}") for i in range(3)], F.get("cells", F.lit(1))["str"].alias("t"))
 
 
@@ -159,7 +159,7 @@ def table_container_cell(spark, d):
         F.to_json(F.array(F.struct(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("n")).alias("who")))).alias("content"),
     )
     _, rows = table.table(
-        nodes(c, format="json"),
+        nodes(_spread(c, c), format="json"),
         Selector.of(EACH_INDEX),
         [table.TableColumn("who", ("who",)), table.TableColumn("n", ("who", "n"))],
     )
@@ -309,7 +309,7 @@ def csv_text(spark, d):
         F.to_json(F.array(F.struct("c_custkey", F.concat(F.lit('"'), "c_name").alias("c_name")))).alias("content"),
     )
     _, rows = table.table(
-        nodes(c, format="json"),
+        nodes(_spread(c, c), format="json"),
         Selector.of(EACH_INDEX),
         [table.TableColumn("k", ("c_custkey",)), table.TableColumn("n", ("c_name",)), table.TableColumn("x", ("x",))],
     )

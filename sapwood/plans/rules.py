@@ -53,7 +53,7 @@ def _repeated(spark, d):
         F.col("o_custkey").cast("string"),
         F.lit("}"),
     )
-    return o.select(F.col("o_orderkey").alias("doc_id"), text.alias("content"))
+    return _spread(o.select(F.col("o_orderkey").alias("doc_id"), text.alias("content")), o)
 
 
 def duplicates_policies(spark, d):
@@ -262,7 +262,7 @@ def limit_key(spark, d):
         F.col("c_custkey").alias("doc_id"),
         F.to_json(F.array(F.create_map(F.repeat(F.lit("é"), (F.col("c_custkey") % 9).cast("int")), F.lit(1)))).alias("content"),
     )
-    found = guard.violations(nodes(c, format="json"), Limits(max_key_bytes=9))
+    found = guard.violations(nodes(_spread(c, c), format="json"), Limits(max_key_bytes=9))
     return found.select("doc_id", "fail.code", "fail.limit", "fail.path")
 
 
@@ -295,7 +295,7 @@ def limit_columns(spark, d):
     c = _read(spark, d, "customer")
     members = F.transform(F.sequence(F.lit(0), (F.col("c_custkey") % 5).cast("int")), lambda i: F.concat(F.lit('"m'), i.cast("string"), F.lit('":1')))
     docs = c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("[{"), F.array_join(members, ","), F.lit("}]")).alias("content"))
-    schemas, _ = table.table(nodes(docs, format="json"), Selector.of(EACH_INDEX), "infer", Limits(max_columns=3))
+    schemas, _ = table.table(nodes(_spread(docs, c), format="json"), Selector.of(EACH_INDEX), "infer", Limits(max_columns=3))
     return _fails(schemas)
 
 

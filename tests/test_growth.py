@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from sapwood.functions.paths import quoted_json
+from sapwood.operators import values
 from sapwood.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -25,8 +27,21 @@ def test_documents_are_read_once(spark, name):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["equal_values", "limit_capture", "tree_contract", "table_zero_rows"])
+@pytest.mark.parametrize("name", ["equal_values", "limit_capture", "duplicates_policies", "route_whole_values", "tree_contract", "table_zero_rows"])
 def test_tasks_grow_in_number_with_the_rows(spark, monkeypatch, name):
     monkeypatch.setattr(catalogue, "TASK_ROWS", 30, raising=False)
     rows = spark.read.parquet(f"{SF}/orders.parquet").count()
     assert f"Repartition {rows // 30}, true" in plan(spark, name)
+
+
+def test_texts_of_plain_and_odd_values(spark):
+    """The short ways for plain texts and whole numbers give what the long ones give."""
+    odd = ["a b", "é😀", 'q"', "b\\", "t\tn\n\x00\x1f", "\x7f ", "", None]
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(odd)], "i long, s string").select("i", quoted_json(values.F.col("s")).alias("q")).collect()
+    shown = {r["i"]: r["q"] for r in got}
+    assert [shown[i] for i in range(len(odd))] == ['"a b"', '"é😀"', '"q\\""', '"b\\\\"', '"t\\tn\\n\\u0000\\u001F"', '"\x7f "', '""', None]
+    numbers = [(12345678.0, "12345678"), (-1e7, "-10000000"), (999999999999999.0, "999999999999999"), (1e15, "1" + "0" * 15), (1e21, "1" + "0" * 21)]
+    numbers += [(0.5, "0.5"), (-0.0, "-0"), (0.0, "0"), (3.0, "3"), (float("nan"), "null"), (float("-inf"), "null"), (None, None)]
+    rows = [(i, n) for i, (n, _) in enumerate(numbers)]
+    got = {r["i"]: r["t"] for r in spark.createDataFrame(rows, "i long, n double").select("i", values.number_text(values.F.col("n")).alias("t")).collect()}
+    assert got == {i: text for i, (_, text) in enumerate(numbers)}
