@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.failures import NODE_BYTES, NUMBER_BYTES
 from ..functions.paths import quoted_json
+from ..sources import decode
 
 CELL_TYPE = "struct<kind: string, bool: boolean, num: double, lexeme: string, str: string>"
 
@@ -211,6 +212,26 @@ def json_text(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     return nodes.where("pre is not null").groupBy(key).agg(joined(F.collect_list(fragments(F.size("path") == 0))).alias("text"))
 
 
+#: Characters from which on a document's nodes are not held in one row; a JSON text has no more nodes than characters.
+SHORT = decode.ROWS
+
+
+def json_texts(docs: DataFrame, policies: list[str], key: str = "doc_id", content: str = "content") -> DataFrame:
+    """key, text, policy: JSON documents as json_text gives them, under each policy of repeated members.
+
+    Short documents stay in the row they came in and meet no exchange; the nodes of a long one leave the decoder in
+    pieces and are brought together by its key.
+    """
+    size = F.length(content)
+    of = lambda n: lambda name: F.lit(None).cast("string") if name == "lexeme" else n[name]
+    pieces = F.transform("nodes", lambda n: fragments(n["parent"].isNull(), of(n)))
+    short = decode.node_lists(docs.where(size <= SHORT), policies, key, content).select(key, joined(pieces).alias("text"), "policy")
+    for p in policies:
+        long = decode.nodes(docs.where(size > SHORT), key, content, "json", duplicates=p)
+        short = short.unionByName(json_text(long, key).withColumn("policy", F.lit(p)))
+    return short
+
+
 def is_json_number(text: Column) -> Column:
     return text.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
 

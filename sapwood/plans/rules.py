@@ -57,8 +57,7 @@ def _repeated(spark, d):
 
 
 def duplicates_policies(spark, d):
-    texts = [values.json_text(nodes(_repeated(spark, d), format="json", duplicates=p)).withColumn("policy", F.lit(p)) for p in ("last_wins", "first_wins")]
-    return texts[0].unionByName(texts[1])
+    return values.json_texts(_repeated(spark, d), ["last_wins", "first_wins"])
 
 
 def duplicates_rejected(spark, d):

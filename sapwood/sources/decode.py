@@ -54,10 +54,12 @@ def _refuse(name: str):
     raise Malformed(f"{name} is no JSON number")
 
 
+_READ = {held: json.JSONDecoder(object_pairs_hook=Pairs, parse_int=of, parse_float=of, parse_constant=_refuse).decode for held, of in ((False, float), (True, Lexeme))}
+
+
 def _json(text: str, lexemes: bool):
-    number = Lexeme if lexemes else float
     try:
-        return json.loads(text, object_pairs_hook=Pairs, parse_int=number, parse_float=number, parse_constant=_refuse)
+        return _READ[lexemes](text)
     except json.JSONDecodeError as e:
         raise Malformed(e.msg, e.lineno, e.colno) from None
 
@@ -206,6 +208,16 @@ DECODERS = {
 _NUMBER = re.compile(r"-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
 
 
+def _texts(values):
+    """Texts as Arrow's; half a surrogate pair is no character and becomes "?"."""
+    import pyarrow as pa
+
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([None if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
+
+
 class Columns:
     """Rows of a node table as they come from documents, column by column; the paths and ancestors lie flat."""
 
@@ -249,20 +261,14 @@ class Columns:
             mask = None if all(valid) else pa.array([not v for v in valid], pa.bool_())
             return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=mask)
 
-        def text(values):
-            try:
-                return pa.array(values, pa.string())
-            except UnicodeEncodeError:  # half a surrogate pair is no character
-                return pa.array([None if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
-
-        path = pa.StructArray.from_arrays([text(self.keys), pa.array(self.indexes, pa.int32())], ["key", "idx"])
+        path = pa.StructArray.from_arrays([_texts(self.keys), pa.array(self.indexes, pa.int32())], ["key", "idx"])
         made = [
             ids.take(pa.array(self.of, pa.int64())), pa.array(self.pre, pa.int64()), pa.array(self.last, pa.int64()), pa.array(self.depth, pa.int32()),
             lists(self.path_ends, path), lists(
                 self.above_ends,
                 pa.array(self.above, pa.int64()),
             ), pa.array(self.kind, pa.string()), pa.array(self.bool, pa.bool_()),
-            pa.array(self.num, pa.float64()), pa.array(self.lexeme, pa.string()), text(self.str), pa.array(self.size, pa.int32()), pa.array(self.fail, fail_type),
+            pa.array(self.num, pa.float64()), pa.array(self.lexeme, pa.string()), _texts(self.str), pa.array(self.size, pa.int32()), pa.array(self.fail, fail_type),
         ]
         return pa.RecordBatch.from_arrays(made, names)
 
@@ -427,6 +433,90 @@ def nodes(
     return named.mapInArrow(run, shape).withColumnRenamed("_id", key)
 
 
+#: A node in a list of a whole document's: the fields of a node table of that name, its own key and its parent's place.
+ITEM_FIELDS = "pre long, last long, depth int, kind string, bool boolean, num double, str string, key string, parent long"
+
+
+def listed(value, duplicates: str, into: list, last: list) -> None:
+    """Appends the nodes of one JSON value in document order: to last their ``last``, to into their other ITEM_FIELDS."""
+    first, add, close = len(into), into.append, last.append
+    stack = [(None, False, iter([(None, value)]))]
+    while stack:
+        parent, named, inner = stack[-1]
+        depth = len(stack) - 1
+        for step, v in inner:
+            n, key, of = len(into) - first, step if named else None, type(v)
+            close(n)
+            if of is float:
+                add((n, depth, "number", None, v, None, key, parent))
+            elif of is str:
+                add((n, depth, "string", None, None, v, key, parent))
+            elif of is Pairs:
+                add((n, depth + 1, "object", None, None, None, key, parent))
+                stack.append((n, True, iter(_members(v, duplicates))))
+                break
+            elif of is list:
+                add((n, depth + 1, "array", None, None, None, key, parent))
+                stack.append((n, False, enumerate(v)))
+                break
+            elif v is None:
+                add((n, depth, "null", None, None, None, key, parent))
+            else:
+                add((n, depth, "bool", v, None, None, key, parent))
+        else:
+            if parent is not None:
+                last[first + parent] = len(into) - first - 1
+            stack.pop()
+
+
+def node_lists(docs: DataFrame, policies: list[str], key: str = "doc_id", content: str = "content") -> DataFrame:
+    """The nodes of JSON documents, one row for each document and policy of repeated members: key, policy and nodes
+    (array of ITEM_FIELDS). Documents that cannot be read give none.
+
+    A text is parsed once for all policies, and as its nodes stay together nothing has to bring them together again.
+    A document is held whole, so this is for short ones; nodes() reads any.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    named = docs.select(F.col(key).alias("_id"), F.col(content).alias("_content"))
+    shape = f"_id {dict(named.dtypes)['_id']}, policy string, nodes array<struct<{ITEM_FIELDS}>>"
+    fields = {f.name: to_arrow_type(f.dataType) for f in _parse_datatype_string(ITEM_FIELDS).fields}
+
+    def run(batches):
+        import pyarrow as pa
+
+        def batch(ids):
+            columns = dict(zip([f for f in fields if f != "last"], zip(*rows, strict=True), strict=True)) | {"last": last}
+            made = [_texts(columns[f]) if t == pa.string() else pa.array(columns[f], t) for f, t in fields.items()]
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(made, list(fields)))
+            out = pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), pa.array(policy, pa.string()), held], ["_id", "policy", "nodes"])
+            for held in (rows, last, of, policy):
+                held.clear()
+            ends[:] = [0]
+            return out
+
+        rows, last, of, policy, ends = [], [], [], [], [0]
+        for b in batches:
+            for i in range(b.num_rows):
+                text = b.column(1)[i].as_py()
+                try:
+                    value = _json(text.decode() if isinstance(text, (bytes, bytearray)) else text, False)
+                except (TypeError, ValueError, RecursionError):  # no text; Malformed and broken UTF-8
+                    continue
+                for p in policies:
+                    listed(value, p, rows, last)
+                    of.append(i)
+                    policy.append(p)
+                    ends.append(len(rows))
+                if len(rows) >= ROWS:
+                    yield batch(b.column(0))
+            if rows:
+                yield batch(b.column(0))
+
+    return named.mapInArrow(run, shape).withColumnRenamed("_id", key)
+
+
 def formats(spark) -> DataFrame:
     """What each format allows: record-wise splitting, and the decoder for whole documents."""
     return spark.createDataFrame(

@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from sapwood.functions.paths import quoted_json
 from sapwood.operators import values
 from sapwood.plans import catalogue
+from sapwood.sources.decode import nodes
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -45,3 +46,23 @@ def test_texts_of_plain_and_odd_values(spark):
     rows = [(i, n) for i, (n, _) in enumerate(numbers)]
     got = {r["i"]: r["t"] for r in spark.createDataFrame(rows, "i long, n double").select("i", values.number_text(values.F.col("n")).alias("t")).collect()}
     assert got == {i: text for i, (_, text) in enumerate(numbers)}
+
+
+def test_short_documents_meet_no_exchange(spark, monkeypatch):
+    """Each policy gives the text that its node table gives, of short documents (in their rows) as of long ones (in pieces)."""
+    texts = ['{"k":1,"in":{"p":1,"p":[2,{"a":null,"a":true}]},"k":"é\\"\\ud83d\\ude00"}', '{"a":{},"b":[],"a":[[],{"c":-0.5e3}]}', "[[1,[2,[]]],false]", '"x"', "1e999", "null", "{", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
+    policies = ["last_wins", "first_wins", "all"]
+    want = {(r["doc_id"], p): r["text"] for p in policies for r in values.json_text(nodes(docs, format="json", duplicates=p)).collect()}
+    assert len(want) == 18 and want[0, "first_wins"] == '{"k":1,"in":{"p":1}}' and want[1, "last_wins"] == '{"a":[[],{"c":-500}],"b":[]}'
+    for short in (1000, 20, 0):
+        monkeypatch.setattr(values, "SHORT", short)
+        got = [((r["doc_id"], r["policy"]), r["text"]) for r in values.json_texts(docs, policies).collect()]
+        assert len(got) == len(want) and dict(got) == want
+
+
+@needs_tables
+def test_policies_read_short_documents_once(spark):
+    """Only the long documents, once for each of two policies, are read with the nodes brought together by document."""
+    shown = plan(spark, "duplicates_policies")
+    assert (shown.count("MapInArrow"), shown.count("Aggregate")) == (3, 2) and shown.count("<= 20000") == 1
