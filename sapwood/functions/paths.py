@@ -81,7 +81,8 @@ class Selector:
 
 def quoted_json(text: Column) -> Column:
     """A JSON string literal: only quotes, backslashes and control characters are escaped."""
-    plain = F.is_valid_utf8(text) & ~text.rlike(r'["\\\x00-\x1f]')
+    # the first test is cheap and true of most texts
+    plain = text.rlike(r"^[ !#-\[\]-~]*\z") | (F.is_valid_utf8(text) & ~text.rlike(r'["\\\x00-\x1f]'))
     return F.when(plain, F.concat(F.lit('"'), text, F.lit('"'))).when(text.isNotNull(), F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", ""))
 
 

@@ -91,19 +91,22 @@ def node_bytes(root: Column, of=of_node) -> Column:
     return (F.lit(NODE_BYTES) + key + payload).cast("long")
 
 
+def _scalar_text(of, lexeme: Column | None = None) -> Column:
+    kind = of("kind")
+    return (
+        F.when(kind == "null", "null")
+        .when(kind == "bool", of("bool").cast("string"))
+        .when(kind == "number", number_text(of("num"), lexeme))
+        .otherwise(quoted_json(of("str")))
+    )
+
+
 def fragments(root: Column, of=of_node) -> Column:
     """What one node adds to its value's JSON text, each piece with its place: array<struct<a,b,c,text>>."""
     kind = of("kind")
     comma = F.when(of("pre") != of("parent") + 1, ",").otherwise("")
     lead = F.when(root, F.lit("")).otherwise(F.concat(comma, F.coalesce(F.concat(quoted_json(of("key")), F.lit(":")), F.lit(""))))
-    opened = (
-        F.when(kind == "object", "{")
-        .when(kind == "array", "[")
-        .when(kind == "null", "null")
-        .when(kind == "bool", of("bool").cast("string"))
-        .when(kind == "number", number_text(of("num"), of("lexeme")))
-        .otherwise(quoted_json(of("str")))
-    )
+    opened = F.when(kind == "object", "{").when(kind == "array", "[").otherwise(_scalar_text(of, of("lexeme")))
     piece = lambda a, b, c, text: F.struct(
         a.cast("long").alias("a"),
         F.lit(b).alias("b"),
@@ -212,7 +215,7 @@ def json_text(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     return nodes.where("pre is not null").groupBy(key).agg(joined(F.collect_list(fragments(F.size("path") == 0))).alias("text"))
 
 
-#: Characters from which on a document's nodes are not held in one row; a JSON text has no more nodes than characters.
+#: Characters above which a document's events are not held in one row; a JSON text has no more events than characters.
 SHORT = decode.ROWS
 
 
@@ -222,14 +225,20 @@ def json_texts(docs: DataFrame, policies: list[str], key: str = "doc_id", conten
     Short documents stay in the row they came in and meet no exchange; the nodes of a long one leave the decoder in
     pieces and are brought together by its key.
     """
+    marks = {"object_start": "{", "array_start": "[", "object_end": "}", "array_end": "]"}
+
+    def text(e: Column) -> Column:
+        shown = F.coalesce(*[F.when(e["kind"] == k, F.lit(m)) for k, m in marks.items()], _scalar_text(lambda name: e[name]))
+        name = F.when(e["key_name"].isNull(), F.lit("")).otherwise(F.concat(quoted_json(e["key_name"]), F.lit(":")))
+        return F.concat(F.when(e["later"], F.lit(",")).otherwise(""), name, shown)
+
     size = F.length(content)
-    of = lambda n: lambda name: F.lit(None).cast("string") if name == "lexeme" else n[name]
-    pieces = F.transform("nodes", lambda n: fragments(n["parent"].isNull(), of(n)))
-    short = decode.node_lists(docs.where(size <= SHORT), policies, key, content).select(key, joined(pieces).alias("text"), "policy")
+    lists = decode.event_lists(docs.where(size <= SHORT), policies, key, content)
+    out = lists.select(key, F.array_join(F.transform("events", text), "").alias("text"), "policy")
     for p in policies:
         long = decode.nodes(docs.where(size > SHORT), key, content, "json", duplicates=p)
-        short = short.unionByName(json_text(long, key).withColumn("policy", F.lit(p)))
-    return short
+        out = out.unionByName(json_text(long, key).withColumn("policy", F.lit(p)))
+    return out
 
 
 def is_json_number(text: Column) -> Column:

@@ -433,79 +433,82 @@ def nodes(
     return named.mapInArrow(run, shape).withColumnRenamed("_id", key)
 
 
-#: A node in a list of a whole document's: the fields of a node table of that name, its own key and its parent's place.
-ITEM_FIELDS = "pre long, last long, depth int, kind string, bool boolean, num double, str string, key string, parent long"
+#: An event in a document's list: a container's start or end or a scalar, its member's name, and whether a comma goes before it.
+EVENT_FIELDS = "kind string, key_name string, later boolean, bool boolean, num double, str string"
 
 
-def listed(value, duplicates: str, into: list, last: list) -> None:
-    """Appends the nodes of one JSON value in document order: to last their ``last``, to into their other ITEM_FIELDS."""
-    first, add, close = len(into), into.append, last.append
+def listed(value, duplicates: str, into: list) -> None:
+    """Appends the EVENT_FIELDS of one JSON value, in document order."""
+    add = into.append
     stack = [(None, False, iter([(None, value)]))]
+    later = False
     while stack:
-        parent, named, inner = stack[-1]
-        depth = len(stack) - 1
+        end, named, inner = stack[-1]
         for step, v in inner:
-            n, key, of = len(into) - first, step if named else None, type(v)
-            close(n)
+            key, of = step if named else None, type(v)
             if of is float:
-                add((n, depth, "number", None, v, None, key, parent))
+                add(("number", key, later, None, v, None))
             elif of is str:
-                add((n, depth, "string", None, None, v, key, parent))
+                add(("string", key, later, None, None, v))
             elif of is Pairs:
-                add((n, depth + 1, "object", None, None, None, key, parent))
-                stack.append((n, True, iter(_members(v, duplicates))))
+                add(("object_start", key, later, None, None, None))
+                stack.append(("object_end", True, iter(_members(v, duplicates))))
+                later = False
                 break
             elif of is list:
-                add((n, depth + 1, "array", None, None, None, key, parent))
-                stack.append((n, False, enumerate(v)))
+                add(("array_start", key, later, None, None, None))
+                stack.append(("array_end", False, enumerate(v)))
+                later = False
                 break
             elif v is None:
-                add((n, depth, "null", None, None, None, key, parent))
+                add(("null", key, later, None, None, None))
             else:
-                add((n, depth, "bool", v, None, None, key, parent))
+                add(("bool", key, later, v, None, None))
+            later = True
         else:
-            if parent is not None:
-                last[first + parent] = len(into) - first - 1
+            if end:
+                add((end, None, False, None, None, None))
+            later = True
             stack.pop()
 
 
-def node_lists(docs: DataFrame, policies: list[str], key: str = "doc_id", content: str = "content") -> DataFrame:
-    """The nodes of JSON documents, one row for each document and policy of repeated members: key, policy and nodes
-    (array of ITEM_FIELDS). Documents that cannot be read give none.
+def event_lists(docs: DataFrame, policies: list[str], key: str = "doc_id", content: str = "content") -> DataFrame:
+    """The events of JSON documents, one row for each document and policy of repeated members: key, policy and events
+    (array of EVENT_FIELDS). Documents that cannot be read give none.
 
-    A text is parsed once for all policies, and as its nodes stay together nothing has to bring them together again.
+    A text is parsed once for all policies, and as its events stay together nothing has to bring them together again.
     A document is held whole, so this is for short ones; nodes() reads any.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
     named = docs.select(F.col(key).alias("_id"), F.col(content).alias("_content"))
-    shape = f"_id {dict(named.dtypes)['_id']}, policy string, nodes array<struct<{ITEM_FIELDS}>>"
-    fields = {f.name: to_arrow_type(f.dataType) for f in _parse_datatype_string(ITEM_FIELDS).fields}
+    shape = f"_id {dict(named.dtypes)['_id']}, policy string, events array<struct<{EVENT_FIELDS}>>"
+    fields = {f.name: to_arrow_type(f.dataType) for f in _parse_datatype_string(EVENT_FIELDS).fields}
 
     def run(batches):
         import pyarrow as pa
 
+        rows, of, policy, ends = [], [], [], [0]
+
         def batch(ids):
-            columns = dict(zip([f for f in fields if f != "last"], zip(*rows, strict=True), strict=True)) | {"last": last}
-            made = [_texts(columns[f]) if t == pa.string() else pa.array(columns[f], t) for f, t in fields.items()]
-            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(made, list(fields)))
-            out = pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), pa.array(policy, pa.string()), held], ["_id", "policy", "nodes"])
-            for held in (rows, last, of, policy):
+            made = [_texts(c) if t == pa.string() else pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields.values(), strict=True)]
+            events = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(made, list(fields)))
+            out = pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), pa.array(policy, pa.string()), events], ["_id", "policy", "events"])
+            for held in (rows, of, policy):
                 held.clear()
             ends[:] = [0]
             return out
 
-        rows, last, of, policy, ends = [], [], [], [], [0]
         for b in batches:
             for i in range(b.num_rows):
                 text = b.column(1)[i].as_py()
                 try:
-                    value = _json(text.decode() if isinstance(text, (bytes, bytearray)) else text, False)
-                except (TypeError, ValueError, RecursionError):  # no text; Malformed and broken UTF-8
+                    value = _json(text.decode() if isinstance(text, bytes) else text, False)
+                except (ValueError, RecursionError):  # Malformed and broken UTF-8 among them
                     continue
                 for p in policies:
-                    listed(value, p, rows, last)
+                    listed(value, p, rows)
                     of.append(i)
                     policy.append(p)
                     ends.append(len(rows))
@@ -514,7 +517,7 @@ def node_lists(docs: DataFrame, policies: list[str], key: str = "doc_id", conten
             if rows:
                 yield batch(b.column(0))
 
-    return named.mapInArrow(run, shape).withColumnRenamed("_id", key)
+    return named.where("_content is not null").mapInArrow(run, shape).withColumnRenamed("_id", key)
 
 
 def formats(spark) -> DataFrame:

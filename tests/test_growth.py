@@ -50,11 +50,12 @@ def test_texts_of_plain_and_odd_values(spark):
 
 def test_short_documents_meet_no_exchange(spark, monkeypatch):
     """Each policy gives the text that its node table gives, of short documents (in their rows) as of long ones (in pieces)."""
-    texts = ['{"k":1,"in":{"p":1,"p":[2,{"a":null,"a":true}]},"k":"é\\"\\ud83d\\ude00"}', '{"a":{},"b":[],"a":[[],{"c":-0.5e3}]}', "[[1,[2,[]]],false]", '"x"', "1e999", "null", "{", "", None]
+    texts = ['{"k":1,"in":{"p":1,"p":[2,{"a":null,"a":true}]},"k":"é\\"\\ud83d\\ude00"}', '{"a":{},"b":[],"a":[[],{"c":-0.5e3}]}', "[[1,[2,[]]],false]"]
+    texts += ['"x"', "1e999", "null", '["\\ud83d",-0,0.1,"\x7f"]', "{", "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
     policies = ["last_wins", "first_wins", "all"]
     want = {(r["doc_id"], p): r["text"] for p in policies for r in values.json_text(nodes(docs, format="json", duplicates=p)).collect()}
-    assert len(want) == 18 and want[0, "first_wins"] == '{"k":1,"in":{"p":1}}' and want[1, "last_wins"] == '{"a":[[],{"c":-500}],"b":[]}'
+    assert len(want) == 21 and want[0, "first_wins"] == '{"k":1,"in":{"p":1}}' and want[1, "last_wins"] == '{"a":[[],{"c":-500}],"b":[]}'
     for short in (1000, 20, 0):
         monkeypatch.setattr(values, "SHORT", short)
         got = [((r["doc_id"], r["policy"]), r["text"]) for r in values.json_texts(docs, policies).collect()]
