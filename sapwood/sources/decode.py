@@ -314,11 +314,17 @@ def walk(value, duplicates: str, into: Columns, of: int):
     all_kinds, all_keys, all_indexes, all_above = into.kind, into.keys, into.indexes, into.above
 
     # a stack of iterators, so that depth is not bound by Python's
-    def enter(v, keys, indexes, above, depth):
+    def enter(v, up, step):
         n = len(all_kinds) - first
-        all_keys.extend(keys)
-        all_indexes.extend(indexes)
-        all_above.extend(above)
+        depth = 0
+        if up is not None:
+            _, _, named, keys, indexes, above, depth = up
+            key, index = (step, None) if named else (None, step)
+            all_keys.extend(keys)
+            all_keys.append(key)
+            all_indexes.extend(indexes)
+            all_indexes.append(index)
+            all_above.extend(above)
         all_above.append(n)
         path_end(len(all_keys))
         above_end(len(all_above))
@@ -328,7 +334,9 @@ def walk(value, duplicates: str, into: Columns, of: int):
         fails(None)
         truth = number = text = string = inner = None
         size = 0
-        if isinstance(v, str):
+        if type(v) is float:
+            kind, number = "number", v
+        elif isinstance(v, str):
             kind, string = "string", str(v)
         elif v is None:
             kind = "null"
@@ -353,7 +361,9 @@ def walk(value, duplicates: str, into: Columns, of: int):
         lexemes(text)
         strs(string)
         sizes(size)
-        return None if inner is None else [n, inner, kind == "object", keys, indexes, [*above, n], depth]
+        if inner is None:
+            return None
+        return [n, inner, kind == "object", *(([], [], [n]) if up is None else ([*keys, key], [*indexes, index], [*above, n])), depth]
 
     def foresee(end: int) -> None:
         """Sets ``last`` of the open containers among the rows; what is still to come in them is counted."""
@@ -365,12 +375,12 @@ def walk(value, duplicates: str, into: Columns, of: int):
             end += sum(_count(child, duplicates) for _, child in rest)
             into.last[first + frame[0]] = end
 
-    stack = [f] if (f := enter(value, [], [], [], 0)) else []
+    stack = [f] if (f := enter(value, None, None)) else []
     while stack:
         frame = stack[-1]
-        n, inner, named, keys, indexes, above, depth = frame
+        n, inner = frame[:2]
         for step, child in inner:
-            if deeper := enter(child, [*keys, step if named else None], [*indexes, None if named else step], above, depth):
+            if deeper := enter(child, frame, step):
                 stack.append(deeper)
                 break
             if len(all_kinds) >= ROWS:
@@ -404,7 +414,7 @@ def nodes(
 
     from ..functions.failures import FAIL_TYPE
 
-    named = docs.select(F.col(key).alias("_id"), F.col(content).alias("_content"), (F.lit(format) if format else F.col("format")).alias("_format"))
+    named = docs.select(F.col(key).alias("_id"), F.col(content).alias("_content"), *([] if format else [F.col("format").alias("_format")]))
     shape = f"_id {dict(named.dtypes)['_id']}, {NODE_FIELDS}, fail {FAIL_TYPE}"
     names = ["_id", *(f.name for f in _parse_datatype_string(NODE_FIELDS).fields), "fail"]
     fail_type = to_arrow_type(_parse_datatype_string(FAIL_TYPE))
@@ -413,7 +423,7 @@ def nodes(
         for b in batches:
             out = Columns()
             for i in range(b.num_rows):
-                text, fmt = b.column(1)[i].as_py(), b.column(2)[i].as_py()
+                text, fmt = b.column(1)[i].as_py(), format or b.column(2)[i].as_py()
                 try:
                     if fmt not in DECODERS:
                         raise Malformed(f"no decoder for {fmt}")
